@@ -7,7 +7,7 @@ capacity and not by the data:
    enumerated,
 2. non-negative least squares fits how often each pattern is repeated so that
    the patterns' lengths add up to the histogram,
-3. the counts are rounded, never beyond what the histogram holds,
+3. the counts are rounded down, never beyond what the histogram holds,
 4. the residual lengths are packed best-fit, longest first, still as counts.
 
 The outcome is a list of *slots* (length, first rank, repeats, first sequence,
@@ -216,7 +216,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     patterns = exact_patterns(np.flatnonzero(left), capacity)
     x = fit_repeats(patterns, left)
     out: list[tuple[tuple[int, ...], int]] = []
-    rounded = np.rint(x).astype(np.int64)
+    rounded = np.floor(x + 1e-9).astype(np.int64)  # down: a short pattern is worse than a larger residual
     for j in np.argsort(-x, kind="stable").tolist():
         if rounded[j] < 1:
             break

@@ -3,7 +3,7 @@
 A page becomes a flat list of text blocks.  Every block has its number of
 words and link density, those of the block before and after it, and what its
 enclosing elements say about themselves (article, navigation, advert, ...).  A
-decision tree trained on the small labelled table below says which blocks are
+decision tree trained on the small labelled table below (roles crossed with measures, and rows without a role) says which blocks are
 content; their texts are joined in page order.
 """
 
@@ -36,7 +36,7 @@ SECTION_TAGS = frozenset("article aside body div footer form header html main na
 
 #: What the enclosing elements say, as feature columns.
 HINTS = ("in_article", "in_navigation", "in_margin", "in_advert", "in_comments", "in_form", "in_head")
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", *HINTS)
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", *HINTS, "in_boilerplate")
 _NAMES = {
     "in_navigation": re.compile(r"(^|[\s_-])(nav|navbar|navigation|menu|breadcrumbs?|toc|pagination|pager|tabs)([\s_-]|$)", re.I),
     "in_margin": re.compile(r"(^|[\s_-])(footer|header|masthead|sidebar|side|aside|cookies?|consent|notice|banner|copyright|legal|related|social|share|newsletter|widget|popup|modal)([\s_-]|$)", re.I),
@@ -51,67 +51,59 @@ _NAME_TAGS = frozenset("div section article aside ul ol table p span header foot
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
-#: The labelled table: features in the order of FEATURES, then 1 for content.
-#: Typical blocks of menus, adverts, notices, footers, sidebars, comments and
-#: forms, of headings and paragraphs in articles, and of pages without any
-#: element that names its role.
-LABELLED: tuple[tuple[float, ...], ...] = (
-    # words link before link_before after link_after | article nav margin advert comments form head
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0, 0, 0, 0, 0),
-    (2, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0, 0, 0, 0, 0),
-    (1, 1.0, 2, 1.0, 12, 0.0, 0, 1, 0, 0, 0, 0, 0, 0),
-    (4, 0.0, 1, 1.0, 2, 1.0, 0, 1, 0, 0, 0, 0, 0, 0),
-    (60, 0.1, 1, 1.0, 2, 1.0, 0, 1, 0, 0, 0, 0, 0, 0),
-    (1, 1.0, 30, 0.0, 50, 0.0, 1, 1, 0, 0, 0, 0, 0, 0),
-    (9, 0.0, 60, 0.0, 60, 0.0, 1, 1, 0, 0, 0, 0, 0, 0),
-    (13, 0.0, 1, 1.0, 10, 0.0, 0, 0, 0, 1, 0, 0, 0, 0),
-    (40, 0.0, 1, 1.0, 10, 0.0, 0, 0, 0, 1, 0, 0, 0, 0),
-    (5, 0.0, 2, 1.0, 1, 0.0, 0, 0, 0, 1, 0, 0, 0, 0),
-    (25, 0.0, 80, 0.0, 80, 0.0, 1, 0, 0, 1, 0, 0, 0, 0),
-    (8, 0.5, 30, 0.0, 1, 0.0, 1, 0, 0, 1, 0, 0, 0, 0),
-    (9, 0.0, 40, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0, 0, 0),
-    (30, 0.0, 1, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0, 0, 0),
-    (90, 0.0, 60, 0.0, 3, 1.0, 0, 0, 1, 0, 0, 0, 0, 0),
-    (4, 0.0, 0, 0.0, 1, 1.0, 0, 0, 1, 0, 0, 0, 0, 0),
-    (20, 0.3, 90, 0.0, 90, 0.0, 1, 0, 1, 0, 0, 0, 0, 0),
-    (55, 0.0, 90, 0.0, 90, 0.0, 1, 0, 1, 0, 0, 0, 0, 0),
-    (15, 0.0, 50, 0.0, 20, 0.0, 0, 0, 0, 0, 1, 0, 0, 0),
-    (70, 0.0, 50, 0.0, 30, 0.0, 0, 0, 0, 0, 1, 0, 0, 0),
-    (45, 0.0, 50, 0.0, 30, 0.0, 1, 0, 0, 0, 1, 0, 0, 0),
-    (3, 0.0, 50, 0.0, 9, 0.0, 1, 0, 0, 0, 1, 0, 0, 0),
-    (2, 0.0, 50, 0.0, 4, 0.0, 0, 0, 0, 0, 0, 1, 0, 0),
-    (30, 0.0, 50, 0.0, 4, 0.0, 0, 0, 0, 0, 0, 1, 0, 0),
-    (18, 0.0, 50, 0.0, 40, 0.0, 1, 0, 0, 0, 0, 1, 0, 0),
-    (10, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0, 0, 0, 1, 0),
-    (40, 0.0, 0, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 0, 1, 0),
-    (10, 0.0, 13, 0.0, 40, 0.0, 1, 0, 0, 0, 0, 0, 0, 1),
-    (2, 0.0, 13, 0.0, 20, 0.0, 1, 0, 0, 0, 0, 0, 0, 1),
-    (1, 0.0, 60, 0.0, 1, 0.0, 1, 0, 0, 0, 0, 0, 0, 1),
-    (1, 0.0, 1, 0.0, 9, 0.0, 1, 0, 0, 0, 0, 0, 0, 1),
-    (3, 0.0, 1, 1.0, 2, 0.0, 1, 0, 0, 0, 0, 0, 0, 1),
-    (80, 0.0, 10, 0.0, 60, 0.0, 1, 0, 0, 0, 0, 0, 0, 1),
-    (25, 0.2, 40, 0.0, 60, 0.0, 1, 0, 0, 0, 0, 0, 0, 1),
-    (6, 1.0, 40, 0.0, 60, 0.0, 1, 0, 0, 0, 0, 0, 0, 1),
-    (12, 0.6, 40, 0.0, 60, 0.0, 1, 0, 0, 0, 0, 0, 0, 1),
-    (900, 0.0, 10, 0.0, 9, 0.0, 1, 0, 0, 0, 0, 0, 0, 1),
-    (50, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 0, 0, 1),
-    # no role is named: length and links decide
-    (60, 0.0, 3, 1.0, 70, 0.0, 0, 0, 0, 0, 0, 0, 0, 1),
-    (35, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 0, 0, 1),
-    (28, 0.1, 50, 0.0, 44, 0.0, 0, 0, 0, 0, 0, 0, 0, 1),
-    (120, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 0, 1),
-    (7, 0.0, 50, 0.0, 44, 0.0, 0, 0, 0, 0, 0, 0, 0, 1),
-    (12, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 0, 0, 0, 0, 1),
-    (9, 0.0, 2, 1.0, 55, 0.0, 0, 0, 0, 0, 0, 0, 0, 1),
-    (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0, 0, 0),
-    (3, 1.0, 50, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 0, 0, 0),
-    (40, 0.8, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0, 0, 0),
-    (25, 0.9, 30, 0.9, 20, 0.9, 0, 0, 0, 0, 0, 0, 0, 0),
-    (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0, 0, 0),
-    (6, 0.0, 1, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 0, 0, 0),
-    (8, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 0, 0),
-    (3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 0, 0, 0),
+#: The labelled table, first part: blocks whose enclosing elements name a role,
+#: as (in_article, in_navigation, in_margin, in_advert, in_comments, in_form,
+#: in_head) and 1 for content.  Every such row is seen with each of the measures below.
+ROLES: tuple[tuple[tuple[int, ...], int], ...] = (
+    ((1, 0, 0, 0, 0, 0, 0), 1),
+    ((0, 1, 0, 0, 0, 0, 0), 0),
+    ((1, 1, 0, 0, 0, 0, 0), 0),
+    ((0, 0, 1, 0, 0, 0, 0), 0),
+    ((1, 0, 1, 0, 0, 0, 0), 0),
+    ((0, 1, 1, 0, 0, 0, 0), 0),
+    ((0, 0, 0, 1, 0, 0, 0), 0),
+    ((1, 0, 0, 1, 0, 0, 0), 0),
+    ((0, 0, 0, 0, 1, 0, 0), 0),
+    ((1, 0, 0, 0, 1, 0, 0), 0),
+    ((0, 0, 0, 0, 0, 1, 0), 0),
+    ((1, 0, 0, 0, 0, 1, 0), 0),
+    ((0, 0, 0, 0, 0, 0, 1), 0),
 )
+#: Words and link density of the block, of the one before and of the one after.
+MEASURES: tuple[tuple[float, ...], ...] = tuple(
+    (w, d, *before, *after)
+    for w, d in ((1, 0.0), (4, 1.0), (9, 0.0), (16, 0.5), (30, 0.0), (90, 0.1), (1000, 0.0))
+    for before in ((0, 0.0), (2, 1.0), (14, 0.0), (70, 0.0))
+    for after in ((0, 0.0), (2, 1.0), (14, 0.0), (70, 0.0))
+)
+#: Second part: no role is named, so length and links decide (features without the roles, then the label).
+PLAIN: tuple[tuple[float, ...], ...] = (
+    (60, 0.0, 3, 1.0, 70, 0.0, 1),
+    (35, 0.0, 60, 0.0, 3, 1.0, 1),
+    (28, 0.1, 50, 0.0, 44, 0.0, 1),
+    (120, 0.0, 0, 0.0, 0, 0.0, 1),
+    (25, 0.0, 12, 0.0, 12, 0.0, 1),
+    (1000, 0.0, 2, 1.0, 2, 1.0, 1),
+    (18, 0.0, 50, 0.0, 44, 0.0, 1),
+    (12, 0.0, 40, 0.0, 35, 0.0, 1),
+    (7, 0.0, 50, 0.0, 44, 0.0, 1),
+    (9, 0.0, 2, 1.0, 55, 0.0, 1),
+    (2, 1.0, 2, 1.0, 3, 1.0, 0),
+    (3, 1.0, 50, 0.0, 2, 1.0, 0),
+    (40, 0.8, 2, 1.0, 3, 1.0, 0),
+    (25, 0.9, 30, 0.9, 20, 0.9, 0),
+    (4, 0.0, 2, 1.0, 3, 1.0, 0),
+    (6, 0.0, 1, 0.0, 2, 1.0, 0),
+    (8, 0.0, 60, 0.0, 0, 0.0, 0),
+    (3, 0.0, 0, 0.0, 2, 1.0, 0),
+)
+
+
+def labelled_table() -> np.ndarray:
+    """Rows of FEATURES and the label."""
+    named = [(*m, *role, float(any(role[1:])), label) for role, label in ROLES for m in MEASURES]
+    plain = [(*row[:-1], *(0,) * (len(HINTS) + 1), row[-1]) for row in PLAIN]
+    return np.array(named + plain, dtype=float)
 
 
 @dataclass
@@ -226,7 +218,8 @@ def features(found: Sequence[Block]) -> np.ndarray:
         out[:, 0:2] = own
         out[1:, 2:4] = own[:-1]
         out[:-1, 4:6] = own[1:]
-        out[:, 6:] = [b.hints for b in found]
+        out[:, 6:-1] = [b.hints for b in found]
+        out[:, -1] = out[:, 7:-1].any(axis=1)
     return out
 
 
@@ -281,7 +274,7 @@ class DecisionTree:
 
 
 def default_tree() -> DecisionTree:
-    data = np.array(LABELLED, dtype=float)
+    data = labelled_table()
     return DecisionTree().fit(data[:, :-1], data[:, -1])
 
 

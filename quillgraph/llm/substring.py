@@ -24,7 +24,7 @@ from .common import materialize, text_or_empty
 
 #: A run has at least so many sentences and words; longer sentences are cut.
 MIN_SENTENCES = 2
-MIN_WORDS = 20
+MIN_WORDS = 15
 MAX_SENTENCE_WORDS = 24
 ROWS_PER_BATCH = 1024
 

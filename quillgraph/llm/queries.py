@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, packing, pii, quality, substring
+from . import bpe, html_text, packing, pii, quality, simhash, substring
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,11 @@ DEMO_KEY = "pseudonym-key-1"
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, DEMO_KEY, count="n_values")
+
+
+@_query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", simhash.as_text("f").alias("fingerprint"), simhash.as_text("e").alias("edited_fingerprint"), "near_edited", "near_next"
+    )

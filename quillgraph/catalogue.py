@@ -332,10 +332,10 @@ def p3_lcc_reindex(s: SparkSession, d: str) -> DataFrame:
     return graph.project_to_component(tables.parts(s, d))
 
 
-@query(COMP + ", deg AS (SELECT src AS node_id, count(*) AS degree FROM parts GROUP BY src) SELECT p_partkey AS node_id, CASE WHEN l.node_id IS NOT NULL THEN degree END AS degree FROM part LEFT JOIN lcc l ON p_partkey = l.node_id LEFT JOIN deg g ON p_partkey = g.node_id")
+@query(COMP + ", deg AS (SELECT src AS node_id, count(*) AS degree FROM parts GROUP BY src) SELECT p_partkey AS node_id, CASE WHEN l.node_id IS NOT NULL THEN degree::DOUBLE END AS degree FROM part LEFT JOIN lcc l ON p_partkey = l.node_id LEFT JOIN deg g ON p_partkey = g.node_id")
 def p4_reexpand(s: SparkSession, d: str) -> DataFrame:
     e = tables.parts(s, d)
-    inner = graph.degrees(graph.induced(e, graph.largest_component(e))).select("node_id", "degree")
+    inner = graph.degrees(graph.induced(e, graph.largest_component(e))).select("node_id", F.col("degree").cast("double").alias("degree"))
     return graph.reexpand(tables.read(s, d, "part").select(F.col("p_partkey").alias("node_id")), inner)
 
 
@@ -726,9 +726,9 @@ def p25_derive(s: SparkSession, d: str) -> DataFrame:
     return rounded(_parsed(s).select("file", (2 * F.abs(F.col("score") - 0.5)).alias("folded"), F.try_element_at(names, F.col("name")).alias("label")), "folded")
 
 
-@query(f"WITH {PARSED} SELECT file, TRY_CAST(TRY_CAST(n AS DOUBLE) AS INTEGER) AS n, TRY_CAST(mu AS DOUBLE) AS mu FROM parsed")
+@query(f"WITH {PARSED} SELECT file, trunc(TRY_CAST(n AS DOUBLE)) AS n, TRY_CAST(mu AS DOUBLE) AS mu FROM parsed")
 def p26_to_numeric(s: SparkSession, d: str) -> DataFrame:
-    return results.to_numeric(_parsed(s).select("file", "n", "mu"), ["n"], ["mu"])
+    return results.to_numeric(_parsed(s).select("file", "n", "mu"), ["n"], ["mu"]).withColumn("n", F.col("n").cast("double"))
 
 
 @query(f"WITH {PARSED} SELECT file, coalesce(q, '') AS q, coalesce(name, '') AS name FROM parsed")

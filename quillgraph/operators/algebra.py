@@ -109,7 +109,7 @@ def rotate(x: DataFrame, matrix: np.ndarray) -> DataFrame:
     return x.select("node_id", F.array(*cols).alias("vec"))
 
 
-def leading_eigenpairs(a: DataFrame, nodes: DataFrame, d: int, steps: int = 30, shift: float = 1.0, seed: int = 1) -> tuple[np.ndarray, DataFrame]:
+def leading_eigenpairs(a: DataFrame, nodes: DataFrame, d: int, steps: int = 20, shift: float = 1.0, seed: int = 1) -> tuple[np.ndarray, DataFrame]:
     """Largest eigenvalues of a symmetric matrix by block subspace iteration on A + shift I.
 
     Each step is one block product, then a d x d Gram matrix on the driver
@@ -130,7 +130,8 @@ def leading_eigenpairs(a: DataFrame, nodes: DataFrame, d: int, steps: int = 30,
         return rotate(v, vectors / np.sqrt(np.maximum(values, 1e-300)))
 
     for _ in range(steps):
-        x = checkpoint(orthonormal(checkpoint(apply(x))))
+        x = orthonormal(checkpoint(apply(x)))  # a projection of a written table
+    x = checkpoint(x)
     values, vectors = np.linalg.eigh(gram(x, d, apply(x)))
     order = np.argsort(-values)
     return values[order] - shift, rotate(x, vectors[:, order])

@@ -154,7 +154,7 @@ class HighOrderModularity(NodeEmbedding):
         for _ in range(8):
             y = checkpoint(apply(x))
             values, vectors = np.linalg.eigh(gram(y, d))
-            x = checkpoint(rotate(y, vectors / np.sqrt(np.maximum(values, 1e-300))))
+            x = rotate(y, vectors / np.sqrt(np.maximum(values, 1e-300)))
         s, v = np.linalg.eigh((g := gram(x, d, apply(x)))[:] / 2 + g.T / 2)
         order = np.argsort(-np.abs(s))
         self.out_vec = checkpoint(rotate(x, v[:, order]))
@@ -175,7 +175,7 @@ class NonBacktracking(NodeEmbedding):
         for _ in range(25):  # orthogonal iteration for a matrix that isn't symmetric
             y = checkpoint(multiply_block(b, x, dim))
             values, vectors = np.linalg.eigh(gram(y, dim))
-            x = checkpoint(rotate(y, vectors / np.sqrt(np.maximum(values, 1e-300))))
+            x = rotate(y, vectors / np.sqrt(np.maximum(values, 1e-300)))
         s, v = np.linalg.eig(gram(x, dim, multiply_block(b, x, dim)))
         order = np.argsort(-np.abs(s))
         s = s[order]

@@ -25,7 +25,7 @@ def table_of(frame):
     import pandas as pd
 
     frame = frame[sorted(frame.columns)]
-    return sorted((tuple(None if pd.isna(v) else v for v in r) for r in frame.itertuples(index=False, name=None)), key=repr)
+    return sorted((tuple(None if pd.isna(v) else float(v) if isinstance(v, (int, float)) else v for v in r) for r in frame.itertuples(index=False, name=None)), key=repr)
 
 
 def compare(spark, con, name: str, sf_dir: str) -> str:

@@ -37,6 +37,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_size(batch, columns: tuple[int, ...], max_rows: int, max_bytes: int):
+    """Slices of a record batch with at most so many rows and, beyond one row, bytes of text in the columns."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    size = sum(np.asarray(pc.binary_length(batch.column(c)).fill_null(0)).astype(np.int64) for c in columns)
+    total = np.concatenate([[0], np.cumsum(size)])
+    first = 0
+    while first < batch.num_rows:
+        last = int(np.searchsorted(total, total[first] + max_bytes, side="right")) - 1
+        last = min(max(last, first + 1), first + max_rows, batch.num_rows)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def text_or_empty(column: str | Column) -> Column:
     """The text with null as the empty string."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

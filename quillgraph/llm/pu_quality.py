@@ -98,11 +98,16 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     prior.  The smallest such ratio, with allowances for the sample sizes, is
     taken.
     """
+    # Half of the rows train, the other half measures: on its own rows the classifier would also rank by noise.
+    positive, positive_held = positive[::2], positive[1::2]
+    unlabelled, unlabelled_held = unlabelled[::2], unlabelled[1::2]
+    if not len(positive_held) or not len(unlabelled_held):
+        return 0.5
     x = np.concatenate([positive, unlabelled])
     y = np.concatenate([np.ones(len(positive)), np.zeros(len(unlabelled))])
     weight = np.where(y > 0, 0.5 / len(positive), 0.5 / len(unlabelled))
     w = _adam(lambda b: x.T @ (weight * (_sigmoid(x @ b) - y)) + RIDGE * b, x.shape[1], STEPS // 2, RATE)
-    p, u = np.sort(positive @ w), np.sort(unlabelled @ w)
+    p, u = np.sort(positive_held @ w), np.sort(unlabelled_held @ w)
     thresholds = np.quantile(p, np.linspace(0.0, 0.8, 41))
     share_p = 1 - np.searchsorted(p, thresholds - 1e-9) / len(p)
     share_u = 1 - np.searchsorted(u, thresholds - 1e-9) / len(u)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions import prng
 from .functions import vectors as V
-from .operators import algebra, clustering, graph, metrics, results, sampling, spectral, walks
+from .operators import algebra, clustering, graph, losses, metrics, results, sampling, spectral, walks
+from .plans.lineage import shared_folder
 from .sources import generators, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -545,13 +547,12 @@ def v10_score_rows(s: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.score_rows(labels, ["p"], "label"), "score")
 
 
-ALL_PAIRS = VECS + """, pr AS (SELECT round(list_dot_product(a.vec, b.vec), 9) AS score, (a.label = b.label)::BIGINT AS same FROM vecs a JOIN vecs b ON a.node_id < b.node_id AND a.node_id < 200 AND b.node_id < 200),
+ALL_PAIRS = VECS + """, pr AS (SELECT round(list_dot_product(a.vec, b.vec), 9) AS score, (a.label = b.label)::BIGINT AS same FROM vecs a JOIN vecs b ON a.node_id < b.node_id),
 gs AS (SELECT score, sum(same) AS pos, sum(1 - same) AS neg FROM pr GROUP BY score)"""
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    # the first 200 vectors are the sampling operator's bounded sample of pairs
-    return metrics.scored_pairs(tables.vectors(s, d).filter("node_id < 200"))
+    return metrics.scored_pairs(tables.vectors(s, d))
 
 
 @query(f"WITH {ALL_PAIRS} SELECT {r6('sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg))')} AS auc FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM gs)")
@@ -939,3 +940,181 @@ def g4_belief_propagation(s: SparkSession, d: str) -> DataFrame:
 
     edges, nodes = generators.planted_partition(s, 200, 2, 16.0, 4.0, exact=True)
     return belief_propagation(edges, nodes, 2, 16.0, 4.0, 4)
+
+
+# ------------------------------------------------------------ training objectives
+
+SAMPLES = VECS + """, nn AS (SELECT count(*) AS n FROM vecs), ctx AS (SELECT node_id AS center, (node_id + j) % n AS context, j, n FROM vecs, nn, (VALUES (1), (2)) t(j)),
+pos AS (SELECT center, context, list_dot_product(a.vec, b.vec) AS score FROM ctx JOIN vecs a ON center = a.node_id JOIN vecs b ON context = b.node_id),
+draws AS (SELECT center, context, (center + 3 * j + k) % n AS negative FROM ctx, (VALUES (5), (11)) t(k)),
+neg AS (SELECT center, context, negative, list_dot_product(a.vec, b.vec) AS score FROM draws JOIN vecs a ON center = a.node_id JOIN vecs b ON negative = b.node_id)"""
+
+
+def _contexts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Vectors, the next two nodes of every node as contexts, two noise nodes for each context, number of nodes."""
+    v = tables.vectors(s, d)
+    n = v.count()
+    c = v.select(F.col("node_id").alias("center"), F.explode(F.array(F.lit(1), F.lit(2))).alias("j")).withColumn("context", (F.col("center") + F.col("j")) % n)
+    noise = c.select("center", "context", F.explode(F.array(F.lit(5), F.lit(11))).alias("k"), "j").select("center", "context", ((F.col("center") + 3 * F.col("j") + F.col("k")) % n).alias("negative"))
+    return v, c.select("center", "context"), noise, n
+
+
+def _scored_samples(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    v, c, noise, n = _contexts(s, d)
+    return losses.scored(c, v, v, "context"), losses.scored(noise, v, v, "negative"), n
+
+
+def _center_sql(near: str, far: str) -> str:
+    return f"""{SAMPLES}, o AS (SELECT center, avg({near}) AS o FROM pos GROUP BY center), ns AS (SELECT center, avg(n) AS n FROM (SELECT center, context, sum({far}) AS n FROM neg GROUP BY 1, 2) GROUP BY 1), both_ AS (SELECT o, ns.n AS n FROM o JOIN ns USING (center))"""
+
+
+@query(f"WITH {_center_sql('-ln(1 + exp(-score))', '-ln(1 + exp(score))')} SELECT {r6('-avg(o + n)')} AS loss FROM both_")
+def x1_negative_sampling(s: SparkSession, d: str) -> DataFrame:
+    pos, neg, _ = _scored_samples(s, d)
+    return rounded(losses.negative_sampling(pos, neg), "loss")
+
+
+@query(f"WITH {_center_sql('score', 'score')} SELECT {r6('avg(both_.n) - avg(o) + 0.5 * (SELECT n FROM nn) * (SELECT avg(score * score) FROM neg)')} AS loss FROM both_")
+def x2_modularity_triplet(s: SparkSession, d: str) -> DataFrame:
+    pos, neg, n = _scored_samples(s, d)
+    return rounded(losses.modularity_triplet(pos, neg, neg, n), "loss")
+
+
+@query(f"WITH {_center_sql('score', '-score')} SELECT {r6('-avg(o - 0.5 * n * n)')} AS loss FROM both_")
+def x3_laplacian_triplet(s: SparkSession, d: str) -> DataFrame:
+    pos, neg, _ = _scored_samples(s, d)
+    return rounded(losses.laplacian_triplet(pos, neg), "loss")
+
+
+_COS = "(list_dot_product(u, v) / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v))))"
+DISTANCES = {"euclidean": "list_distance(u, v)", "cosine": f"(1 - {_COS})", "angular": f"acos(0.99 * {_COS})", "dotsim": "(-list_dot_product(u, v))"}
+UV = SAMPLES + """, uv AS (SELECT a.vec AS u, b.vec AS v, y, CASE WHEN y = 1 THEN 1 ELSE 2 END AS pow FROM (SELECT center, context AS other, 1 AS y FROM ctx UNION ALL SELECT center, negative, -1 FROM draws) JOIN vecs a ON center = a.node_id JOIN vecs b ON other = b.node_id)"""
+
+
+def _uv(s: SparkSession, d: str) -> DataFrame:
+    v, c, noise, _ = _contexts(s, d)
+    pairs = c.select("center", F.col("context").alias("other"), F.lit(1).alias("y")).unionByName(noise.select("center", F.col("negative").alias("other"), F.lit(-1).alias("y")))
+    a, b = (v.select(F.col("node_id").alias(i), F.col("vec").alias(x)) for i, x in (("center", "u"), ("other", "v")))
+    return pairs.join(a, "center").join(b, "other").select("u", "v", "y", F.when(F.col("y") == 1, 1).otherwise(2).alias("pow"))
+
+
+@query(" UNION ALL ".join(f"(WITH {UV} SELECT '{m}' AS metric, {r6(f'-avg(-ln(1 + exp({x} * y)))')} AS logistic, {r6(f'avg({x} * y)')} AS linear FROM uv)" for m, x in DISTANCES.items()))
+def x4_pair_loss(s: SparkSession, d: str) -> DataFrame:
+    uv, out = _uv(s, d), None
+    for m in DISTANCES:
+        part = losses.pair_loss(uv, m).withColumnRenamed("loss", "logistic").crossJoin(losses.pair_loss(uv, m, logistic=False).withColumnRenamed("loss", "linear"))  # one row each
+        part = part.select(F.lit(m).alias("metric"), "logistic", "linear")
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, "logistic", "linear")
+
+
+@query(f"WITH {UV} SELECT {r6('-avg(y * pow(list_dot_product(u, v), pow))')} AS loss FROM uv")
+def x4_modularity_pairs(s: SparkSession, d: str) -> DataFrame:
+    return rounded(losses.modularity_pair_loss(_uv(s, d)), "loss")
+
+
+# ------------------------------------------------------------ theory tables and further scores
+
+
+@query(f"WITH {MEAN4}, {DEG} SELECT src, dst, {r6('ln(greatest(w, 1e-12)) - ln(d / m)')} AS w FROM mean4 JOIN deg ON dst = node_id, m")
+def t3_floored_matrix(s: SparkSession, d: str) -> DataFrame:
+    return rounded(spectral.floored_matrix(trade(s, d), 4), "w")
+
+
+@query(f"WITH t AS (SELECT range AS t, pow(20 / 60.0::DOUBLE, range) AS lam FROM range(1, 11)) SELECT {r6('avg(1 + lam) / 2000 * 1e6')} AS p_within, {r6('avg(1 - lam) / 2000 * 1e6')} AS p_between, {r6('sum((1 + lam) / pow(30.0, t)) / 2000 / 100 * 1e6')} AS var_within, {r6('sum((1 - lam) / pow(30.0, t)) / 2000 / 100 * 1e6')} AS var_between FROM t")
+def t5_pair_moments(s: SparkSession, d: str) -> DataFrame:
+    names = ("p_within", "p_between", "var_within", "var_between")
+    m = spectral.pair_moments(s, cin=40.0, cout=20.0, size=1000, steps=10)
+    return rounded(m.select(*((F.col(c) * 1e6).alias(c) for c in names)), *names)
+
+
+@query(f"SELECT c, {r6('2 * sqrt(c)')} AS bulk_edge FROM (VALUES (5), (10), (50)) t(c)")
+def t10_bulk_edge(s: SparkSession, d: str) -> DataFrame:
+    c = results.param_space(s, {"c": [5, 10, 50]}).select(F.col("c").cast("int").alias("c"))
+    return rounded(c.withColumn("bulk_edge", 2.0 * F.sqrt("c")), "bulk_edge")
+
+
+@query(f"""WITH {TRADE}, {REGIONS}, u AS (SELECT src, dst, w FROM trade UNION ALL SELECT dst, src, w FROM trade), b AS (SELECT x.membership AS g, y.membership AS h, sum(w) AS w FROM u JOIN regions x ON src = x.node_id JOIN regions y ON dst = y.node_id GROUP BY 1, 2),
+z AS (SELECT g, sum(w) AS s FROM b GROUP BY g) SELECT {r6('min(CASE WHEN g = h THEN w / s END)')} AS within, {r6('max(CASE WHEN g <> h THEN w / s END)')} AS between_, min(CASE WHEN g = h THEN w / s END) > max(CASE WHEN g <> h THEN w / s END) AS holds FROM (SELECT b.g, b.h, w, s FROM b JOIN z ON b.h = z.g)""")
+def t18_cut_condition(s: SparkSession, d: str) -> DataFrame:
+    e = trade(s, d)
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    return rounded(spectral.cut_condition(both, tables.regions(s, d)), "within", "between_")
+
+
+HALVES = VECS + ", pr AS (SELECT round(vec[1], 9) AS score, (label >= 5)::BIGINT AS same FROM vecs), gs AS (SELECT score, sum(same) AS pos, sum(1 - same) AS neg FROM pr GROUP BY score)"
+
+
+@query(f"WITH {HALVES} SELECT {r6('abs(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) - 0.5) + 0.5')} AS auc FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM gs)")
+def v6_folded_auc(s: SparkSession, d: str) -> DataFrame:
+    points = tables.vectors(s, d).select(F.round(F.col("vec")[0], 9).alias("score"), (F.col("label") >= 5).cast("long").alias("same"))
+    return rounded(metrics.folded_auc(points), "auc")
+
+
+SIGNS = VECS + """, cells AS (SELECT label >= 5 AS y, vec[1] >= 0 AS p, count(*)::DOUBLE AS n FROM vecs GROUP BY 1, 2), ny AS (SELECT y, sum(n) AS ny FROM cells GROUP BY y),
+np AS (SELECT p, sum(n) AS np FROM cells GROUP BY p), tt AS (SELECT sum(n) AS t FROM cells)"""
+
+
+@query(f"WITH {SIGNS}{NMI} SELECT {r6('nmi')} AS nmi FROM nm")
+def v11_sign_nmi(s: SparkSession, d: str) -> DataFrame:
+    labels = tables.vectors(s, d).select((F.col("label") >= 5).alias("y"), (F.col("vec")[0] >= 0).alias("p"))
+    return rounded(metrics.mutual_information(metrics.contingency(labels)), "nmi").select("nmi")
+
+
+@query(f"WITH {VECS} SELECT node_id, {r6('list_sum(list_transform(vec, lambda x: CASE WHEN x < 0 THEN 0 ELSE ln(x + 1) END))')} AS total, (list_min(vec) >= 0) AS whole FROM vecs")
+def p6_zero_bad(s: SparkSession, d: str) -> DataFrame:
+    logs = F.transform("vec", lambda x: F.when(x < 0, float("nan")).otherwise(F.log1p(x)))
+    v = tables.vectors(s, d).withColumn("log", logs)
+    return rounded(v.select("node_id", F.aggregate(V.zero_bad("log"), F.lit(0.0), lambda a, x: a + x).alias("total"), V.is_whole("log").alias("whole")), "total")
+
+
+@query("SELECT n AS size, count(*) AS groups FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) GROUP BY 1")
+def a19_size_distribution(s: SparkSession, d: str) -> DataFrame:
+    sizes = tables.read(s, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("groups"))
+
+
+# ------------------------------------------------------------ sinks, written to the shared folder and read again
+
+
+def _folder(s: SparkSession) -> str:
+    return f"{shared_folder(s)}/sink-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {TRADE} SELECT src, dst, w FROM trade")
+def k1_write_network(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s)
+    tables.write_edges(trade(s, d), path)
+    return tables.read_edges(s, path)
+
+
+@query(f"WITH {VECS} SELECT node_id, {r6('list_sum(vec)')} AS total, 10::INTEGER AS window_length, 'voronoi' AS model FROM vecs")
+def k2_write_embedding(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s)
+    tables.write_embedding(tables.vectors(s, d).select("node_id", "vec"), path, window_length=10, model="voronoi")
+    read = s.read.parquet(path)
+    return rounded(read.select("node_id", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("total"), "window_length", "model"), "total")
+
+
+@query(f"WITH {REGIONS} SELECT node_id, membership, v.variant FROM regions, (VALUES ('normalize~False'), ('normalize~True')) v(variant)")
+def k3_write_partitions(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s)
+    variants = F.explode(F.array(F.lit("normalize~True"), F.lit("normalize~False"))).alias("variant")
+    tables.write_partitions(tables.regions(s, d).select("node_id", "membership", variants), path)
+    return s.read.parquet(path).select("node_id", "membership", "variant")
+
+
+@query("SELECT s_suppkey, round(s_acctbal, 2) AS score, 'esim' AS score_type FROM supplier")
+def k4_write_scores(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s)
+    tables.write_scores(tables.read(s, d, "supplier").select("s_suppkey", F.round("s_acctbal", 2).alias("score"), F.lit("esim").alias("score_type")), path)
+    return s.read.schema("s_suppkey long, score double, score_type string").option("header", True).csv(path)
+
+
+@query(f"WITH {REGIONS} SELECT node_id, membership, 25::BIGINT AS n, 0.5::DOUBLE AS mu FROM regions")
+def k5_write_network_bundle(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s)
+    tables.write_network(trade(s, d), tables.regions(s, d), {"n": 25, "mu": 0.5}, path)
+    params = s.read.schema("n long, mu double").json(f"{path}/params")
+    community = s.read.schema("node_id long, membership long").option("sep", "\t").csv(f"{path}/community")
+    return community.crossJoin(F.broadcast(params))  # one row of parameters

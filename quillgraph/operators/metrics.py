@@ -67,6 +67,11 @@ def roc_auc(pairs: DataFrame) -> DataFrame:
     return ranked.agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
+def folded_auc(points: DataFrame) -> DataFrame:
+    """AUC of ``(score, same)`` whichever way the score points: 0.5 or more."""
+    return roc_auc(points).select((F.abs(F.col("auc") - 0.5) + 0.5).alias("auc"))
+
+
 def average_precision(pairs: DataFrame) -> DataFrame:
     """Sum of recall steps times precision, equal scores taken together."""
     g = _by_score(pairs)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 from .algebra import window_transition
+from .graph import block_matrix
 
 
 def node2vec_matrix(edges: DataFrame, length: int) -> DataFrame:
@@ -18,6 +19,36 @@ def node2vec_matrix(edges: DataFrame, length: int) -> DataFrame:
     return joined.select("src", "dst", (F.ln("w") - F.ln(F.col("d") / F.col("m"))).alias("w"))
 
 
+def floored_matrix(edges: DataFrame, length: int, floor: float = 1e-12) -> DataFrame:
+    """ln of the mean of P^t, at least ``floor``, less ln pi, on reachable pairs; on others it is ln floor - ln pi(dst)."""
+    p = window_transition(edges, length)
+    d = edges.groupBy(F.col("src").alias("dst")).agg(F.sum("w").alias("d"))
+    m = edges.agg(F.sum("w").alias("m"))
+    return p.join(d, "dst").crossJoin(F.broadcast(m)).select("src", "dst", (F.ln(F.greatest("w", F.lit(floor))) - F.ln(F.col("d") / F.col("m"))).alias("w"))
+
+
+def pair_moments(spark: SparkSession, cin: float, cout: float, size: int, steps: int) -> DataFrame:
+    """Two planted groups of ``size`` nodes: expected mean-of-powers entry within and between them and variance bounds, one row.
+
+    The group transition matrix has eigenvalues 1 and (cin - cout) / (cin + cout), so its powers have a closed form.
+    """
+    n, degree = 2 * size, (cin + cout) / 2
+    t = spark.range(1, steps + 1).select(F.pow(F.lit((cin - cout) / (cin + cout)), F.col("id").cast("double")).alias("lam"), F.pow(F.lit(degree), F.col("id").cast("double")).alias("scale"))
+    within, between = 1.0 + F.col("lam"), 1.0 - F.col("lam")
+    spread = lambda x: F.sum(x / F.col("scale")) / (n * steps * steps)
+    return t.agg((F.avg(within) / n).alias("p_within"), (F.avg(between) / n).alias("p_between"), spread(within).alias("var_within"), spread(between).alias("var_between"))
+
+
+def cut_condition(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Normalised-cut condition: smallest share ``within`` a group, largest ``between_`` (over the target's strength), ``holds``."""
+    b = block_matrix(edges, nodes)
+    strength = b.groupBy(F.col("g_src").alias("g_dst")).agg(F.sum("w").alias("s"))
+    share = F.col("w") / F.col("s")
+    inside = F.col("g_src") == F.col("g_dst")
+    out = b.join(strength, "g_dst").agg(F.min(F.when(inside, share)).alias("within"), F.max(F.when(~inside, share)).alias("between_"))
+    return out.withColumn("holds", F.col("within") > F.col("between_"))
+
+
 def limit_matrix(edges: DataFrame, length: int) -> DataFrame:
     """2m (mean of P^t) D^-1 - 1 on reachable pairs."""
     p = window_transition(edges, length)

@@ -874,6 +874,28 @@ def e1_node2vec(s: SparkSession, d: str) -> DataFrame:
     return Node2Vec(walk_length=20, num_walks=5, window_length=5).fit(generators.ring_of_cliques(s, 50, 10)).transform(8)
 
 
+def _walk_model(**options: object) -> Query:
+    def f(s: SparkSession, d: str) -> DataFrame:
+        from .operators.embeddings import Node2Vec
+
+        return Node2Vec(walk_length=20, **options).fit(generators.ring_of_cliques(s, 50, 10)).transform(8)
+
+    return f
+
+
+query(None, "e2_deepwalk")(_walk_model(num_walks=15, window_length=5))
+query(None, "e3_line")(_walk_model(num_walks=30, window_length=1))
+query(None, "e4_depthfirst")(_walk_model(num_walks=5, window_length=5, p=100.0))
+query(None, "e5_nonbacktracking_walks")(_walk_model(num_walks=5, window_length=5, backtrack=False))
+
+
+@query()
+def e9_modspec2(s: SparkSession, d: str) -> DataFrame:
+    from .operators.embeddings import DeflatedModularity
+
+    return DeflatedModularity().fit(tables.trade_top(s, d)).transform(4)
+
+
 def _sampled(loss: str) -> Query:
     def f(s: SparkSession, d: str) -> DataFrame:
         from .operators.embeddings import SampledEmbedding

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prng
 from ..plans.lineage import checkpoint
-from .algebra import leading_eigenpairs, multiply_block, rotate
+from .algebra import gram, leading_eigenpairs, multiply_block, rotate
 from .graph import nodes_of, row_probability, symmetric_normalized
 from .walks import biased_walks, context_pairs, uniform_walks
 
@@ -148,8 +148,6 @@ class HighOrderModularity(NodeEmbedding):
             dots = x.join(pi, "node_id").agg(*(F.sum(F.col("pi") * F.col("vec")[i]).alias(f"c{i}") for i in range(d)))
             return mean.join(pi, "node_id").crossJoin(F.broadcast(dots)).select("node_id", F.array(*(F.col("pi") * (F.col("vec")[i] - F.col(f"c{i}")) for i in range(d))).alias("vec"))
 
-        from .algebra import gram
-
         x = checkpoint(nodes_of(self.edges).select("node_id", F.array(*(prng.uniform(7, F.col("node_id"), F.lit(k)) - 0.5 for k in range(d))).alias("vec")))
         for _ in range(8):
             y = checkpoint(apply(x))
@@ -161,6 +159,41 @@ class HighOrderModularity(NodeEmbedding):
         self.in_vec = checkpoint(_scaled(self.out_vec, s[order]))
 
 
+class DeflatedModularity(NodeEmbedding):
+    """Eigenpairs of A/2m - d d^T/(2m)^2, largest by magnitude first; in = u sqrt|s|, out = u.
+
+    One block of ``dim`` and a few more vectors is iterated together; the
+    rank-one part is a sum over nodes, so nothing N x N is built.
+    """
+
+    def __init__(self, steps: int = 20, more: int = 4) -> None:
+        super().__init__()
+        self.steps, self.more = steps, more
+
+    def update(self, dim: int) -> None:
+        k = dim + self.more
+        m = float(self.edges.agg(F.sum("w")).first()[0] or 1.0)
+        share = checkpoint(self.edges.groupBy(F.col("src").alias("node_id")).agg((F.sum("w") / m).alias("share")))
+
+        def apply(x: DataFrame) -> DataFrame:
+            dots = x.join(share, "node_id").agg(*(F.sum(F.col("share") * F.col("vec")[i]).alias(f"c{i}") for i in range(k)))
+            ax = multiply_block(self.edges, x, k).join(share, "node_id").crossJoin(F.broadcast(dots))  # one row of sums
+            return ax.select("node_id", F.array(*(F.col("vec")[i] / m - F.col("share") * F.col(f"c{i}") for i in range(k))).alias("vec"))
+
+        x = checkpoint(nodes_of(self.edges).select("node_id", F.array(*(prng.uniform(11, F.col("node_id"), F.lit(i)) - 0.5 for i in range(k))).alias("vec")))
+        for _ in range(self.steps):
+            y = checkpoint(apply(x))
+            values, vectors = np.linalg.eigh(gram(y, k))
+            x = rotate(y, np.where(values > values[-1] * 1e-14, 1.0, 0.0) * vectors / np.sqrt(np.maximum(values, 1e-300)))
+        x = checkpoint(x)
+        g = gram(x, k, apply(x))
+        s, v = np.linalg.eigh((g + g.T) / 2)
+        order = np.argsort(-np.abs(s))[:dim]
+        self.values = s[order]
+        self.out_vec = checkpoint(rotate(x, v[:, order]))
+        self.in_vec = checkpoint(_scaled(self.out_vec, np.sqrt(np.abs(self.values))))
+
+
 class NonBacktracking(NodeEmbedding):
     """Real leading eigenvectors of the companion matrix of non-backtracking walks, lower half, column-normalised, sqrt|s|."""
 
@@ -309,6 +342,7 @@ PRESETS = {
     "leigenmap": LaplacianEigenMap,
     "adjspec": AdjacencySpectral,
     "modspec": ModularitySpectral,
+    "modspec2": DeflatedModularity,
     "highorder-modspec": HighOrderModularity,
     "linearized-node2vec": LinearizedNode2Vec,
     "nonbacktracking": NonBacktracking,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,9 +17,20 @@ def windowed_edges(events: DataFrame, time: str, width: str, late: str) -> DataF
 
 
 def merge_sums(path: str, d: int):
-    """``foreachBatch`` function that adds (g, n, ls) sums of each micro-batch to the table at ``path``."""
+    """``foreachBatch`` function that keeps (g, n, ls) sums of each micro-batch under ``path``.
+
+    A batch that is run again after a failure replaces its own rows, so no
+    vector counts twice; :func:`read_sums` adds the batches up.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        batch.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.sum(F.col("vec")[i]) for i in range(d))).alias("ls")).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        sums = batch.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.sum(F.col("vec")[i]) for i in range(d))).alias("ls"))
+        sums.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return merge
+
+
+def read_sums(spark: SparkSession, path: str, d: int) -> DataFrame:
+    """``g, n, ls`` over all batches so far."""
+    parts = spark.read.parquet(path)
+    return parts.groupBy("g").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("ls")[i]) for i in range(d))).alias("ls"))

@@ -58,3 +58,52 @@ def test_ring_of_cliques_recovered(spark):
     v = PRESETS["leigenmap"]().fit(ring).transform(4).withColumn("label", F.floor(F.col("node_id") / 10))
     cells = metrics.contingency(clustering.voronoi(v, "label", 4), "label", "p")
     assert metrics.element_similarity(cells).first()["esim"] > 0.9
+
+
+def test_deflated_modularity_equals_dense_eigenvalues(spark):
+    import numpy as np
+
+    k = generators.karate(spark)
+    a = np.zeros((34, 34))
+    for r in k.collect():
+        a[r["src"], r["dst"]] = r["w"]
+    d, m = a.sum(1), a.sum()
+    want = np.linalg.eigvalsh(a / m - np.outer(d, d) / m**2)
+    model = PRESETS["modspec2"]().fit(k)
+    assert model.transform(2).count() == 34
+    assert np.allclose(model.values, want[np.argsort(-abs(want))][:2], atol=1e-4)
+
+
+def test_losses_on_a_small_table(spark):
+    import math
+
+    from quillgraph.operators import losses
+
+    pos = spark.createDataFrame([(0, 1, 2.0), (0, 2, -1.0), (1, 0, 0.0)], "center long, context long, score double")
+    neg = spark.createDataFrame([(0, 1, 5, 1.0), (0, 2, 5, -800.0), (1, 0, 5, 800.0), (1, 0, 6, 0.5)], "center long, context long, negative long, score double")
+    ls = lambda x: min(x, 0.0) - math.log1p(math.exp(-abs(x)))
+    o = [(ls(2.0) + ls(-1.0)) / 2, ls(0.0)]
+    n = [(ls(-1.0) + ls(800.0)) / 2, ls(-800.0) + ls(-0.5)]
+    assert abs(losses.negative_sampling(pos, neg).first()[0] + (o[0] + n[0] + o[1] + n[1]) / 2) < 1e-9
+    assert losses.negative_sampling(pos.limit(0), neg).first()[0] is None
+    assert abs(losses.modularity_triplet(pos, neg, pos, 6).first()[0] - ((-399.5 + 800.5) / 2 - 0.25 + 3 * 5 / 3)) < 1e-9
+
+
+def test_batch_run_twice_counts_once(spark, tmp_path):
+    from quillgraph.streaming.incremental import merge_sums, read_sums
+
+    merge, path = merge_sums(str(tmp_path / "sums"), 2), str(tmp_path / "sums")
+    first = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [5.0, 6.0])], "g long, vec array<double>")
+    for epoch in (0, 0, 1):
+        merge(first, epoch)
+    got = {r["g"]: (r["n"], list(r["ls"])) for r in read_sums(spark, path, 2).collect()}
+    assert got == {1: (4, [8.0, 12.0]), 2: (2, [10.0, 12.0])}
+
+
+def test_sinks_replace_what_was_there(spark, tmp_path):
+    from quillgraph.sources import tables
+
+    k = generators.karate(spark)
+    for _ in range(2):
+        tables.write_edges(k, str(tmp_path / "net"))
+    assert tables.read_edges(spark, str(tmp_path / "net")).count() == 156

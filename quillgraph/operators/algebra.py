@@ -118,6 +118,7 @@ def leading_eigenpairs(a: DataFrame, nodes: DataFrame, d: int, steps: int = 20,
     """
     from ..functions import prng
 
+    a = checkpoint(a)  # read in every step
     x = checkpoint(nodes.select("node_id", F.array(*(prng.uniform(seed, F.col("node_id"), F.lit(k)) - 0.5 for k in range(d))).alias("vec")))
     zero = F.array(*(F.lit(0.0) for _ in range(d)))
 

@@ -172,15 +172,16 @@ class DeflatedModularity(NodeEmbedding):
 
     def update(self, dim: int) -> None:
         k = dim + self.more
-        m = float(self.edges.agg(F.sum("w")).first()[0] or 1.0)
-        share = checkpoint(self.edges.groupBy(F.col("src").alias("node_id")).agg((F.sum("w") / m).alias("share")))
+        edges = checkpoint(self.edges)  # read in every step
+        m = float(edges.agg(F.sum("w")).first()[0] or 1.0)
+        share = checkpoint(edges.groupBy(F.col("src").alias("node_id")).agg((F.sum("w") / m).alias("share")))
 
         def apply(x: DataFrame) -> DataFrame:
             dots = x.join(share, "node_id").agg(*(F.sum(F.col("share") * F.col("vec")[i]).alias(f"c{i}") for i in range(k)))
-            ax = multiply_block(self.edges, x, k).join(share, "node_id").crossJoin(F.broadcast(dots))  # one row of sums
+            ax = multiply_block(edges, x, k).join(share, "node_id").crossJoin(F.broadcast(dots))  # one row of sums
             return ax.select("node_id", F.array(*(F.col("vec")[i] / m - F.col("share") * F.col(f"c{i}") for i in range(k))).alias("vec"))
 
-        x = checkpoint(nodes_of(self.edges).select("node_id", F.array(*(prng.uniform(11, F.col("node_id"), F.lit(i)) - 0.5 for i in range(k))).alias("vec")))
+        x = checkpoint(nodes_of(edges).select("node_id", F.array(*(prng.uniform(11, F.col("node_id"), F.lit(i)) - 0.5 for i in range(k))).alias("vec")))
         for _ in range(self.steps):
             y = checkpoint(apply(x))
             values, vectors = np.linalg.eigh(gram(y, k))

@@ -12,10 +12,10 @@ Bands of registers propose pairs of different texts, those whose sizes rule a
 link out are left aside, and the multiset overlap of the shingles decides.  Links make classes.  Copies of a text count as
 one node.  In a band with many texts all are compared with the first of them;
 where several classes are left in such a band, their texts that also agree in
-one of the next bands are compared in the same way, and then texts drawn into
-small lots, anew in every turn, until hardly any pair of
-a turn is a link.  Every step is
-linear in the number of rows: no band is expanded into all its pairs.
+one of the next bands are compared in the same way.  What is left after that
+has an exact way: a join on the rarest shingles of each text, with the places
+and sizes that a link demands, proposes every pair of different classes that
+can be a link.  No band is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -38,10 +38,6 @@ BANDS, ROWS = 24, 4
 SMALL_BAND = 12
 #: A larger one is divided by each of so many bands that follow it.
 CLOSE_BANDS = 3
-#: Then lots of so many texts are drawn and compared, in at most so many turns.
-LOT, TURNS = 8, 3
-#: The turns end when fewer than one in so many pairs is a link.
-FEW_LINKS = 1000
 #: Texts worked on at once; one longer text makes a batch of its own.
 ROWS_PER_BATCH, BYTES_PER_BATCH = 512, 1 << 20
 
@@ -245,16 +241,63 @@ def _by_next_bands(left: DataFrame, bands: int, small: int, threshold: float) ->
     return star.unionByName(every)
 
 
-def _by_lot(left: DataFrame, turn: int, threshold: float) -> DataFrame:
-    """Pairs of different classes in lots of about eight texts of one band, drawn anew in each turn."""
-    lot = F.pmod(F.xxhash64("_node", "_band", F.lit(turn)), F.greatest(F.floor(F.col("_n") / LOT), F.lit(1)))
-    by = ["_band", "_key", "_lot"]
-    drawn = left.withColumn("_lot", lot).select(*by, "_node", "_label", "_bands", "_size")
-    a = drawn.select(*by, F.col("_node").alias("a"), F.col("_label").alias("_la"), F.col("_bands").alias("_ba"), F.col("_size").alias("_sa"))
-    b = drawn.select(*by, F.col("_node").alias("b"), F.col("_label").alias("_lb"), F.col("_bands").alias("_bb"), F.col("_size").alias("_sb"))
-    same = (a["_band"] == b["_band"]) & (a["_key"] == b["_key"]) & (a["_lot"] == b["_lot"])
-    likely = F.size(F.array_intersect("_ba", "_bb")) >= 3  # at the threshold ten bands agree on average
-    return a.join(b, same & (F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")) & _can_link("_sa", "_sb", threshold) & likely).select("a", "b")
+def _multisets(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """``_node, _label, _digest, _total, _shingles, _weights`` of the texts in ``left``; equal multisets have one digest."""
+    import xxhash
+
+    schema = "_node binary, _label binary, _digest binary, _total long, _shingles array<long>, _weights array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_size(whole, (2,), ROWS_PER_BATCH, BYTES_PER_BATCH):
+                n = batch.num_rows
+                owner, shingle, weight = shingles(batch.column(2))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
+                shingle, weight = shingle.view(np.int64), weight.astype(np.int64)
+                digest = [xxhash.xxh3_128_digest(shingle[i:j].tobytes() + weight[i:j].tobytes()) for i, j in zip(ends, ends[1:], strict=False)]
+                total = np.bincount(owner, weights=weight, minlength=n).astype(np.int64)
+                values = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (shingle, weight)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.binary()), pa.array(total), *values], schema=pa_schema)
+
+    pa_schema = pa.schema([("_node", pa.binary()), ("_label", pa.binary()), ("_digest", pa.binary()), ("_total", pa.int64()), ("_shingles", pa.list_(pa.int64())), ("_weights", pa.list_(pa.int64()))])
+    wanted = left.select("_node", "_label").distinct()
+    return wanted.join(texts, "_node").select("_node", "_label", "_text").mapInArrow(run, schema)
+
+
+def _remainder(left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of different classes in ``left`` that can be links, whatever the size of their bands.
+
+    Shingles are ordered from rare to frequent.  Two multisets of sizes s and
+    t that overlap in c = threshold / (1 + threshold) * (s + t) or more have a
+    first common shingle; at least c members of either follow from its first
+    place on, so that place is at most s - c in one and t - c in the other.
+    Only shingles so near the front are joined.  Texts of one multiset are
+    alike; the first stands for them.
+    """
+    from pyspark.sql import Window
+
+    sets = materialize(_multisets(left, texts), "multisets")
+    firsts = sets.groupBy("_digest").agg(F.min("_node").alias("_first"), F.min_by("_label", "_node").alias("_first_label"))
+    marked = sets.join(firsts, "_digest")
+    alike = marked.filter("_label <> _first_label").select(F.col("_first").alias("a"), F.col("_node").alias("b"))
+    single = marked.filter("_node = _first AND _total > 0")
+    members = single.select("_node", "_label", "_total", F.explode(F.arrays_zip("_shingles", "_weights")).alias("_x")).select("_node", "_label", "_total", F.col("_x._shingles").alias("_shingle"), F.col("_x._weights").alias("_weight"))
+    members = materialize(members, "members")
+    often = members.groupBy("_shingle").agg(F.count(F.lit(1)).alias("_often")).filter("_often > 1")
+    ordered = Window.partitionBy("_node").orderBy("_often", "_shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = members.join(often, "_shingle", "left").withColumn("_often", F.coalesce("_often", F.lit(1)))
+    placed = placed.withColumn("_at", F.sum("_weight").over(ordered) - F.col("_weight"))
+    share = threshold / (1 + threshold) - 1e-9
+    # The larger of two sets has at most 1 / threshold times the members of the smaller: c is at least threshold times its size.
+    front = placed.filter((F.col("_often") > 1) & (F.col("_at") <= F.col("_total") * F.lit(1 - threshold + 1e-9)))
+    front = materialize(front.select("_shingle", "_node", "_label", "_total", "_at"), "front")
+    of = lambda side: front.select("_shingle", F.col("_node").alias(side), F.col("_label").alias(f"_l{side}"), F.col("_total").alias(f"_s{side}"), F.col("_at").alias(f"_p{side}"))
+    shorter = of("a").filter(F.col("_pa") <= F.col("_sa") * F.lit(1 - 2 * share))
+    common = (F.col("_sa") + F.col("_sb")) * F.lit(share)
+    order = (F.col("_sa") < F.col("_sb")) | ((F.col("_sa") == F.col("_sb")) & (F.col("a") < F.col("b")))
+    able = order & (F.col("_la") != F.col("_lb")) & _can_link("_sa", "_sb", threshold) & (F.col("_pa") <= F.col("_sa") - common) & (F.col("_pb") <= F.col("_sb") - common)
+    pairs = shorter.join(of("b"), "_shingle").filter(able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.unionByName(alike)
 
 
 def near_duplicates(
@@ -277,7 +320,7 @@ def near_duplicates(
     few = members.filter(F.col("_n").between(3, small)).select("_band", "_key", F.col("_node").alias("b"), F.col("_size").alias("_sb"))
     every = few.withColumnsRenamed({"b": "a", "_sb": "_sa"}).join(few, ["_band", "_key"]).filter("a < b").filter(_can_link("_sa", "_sb", threshold)).select("a", "b")
     pairs = materialize(star.unionByName(every).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
+    wanted = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).unionByName(members.filter(F.col("_n") > small).select("_node")).distinct()
     wanted = materialize(wanted.join(nodes.select("_node", "_rep"), "_node"), "wanted")
     source = docs.select(F.col(key).cast("long").alias("_id"), node(text).alias("_of"), text_or_empty(text).alias("_text"))
     # The same plan at every size: texts are dealt out by their digest.
@@ -287,20 +330,16 @@ def near_duplicates(
     labels = components(links)
     # What is left in large bands: texts of different classes.
     large = materialize(members.filter(F.col("_n") > small).select("_node", "_size", "_band", "_key", "_n").join(nodes.select("_node", "_bands"), "_node"), "large-bands")
-    for turn in range(TURNS + 1):
+    for step in (lambda left: _by_next_bands(left, bands, small, threshold), lambda left: _remainder(left, texts, threshold)):
         labelled = large.join(labels, "_node", "left").withColumn("_label", F.coalesce("_label", "_node"))
         mixed = labelled.groupBy("_band", "_key").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).filter("_low < _high").select("_band", "_key")
         left = materialize(labelled.join(mixed, ["_band", "_key"]), "mixed-bands")
-        more = _by_next_bands(left, bands, small, threshold) if turn == 0 else _by_lot(left, turn, threshold)
-        more = materialize(more.distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        more = materialize(step(left).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         if more.isEmpty():
-            break
+            continue
         found = materialize(_links(more, texts, threshold), "more-links")
-        n_found = found.count()
         pairs = materialize(pairs.unionByName(more), "pairs")
         labels = _merged(labels, found)
-        if turn and n_found * FEW_LINKS < more.count():
-            break
     named = signed.select("_id", "_node").join(labels, "_node", "left").select("_id", "_node", F.coalesce("_label", "_node").alias("_label"))
     named = materialize(named, "named")
     smallest = materialize(named.groupBy("_label").agg(F.min("_id").alias("class_id")), "classes")

@@ -202,6 +202,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash.keep_one(odd(spark)).count() == 5
 
 
+def test_near_duplicates_lose_no_link_in_large_bands(spark):
+    """Texts of one template with 26 slots: nearly all pairs are below the threshold, a few reach it by chance."""
+    n, words, slots = 700, 404, 26
+    choice = np.random.default_rng(7).integers(0, 3, (n, slots))
+    texts = []
+    for row in choice:
+        w = [f"w{i}" for i in range(words)]
+        for k, c in enumerate(row):
+            w[6 + 15 * k] = f"slot{k}{c}"
+        texts.append(" ".join(w))
+    differ = slots - sum((choice == c).astype(float) @ (choice == c).T.astype(float) for c in range(3))
+    label = np.arange(n)  # a slot that differs changes five of the 400 shingles
+    linked = 400 - 5 * differ >= 0.8 * (400 + 5 * differ)
+    while (new := np.where(linked, label, n).min(axis=1)).tolist() != label.tolist():
+        label = new
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert len(set(label.tolist())) < n and sum(out[i] != label[i] for i in range(n)) == 0
+
+
 def test_signature_estimates_weighted_jaccard():
     a = ["x y z " * 30 + prose(1, 200)]
     b = ["x y z " * 15 + prose(1, 200)]

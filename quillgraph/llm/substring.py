@@ -1,12 +1,14 @@
 """Substring deduplication by sliding spans of sentences.
 
-A text is a sequence of sentences; a very long one is cut further after words
-chosen by their content, so the cuts fall alike wherever the words stand.  For
-every sentence the shortest run of several consecutive sentences that starts
-there and has at least ``min_words`` words is hashed.  The hashes are joined
-over all documents, and a sentence goes where any run that covers it repeats
-an earlier one: earlier in the same document, or in a document with a smaller
-``doc_id``.
+A text is a sequence of sentences, cut further by winnowing: in every window
+of eight words without the end of a sentence the word with the smallest hash
+ends a part.  A cut depends on at most seven words on either side, so it falls
+alike wherever the words stand, and any 50 words that two texts share have at
+least 21 words between two common cuts.  For every part the shortest run of
+several consecutive parts that starts there and has at least ``min_words``
+words is hashed.  The hashes meet over all documents, and a part goes where
+any run that covers it repeats an earlier one: earlier in the same document,
+or in a document with a smaller ``doc_id``.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_or_empty
+from .common import text_or_empty
 
-#: A run has at least so many sentences and words; longer sentences are cut.
+#: A run has at least so many parts and words.
 MIN_SENTENCES = 2
 MIN_WORDS = 15
-MAX_SENTENCE_WORDS = 24
+#: In so many consecutive words there is a cut.
+WINDOW = 8
 ROWS_PER_BATCH = 1024
 
 _END = re.compile(r"[.!?]+\s+|\n+")
@@ -33,33 +36,27 @@ _WORD = re.compile(r"\S+")
 # Odd constants of two polynomial hashes modulo 2^64, and their inverses.
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _INVERSE = tuple(pow(b, -1, 1 << 64) for b in _BASE)
-_CUT_AFTER = 12  # one word of so many ends a part of a long sentence
 
 
 def sentences(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, words) of the sentences; together they are the whole text."""
+    """(start, end, words) of the parts of sentences; together they are the whole text."""
     import xxhash
 
-    out = []
-    start = 0
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        if end == start:
-            continue
-        words = len(text[start:end].split())
-        if words > MAX_SENTENCE_WORDS:
-            n = 0
-            first = start
-            for m in _WORD.finditer(text, start, end):
-                n += 1
-                if xxhash.xxh32_intdigest(m.group()) % _CUT_AFTER == 0:
-                    out.append((first, m.end(), n))
-                    first, n = m.end(), 0
-            if first < end:
-                out.append((first, end, n))
-        else:
-            out.append((start, end, words))
-        start = end
-    return out
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts = np.array([a for a, _ in words], dtype=np.int64)
+    stops = np.array([m.end() for m in _END.finditer(text)], dtype=np.int64)
+    bounds = stops
+    if len(words) >= WINDOW:
+        hashes = np.array([xxhash.xxh32_intdigest(text[a:b]) for a, b in words], dtype=np.int64)
+        before = np.searchsorted(starts, stops)
+        hashes[before[before > 0] - 1] = -1  # the end of a sentence comes first
+        windows = np.lib.stride_tricks.sliding_window_view(hashes[::-1], WINDOW)
+        chosen = np.unique(len(words) - 1 - (np.arange(len(windows)) + windows.argmin(axis=1)))  # the last of equal ones
+        chosen = chosen[(hashes[chosen] >= 0) & (chosen < len(words) - 1)]
+        bounds = np.union1d(stops, np.array([b for _, b in words], dtype=np.int64)[chosen])
+    bounds = np.unique(np.concatenate([[0], bounds, [len(text)]]))
+    count = np.diff(np.searchsorted(starts, bounds))
+    return list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), count.tolist(), strict=True))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -101,8 +98,12 @@ def runs(texts: list[str], min_words: int, min_sentences: int) -> tuple[np.ndarr
 
 
 def spans(docs: DataFrame, *, text: str, key: str, min_words: int, min_sentences: int) -> DataFrame:
-    """``_key, _text_hash, _at, _size, _hash, _hash2, _again``: all runs; ``_again`` if seen before in the same text."""
-    schema = "_key long, _text_hash long, _at int, _size int, _hash long, _hash2 long, _again boolean"
+    """``_key, _text_hash, _place, _hash, _hash2``: all runs.
+
+    ``_place`` is the first part times 2^32, plus twice the number of parts,
+    plus one if the run was seen before in the same text.
+    """
+    schema = "_key long, _text_hash long, _place long, _hash long, _hash2 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -115,9 +116,10 @@ def spans(docs: DataFrame, *, text: str, key: str, min_words: int, min_sentences
                     a, b = order[1:], order[:-1]
                     same[a] = (owner[a] == owner[b]) & (h[a] == h[b]) & (h2[a] == h2[b])
                 rows = pa.array(owner, pa.int64())
+                place = (at.astype(np.int64) << 32) | (size.astype(np.int64) << 1) | same
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(h), pa.array(h2), pa.array(same)],
-                    names=["_key", "_text_hash", "_at", "_size", "_hash", "_hash2", "_again"],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place, pa.int64()), pa.array(h), pa.array(h2)],
+                    names=["_key", "_text_hash", "_place", "_hash", "_hash2"],
                 )
 
     return docs.select(F.col(key).cast("long").alias("_key"), F.xxhash64(text_or_empty(text)).alias("_text_hash"), text_or_empty(text).alias("_text")).mapInArrow(run, schema)
@@ -127,16 +129,17 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     """Runs that repeat an earlier one: ``_key, _text_hash, _at, _size``.
 
     The first place of a run is the first one in the document with the
-    smallest key.  A run that a third of all documents share is counted by
-    partial sums; its join has one row on the other side, so Spark can split it.
+    smallest key.  The runs are dealt out once; those of one hash are buffered
+    by the window, which spills them to disk where many documents share one.
     """
-    found = materialize(spans(docs, text=text, key=key, min_words=min_words, min_sentences=min_sentences), "spans")
-    once = found.filter("NOT _again")
+    from pyspark.sql import Window
+
+    found = spans(docs, text=text, key=key, min_words=min_words, min_sentences=min_sentences)
     low = F.coalesce("_key", F.lit(-(1 << 63)))  # null is the smallest key
-    shared = once.groupBy("_hash", "_hash2").agg(F.min(low).alias("_first"), F.max(low).alias("_last")).filter("_first < _last").select("_hash", "_hash2", "_first")
-    shared = materialize(shared, "shared-spans")
-    across = once.select("_key", "_text_hash", "_at", "_size", "_hash", "_hash2").join(shared, ["_hash", "_hash2"]).filter(low > F.col("_first"))
-    return across.select("_key", "_text_hash", "_at", "_size").unionByName(found.filter("_again").select("_key", "_text_hash", "_at", "_size"))
+    first = F.min(low).over(Window.partitionBy("_hash", "_hash2"))
+    again = found.withColumn("_first", first).filter((low > F.col("_first")) | (F.col("_place") % 2 == 1))
+    at = F.shiftright("_place", 32).cast("int").alias("_at")
+    return again.select("_key", "_text_hash", at, F.shiftright(F.col("_place").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias("_size"))
 
 
 def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> DataFrame:

@@ -101,6 +101,26 @@ def test_substring_removes_later_passages(spark):
     assert substring.remove_repeats(odd(spark)).count() == odd(spark).count()
 
 
+def test_substring_removes_passages_in_mid_sentence(spark):
+    """50 words without punctuation between words of the document's own; of some the words are all alike."""
+    rows, passage = [], {}
+    for p in range(40):
+        shared = ["same"] * 50 if p == 0 else [f"p{p}x{random.Random(p * 100 + i).randrange(10**6)}" for i in range(50)]
+        for copy in range(2):
+            own = [f"own{p}c{copy}n{i}" for i in range(160)]
+            passage[2 * p + copy] = (shared, own)
+            rows.append((2 * p + copy, " ".join(own[: 70 + 11 * copy] + shared + own[70 + 11 * copy :])))
+    out = {r.doc_id: r.text.split() for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = {}
+    for i, (shared, own) in passage.items():
+        kept = set(out[i])
+        assert i % 2 or i == 0 or kept == set(shared) | set(own)
+        left[i] = sum(w in set(shared) for w in out[i])
+        assert len(set(own) & kept) == 160
+    later = [left[i] for i in left if i % 2]
+    assert max(later) <= 29 and sum(later) < 0.3 * 50 * len(later)
+
+
 def test_sentences_cover_the_text():
     for seed in range(20):
         text = prose(seed, 300)

@@ -939,7 +939,7 @@ def c7_louvain_vectors(s: SparkSession, d: str) -> DataFrame:
 def c10_lda(s: SparkSession, d: str) -> DataFrame:
     from .operators.detectors import linear_discriminant
 
-    return linear_discriminant(tables.vectors(s, d).select("node_id", "label", F.slice("vec", 1, 8).alias("vec")), 8)
+    return linear_discriminant(tables.vectors(s, d).select("node_id", "label", "vec"), D)
 
 
 @query()

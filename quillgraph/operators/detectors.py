@@ -78,17 +78,18 @@ def belief_propagation(edges: DataFrame, truth: DataFrame, q: int, cin: float, c
 
 def linear_discriminant(vectors: DataFrame, d: int) -> DataFrame:
     """LDA fitted and applied to ``(node_id, vec, label)``: pooled covariance by sums, a d x d solve on the driver."""
-    sums = [F.sum(F.col("vec")[i]).alias(f"s{i}") for i in range(d)]
-    products = [F.sum(F.col("vec")[i] * F.col("vec")[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(d)]
-    rows = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *sums, *products).orderBy("label").collect()  # one row for each class
-    n = np.array([r["n"] for r in rows], float)
-    means = np.array([[r[f"s{i}"] for i in range(d)] for r in rows]) / n[:, None]
-    scatter = sum(np.array([[r[f"p{i}_{j}"] for j in range(d)] for i in range(d)]) - r["n"] * np.outer(m, m) for r, m in zip(rows, means, strict=True))
-    inverse = np.linalg.pinv(scatter / max(1.0, n.sum() - len(rows)))
+    products = F.array(*(F.sum(F.col("vec")[j] * F.col("x")) for j in range(d)))
+    long = vectors.select("label", "vec", F.posexplode(F.slice("vec", 1, d)).alias("i", "x"))
+    rows = long.groupBy("label", "i").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), products.alias("p")).orderBy("label", "i").collect()  # d for each class
+    classes = [rows[k : k + d] for k in range(0, len(rows), d)]
+    n = np.array([c[0]["n"] for c in classes], float)
+    means = np.array([[r["s"] for r in c] for c in classes]) / n[:, None]
+    scatter = sum(np.array([r["p"] for r in c]) - c[0]["n"] * np.outer(m, m) for c, m in zip(classes, means, strict=True))
+    inverse = np.linalg.pinv(scatter / max(1.0, n.sum() - len(classes)))
     weights = means @ inverse
     bias = -0.5 * np.einsum("kd,kd->k", weights, means) + np.log(n / n.sum())
-    scores = [sum((F.col("vec")[i] * float(weights[k, i]) for i in range(d)), F.lit(float(bias[k]))) for k in range(len(rows))]
-    labels = F.array(*(F.lit(r["label"]) for r in rows))
+    scores = [sum((F.col("vec")[i] * float(weights[k, i]) for i in range(d)), F.lit(float(bias[k]))) for k in range(len(classes))]
+    labels = F.array(*(F.lit(c[0]["label"]) for c in classes))
     values = F.array(*scores)
     return vectors.select("node_id", "label", F.element_at(labels, F.array_position(values, F.array_max(values)).cast("int")).alias("p"))
 

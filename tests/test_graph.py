@@ -107,3 +107,21 @@ def test_sinks_replace_what_was_there(spark, tmp_path):
     for _ in range(2):
         tables.write_edges(k, str(tmp_path / "net"))
     assert tables.read_edges(spark, str(tmp_path / "net")).count() == 156
+
+
+def test_discriminant_uses_whole_vectors(spark):
+    import numpy as np
+
+    from quillgraph import catalogue
+    from quillgraph.sources import tables
+
+    d = "/root/testdata/sf0.001"
+    rows = tables.vectors(spark, d).collect()
+    x, y = np.array([r["vec"] for r in rows], float), np.array([r["label"] for r in rows])
+    classes = np.unique(y)
+    means = np.array([x[y == c].mean(axis=0) for c in classes])
+    centered = x - means[np.searchsorted(classes, y)]
+    weights = means @ np.linalg.pinv(centered.T @ centered / (len(x) - len(classes)))
+    scores = x @ weights.T - 0.5 * (weights * means).sum(axis=1) + np.log([(y == c).mean() for c in classes])
+    want = {r["node_id"]: int(classes[k]) for r, k in zip(rows, scores.argmax(axis=1), strict=True)}
+    assert x.shape[1] == 64 and {r["node_id"]: r["p"] for r in catalogue.QUERIES["c10_lda"](spark, d).collect()} == want

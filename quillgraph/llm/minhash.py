@@ -8,14 +8,15 @@ reaches, and a register keeps the earliest of the points that fall to it.
 Only points before a text's time limit are generated, about
 ``m (ln m + 5)`` of them whatever its length.
 
-Bands of registers propose pairs of different texts, those whose sizes rule a
-link out are left aside, and the multiset overlap of the shingles decides.  Links make classes.  Copies of a text count as
-one node.  In a band with many texts all are compared with the first of them;
-where several classes are left in such a band, their texts that also agree in
-one of the next bands are compared in the same way.  What is left after that
-has an exact way: a join on the rarest shingles of each text, with the places
-and sizes that a link demands, proposes every pair of different classes that
-can be a link.  No band is expanded into all its pairs.
+Bands of registers propose pairs of different texts and the multiset overlap of
+the shingles decides; copies of a text count as one node.  First every text of
+a band is compared with the first of its band, and links make classes.  Where a
+band still holds several classes, all its texts of different classes are
+compared: the band is cut into blocks, a task takes two blocks at a time,
+computes their overlaps as matrix products, and returns only which classes they
+join.  So no pair of texts in a common band is left out, however large the
+band, and no band is expanded into its pairs.  Two texts of similarity 0.8 have
+a common band with probability 1 - (1 - 0.8^4)^24 = 0.999997.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_size, materialize, text_or_empty
@@ -34,10 +35,10 @@ from .common import by_size, materialize, text_or_empty
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
-#: A band with at most so many texts is compared pair by pair; the number of pairs is bounded by it.
-SMALL_BAND = 12
-#: A larger one is divided by each of so many bands that follow it.
-CLOSE_BANDS = 3
+#: Texts and shingles of a block; a longer text is a block with others by chance.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Members of at most so many multisets are counted pair by pair; cells of one dense slice for the others.
+RARE_MEMBER, DENSE_CELLS = 16, 1 << 22
 #: Texts worked on at once; one longer text makes a batch of its own.
 ROWS_PER_BATCH, BYTES_PER_BATCH = 512, 1 << 20
 
@@ -193,6 +194,164 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return _verify(pairs.join(ta, "a").join(tb, "b"), threshold)
 
 
+# ------------------------------------------------------- comparison of blocks
+
+
+def common_weights(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """``n`` x ``n`` matrix of multiset intersections.
+
+    A shingle of weight w counts as w members (shingle, 1) ... (shingle, w), so
+    intersections are scalar products of 0/1 rows.  Members that few of the
+    texts have are added pair by pair, the others by matrix products over
+    slices of columns; sums stay below 2^24, where single precision is exact.
+    """
+    level = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+    owner, key = np.repeat(owner, weight), np.repeat(shingle, weight)
+    key = np.where(level > 0, _mix(key ^ _mix(level.astype(np.uint64) * _GOLDEN)), key)
+    order = np.argsort(key, kind="stable")
+    owner, key = owner[order], key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    often = np.diff(np.append(starts, len(key)))
+    out = np.zeros((n, n), dtype=np.float64)
+    frequency = np.repeat(often, often)
+    rare = frequency <= RARE_MEMBER
+    few, name = owner[rare], np.repeat(np.arange(len(often)), often)[rare]
+    for step in range(1, RARE_MEMBER):
+        same = np.flatnonzero(name[step:] == name[:-step]) if len(name) > step else name[:0]
+        if not len(same):
+            break
+        a, b = few[same], few[same + step]
+        out += np.bincount(np.minimum(a, b) * n + np.maximum(a, b), minlength=n * n).reshape(n, n)
+    out += out.T
+    many, column = owner[~rare], np.repeat(np.cumsum(often > RARE_MEMBER) - 1, often)[~rare]
+    width = max(1, DENSE_CELLS // max(n, 1))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        at, end = np.searchsorted(column, (first, first + width))
+        rows = np.zeros((n, min(width, int(column[-1]) + 1 - first)), dtype=np.float32)
+        rows[many[at:end], column[at:end] - first] = 1
+        out += rows @ rows.T
+    return out
+
+
+def joined_classes(texts: pa.Array, classes: np.ndarray, threshold: float) -> np.ndarray:
+    """For each class 0..k-1 of the texts the smallest class that a chain of links joins to it."""
+    n, parts = len(texts), []
+    for first in range(0, n, ROWS_PER_BATCH):
+        owner, shingle, weight = shingles(texts.slice(first, ROWS_PER_BATCH))
+        parts.append((owner + first, shingle, weight))
+    owner, shingle, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    total = np.bincount(owner, weights=weight, minlength=n)
+    common = common_weights(owner, shingle, weight, n)
+    union = total[:, None] + total[None, :] - common
+    linked = np.where(union > 0, common / np.maximum(union, 1), 1.0) >= threshold
+    i, j = np.nonzero(linked & (classes[:, None] < classes[None, :]))
+    a, b = np.unique(np.stack([classes[i], classes[j]]), axis=1) if len(i) else (i, j)
+    label = np.arange(int(classes.max()) + 1)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new[label]]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _by_blocks(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` between classes of the texts in each group of ``mixed`` (``_group, _lo, _hi, _node, _label``).
+
+    Every task holds two blocks of one group at a time.  What it returns are
+    the joins of classes, fewer than there are texts in the blocks, and never
+    the pairs.
+    """
+
+    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        block = pa.Table.from_batches(rows).combine_chunks()
+        names, classes = np.unique(np.array(block["_label"].to_pylist(), dtype=object), return_inverse=True)
+        label = joined_classes(pa.concat_arrays(block["_text"].chunks), classes, threshold)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(names[label[moved]].tolist(), pa.binary()), pa.array(names[moved].tolist(), pa.binary())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(k)) for k in range(3)], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for first, end in zip(edges, edges[1:], strict=False):
+                key = tuple(keys[first].tolist())
+                if held and key != last:
+                    yield solve(held)
+                    held = []
+                held.append(batch.slice(first, end - first).select(["_label", "_text"]))
+                last = key
+        if held:
+            yield solve(held)
+
+    by = ["_group", "_lo", "_hi"]
+    rows = mixed.select(*by, "_node", "_label").join(texts, "_node").select(*by, "_label", "_text")
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a binary, b binary")
+
+
+def _mixed_groups(members: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """``_group, _lo, _hi, _node, _label``: groups of ``members`` with several classes, cut into pairs of blocks.
+
+    Groups with the same texts are one.  The largest class of a group is its
+    bulk: pairs inside it are not needed, so its blocks meet only those of the
+    other texts.  A group that fits into one block stays whole.
+    """
+    labelled = members.join(labels, "_node", "left").select("_band", "_key", "_node", "_size", F.coalesce("_label", "_node").alias("_label"))
+    labelled = materialize(labelled, "labelled")
+    # Two sums name the set of texts.
+    per_class = labelled.groupBy("_band", "_key", "_label").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_s"), F.min("_size").alias("_least"), F.max("_size").alias("_most"), *(F.sum(F.xxhash64("_node", F.lit(k)).cast("decimal(38,0)")).alias(f"_sum{k}") for k in (1, 2))
+    )
+    groups = (
+        per_class.groupBy("_band", "_key")
+        .agg(
+            F.sum("_n").alias("_all"),
+            F.sum("_s").alias("_all_s"),
+            F.max_by("_label", F.struct("_n", "_label")).alias("_bulk"),
+            F.max("_n").alias("_bulk_n"),
+            F.max_by("_s", F.struct("_n", "_label")).alias("_bulk_s"),
+            F.count(F.lit(1)).alias("_classes"),
+            F.min("_least").alias("_least"),
+            F.max("_most").alias("_most"),
+            F.sum("_sum1").alias("_sum1"),
+            F.sum("_sum2").alias("_sum2"),
+        )
+        .filter("_classes > 1")
+        .filter((F.col("_all") > 2) | _can_link("_least", "_most", threshold))
+        .withColumn("_group", F.xxhash64("_all", "_sum1", "_sum2"))
+    )
+    need = lambda n, s: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    whole = need(F.col("_all"), F.col("_all_s")) == 1
+    one = groups.groupBy("_group", "_all", "_sum1", "_sum2").agg(F.min(F.struct("_band", "_key", "_bulk", "_bulk_n", "_bulk_s", "_all_s")).alias("_g"))
+    one = one.select("_group", "_all", "_g.*").select(
+        "_group",
+        "_band",
+        "_key",
+        "_bulk",
+        F.when(whole, 0).otherwise(need(F.col("_bulk_n"), F.col("_bulk_s"))).alias("_bulk_blocks"),
+        F.when(whole, 1).otherwise(need(F.col("_all") - F.col("_bulk_n"), F.col("_all_s") - F.col("_bulk_s"))).alias("_other_blocks"),
+    )
+    inside = labelled.join(one, ["_band", "_key"])
+    is_bulk = (F.col("_bulk_blocks") > 0) & (F.col("_label") == F.col("_bulk"))
+    inside = inside.withColumn("_is_bulk", is_bulk).withColumn(
+        "_block", F.when(is_bulk, F.pmod(F.xxhash64("_node", F.lit(3)), F.col("_bulk_blocks"))).otherwise(F.col("_bulk_blocks") + F.pmod(F.xxhash64("_node", F.lit(3)), F.col("_other_blocks"))).cast("int")
+    )
+    meets = F.expr("explode(CASE WHEN _is_bulk THEN sequence(_bulk_blocks, _bulk_blocks + _other_blocks - 1) ELSE sequence(0, _bulk_blocks + _other_blocks - 1) END)")
+    met = inside.select("_group", "_node", "_label", "_block", meets.alias("_with"))
+    return met.select("_group", F.least("_block", "_with").alias("_lo"), F.greatest("_block", "_with").alias("_hi"), "_node", "_label")
+
+
+# ------------------------------------------------------------------- classes
+
+
 def components(links: DataFrame) -> DataFrame:
     """``_node, _label`` for all nodes with links: the smallest node of the component.
 
@@ -218,145 +377,55 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """Labels after more links: components of the classes, not of all texts again."""
-    of = lambda side: labels.select(F.col("_node").alias(side), F.col("_label").alias(f"_l{side}"))
-    between = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_la", "a").alias("a"), F.coalesce("_lb", "b").alias("b")).filter("a <> b").distinct()
-    classes = components(between)
-    moved = labels.join(classes.select(F.col("_node").alias("_label"), F.col("_label").alias("_new")), "_label", "left").select("_node", F.coalesce("_new", "_label").alias("_label"))
-    return materialize(moved.unionByName(classes.join(labels.select("_node"), "_node", "left_anti")), "labels")
-
-
-def _by_next_bands(left: DataFrame, bands: int, small: int, threshold: float) -> DataFrame:
-    """Pairs of different classes that agree in a band and in one of the next ones."""
-    close = F.array(*(F.struct(F.lit(k).alias("k"), F.element_at("_bands", ((F.col("_band") + k) % bands + 1).cast("int")).alias("key")) for k in range(1, CLOSE_BANDS + 1)))
-    finer = left.select("_node", "_label", "_size", "_band", "_key", F.explode(close).alias("_o")).select("_node", "_label", "_size", "_band", "_key", F.col("_o.k").alias("_k"), F.col("_o.key").alias("_key2"))
-    by = ["_band", "_key", "_k", "_key2"]
-    groups = finer.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_node").alias("_first"), F.min_by("_label", "_node").alias("_first_label"), F.min_by("_size", "_node").alias("_first_size"), F.min("_label").alias("_low"), F.max("_label").alias("_high")).filter("_low < _high")
-    finer = materialize(finer.join(groups.drop("_low", "_high"), by), "finer-bands")
-    star = finer.filter((F.col("_label") != F.col("_first_label")) & _can_link("_size", "_first_size", threshold)).select(F.col("_first").alias("a"), F.col("_node").alias("b"))
-    few = finer.filter(F.col("_n") <= small)
-    other = few.select(*by, F.col("_node").alias("b"), F.col("_label").alias("_lb"), F.col("_size").alias("_sb"))
-    every = few.select(*by, F.col("_node").alias("a"), F.col("_label").alias("_la"), F.col("_size").alias("_sa")).join(other, by).filter("a < b AND _la <> _lb").filter(_can_link("_sa", "_sb", threshold)).select("a", "b")
-    return star.unionByName(every)
-
-
-def _multisets(left: DataFrame, texts: DataFrame) -> DataFrame:
-    """``_node, _label, _digest, _total, _shingles, _weights`` of the texts in ``left``; equal multisets have one digest."""
-    import xxhash
-
-    schema = "_node binary, _label binary, _digest binary, _total long, _shingles array<long>, _weights array<long>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in by_size(whole, (2,), ROWS_PER_BATCH, BYTES_PER_BATCH):
-                n = batch.num_rows
-                owner, shingle, weight = shingles(batch.column(2))
-                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
-                shingle, weight = shingle.view(np.int64), weight.astype(np.int64)
-                digest = [xxhash.xxh3_128_digest(shingle[i:j].tobytes() + weight[i:j].tobytes()) for i, j in zip(ends, ends[1:], strict=False)]
-                total = np.bincount(owner, weights=weight, minlength=n).astype(np.int64)
-                values = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (shingle, weight)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.binary()), pa.array(total), *values], schema=pa_schema)
-
-    pa_schema = pa.schema([("_node", pa.binary()), ("_label", pa.binary()), ("_digest", pa.binary()), ("_total", pa.int64()), ("_shingles", pa.list_(pa.int64())), ("_weights", pa.list_(pa.int64()))])
-    wanted = left.select("_node", "_label").distinct()
-    return wanted.join(texts, "_node").select("_node", "_label", "_text").mapInArrow(run, schema)
-
-
-def _remainder(left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of different classes in ``left`` that can be links, whatever the size of their bands.
-
-    Shingles are ordered from rare to frequent.  Two multisets of sizes s and
-    t that overlap in c = threshold / (1 + threshold) * (s + t) or more have a
-    first common shingle; at least c members of either follow from its first
-    place on, so that place is at most s - c in one and t - c in the other.
-    Only shingles so near the front are joined.  Texts of one multiset are
-    alike; the first stands for them.
-    """
-    from pyspark.sql import Window
-
-    sets = materialize(_multisets(left, texts), "multisets")
-    firsts = sets.groupBy("_digest").agg(F.min("_node").alias("_first"), F.min_by("_label", "_node").alias("_first_label"))
-    marked = sets.join(firsts, "_digest")
-    alike = marked.filter("_label <> _first_label").select(F.col("_first").alias("a"), F.col("_node").alias("b"))
-    single = marked.filter("_node = _first AND _total > 0")
-    members = single.select("_node", "_label", "_total", F.explode(F.arrays_zip("_shingles", "_weights")).alias("_x")).select("_node", "_label", "_total", F.col("_x._shingles").alias("_shingle"), F.col("_x._weights").alias("_weight"))
-    members = materialize(members, "members")
-    often = members.groupBy("_shingle").agg(F.count(F.lit(1)).alias("_often")).filter("_often > 1")
-    ordered = Window.partitionBy("_node").orderBy("_often", "_shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = members.join(often, "_shingle", "left").withColumn("_often", F.coalesce("_often", F.lit(1)))
-    placed = placed.withColumn("_at", F.sum("_weight").over(ordered) - F.col("_weight"))
-    share = threshold / (1 + threshold) - 1e-9
-    # The larger of two sets has at most 1 / threshold times the members of the smaller: c is at least threshold times its size.
-    front = placed.filter((F.col("_often") > 1) & (F.col("_at") <= F.col("_total") * F.lit(1 - threshold + 1e-9)))
-    front = materialize(front.select("_shingle", "_node", "_label", "_total", "_at"), "front")
-    of = lambda side: front.select("_shingle", F.col("_node").alias(side), F.col("_label").alias(f"_l{side}"), F.col("_total").alias(f"_s{side}"), F.col("_at").alias(f"_p{side}"))
-    shorter = of("a").filter(F.col("_pa") <= F.col("_sa") * F.lit(1 - 2 * share))
-    common = (F.col("_sa") + F.col("_sb")) * F.lit(share)
-    order = (F.col("_sa") < F.col("_sb")) | ((F.col("_sa") == F.col("_sb")) & (F.col("a") < F.col("b")))
-    able = order & (F.col("_la") != F.col("_lb")) & _can_link("_sa", "_sb", threshold) & (F.col("_pa") <= F.col("_sa") - common) & (F.col("_pb") <= F.col("_sb") - common)
-    pairs = shorter.join(of("b"), "_shingle").filter(able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.unionByName(alike)
-
-
-def near_duplicates(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small: int = SMALL_BAND
-) -> DataFrame:
-    """One row for each row of ``docs``: ``_id``, ``_node``, ``class_id`` (smallest key of its class).
-
-    Texts are in one class if a chain of links, each of similarity
-    ``threshold`` or more, joins them; equal texts always are.  Texts without
-    words are alike.  A null key passes and is never the smallest unless all
-    are null; repeated rows stay repeated; an empty table gives an empty result.
-    """
+def _classes(docs: DataFrame, key: str, text: str, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """``_id, _node`` of every row, and ``_node, class_id, _keeper`` of every text; a class has one keeper, a text with its smallest key."""
     signed = materialize(banded(docs, key=key, text=text, bands=bands, rows=rows), "bands")
     nodes = materialize(signed.groupBy("_node").agg(F.min("_id").alias("_rep"), F.first("_bands").alias("_bands"), F.first("_size").alias("_size")), "nodes")
     keyed = nodes.select("_node", "_size", F.posexplode("_bands").alias("_band", "_key"))
-    sizes = keyed.groupBy("_band", "_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_node").alias("_first"), F.min_by("_size", "_node").alias("_first_size")).filter("_n > 1")
-    sizes = materialize(sizes, "band-sizes")
-    members = materialize(keyed.join(sizes, ["_band", "_key"]).select("_node", "_size", "_band", "_key", "_n", "_first", "_first_size"), "band-members")
+    groups = keyed.groupBy("_band", "_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_node").alias("_first"), F.min_by("_size", "_node").alias("_first_size")).filter("_n > 1")
+    members = materialize(keyed.join(materialize(groups, "groups"), ["_band", "_key"]).select("_node", "_size", "_band", "_key", "_first", "_first_size"), "members")
     star = members.filter((F.col("_node") != F.col("_first")) & _can_link("_size", "_first_size", threshold)).select(F.col("_first").alias("a"), F.col("_node").alias("b"))
-    few = members.filter(F.col("_n").between(3, small)).select("_band", "_key", F.col("_node").alias("b"), F.col("_size").alias("_sb"))
-    every = few.withColumnsRenamed({"b": "a", "_sb": "_sa"}).join(few, ["_band", "_key"]).filter("a < b").filter(_can_link("_sa", "_sb", threshold)).select("a", "b")
-    pairs = materialize(star.unionByName(every).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).unionByName(members.filter(F.col("_n") > small).select("_node")).distinct()
-    wanted = materialize(wanted.join(nodes.select("_node", "_rep"), "_node"), "wanted")
+    pairs = materialize(star.distinct(), "pairs")
+    wanted = members.select("_node").distinct().join(nodes.select("_node", "_rep"), "_node")
     source = docs.select(F.col(key).cast("long").alias("_id"), node(text).alias("_of"), text_or_empty(text).alias("_text"))
-    # The same plan at every size: texts are dealt out by their digest.
+    # The same plan at every size: texts are dealt out by their digest and key.
     texts = source.join(wanted.hint("merge"), (F.col("_of") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_rep"))).select("_node", "_text")
     texts = materialize(texts.dropDuplicates(["_node"]), "texts")
-    links = materialize(_links(pairs, texts, threshold), "links")
-    labels = components(links)
-    # What is left in large bands: texts of different classes.
-    large = materialize(members.filter(F.col("_n") > small).select("_node", "_size", "_band", "_key", "_n").join(nodes.select("_node", "_bands"), "_node"), "large-bands")
-    for step in (lambda left: _by_next_bands(left, bands, small, threshold), lambda left: _remainder(left, texts, threshold)):
-        labelled = large.join(labels, "_node", "left").withColumn("_label", F.coalesce("_label", "_node"))
-        mixed = labelled.groupBy("_band", "_key").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).filter("_low < _high").select("_band", "_key")
-        left = materialize(labelled.join(mixed, ["_band", "_key"]), "mixed-bands")
-        more = materialize(step(left).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-        if more.isEmpty():
-            continue
-        found = materialize(_links(more, texts, threshold), "more-links")
-        pairs = materialize(pairs.unionByName(more), "pairs")
-        labels = _merged(labels, found)
-    named = signed.select("_id", "_node").join(labels, "_node", "left").select("_id", "_node", F.coalesce("_label", "_node").alias("_label"))
-    named = materialize(named, "named")
-    smallest = materialize(named.groupBy("_label").agg(F.min("_id").alias("class_id")), "classes")
-    return named.join(smallest, "_label").select("_id", "_node", "class_id")
-
-
-def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one with the smallest key, with all its columns.
-
-    Of fully repeated rows and of rows with one key in a class one stays.
+    labels = components(materialize(_links(pairs, texts, threshold), "links"))
+    mixed = materialize(_mixed_groups(members, labels, threshold), "mixed")
+    between = components(materialize(_by_blocks(mixed, texts, threshold).distinct(), "class-links"))
+    merged = nodes.select("_node", "_rep").join(labels, "_node", "left").withColumn("_label", F.coalesce("_label", "_node"))
+    merged = merged.join(between.select(F.col("_node").alias("_label"), F.col("_label").alias("_joined")), "_label", "left")
+    merged = materialize(merged.select("_node", "_rep", F.coalesce("_joined", "_label").alias("_label")), "merged")
+    first = merged.groupBy("_label").agg(F.min(F.struct(F.col("_rep").isNull().alias("_none"), "_rep", "_node")).alias("_first"))
+    named = merged.join(first, "_label").select("_node", F.col("_first._rep").alias("class_id"), (F.col("_node") == F.col("_first._node")).alias("_keeper"))
+    return signed.select("_id", "_node"), materialize(named, "classes")
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row for each row of ``docs``: ``_id``, ``_node``, ``class_id`` (smallest key of its class).
+
+    Texts are in one class if a chain of links, each of similarity
+    ``threshold`` or more, joins them; equal texts always are.  Texts without
+    words are alike.  A null key passes and is never the smallest unless all
+    are null; null text counts as empty; repeated rows stay repeated; columns
+    other than ``key`` and ``text`` are not read, so their names don't matter;
+    an empty table gives an empty result.
+    """
+    signed, named = _classes(docs, key, text, threshold, bands, rows)
+    return signed.join(named, "_node").select("_id", "_node", "class_id")
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class one with the smallest key, with all its columns.
+
+    Of repeated rows, and of rows with one key in a class, one stays.  A row
+    with a null key stays only where its class has no other key.  Columns of
+    any name pass unchanged; an empty table gives an empty result.
     """
-    found = near_duplicates(docs, key=key, text=text, **options)
-    keepers = found.filter(F.col("_id").eqNullSafe(F.col("class_id"))).groupBy("_id", "class_id").agg(F.min("_node").alias("_keep"))
-    # Rows with a null key: only where a class has no other key.
-    marked = docs.withColumn("_keep_node", node(text))
-    joined = marked.join(keepers, (F.col("_keep_node") == F.col("_keep")) & F.col(key).cast("long").eqNullSafe(F.col("_id")))
-    from pyspark.sql import Window
-
-    one = F.row_number().over(Window.partitionBy("_keep", "_id").orderBy("_keep_node"))
-    return joined.withColumn("_one", one).filter("_one = 1").select(*docs.columns)
+    _, named = _classes(docs, key, text, threshold, bands, rows)
+    marked = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(key).cast("long").alias("_id"), node(text).alias("_node"))
+    kept = named.filter("_keeper").select(F.col("_node").alias("_keep"), F.col("class_id").alias("_first_id"))
+    joined = marked.join(kept, (F.col("_node") == F.col("_keep")) & F.col("_id").eqNullSafe(F.col("_first_id")))
+    one = F.row_number().over(Window.partitionBy("_node", "_id").orderBy(F.lit(0)))
+    return joined.withColumn("_one", one).filter("_one = 1").select("_row.*")

@@ -216,7 +216,7 @@ def test_near_duplicates_against_brute_force(spark):
         texts.append(" ".join(w))
     texts += ["", None, "", texts[3], "two words", "two  words"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {r["_id"]: r["class_id"] for r in minhash.near_duplicates(docs, small=4).collect()}
+    out = {r["_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
     assert [out[i] for i in range(len(texts))] == brute_classes(texts)
     assert sorted(r.doc_id for r in minhash.keep_one(docs).collect()) == sorted(set(out.values()))
     assert minhash.keep_one(odd(spark)).count() == 5
@@ -224,7 +224,7 @@ def test_near_duplicates_against_brute_force(spark):
 
 def test_near_duplicates_lose_no_link_in_large_bands(spark):
     """Texts of one template with 26 slots: nearly all pairs are below the threshold, a few reach it by chance."""
-    n, words, slots = 700, 404, 26
+    n, words, slots = 2000, 404, 26
     choice = np.random.default_rng(7).integers(0, 3, (n, slots))
     texts = []
     for row in choice:
@@ -257,3 +257,40 @@ def test_pipeline_stages_keep_columns(spark):
         docs = stage(spark, docs, "")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r.doc_id for r in docs.collect()} == set(range(12))
+
+
+def test_blocks_of_one_band_meet(spark, monkeypatch):
+    """Blocks of 8 texts: links between blocks, within them and to the largest class are all found."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for i in range(60):
+        r = random.Random(i)
+        w = list(base)
+        for k in r.sample(range(40), r.choice([1, 2, 7, 8, 9])):
+            w[5 * k] = f"x{k}v{r.randrange(3)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert [out[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_common_weights_against_counters():
+    texts = [prose(i, 40) + " a b c d e" * (i % 7) + " q r s t u v" * 3 for i in range(60)]
+    owner, shingle, weight = minhash.shingles(pa.array(texts))
+    got = minhash.common_weights(owner, shingle, weight, len(texts))
+    bags = [collections.Counter() for _ in texts]
+    for o, s, w in zip(owner.tolist(), shingle.tolist(), weight.tolist()):
+        bags[o][s] += w
+    assert all(got[i, j] == sum((bags[i] & bags[j]).values()) for i in range(60) for j in range(i))
+
+
+def test_near_duplicates_odd_tables(spark):
+    """Null keys, clashing names, repeated rows and an empty table."""
+    rows = [(None, "a b c d e f g", "1", "2"), (None, "another text with other words in it", "1", "2"), (7, "a b c d e f g", "3", "4"), (7, "a b c d e f g", "3", "4"), (8, None, "5", None), (9, " \n ", None, "6")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _node string, _keep string")
+    out = minhash.keep_one(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, (docs.collect()[k] for k in (1, 2, 4))))
+    assert sorted(str(r.class_id) for r in minhash.near_duplicates(docs).collect()) == ["7", "7", "7", "8", "8", "None"]
+    assert minhash.near_duplicates(docs.limit(0)).collect() == [] == minhash.keep_one(docs.limit(0)).collect()

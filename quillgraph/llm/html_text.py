@@ -3,8 +3,10 @@
 A page becomes a flat list of text blocks.  Every block has its number of
 words and link density, those of the block before and after it, and what its
 enclosing elements say about themselves (article, navigation, advert, ...).  A
-decision tree trained on the small labelled table below (roles crossed with measures, and rows without a role) says which blocks are
-content; their texts are joined in page order.
+decision tree trained on the small labelled table below says which blocks are
+content; their texts are joined in page order.  Where elements name their
+roles that is one feature of the tree and mostly settles the matter; elsewhere
+the measures of the block and its neighbours decide.
 """
 
 from __future__ import annotations
@@ -28,82 +30,80 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes template svg math object audio video canvas".split())
+RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes template audio video canvas".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a new block closes implicitly: an open ``p`` by any block, ``li`` by ``li`` and so on.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SECTION_TAGS = frozenset("article aside body div footer form header html main nav section table ul ol dl fieldset".split())
 
-#: What the enclosing elements say, as feature columns.
+#: What the enclosing elements say.
 HINTS = ("in_article", "in_navigation", "in_margin", "in_advert", "in_comments", "in_form", "in_head")
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", *HINTS, "in_boilerplate")
+#: Of these hints the tree sees one feature: 1 for an article, -1 for any of the others, 0 where nothing is named.
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "role")
 _NAMES = {
     "in_navigation": re.compile(r"(^|[\s_-])(nav|navbar|navigation|menu|breadcrumbs?|toc|pagination|pager|tabs)([\s_-]|$)", re.I),
     "in_margin": re.compile(r"(^|[\s_-])(footer|header|masthead|sidebar|side|aside|cookies?|consent|notice|banner|copyright|legal|related|social|share|newsletter|widget|popup|modal)([\s_-]|$)", re.I),
     "in_advert": re.compile(r"(^|[\s_-])(ads?|advert|advertisement|advertising|sponsor|sponsored|promo|promotion|adsense)([\s_-]|$)", re.I),
     "in_comments": re.compile(r"(^|[\s_-])(comments?|replies|reply|discussion|disqus|respond|guestbook|reviews?)([\s_-]|$)", re.I),
     "in_form": re.compile(r"(^|[\s_-])(form|login|signup|subscribe|search|searchbox)([\s_-]|$)", re.I),
-    "in_article": re.compile(r"(^|[\s_-])(article|articlebody|post-?body|entry-?content|post-?content|main-?content|story)([\s_-]|$)", re.I),
+    "in_article": re.compile(r"(^|[\s_-])(article|articlebody|post-?body|entry-?content|post-?content|main-?content|content|story)([\s_-]|$)", re.I),
 }
 _TAG_HINT = {"article": "in_article", "main": "in_article", "nav": "in_navigation", "menu": "in_navigation", "header": "in_margin", "footer": "in_margin", "aside": "in_margin", "form": "in_form", "button": "in_form", "select": "in_form", "fieldset": "in_form", "dialog": "in_margin", "head": "in_head"}
 _NAME_TAGS = frozenset("div section article aside ul ol table p span header footer nav main form dl".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments and declarations, then a tag with closed quotes, then one that ends at the first > because a quote stays open.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
+    re.S,
+)
+_TAG_START = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
-#: The labelled table, first part: blocks whose enclosing elements name a role,
-#: as (in_article, in_navigation, in_margin, in_advert, in_comments, in_form,
-#: in_head) and 1 for content.  Every such row is seen with each of the measures below.
-ROLES: tuple[tuple[tuple[int, ...], int], ...] = (
-    ((1, 0, 0, 0, 0, 0, 0), 1),
-    ((0, 1, 0, 0, 0, 0, 0), 0),
-    ((1, 1, 0, 0, 0, 0, 0), 0),
-    ((0, 0, 1, 0, 0, 0, 0), 0),
-    ((1, 0, 1, 0, 0, 0, 0), 0),
-    ((0, 1, 1, 0, 0, 0, 0), 0),
-    ((0, 0, 0, 1, 0, 0, 0), 0),
-    ((1, 0, 0, 1, 0, 0, 0), 0),
-    ((0, 0, 0, 0, 1, 0, 0), 0),
-    ((1, 0, 0, 0, 1, 0, 0), 0),
-    ((0, 0, 0, 0, 0, 1, 0), 0),
-    ((1, 0, 0, 0, 0, 1, 0), 0),
-    ((0, 0, 0, 0, 0, 0, 1), 0),
-)
-#: Words and link density of the block, of the one before and of the one after.
-MEASURES: tuple[tuple[float, ...], ...] = tuple(
-    (w, d, *before, *after)
-    for w, d in ((1, 0.0), (4, 1.0), (9, 0.0), (16, 0.5), (30, 0.0), (90, 0.1), (1000, 0.0))
-    for before in ((0, 0.0), (2, 1.0), (14, 0.0), (70, 0.0))
-    for after in ((0, 0.0), (2, 1.0), (14, 0.0), (70, 0.0))
-)
-#: Second part: no role is named, so length and links decide (features without the roles, then the label).
-PLAIN: tuple[tuple[float, ...], ...] = (
-    (60, 0.0, 3, 1.0, 70, 0.0, 1),
-    (35, 0.0, 60, 0.0, 3, 1.0, 1),
-    (28, 0.1, 50, 0.0, 44, 0.0, 1),
-    (120, 0.0, 0, 0.0, 0, 0.0, 1),
-    (25, 0.0, 12, 0.0, 12, 0.0, 1),
-    (1000, 0.0, 2, 1.0, 2, 1.0, 1),
-    (18, 0.0, 50, 0.0, 44, 0.0, 1),
-    (12, 0.0, 40, 0.0, 35, 0.0, 1),
-    (7, 0.0, 50, 0.0, 44, 0.0, 1),
-    (9, 0.0, 2, 1.0, 55, 0.0, 1),
-    (2, 1.0, 2, 1.0, 3, 1.0, 0),
-    (3, 1.0, 50, 0.0, 2, 1.0, 0),
-    (40, 0.8, 2, 1.0, 3, 1.0, 0),
-    (25, 0.9, 30, 0.9, 20, 0.9, 0),
-    (4, 0.0, 2, 1.0, 3, 1.0, 0),
-    (6, 0.0, 1, 0.0, 2, 1.0, 0),
-    (8, 0.0, 60, 0.0, 0, 0.0, 0),
-    (3, 0.0, 0, 0.0, 2, 1.0, 0),
+#: The labelled table: example pages as sequences of blocks (words, words in links, role, 1 for content).
+#: The neighbours' measures follow from the sequence.
+LABELLED: tuple[tuple[tuple[int, int, int, int], ...], ...] = (
+    # Elements name their roles; blocks of any measure.
+    ((2, 2, -1, 0), (1, 1, -1, 0), (3, 3, -1, 0), (12, 0, -1, 0), (9, 0, 1, 1), (70, 0, 1, 1), (35, 4, 1, 1), (1, 0, 1, 1), (90, 0, 1, 1), (6, 0, -1, 0)),
+    ((25, 0, -1, 0), (3, 0, 1, 1), (2, 0, 1, 1), (120, 9, 1, 1), (5, 5, 1, 1), (40, 0, -1, 0), (60, 2, -1, 0), (2, 2, -1, 0)),
+    ((4, 0, -1, 0), (6, 0, 1, 1), (1000, 0, 1, 1), (14, 0, 1, 1), (8, 0, -1, 0), (1, 1, -1, 0), (200, 0, -1, 0), (30, 0, -1, 0)),
+    ((1, 1, -1, 0), (1, 0, 1, 1), (3, 1, -1, 0)),
+    ((2, 0, 1, 1), (3, 0, 1, 1), (1, 0, 1, 1), (5, 0, 1, 1), (2, 0, 1, 1), (1, 0, 1, 1)),
+    ((4, 4, 1, 1), (2, 2, 1, 1), (9, 0, 1, 1), (30, 30, 1, 1), (12, 5, 1, 1), (3, 3, 1, 1)),
+    ((12, 12, 1, 1), (50, 0, 1, 1), (4, 1, 1, 1), (18, 9, 1, 1), (1, 1, 1, 1)),
+    ((2, 2, 1, 1), (3, 3, 1, 1), (1, 1, 1, 1), (20, 20, 1, 1), (2, 2, 1, 1)),
+    ((7, 0, 1, 1), (9, 0, 1, 1), (4, 0, 1, 1), (12, 0, 1, 1), (8, 0, 1, 1), (26, 0, 1, 1), (5, 0, 1, 1), (14, 0, 1, 1)),
+    ((6, 0, 1, 1),),
+    ((3, 3, -1, 0), (2, 2, 1, 1), (12, 0, 1, 1), (16, 0, -1, 0)),
+    ((25, 0, 1, 1), (8, 8, 1, 1), (2, 0, 1, 1), (7, 7, 1, 1), (19, 0, 1, 1), (1, 0, 1, 1)),
+    ((80, 0, -1, 0), (95, 0, -1, 0), (150, 3, -1, 0), (11, 0, -1, 0), (60, 0, -1, 0)),
+    # No roles: menu, headline, paragraphs with a short one among them, copyright line.
+    ((2, 2, 0, 0), (1, 1, 0, 0), (3, 3, 0, 0), (2, 2, 0, 0), (8, 0, 0, 1), (65, 0, 0, 1), (44, 3, 0, 1), (1, 0, 0, 1), (80, 0, 0, 1), (32, 0, 0, 1), (6, 0, 0, 0)),
+    ((1, 1, 0, 0), (2, 2, 0, 0), (1, 1, 0, 0), (11, 0, 0, 1), (25, 0, 0, 1), (4, 0, 0, 1), (30, 0, 0, 1), (9, 0, 0, 0)),
+    # An advertisement between menu and headline; a short last paragraph.
+    ((1, 1, 0, 0), (2, 2, 0, 0), (12, 0, 0, 0), (7, 0, 0, 1), (52, 0, 0, 1), (2, 0, 0, 1), (28, 1, 0, 1), (3, 0, 0, 1), (7, 0, 0, 0)),
+    ((3, 3, 0, 0), (1, 1, 0, 0), (9, 0, 0, 0), (10, 0, 0, 1), (110, 0, 0, 1), (75, 6, 0, 1), (5, 0, 0, 0)),
+    # A notice first; lists of links after the text.
+    ((19, 0, 0, 0), (2, 2, 0, 0), (2, 2, 0, 0), (6, 0, 0, 1), (41, 0, 0, 1), (37, 2, 0, 1), (3, 0, 0, 0), (7, 7, 0, 0), (6, 6, 0, 0), (8, 8, 0, 0), (4, 2, 0, 0)),
+    ((14, 2, 0, 0), (1, 1, 0, 0), (5, 0, 0, 1), (300, 12, 0, 1), (16, 0, 0, 1), (48, 0, 0, 1), (25, 22, 0, 0), (12, 12, 0, 0)),
+    # Short lines in a row, such as a dialogue, with and without longer ones.
+    ((2, 2, 0, 0), (1, 1, 0, 0), (10, 0, 0, 0), (7, 0, 0, 1), (9, 0, 0, 1), (4, 0, 0, 1), (12, 0, 0, 1), (8, 0, 0, 1), (5, 0, 0, 1), (14, 0, 0, 1), (6, 0, 0, 0)),
+    ((1, 1, 0, 0), (3, 3, 0, 0), (8, 0, 0, 0), (12, 0, 0, 1), (16, 0, 0, 1), (6, 0, 0, 1), (33, 0, 0, 1), (10, 0, 0, 1), (2, 0, 0, 1), (9, 0, 0, 0)),
+    ((2, 2, 0, 0), (6, 0, 0, 0), (5, 0, 0, 1), (18, 1, 0, 1), (24, 0, 0, 1), (3, 0, 0, 1), (7, 0, 0, 1), (11, 0, 0, 0)),
+    # Text and nothing else; links and nothing else.
+    ((40, 0, 0, 1),),
+    ((60, 0, 0, 1), (55, 0, 0, 1), (58, 0, 0, 1)),
+    ((2, 2, 0, 0), (3, 3, 0, 0), (2, 2, 0, 0), (20, 18, 0, 0), (1, 1, 0, 0)),
 )
 
 
 def labelled_table() -> np.ndarray:
     """Rows of FEATURES and the label."""
-    named = [(*m, *role, float(any(role[1:])), label) for role, label in ROLES for m in MEASURES]
-    plain = [(*row[:-1], *(0,) * (len(HINTS) + 1), row[-1]) for row in PLAIN]
-    return np.array(named + plain, dtype=float)
+    rows = []
+    for page in LABELLED:
+        found = [Block("", words, links / words, tuple(int(h == (HINTS[0] if role > 0 else HINTS[2])) if role else 0 for h in HINTS)) for words, links, role, _ in page]
+        rows.append(np.column_stack([features(found), [label for *_, label in page]]))
+    return np.concatenate(rows)
 
 
 @dataclass
@@ -118,9 +118,11 @@ def blocks(page: str) -> list[Block]:
     """Flat text blocks of a page in page order.
 
     Comments and the contents of scripts, styles and other raw elements are no
-    text.  Unclosed elements end with their section; stray end tags are
-    ignored.  Character references are decoded once, white space becomes one
-    space, and blocks without text are left out.
+    text; a raw element without an end tag ends at the next tag.  A tag whose
+    quote stays open ends at its first ``>``, and one without ``>`` is dropped.
+    Unclosed elements end with their section; stray end tags are ignored.
+    Character references are decoded once, white space becomes one space, and
+    blocks without text are left out.
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[int, ...]]] = []
@@ -147,21 +149,30 @@ def blocks(page: str) -> list[Block]:
             linked.append(text)
 
     length = len(page)
+    last = page.rfind(">") + 1  # no tag ends after it
+    endless: set[str] = set()  # raw elements without a further end tag
     while at < length:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at, last)
         if m is None:
-            add(page[at:])
+            rest = page[at:last] + page[max(at, last) :]
+            cut = _TAG_START.search(rest)
+            add(rest[: cut.start()] if cut else rest)
             break
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        name = m[2]
+        closes, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if name is None:
             continue
         name = name.lower()
-        if not m[1] and name in RAW_TAGS and not (m[3] or "").rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else length
+        if not closes and name in RAW_TAGS and not attributes.rstrip().endswith("/"):
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
+            if end:
+                at = page.find(">", end.end() - 1) + 1 or length
+            else:
+                endless.add(name)
+                following = _TAG_START.search(page, at)
+                at = following.start() if following else length
             if name in BLOCK_TAGS:
                 flush()
             continue
@@ -169,12 +180,12 @@ def blocks(page: str) -> list[Block]:
             add(" ")
             continue
         if name == "a":
-            in_link = 0 if m[1] else 1
+            in_link = 0 if closes else 1
             continue
         if name not in BLOCK_TAGS:
             continue
         flush()
-        if m[1]:
+        if closes:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
@@ -190,7 +201,7 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] in SECTION_TAGS:
                     break
             outer = stack[-1][1] if stack else none
-            stack.append((name, _hints(name, m[3] or "", outer)))
+            stack.append((name, _hints(name, attributes, outer)))
         hints = stack[-1][1] if stack else none
     flush()
     return out
@@ -218,8 +229,7 @@ def features(found: Sequence[Block]) -> np.ndarray:
         out[:, 0:2] = own
         out[1:, 2:4] = own[:-1]
         out[:-1, 4:6] = own[1:]
-        out[:, 6:-1] = [b.hints for b in found]
-        out[:, -1] = out[:, 7:-1].any(axis=1)
+        out[:, 6] = [-1 if any(b.hints[1:]) else b.hints[0] for b in found]
     return out
 
 

@@ -36,7 +36,7 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 #: Texts and shingles of a block; a longer text is a block with others by chance.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 19
 #: Members of at most so many multisets are counted pair by pair; cells of one dense slice for the others.
 RARE_MEMBER, DENSE_CELLS = 16, 1 << 22
 #: Texts worked on at once; one longer text makes a batch of its own.

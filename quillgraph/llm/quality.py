@@ -5,7 +5,9 @@ counts of the vote patterns over all documents, at most 3^rules rows, go to
 expectation-maximisation, which estimates each rule's accuracy and the share
 of good documents.  The verdict is the posterior probability of *good*: a
 rule's vote counts as much as its estimated accuracy, and rules that find
-ordinary prose can outvote a doubtful one.  DataFrame functions only.
+ordinary prose can outvote a doubtful one.  An initial opinion about the
+accuracies counts half as much as the documents do; neither they nor the share
+are bounded.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 
 #: Counts that :func:`word_stats` adds.
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_pipes", "n_distinct")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_pipes", "n_plain", "n_distinct")
+#: A word of letters, with punctuation after it at most.
+PLAIN_WORD = r"\p{L}+[.,;:!?]*"
 
 
 @dataclass(frozen=True)
@@ -37,25 +41,28 @@ class Rule:
     bad: str
 
 
-#: Most rules know one kind of junk and abstain elsewhere; the last three know ordinary prose.
+#: Different words against all words, alike for short and long texts: they grow with the square root of the words or faster.
+_VARIED = "n_distinct * n_distinct >= 12 * n_words"
+#: Most rules know one kind of junk and abstain elsewhere; ``symbols``, ``variety`` and ``prose`` know ordinary prose too.
 RULES: tuple[Rule, ...] = (
-    Rule("symbols", "false", "100 * n_symbols > 25 * n_words"),
+    Rule("symbols", "100 * n_symbols <= 5 * n_words AND 100 * n_exclaim <= 10 * n_words AND 100 * n_upper <= 20 * word_chars", "100 * n_symbols > 25 * n_words"),
     Rule("tables", "false", "100 * n_pipes > 15 * n_words"),
-    Rule("dup_lines", "false", "100 * n_dup_lines > 30 * n_lines"),
-    Rule("repeats", "false", "100 * n_repeat_words > 20 * n_words"),
+    Rule("plain_words", "false", "100 * n_plain < 75 * n_words"),
     Rule("word_length", "false", "word_chars < 2 * n_words OR word_chars > 13 * n_words"),
     Rule("capitals", "false", "100 * n_upper > 40 * word_chars"),
     Rule("exclaims", "false", "100 * n_exclaim > 40 * n_words"),
-    Rule("monotony", "false", "100 * n_distinct < 8 * n_words OR (n_words <= 1000 AND 100 * n_distinct < 20 * n_words)"),
-    Rule("typography", "100 * n_symbols <= 10 * n_words AND 100 * n_upper <= 20 * word_chars AND 100 * n_exclaim <= 10 * n_words AND (n_words > 1000 OR 100 * n_distinct >= 25 * n_words)", "100 * n_symbols > 100 * n_words OR 100 * n_exclaim > 80 * n_words"),
-    Rule("variety", "(n_words > 1000 OR 100 * n_distinct >= 25 * n_words) AND 100 * n_repeat_words <= 5 * n_words AND 100 * n_dup_lines <= 10 * n_lines AND 100 * n_symbols <= 15 * n_words AND 100 * n_exclaim <= 20 * n_words", "100 * n_repeat_words > 50 * n_words"),
-    Rule("words", "word_chars BETWEEN 3 * n_words AND 10 * n_words AND 100 * n_distinct >= 10 * n_words AND (n_words > 1000 OR 100 * n_distinct >= 25 * n_words) AND 100 * n_symbols <= 15 * n_words AND 100 * n_exclaim <= 20 * n_words", "100 * n_distinct < 4 * n_words"),
+    Rule("dup_lines", "false", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("repeats", "false", "100 * n_repeat_words > 20 * n_words"),
+    Rule("monotony", "false", "n_distinct * n_distinct < 8 * n_words"),
+    Rule("variety", f"{_VARIED} AND 100 * n_repeat_words <= 5 * n_words AND 100 * n_dup_lines <= 10 * n_lines AND 100 * n_exclaim <= 20 * n_words", "n_distinct * n_distinct < 2 * n_words"),
+    Rule("prose", f"100 * n_plain >= 85 * n_words AND word_chars BETWEEN 3 * n_words AND 10 * n_words AND {_VARIED} AND 100 * n_exclaim <= 20 * n_words", "100 * n_plain < 40 * n_words"),
 )
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 ROUNDS = 12
-#: Where expectation-maximisation starts, with how many imagined votes that opinion holds, and its bounds.
-START_ACCURACY, ACCURACY_VOTES, ACCURACY_BOUNDS = 0.85, 20.0, (0.8, 0.97)
-START_SHARE, SHARE_VOTES, SHARE_BOUNDS = 0.7, 20.0, (0.3, 0.75)
+#: Where expectation-maximisation starts, with how many imagined documents or votes that opinion holds; for the
+#: accuracies there are :data:`OPINION` further ones for each vote that was cast.
+START_ACCURACY, ACCURACY_VOTES, OPINION = 0.85, 20.0, 0.5
+START_SHARE, SHARE_VOTES = 0.7, 20.0
 
 
 def word_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -63,10 +70,12 @@ def word_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     ``n_repeat_words`` counts the words in windows of eight words found twice
     or more.  Hashes only find the documents that can have such windows; there
-    the windows themselves are compared.  Null text has no words.
+    the windows themselves are compared.  Null text has no words.  Columns of
+    the input with the names of counts are replaced; other names don't matter.
     """
-    keep = [c for c in docs.columns if c != text and c not in STATS]
-    base = docs.select(*keep, text_or_empty(text).alias("_text"))
+    kept = [c for c in docs.columns if c != text and c not in STATS]
+    keep = ["_kept"]
+    base = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(c) for c in kept)).alias("_kept"), text_or_empty(text).alias("_text"))
     split = base.select(
         *keep,
         F.length("_text").alias("_chars"),
@@ -76,6 +85,7 @@ def word_stats(docs: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count("_text", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count("_text", F.lit("!")).cast("long").alias("n_exclaim"),
         F.regexp_count("_text", F.lit(r"\|")).cast("long").alias("n_pipes"),
+        F.regexp_count("_text", F.lit(rf"(?<![^{SPACE}]){PLAIN_WORD}+(?![^{SPACE}])")).cast("long").alias("n_plain"),
     )
     window = ", ".join(f"_words[i + {k}]" for k in range(WINDOW))
     counted = split.withColumn("n_words", F.expr("CASE WHEN _words[0] = '' THEN 0L ELSE cast(size(_words) as long) END")).withColumn(
@@ -92,6 +102,7 @@ def word_stats(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_upper",
         "n_exclaim",
         "n_pipes",
+        "n_plain",
         F.expr("CASE WHEN n_words = 0 THEN 0L ELSE cast(size(array_distinct(_words)) as long) END").alias("n_distinct"),
         F.expr("coalesce(size(array_distinct(_hashes)) < size(_hashes), false)").alias("_twice"),
     )
@@ -108,7 +119,8 @@ def word_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_sorted")
     repeat = f"""CASE WHEN coalesce(size(_starts), 0) > 0 THEN cast({WINDOW} + CASE WHEN size(_starts) > 1 THEN
         aggregate(sequence(1, size(_starts) - 1), 0, (a, k) -> a + least({WINDOW}, _starts[k] - _starts[k - 1])) ELSE 0 END as long) ELSE 0L END"""
-    return starts.select(*keep, *(c for c in STATS if c != "n_repeat_words"), F.expr(repeat).alias("n_repeat_words"))
+    counts = (F.expr(repeat).alias(c) if c == "n_repeat_words" else F.col(c) for c in STATS)
+    return starts.select(*(F.col("_kept").getField(c).alias(c) for c in kept), *counts)
 
 
 def votes(rules: Sequence[Rule] = RULES) -> list[Column]:
@@ -130,15 +142,10 @@ class LabelModel:
         return 1 / (1 + F.exp(-logit))
 
 
-def _clip(x: float, bounds: tuple[float, float]) -> float:
-    return min(max(x, bounds[0]), bounds[1])
-
-
 def fit_label_model(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = ROUNDS) -> LabelModel:
     """Expectation-maximisation over (votes, number of documents) pairs.
 
-    The starting opinion counts as a few votes and the results stay within
-    bounds above one half, so the classes cannot swap and few or uniform
+    The starting opinion counts as some documents and votes, so few or uniform
     documents leave the rules near where they started.
     """
     share, accuracy = START_SHARE, [START_ACCURACY] * n_rules
@@ -153,8 +160,8 @@ def fit_label_model(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: in
                 if v:
                     right[j] += n * (p if v > 0 else 1 - p)
                     cast[j] += n
-        share = _clip((good + START_SHARE * SHARE_VOTES) / (total + SHARE_VOTES), SHARE_BOUNDS)
-        accuracy = [_clip((r + START_ACCURACY * ACCURACY_VOTES) / (c + ACCURACY_VOTES), ACCURACY_BOUNDS) for r, c in zip(right, cast, strict=True)]
+        share = (good + START_SHARE * SHARE_VOTES) / (total + SHARE_VOTES)
+        accuracy = [(r + START_ACCURACY * (ACCURACY_VOTES + OPINION * c)) / (c + ACCURACY_VOTES + OPINION * c) for r, c in zip(right, cast, strict=True)]
     return LabelModel(share, tuple(accuracy))
 
 
@@ -177,21 +184,20 @@ def judge(docs: DataFrame, *, text: str = "text", rules: Sequence[Rule] = RULES,
     )
 
 
-def accept(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+def accept(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text is kept, with all their columns.
 
-    Rows are matched by text and not by key, so null or repeated keys do no
-    harm; equal texts get equal verdicts.
+    A row is carried whole beside the counts of its text, so nothing is joined
+    and keys don't matter.  Equal texts get equal verdicts and repeated rows
+    stay repeated; null and empty texts go; columns of any name pass
+    unchanged; an empty table gives an empty result.
     """
-    digest = F.xxhash64(text_or_empty(text)), F.sha2(text_or_empty(text), 256)
-    marked = docs.withColumn("_text_hash", digest[1])
-    verdict = judge(marked.select("_text_hash", text), text=text).filter("kept").select("_text_hash").distinct()
-    return marked.join(verdict, "_text_hash", "left_semi").select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(text).alias("_body"))
+    return judge(rows, text="_body").filter("kept").select("_row.*")
 
 
 def oracle_sql(rules: Sequence[Rule] = RULES, rounds: int = ROUNDS) -> str:
     """DuckDB SQL for the query over ``documents``."""
-    clip = lambda x, b: f"least(greatest({x}, {b[0]!r}::DOUBLE), {b[1]!r}::DOUBLE)"
     n = len(rules)
     vote = ", ".join(f"CASE WHEN {r.good} THEN 1 WHEN {r.bad} THEN -1 ELSE 0 END AS v{j}" for j, r in enumerate(rules))
     parts = [
@@ -206,6 +212,7 @@ def oracle_sql(rules: Sequence[Rule] = RULES, rounds: int = ROUNDS) -> str:
             (length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')))::BIGINT AS n_symbols,
             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines)::BIGINT AS n_lines,
             (length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')))::BIGINT AS n_upper, (length(t) - length(replace(t, '!', '')))::BIGINT AS n_exclaim, (length(t) - length(replace(t, '|', '')))::BIGINT AS n_pipes,
+            len(list_filter(words, lambda x: regexp_full_match(x, '{PLAIN_WORD}')))::BIGINT AS n_plain,
             len(list_distinct(words))::BIGINT AS n_distinct, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
             FROM w LEFT JOIN rep USING (doc_id))""".replace("\\\\p", "\\p"),
         f"v AS (SELECT *, {vote} FROM s)",
@@ -214,12 +221,10 @@ def oracle_sql(rules: Sequence[Rule] = RULES, rounds: int = ROUNDS) -> str:
     ]
     posterior = "1 / (1 + exp(-(ln(share / (1 - share)) + " + " + ".join(f"v{j} * ln(a{j} / (1 - a{j}))" for j in range(n)) + ")))"
     for k in range(rounds):
-        share = clip(f"(coalesce(sum(n * p), 0) + {START_SHARE * SHARE_VOTES!r}) / (coalesce(sum(n), 0) + {SHARE_VOTES!r})", SHARE_BOUNDS)
-        accuracy = ", ".join(
-            clip(f"(coalesce(sum(CASE v{j} WHEN 1 THEN n * p WHEN -1 THEN n * (1 - p) ELSE 0 END), 0) + {START_ACCURACY * ACCURACY_VOTES!r}) / (coalesce(sum(CASE WHEN v{j} <> 0 THEN n ELSE 0 END), 0) + {ACCURACY_VOTES!r})", ACCURACY_BOUNDS)
-            + f" AS a{j}"
-            for j in range(n)
-        )
+        share = f"(coalesce(sum(n * p), 0) + {START_SHARE * SHARE_VOTES!r}) / (coalesce(sum(n), 0) + {SHARE_VOTES!r})"
+        right = [f"coalesce(sum(CASE v{j} WHEN 1 THEN n * p WHEN -1 THEN n * (1 - p) ELSE 0 END), 0)" for j in range(n)]
+        cast = [f"coalesce(sum(CASE WHEN v{j} <> 0 THEN n ELSE 0 END), 0)" for j in range(n)]
+        accuracy = ", ".join(f"({r} + {START_ACCURACY!r} * ({ACCURACY_VOTES!r} + {OPINION!r} * {c})) / ({c} + {ACCURACY_VOTES!r} + {OPINION!r} * {c}) AS a{j}" for j, (r, c) in enumerate(zip(right, cast, strict=True)))
         parts.append(f"e{k + 1} AS MATERIALIZED (SELECT p.*, {posterior} AS p FROM p, m{k})")
         parts.append(f"m{k + 1} AS MATERIALIZED (SELECT {share} AS share, {accuracy} FROM e{k + 1})")
     return (

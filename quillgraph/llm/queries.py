@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, html_text, minhash, packing, pii, pu_quality, quality, simhash, substring, toxicity
-from .common import table
+from .common import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,6 +78,22 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bits in which a fingerprint of the search may differ.
+SEARCH_RADIUS = 6
+
+
+@_query
+def fingerprint_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second half of op7: the texts of ids divisible by 50 against all fingerprints, through the block tables.
+
+    One row for each query and class of equal fingerprints within the radius;
+    a class is named by its smallest id.
+    """
+    docs = table(spark, sf_dir, "documents")
+    prints = materialize(simhash.text_fingerprints(docs), "index")
+    return simhash.within_radius(prints.filter("doc_id % 50 = 0"), prints, radius=SEARCH_RADIUS, agree=1).withColumnRenamed("query", "doc_id").withColumnRenamed("class", "class_id")
+
+
 @_query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

@@ -29,11 +29,16 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     Keys must name a text: rows with equal keys must have equal texts and give
     one row.  A text without words has the fingerprint 0.
     """
-    words = texts.select(*keys, F.split(F.btrim(text_or_empty(text), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+").alias("_words"))
-    terms = words.select(*keys, "_words", F.posexplode("_words").alias("_at", "_word"))
-    pair = F.coalesce(F.try_element_at("_words", F.col("_at") + 2), F.lit(""))
-    real = F.col("_word") != ""
-    hashed = terms.select(*keys, F.floor(F.col("_at") / PART).cast("int").alias("_part"), *(F.xxhash64(F.col("_word"), pair, F.lit(k)).alias(f"_h{k}") for k in range(WORDS64)), real.cast("long").alias("_real"))
+    words = texts.select(*keys, F.split(F.btrim(text_or_empty(text), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+").alias("_word"))
+    pairs = words.select(*keys, "_word", F.expr("slice(_word, 2, size(_word))").alias("_then"))
+    terms = pairs.select(*keys, F.posexplode(F.arrays_zip("_word", "_then")).alias("_at", "_pair"))  # a word with the next one
+    word, then = F.col("_pair._word"), F.coalesce("_pair._then", F.lit(""))
+    hashed = terms.select(
+        *keys,
+        F.floor(F.col("_at") / PART).cast("int").alias("_part"),
+        *(F.xxhash64(word, then, F.lit(k)).alias(f"_h{k}") for k in range(WORDS64)),
+        (word != "").cast("long").alias("_real"),
+    )
     lanes = [
         F.sum(F.when(F.col("_real") == 1, F.shiftrightunsigned(f"_h{k}", j).bitwiseAND(F.lit(_LANES))).otherwise(F.lit(0).cast("long"))).alias(f"_s{k}_{j}")
         for k in range(WORDS64)
@@ -50,6 +55,12 @@ def _bits(k: int) -> Column:
     return F.expr(f"aggregate(sequence(0, 63), 0L, (f, b) -> f | CASE WHEN 2 * {votes} > _n THEN shiftleft(1L, cast(b as int)) ELSE 0L END)")
 
 
+def text_fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``f0..f3`` of every row: the fingerprint of its text.  Nulls, repeats and empty tables as below."""
+    source = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    return fingerprints(source, ["_key", "_row"], "_text").select(F.col("_key").alias(key), *(f"f{k}" for k in range(WORDS64)))
+
+
 def as_text(prefix: str = "f") -> Column:
     """The fingerprint in lowercase hexadecimal."""
     return F.concat(*(F.lpad(F.lower(F.hex(f"{prefix}{k}")), 16, "0") for k in range(WORDS64)))
@@ -64,19 +75,20 @@ def likeness(a: str, b: str) -> Column:
     return 1.0 - distance(a, b) / float(BITS)
 
 
-def successors(docs: DataFrame, key: str, row: str, n_chars: str) -> DataFrame:
-    """Each row of ``docs`` with its successor in ascending (key, row) order; the last one's is the first.
+def successors(rows: DataFrame) -> DataFrame:
+    """``rows`` (``_key, _digest, _row, _n``) with ``_next``: the successor in ascending order; the last one's is the first.
 
-    The rows are dealt out by ranges of the key; inside a range a window finds
-    the successor, and the few first rows of the ranges close the gaps.
+    The rows are dealt out by ranges; inside a range a window finds the
+    successor, and the few first rows of the ranges close the gaps.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(docs.repartitionByRange(n, key, row).withColumn("_range", F.spark_partition_id()), "ranges")
-    inside = Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first(), row)
-    own = dealt.withColumn("_next", F.lead(row).over(inside))
-    first = dealt.groupBy("_range").agg(F.min_by(row, F.struct(key, row)).alias("_first"))
-    ends = first.select(F.col("_range"), F.coalesce(F.lead("_first").over(Window.orderBy("_range")), F.first("_first").over(Window.orderBy("_range"))).alias("_first_of_next"))
-    return own.join(ends, "_range").select(key, row, n_chars, F.coalesce("_next", "_first_of_next").alias("_next"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ("_key", "_digest", "_row")
+    dealt = materialize(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    own = dealt.withColumn("_next", F.lead("_row").over(Window.partitionBy("_range").orderBy(*order)))
+    first = dealt.groupBy("_range").agg(F.min(F.struct(*order)).alias("_first"))
+    by_range = Window.orderBy("_range")  # one row for each range
+    ends = first.select("_range", F.coalesce(F.lead("_first").over(by_range), F.first("_first").over(by_range))["_row"].alias("_first_of_next"))
+    return own.join(ends, "_range").select("_key", "_row", "_n", F.coalesce("_next", "_first_of_next").alias("_next"))
 
 
 def edited_fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -84,17 +96,18 @@ def edited_fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "te
 
     The edited text has its last floor(n_chars / 2) code points replaced by
     the first as many (or all) of the next document in ascending ``key``, the
-    first one following the last.  Returns ``key, n_chars, edited (string),
-    f0.., e0.., near_edited, near_next``.
+    first one following the last.  Returns ``key, n_chars, edited_sha256,
+    f0.., e0.., near_edited, near_next``, one row for each row of ``docs``.
 
     Null text counts as empty.  A null key comes first; rows with one key are
-    ordered by a hash of the row, and rows that are equal in key and text are
-    one document.  A single document is its own successor.  An empty table
-    gives an empty result.
+    ordered by a digest of the text, and repeated rows follow each other.  A
+    single document is its own successor.  Other columns are not read.  An
+    empty table gives an empty result.
     """
-    source = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text"), F.xxhash64(F.col(key), text_or_empty(text)).alias("_row"))
-    rows = source.select("_key", "_row", F.length("_text").cast("long").alias("_n")).dropDuplicates(["_row"])
-    order = materialize(successors(rows, "_key", "_row", "_n"), "successors")
+    body = text_or_empty(text)
+    # Written once, so the numbers of the rows hold.
+    source = materialize(docs.select(F.col(key).alias("_key"), body.alias("_text"), F.unhex(F.md5(body.cast("binary"))).alias("_digest"), F.monotonically_increasing_id().alias("_row")), "texts")
+    order = materialize(successors(source.select("_key", "_digest", "_row", F.length("_text").cast("long").alias("_n"))), "successors")
     needed = order.select(F.col("_row").alias("_for"), F.col("_next").alias("_row"), F.floor(F.col("_n") / 2).cast("int").alias("_need"))
     heads = source.select("_row", "_text").join(needed, "_row").select(F.col("_for").alias("_row"), F.expr("substring(_text, 1, _need)").alias("_head"))
     both = (
@@ -168,7 +181,8 @@ def within_radius(queries: DataFrame, index: DataFrame, *, radius: int, agree: i
     tables = block_tables(radius, agree)
     left = _keyed(queries.select(F.col(key).alias("query"), *columns), tables)
     right = _keyed(representatives, tables).withColumnsRenamed({c: f"g{c[1:]}" for c in columns})
-    found = left.join(right, ["_t", "_b"]).withColumn("distance", distance("f", "g")).filter(F.col("distance") <= radius)
+    found = left.join(right.withColumnsRenamed({"_t": "_t2", "_b": "_b2"}), (F.col("_t") == F.col("_t2")) & (F.col("_b") == F.col("_b2")) & (distance("f", "g") <= radius))
+    found = found.withColumn("distance", distance("f", "g"))
     return found.select("query", F.col("_class").alias("class"), "distance").distinct()
 
 

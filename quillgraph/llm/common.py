@@ -54,6 +54,22 @@ def by_size(batch, columns: tuple[int, ...], max_rows: int, max_bytes: int):
         first = last
 
 
+def sample_by_hash(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows of ``rows``: those with the smallest hashes of ``key``.
+
+    The rows are counted and a threshold leaves few more than ``limit`` of
+    them before they are sorted, so no partition sends ``limit`` rows.
+    """
+    n = rows.count()
+    if n <= limit:
+        return rows
+    bits = 1 << 40
+    share = (limit + 8 * limit**0.5 + 64) / n
+    position = F.xxhash64(key).bitwiseAND(F.lit(bits - 1))
+    few = rows.filter(position < F.lit(min(bits, int(share * bits))))
+    return few.orderBy(position, key).limit(limit)
+
+
 def text_or_empty(column: str | Column) -> Column:
     """The text with null as the empty string."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

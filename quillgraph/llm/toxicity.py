@@ -22,12 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import materialize, sample_by_hash, text_or_empty
 
 #: At most so many labelled rows are used for fitting (those with the smallest hashes of their ids).
 MAX_LABELLED = 60_000
-#: At most so many candidate entries reach the driver.
-MAX_CANDIDATES = 4_000
 MIN_TOXIC, MIN_LOG_ODDS = 3, 3.0
 PREFIXES = (4, 5, 6)
 #: An entry in so many different toxic texts is taken even if others explain them.
@@ -128,7 +126,7 @@ def curve_features(weight: np.ndarray, length: np.ndarray) -> np.ndarray:
 def labelled_sample(labels: DataFrame, *, key: str, label: str, limit: int) -> DataFrame:
     """``_key, _label`` of at most ``limit`` rows with both values; of repeated keys the largest label."""
     one = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
-    return one.orderBy(F.xxhash64("_key"), "_key").limit(limit)
+    return sample_by_hash(one, "_key", limit)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,17 +140,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), pa.array([counts[1][e] for e in entries], pa.int64()), pa.array([counts[0][e] for e in entries], pa.int64())], names=["entry", "toxic", "clean"])
 
 
-def select_entries(candidates: list[tuple[str, float]], found: list[tuple[set[str], int]], sure: int = SURE) -> dict[str, float]:
+def select_entries(candidates: list[tuple[str, float]], found: list[tuple[int, str]], sure: int = SURE) -> dict[str, float]:
     """Entries that explain toxic texts which no more common entry explains, and those seen in many texts.
 
-    ``found``: for each toxic row the candidates in it, and a sketch that near
-    copies mostly share.  An entry counts once for each sketch, so the other
+    ``found``: sketches of toxic rows, which near copies mostly share, and the
+    candidates in them.  An entry counts once for each sketch, so the other
     words of a much copied toxic text don't look common.
     """
     sketches: dict[str, set[int]] = {}
-    for entries, sketch in found:
-        for e in entries:
-            sketches.setdefault(e, set()).add(sketch)
+    for sketch, entry in found:
+        sketches.setdefault(entry, set()).add(sketch)
     explained: set[int] = set()
     chosen: dict[str, float] = {}
     for entry, weight in sorted(candidates, key=lambda c: (-len(sketches.get(c[0], ())), -c[1], c[0])):
@@ -183,67 +180,67 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     """Learn entries, weights and the curve from at most ``limit`` labelled rows.
 
     The sample is broadcast (``limit`` rows of an id and a label).  Entry
-    counts are summed on the executors; at most :data:`MAX_CANDIDATES` entries
-    and a few numbers for each labelled row reach the driver.  Without toxic
-    labels the lexicon is empty and every text gets the same low score.
+    counts are summed on the executors.  What reaches the driver is bounded by
+    the sample: candidate entries, the distinct (sketch, entry) pairs of its
+    toxic rows, and three numbers for each row.  Null and repeated keys of the
+    labels are one or none; a key that several documents have labels them all.
+    Without toxic labels the lexicon is empty and every text gets the same low
+    score.
     """
-    sample = labelled_sample(labels, key=key, label=label, limit=limit)
+    sample = materialize(labelled_sample(labels, key=key, label=label, limit=limit), "labelled")
     rows = docs.select(text_or_empty(text).alias("_text"), F.col(key).alias("_key")).join(F.broadcast(sample), "_key").select("_text", "_label")
-    totals = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_clean = totals.get(1, 0), sum(n for v, n in totals.items() if v != 1)
+    totals = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_toxic, n_clean = sum(n for v, n in totals.items() if v > 0), sum(n for v, n in totals.items() if v <= 0)
     if not n_toxic:
         return Lexicon({}, (math.log(0.5 / (n_clean + 1)), 0.0, 0.0), exceptions)
+    rows = materialize(rows, "labelled-texts")
     counts = rows.mapInArrow(_counted, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     least = min(MIN_TOXIC, max(1, n_toxic // 20))
     ranked = counts.filter((F.col("toxic") >= least) & (F.col("clean") * 20 <= F.col("toxic"))).withColumn("weight", odds).filter(F.col("weight") >= MIN_LOG_ODDS)
-    top = ranked.orderBy(F.desc("toxic"), F.desc("weight"), "entry").limit(MAX_CANDIDATES).collect()
-    candidates = [(r["entry"], float(r["weight"])) for r in top]
-
-    def matched(lexicon: Lexicon) -> list[tuple]:
-        out = rows.mapInArrow(_matcher(lexicon), "hits array<string>, weight double, length long, label int, sketch long")
-        return [(r["hits"], r["weight"], r["length"], r["label"], r["sketch"]) for r in out.collect()]  # at most `limit` rows
-
-    found = matched(_AllEntries(dict(candidates), exceptions=()))
-    chosen = select_entries(candidates, [(set(h), sketch) for h, _, _, label, sketch in found if label])
-    lexicon = Lexicon(chosen, exceptions=exceptions)
-    final = matched(lexicon)
-    weight, length, label_ = (np.array([r[k] for r in final], dtype=float) for k in (1, 2, 3))
+    candidates = [(r["entry"], float(r["weight"])) for r in ranked.select("entry", "weight").collect()]
+    found = rows.filter("_label > 0").select("_text").mapInArrow(_sketcher({e for e, _ in candidates}), "sketch long, entry string").distinct()
+    lexicon = Lexicon(select_entries(candidates, [(r["sketch"], r["entry"]) for r in found.collect()]), exceptions=exceptions)
+    final = rows.mapInArrow(_weigher(lexicon), "weight double, length long, label int").collect()  # at most `limit` rows
+    weight, length, label_ = (np.array([r[k] for r in final], dtype=float) for k in range(3))
     lexicon.curve = fit_curve(weight, length, (label_ > 0).astype(float))
     lexicon._automaton = None
     return lexicon
 
 
-class _AllEntries(Lexicon):
-    """Reports every entry at a place instead of the heaviest."""
+def _sketcher(candidates: set[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches, entries = [], []
+            for text in batch.column(0).to_pylist():
+                folded = fold(text)
+                known = entries_of(folded) & candidates
+                sketches += [min(zlib.crc32(w.encode()) for w in _WORD.findall(folded))] * len(known) if known else []
+                entries += sorted(known)
+            yield pa.RecordBatch.from_arrays([pa.array(sketches, pa.int64()), pa.array(entries, pa.string())], names=["sketch", "entry"])
 
-    def hits(self, text: str) -> Counter[str]:
-        have = self.weights
-        return Counter(e for e in entries_of(text) if e in have)
+    return run
 
 
-def _matcher(lexicon: Lexicon):
+def _weigher(lexicon: Lexicon):
     lexicon._automaton = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits, weights, lengths, sketches = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                folded = fold(text)
-                h = lexicon.hits(folded)
-                sketches.append(min((zlib.crc32(w.encode()) for w in _WORD.findall(folded)), default=-1) if h else -1)
-                hits.append(sorted(h))
-                weights.append(lexicon.weight(h))
-                lengths.append(len(text))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hits, pa.list_(pa.string())), pa.array(weights, pa.float64()), pa.array(lengths, pa.int64()), batch.column(1).cast(pa.int32()), pa.array(sketches, pa.int64())], names=["hits", "weight", "length", "label", "sketch"]
-            )
+            texts = batch.column(0).to_pylist()
+            weights = [lexicon.weight(lexicon.hits(fold(t))) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(weights, pa.float64()), pa.array([len(t) for t in texts], pa.int64()), batch.column(1).cast(pa.int32())], names=["weight", "length", "label"])
 
     return run
 
 
 def score(docs: DataFrame, lexicon: Lexicon, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """``keep`` columns, ``n_hits`` long and the score (0 to 1) of every whole text; null counts as empty."""
+    """``keep`` columns, ``n_hits`` long and the score (0 to 1) of every whole text.
+
+    Null counts as empty, equal texts score alike, repeated rows stay
+    repeated, other columns are not read, and an empty table gives an empty
+    result.
+    """
     source = docs.select(*keep, text_or_empty(text).alias("_text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("n_hits", T.LongType()), T.StructField(name, T.DoubleType())])
     lexicon._automaton = None  # built once on each worker

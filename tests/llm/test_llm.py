@@ -176,14 +176,51 @@ def test_toxicity_learns_and_folds(spark):
     assert toxicity.Lexicon({"trash": 5.0}).hits("into the trash can now") == {}
 
 
-def test_pu_quality(spark):
+def junk(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(["zzkq", "BUY!!", "wq###", "|", "$$$"]) + str(r.randrange(9)) * (r.random() < 0.3) for _ in range(n))
+
+
+def test_pu_quality_learns_from_positives_alone(spark):
+    texts = [(i, prose(i, 60) if i % 4 else junk(i, 60)) for i in range(400)]
+    labels = [(i, int(i % 4 > 0)) for i in range(200)] + [(1, 1), (None, 1), (3, None)]
+    docs = spark.createDataFrame(texts + [(900, ""), (901, None), (None, prose(1, 60)), (5, prose(5, 60))], "doc_id long, text string")
+    rows = pu_quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert len(rows) == 404 and all(0 <= r.score <= 1 for r in rows)
+    out = {r.doc_id: r.score for r in rows}
+    assert sum((out[i] >= 0.5) == bool(i % 4) for i in range(200, 400)) >= 196
+    assert out[900] == out[901] and len({r.score for r in rows if r.doc_id == 5}) == 1
+    clash = docs.withColumn("_terms", docs.doc_id).withColumn("_text", docs.text)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in pu_quality.classify(clash, none).collect()} == {0.5}
+    assert pu_quality.classify(docs.limit(0), none).collect() == []
+
+
+def test_pu_prior_and_own_contribution():
     r = np.random.default_rng(1)
-    good = np.abs(r.normal([0.01, 0.03, 0.01, 0, 0.7, 0.01, 0.01, 5, 5], 0.02, (900, 9)))
-    junk = np.abs(r.normal([1.0, 0.5, 0.5, 0, 0.1, 0.5, 0.3, 9, 5], 0.02, (300, 9)))
-    model = pu_quality.fit_arrays(good[:400], np.concatenate([good[400:], junk]))
-    assert abs(model.prior - 0.625) < 0.06
-    w = np.array(model.weights)
-    assert (pu_quality.one_hot(good) @ w > 0).mean() > 0.99 and (pu_quality.one_hot(junk) @ w < 0).mean() > 0.99
+    good = np.stack([r.integers(0, 2, 1300) if k else r.integers(6, 11, 1300) for k in range(len(pu_quality.MEASURES))], axis=1)
+    bad = np.stack([r.integers(1, 3, 300) if k else r.integers(0, 4, 300) for k in range(len(pu_quality.MEASURES))], axis=1)
+    bins = np.concatenate([good, bad])
+    half = np.eye(2)[np.arange(len(bins)) % 2]
+    positive, unlabelled = half.copy(), half.copy()
+    positive[400:], unlabelled[:400] = 0, 0
+    model = pu_quality.fit_counts(bins, positive, unlabelled)
+    assert abs(model.prior - 0.75) < 0.08
+    score = pu_quality.one_hot(bins) @ np.array(model.weights)
+    assert (score[:1300] > 0).mean() > 0.97 and (score[1300:] < 0).mean() > 0.95
+    # A trusted text meets the log-odds that the other trusted texts alone would give.
+    texts = pa.array([prose(i, 50) for i in range(12)])
+    owner, bucket = pu_quality.terms(texts)
+    share = 1 / np.bincount(owner)[owner]
+    count = lambda of: [(b, share[bucket == b].sum(), (share * of[owner])[bucket == b].sum(), float((bucket == b).sum())) for b in np.unique(bucket)]
+    trusted = np.arange(12) < 5
+    without = trusted.copy()
+    without[2] = False
+    one = owner == 2
+    alone = np.zeros(one.sum(), dtype=int)
+    a = pu_quality.TermTable.of(count(trusted)).means(alone, bucket[one], np.array([True]))
+    b = pu_quality.TermTable.of(count(without)).means(alone, bucket[one], np.array([False]))
+    assert abs(a[0] - b[0]) < 1e-9
 
 
 def brute_classes(texts):

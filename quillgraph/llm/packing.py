@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 
 from .common import materialize, text_or_empty
 
-#: Groups into which the pieces of one length are dealt for ranking.
-RANK_GROUPS = 256
+#: The pieces of one length are dealt into so many groups at least for ranking, and so that a group has about so many of all pieces.
+RANK_GROUPS, PIECES_PER_GROUP = 64, 1_000_000
 ROWS_PER_BATCH = 256
 
 
@@ -129,12 +129,13 @@ def exact_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return np.concatenate(rows).astype(np.int64) if rows else np.zeros((0, 3), dtype=np.int64)
 
 
-def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 40) -> np.ndarray:
+def fit_repeats(patterns: np.ndarray, histogram: np.ndarray) -> np.ndarray:
     """Non-negative least squares min ||A x - histogram||, x >= 0.
 
     Coordinate descent over blocks of patterns that share no length: inside a
     block every coordinate is minimised exactly, and the solution stays sparse
-    enough for rounding to keep it.
+    enough for rounding to keep it.  It ends when no coordinate lowers the sum
+    of squares by a quarter.
     """
     size = len(histogram)
     x = np.zeros(len(patterns))
@@ -144,7 +145,7 @@ def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 40) -
     square = np.maximum((weight * (patterns > 0)).sum(axis=1), 1).astype(float)  # |a_j|^2 = sum of squared multiplicities
     residual = histogram.astype(float).copy()
     residual[0] = 0
-    for _ in range(rounds):
+    while True:
         gradient = residual[patterns].sum(axis=1)  # residual[0] is 0: padding adds nothing
         new = np.maximum(0.0, x + gradient / square)
         gain = (new - x) ** 2 * square
@@ -247,52 +248,52 @@ def slots(sequences: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
     return frame.sort_values(["length", "first_rank"], ignore_index=True)
 
 
-def pack(pieces: DataFrame, *, length: str = "length", capacity: int = 2048, order: tuple[str, ...] = ("doc_id", "piece"), rank_groups: int = RANK_GROUPS) -> DataFrame:
+def pack(pieces: DataFrame, *, length: str = "length", capacity: int = 2048, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """Give every piece a ``sequence_id`` and an ``offset`` in it.
 
     All columns of ``pieces`` stay; ``sequence_id`` and ``offset`` of the input
-    are replaced.  ``length`` must lie in 1..capacity for every row (a null or
-    other length raises).  Ties and repeated rows each get a place of their
-    own; which of two equal rows gets which place is arbitrary.  An empty
-    table gives an empty result.  Sequences are numbered from 0 without gaps.
+    are replaced.  A piece with a null length has no place: both are null.
+    Other lengths must lie in 1..capacity, or a ValueError is raised.  Ties and
+    repeated rows each get a place of their own; which of two equal rows gets
+    which place is arbitrary.  An empty table gives an empty result.
+    Sequences are numbered from 0 without gaps.
 
     What reaches the driver is the histogram (at most ``capacity`` rows); what
     is sent to executors is the slot table, whose size depends on the capacity
     and not on the number of pieces.
     """
-    keep = [c for c in pieces.columns if c not in ("sequence_id", "offset", "_group", "_rank", "_before")]
-    pieces = materialize(pieces.select(*keep), "pieces")
-    grouped = pieces.withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(rank_groups)).cast("int"))
-    by_group = grouped.groupBy(length, "_group").agg(F.count(F.lit(1)).alias("_n"))
-    counts = by_group.groupBy(length).agg(F.sum("_n").alias("n")).collect()  # at most `capacity` rows
-    if any(r[length] is None for r in counts):
-        raise ValueError("a piece has no length")
-    table = slots(plan({int(r[length]): int(r["n"]) for r in counts}, capacity))
-    before = by_group.select(
-        length, "_group", (F.sum("_n").over(Window.partitionBy(length).orderBy("_group").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before")
-    )
-    within = Window.partitionBy(length, "_group").orderBy(*order)
+    keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    # The salt is written with the pieces: it deals out equal keys, and every reader sees the same one.
+    rows = pieces.select(F.struct(*(F.col(c) for c in keep)).alias("_row"), F.col(length).cast("long").alias("_length"), F.expr("cast(rand() * 9007199254740992 as long)").alias("_salt"))
+    rows = materialize(rows, "pieces")
+    groups = max(RANK_GROUPS, -(-rows.count() // PIECES_PER_GROUP))
+    grouped = rows.filter("_length IS NOT NULL").withColumn("_group", (F.col("_salt") % groups).cast("int"))
+    by_group = grouped.groupBy("_length", "_group").agg(F.count(F.lit(1)).alias("_n"))
+    counts = by_group.groupBy("_length").agg(F.sum("_n").alias("n")).collect()  # at most `capacity` rows
+    table = slots(plan({int(r["_length"]): int(r["n"]) for r in counts}, capacity))
+    by_length = Window.partitionBy("_length").orderBy("_group").rowsBetween(Window.unboundedPreceding, 0)
+    before = by_group.select("_length", "_group", (F.sum("_n").over(by_length) - F.col("_n")).alias("_before"))
+    within = Window.partitionBy("_length", "_group").orderBy(*(F.col("_row").getField(c) for c in order), "_salt")
     ranked = (
-        grouped.withColumn("_rank", F.row_number().over(within) - 1)
-        .join(before, [length, "_group"])
-        .withColumn("_rank", (F.col("_rank") + F.col("_before")).cast("long"))
-        .select(*keep, "_rank")
+        grouped.withColumn("_in_group", F.row_number().over(within) - 1)
+        .join(before, ["_length", "_group"])
+        .select(*(F.col("_row").getField(c).alias(c) for c in keep), "_length", (F.col("_in_group") + F.col("_before")).cast("long"))
     )
     key = table["length"].to_numpy() * (1 << 44) + table["first_rank"].to_numpy()
     first_rank, first_sequence, offset = (table[c].to_numpy() for c in ("first_rank", "first_sequence", "offset"))
     sent = pieces.sparkSession.sparkContext.broadcast((key, first_rank, first_sequence, offset))  # bounded by the capacity
-    schema = T.StructType([*ranked.schema.fields[:-1], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    at = keep.index(length)
+    schema = T.StructType([*ranked.schema.fields[:-2], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks, sequences, offsets = sent.value
         for batch in batches:
             rank = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            slot = np.searchsorted(keys, batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64) * (1 << 44) + rank, side="right") - 1
+            slot = np.searchsorted(keys, np.asarray(batch.column(batch.num_columns - 2)) * (1 << 44) + rank, side="right") - 1
             found = [pa.array(sequences[slot] + rank - ranks[slot], pa.int64()), pa.array(offsets[slot], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *found], names=schema.names)
 
-    return ranked.mapInArrow(place, schema)
+    placeless = rows.filter("_length IS NULL").select("_row.*", *(F.lit(None).cast("long").alias(c) for c in ("sequence_id", "offset")))
+    return ranked.mapInArrow(place, schema).unionByName(placeless)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, text: str = "text", capacity: int = 2048, end_id: int | None = 0) -> DataFrame:

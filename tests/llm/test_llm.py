@@ -331,3 +331,14 @@ def test_near_duplicates_odd_tables(spark):
     assert sorted(map(str, out.collect())) == sorted(map(str, (docs.collect()[k] for k in (1, 2, 4))))
     assert sorted(str(r.class_id) for r in minhash.near_duplicates(docs).collect()) == ["7", "7", "7", "8", "8", "None"]
     assert minhash.near_duplicates(docs.limit(0)).collect() == [] == minhash.keep_one(docs.limit(0)).collect()
+
+
+def test_pack_gives_no_place_without_length(spark):
+    rows = [(i, 0, n, "x") for i, n in enumerate([5, 5, 5, 7, None, 3, 10])] + [(None, None, 4, None), (None, None, 4, None)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, _salt string")
+    out = packing.pack(pieces, capacity=10).collect()
+    assert out[0].asDict().keys() == {"doc_id", "piece", "length", "_salt", "sequence_id", "offset"} and len(out) == len(rows)
+    packing.check_layout([(r.sequence_id, r.offset, r.length) for r in out if r.length is not None], 10)
+    assert [(r.sequence_id, r.offset) for r in out if r.length is None] == [(None, None)]
+    with pytest.raises(ValueError):
+        packing.pack(pieces, capacity=6)

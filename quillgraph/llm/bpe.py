@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from .common import materialize, text_or_empty
 
 #: Characters of a chunk without its overlap, and of the overlap.
-CHUNK_CHARS = 32_768
-OVERLAP_CHARS = 1_024
+CHUNK_CHARS = 16_384
+OVERLAP_CHARS = 512
 ROWS_PER_BATCH = 256
 
 

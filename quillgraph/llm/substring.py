@@ -142,13 +142,21 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     return again.select("_key", "_text_hash", at, F.shiftright(F.col("_place").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias("_size"))
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that is not taken."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> DataFrame:
     """``docs`` with the repeated sentences removed from ``text``; all columns and rows stay.
 
     A text without repeats is unchanged; one that consists of repeats becomes
     empty; null stays null.  Rows with one key count as one document: what
     only they share stays in each of them, as do exact repeats of a row.  A
-    null key comes before all others.  An empty table gives an empty result.
+    null key comes before all others.  Columns of any name pass unchanged.  An
+    empty table gives an empty result.
     """
     covers = (
         repeated_spans(docs, text=text, key=key, min_words=min_words, min_sentences=min_sentences)
@@ -156,8 +164,9 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
         .agg(F.collect_set(F.struct("_at", "_size")).alias("_covers"))
         .withColumnsRenamed({"_key": "_cover_key", "_text_hash": "_cover_hash"})
     )
-    marked = docs.withColumn("_text_hash", F.xxhash64(text_or_empty(text)))
-    joined = marked.join(covers, F.col(key).cast("long").eqNullSafe(F.col("_cover_key")) & (F.col("_text_hash") == F.col("_cover_hash")), "left").select(*docs.columns, "_covers")
+    marked = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(key).cast("long").alias("_key"), F.xxhash64(text_or_empty(text)).alias("_text_hash"))
+    joined = marked.join(covers, F.col("_key").eqNullSafe(F.col("_cover_key")) & (F.col("_text_hash") == F.col("_cover_hash")), "left")
+    joined = joined.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns), F.col("_covers").alias(_free("_covers", docs.columns)))
     at = docs.columns.index(text)
     schema = docs.schema
 

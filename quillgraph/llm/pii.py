@@ -161,17 +161,28 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(key: str, m: Column) -> Column:
-    def run(compact: Column) -> Column:
-        country, body = F.substring(compact, 1, 2), F.substr(compact, F.lit(5), F.length(compact) - 4)
-        valid = _mod97(F.concat(body, country, F.substring(compact, 3, 2))) == 1
+    """The longest valid number of 15 characters or more with which the match begins and which ends at a space."""
+    compact = lambda p: F.replace(p, F.lit(" "), F.lit(""))
 
-        def rebuilt(new: Column) -> Column:
-            check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-            return _let(F.concat(country, check, new), lambda whole: _spread(m, whole))
+    def changed(p: Column) -> Column:
+        def run(whole: Column) -> Column:
+            country, body = F.substring(whole, 1, 2), F.substr(whole, F.lit(5), F.length(whole) - 4)
 
-        return F.when(valid, _let(permute_text(key, "iban", body), rebuilt)).otherwise(m)
+            def rebuilt(new: Column) -> Column:
+                check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+                return _let(F.concat(country, check, new), lambda out: _spread(p, out))
 
-    return _let(F.replace(m, F.lit(" "), F.lit("")), run)
+            return _let(permute_text(key, "iban", body), rebuilt)
+
+        return _let(compact(p), run)
+
+    def valid(p: Column) -> Column:
+        c = compact(p)
+        return (F.length(c) >= 15) & (_mod97(F.concat(F.substr(c, F.lit(5), F.length(c)), F.substring(c, 1, 4))) == 1)
+
+    groups = F.split(m, " ")
+    ends = F.reverse(F.sequence(F.lit(1), F.size(groups)))
+    return _first_valid(F.transform(ends, lambda i: F.array_join(F.slice(groups, F.lit(1), i), " ")), valid, m, changed)
 
 
 def _spread(shape: Column, chars: Column) -> Column:
@@ -249,14 +260,27 @@ def _phone(key: str, m: Column) -> Column:
     return F.when(F.length(_only_digits(m)).between(7, 15), _let(_only_digits(m), run)).otherwise(m)
 
 
+def _first_valid(candidates: Column, valid, m: Column, changed) -> Column:
+    """``changed`` of the first valid candidate, a beginning of the match, and the rest of the match; or the match."""
+    chosen = F.try_element_at(F.filter(candidates, valid), F.lit(1))
+    return _let(chosen, lambda p: F.when(p.isNull(), m).otherwise(F.concat(changed(p), F.substr(m, F.length(p) + 1, F.length(m)))))
+
+
 def _card(key: str, m: Column) -> Column:
-    def run(d: Column) -> Column:
+    """The longest valid number of 13 to 19 digits with which the match begins and which ends at a separator."""
+
+    def changed(p: Column) -> Column:
         def checked(new: Column) -> Column:
-            return _fill(m, F.concat(new, ((10 - _luhn_sum(new, True) % 10) % 10).cast("string")))
+            return _fill(p, F.concat(new, ((10 - _luhn_sum(new, True) % 10) % 10).cast("string")))
+
+        def run(d: Column) -> Column:
+            return _let(permute_digits(key, "card", F.substr(d, F.lit(1), F.length(d) - 1)), checked)
 
-        return F.when(_luhn_sum(d, False) % 10 == 0, _let(permute_digits(key, "card", F.substr(d, F.lit(1), F.length(d) - 1)), checked)).otherwise(m)
+        return _let(_only_digits(p), run)
 
-    return _let(_only_digits(m), run)
+    lengths = F.sequence(F.lit(19), F.lit(13), F.lit(-1))
+    candidates = F.transform(lengths, lambda k: F.regexp_substr(m, F.concat(F.lit(r"^\d(?:[ -]?\d){"), (k - 1).cast("string"), F.lit(r"}(?![^ -])"))))
+    return _first_valid(candidates, lambda p: p.isNotNull() & (_luhn_sum(_only_digits(p), False) % 10 == 0), m, changed)
 
 
 def pseudonym(key: str, m: Column) -> Column:
@@ -281,17 +305,18 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", count: str |
     """``docs`` with pseudonyms in ``text``; all rows and columns stay.
 
     Equal values get equal pseudonyms wherever they stand.  Text around them
-    is untouched, null stays null, repeated rows are treated alike, and an
-    empty table gives an empty result.  With ``count`` a long column of that
-    name (replaced if there) says how many values were changed.
+    is untouched, null stays null, empty stays empty, repeated rows are
+    treated alike, columns of any name pass, and an empty table gives an empty
+    result.  With ``count`` a long column of that name (replaced if there)
+    says how many values were changed.
     """
-    kept = [c for c in docs.columns if c not in ("_found", "_between", "_new", count)]
+    kept = [c for c in docs.columns if c != count]
     has = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
-    found = docs.select(*kept, F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("_found"))
-    found = found.withColumn("_between", F.when(F.size("_found") > 0, F.split(text, ANY)))
+    body = docs.select(F.struct(*(F.col(c) for c in kept)).alias("_row"), F.col(text).alias("_text"), F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("_found"))
+    found = body.withColumn("_between", F.when(F.size("_found") > 0, F.split("_text", ANY)))
     changed = found.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(key, m))))
     joined = F.array_join(F.transform("_between", lambda part, i: F.concat(part, F.coalesce(F.try_element_at("_new", i + 1), F.lit("")))), "")
-    columns = [F.when(F.col("_between").isNotNull(), joined).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in kept]
+    columns = [F.when(F.col("_between").isNotNull(), joined).otherwise(F.col("_text")).alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in kept]
     if count:
         different = F.size(F.filter(F.arrays_zip("_found", "_new"), lambda z: z["_found"] != z["_new"]))
         columns.append(F.when(F.col("_new").isNotNull(), different).otherwise(0).cast("long").alias(count))

@@ -30,6 +30,8 @@ MIN_WORDS = 15
 #: In so many consecutive words there is a cut.
 WINDOW = 8
 ROWS_PER_BATCH = 1024
+#: Stands for a null key, which comes before all others.
+NULL_KEY = -(1 << 63)
 
 _END = re.compile(r"[.!?]+\s+|\n+")
 _WORD = re.compile(r"\S+")
@@ -101,7 +103,10 @@ def spans(docs: DataFrame, *, text: str, key: str, min_words: int, min_sentences
     """``_key, _text_hash, _place, _hash, _hash2``: all runs.
 
     ``_place`` is the first part times 2^32, plus twice the number of parts,
-    plus one if the run was seen before in the same text.
+    plus one if the run is known to repeat: it was seen before in the same
+    text, or among the texts worked on together in one with a smaller key.  So
+    of a run that many documents share only one row for each thousand texts
+    has to meet the others.
     """
     schema = "_key long, _text_hash long, _place long, _hash long, _hash2 long"
 
@@ -115,6 +120,13 @@ def spans(docs: DataFrame, *, text: str, key: str, min_words: int, min_sentences
                 if len(order) > 1:
                     a, b = order[1:], order[:-1]
                     same[a] = (owner[a] == owner[b]) & (h[a] == h[b]) & (h2[a] == h2[b])
+                low = np.asarray(batch.column(0).fill_null(NULL_KEY)).astype(np.int64)[owner]
+                order = np.lexsort((low, h2, h))
+                if len(order):
+                    a, b = order[1:], order[:-1]
+                    begins = np.append(0, np.flatnonzero((h[a] != h[b]) | (h2[a] != h2[b])) + 1)
+                    least = np.repeat(low[order[begins]], np.diff(np.append(begins, len(order))))
+                    same[order] |= low[order] > least
                 rows = pa.array(owner, pa.int64())
                 place = (at.astype(np.int64) << 32) | (size.astype(np.int64) << 1) | same
                 yield pa.RecordBatch.from_arrays(
@@ -129,14 +141,16 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     """Runs that repeat an earlier one: ``_key, _text_hash, _at, _size``.
 
     The first place of a run is the first one in the document with the
-    smallest key.  The runs are dealt out once; those of one hash are buffered
-    by the window, which spills them to disk where many documents share one.
+    smallest key.  The runs are dealt out once, by their hashes; those that are
+    known to repeat need not meet the others and are spread by their keys, so
+    a run that a third of all documents share does not gather in one task.
     """
     from pyspark.sql import Window
 
     found = spans(docs, text=text, key=key, min_words=min_words, min_sentences=min_sentences)
-    low = F.coalesce("_key", F.lit(-(1 << 63)))  # null is the smallest key
-    first = F.min(low).over(Window.partitionBy("_hash", "_hash2"))
+    low = F.coalesce("_key", F.lit(NULL_KEY))
+    known = F.col("_place") % 2 == 1
+    first = F.min(low).over(Window.partitionBy("_hash", "_hash2", F.when(known, F.col("_key"))))
     again = found.withColumn("_first", first).filter((low > F.col("_first")) | (F.col("_place") % 2 == 1))
     at = F.shiftright("_place", 32).cast("int").alias("_at")
     return again.select("_key", "_text_hash", at, F.shiftright(F.col("_place").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias("_size"))

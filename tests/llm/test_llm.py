@@ -342,3 +342,57 @@ def test_pack_gives_no_place_without_length(spark):
     assert [(r.sequence_id, r.offset) for r in out if r.length is None] == [(None, None)]
     with pytest.raises(ValueError):
         packing.pack(pieces, capacity=6)
+
+
+def brute_repeats(rows, min_words, min_sentences):
+    """What remains of each text when a part goes that any repeated run covers: plain dictionaries of word tuples."""
+    first, parts, all_runs = {}, {}, {}
+    for key, text in rows:
+        found = substring.sentences(text or "")
+        parts[key] = found
+        words = [tuple((text or "")[a:b].split()) for a, b, _ in found]
+        all_runs[key] = []
+        for i in range(len(found)):
+            n, j = 0, i
+            while j < len(found) and (n < min_words or j - i < min_sentences):
+                n += len(words[j])
+                j += 1
+            if n >= min_words and j - i >= min_sentences:
+                run = tuple(words[i:j])
+                all_runs[key].append((i, j, run))
+                first.setdefault(run, []).append((key, i))
+    out = {}
+    for key, text in rows:
+        gone = set()
+        for i, j, run in all_runs[key]:
+            if min(first[run]) < (key, i):
+                gone.update(range(i, j))
+        out[key] = None if text is None else "".join(text[a:b] for k, (a, b, _) in enumerate(parts[key]) if k not in gone)
+    return out
+
+
+def test_substring_against_brute_force(spark, monkeypatch):
+    """Passages shared by many, some or two documents, in batches smaller than their groups."""
+    r = random.Random(11)
+    common = [prose(1000 + i, 70) for i in range(6)]
+    rows = []
+    for i in range(150):
+        body = [prose(i, r.randrange(5, 90))]
+        for c in range(6):
+            if r.random() < (0.8, 0.5, 0.2, 0.05, 0.02, 0.02)[c]:
+                body.insert(r.randrange(len(body) + 1), common[c])
+        if i % 17 == 0:
+            body += body[:1]
+        rows.append((i, ". ".join(body)))
+    rows += [(200, None), (201, ""), (-5, common[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x.text for x in substring.remove_repeats(docs).collect()}
+    assert got == brute_repeats(rows, substring.MIN_WORDS, substring.MIN_SENTENCES)
+
+
+def test_substring_clashing_names_and_empty_table(spark):
+    text = prose(5, 90)
+    docs = spark.createDataFrame([(1, text, "x", 3), (2, text, "y", 4)], "doc_id long, text string, _covers string, _text_hash long")
+    out = sorted(substring.remove_repeats(docs).collect())
+    assert [(x.doc_id, x._covers, x._text_hash) for x in out] == [(1, "x", 3), (2, "y", 4)] and out[0].text == text and len(out[1].text.split()) < 20
+    assert substring.remove_repeats(docs.limit(0)).collect() == []

@@ -73,18 +73,25 @@ def row_cdf(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", F.when(last, 1.0).otherwise(run).alias("cdf"))
 
 
-def reindex(values: Column) -> Column:
-    """Dense labels 0.. in sorted order: a distinct-then-rank over the values' domain."""
-    return F.dense_rank().over(Window.orderBy(values)) - 1
+def running_sum(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` from the first row to this one in the given order.
 
+    Rows are dealt out by ranges of the order; a window adds up inside each
+    range, and the totals of the ranges, one row each, are added up before.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    valued = df.withColumn("_value", value)
+    dealt = checkpoint(valued.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy("_range").agg(F.sum("_value").alias("_total"))
+    before = totals.select("_range", (F.sum("_total").over(Window.orderBy("_range")) - F.col("_total")).alias("_before"))
+    inside = F.sum("_value").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_inside") + F.col("_before")).select(*df.columns, name)  # one row a range
 
-def reindex_column(df: DataFrame, column: str, name: str) -> DataFrame:
-    """``df`` with ``name``, the dense rank of ``column``.
 
-    Only the distinct values are ranked, not the rows, so the one-task window
-    sees as many rows as there are values.
-    """
-    ranks = df.select(column).distinct().withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
+def reindex_column(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the dense rank of ``column`` from 0: the distinct values are numbered by ranges."""
+    values = df.select(column).distinct()
+    ranks = running_sum(values, [column], F.lit(1), name).withColumn(name, (F.col(name) - 1).cast("long"))
     return df.join(ranks, column)
 
 

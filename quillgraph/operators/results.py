@@ -18,14 +18,15 @@ def parse_params(name: Column | str, sep: str = "~") -> Column:
 
 
 def stem(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.[^.]*$", "")
+    return F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.(csv|npz|txt|tsv|parquet)$", "")
 
 
 def load_files(spark: SparkSession, pattern: str | Sequence[str], schema: str, sep: str = "~") -> DataFrame:
-    """Rows of many CSV files with a ``params`` map parsed from each file's name."""
+    """Rows of many CSV files, or of folders of them, with a ``params`` map parsed from each one's name."""
     paths = [pattern] if isinstance(pattern, str) else list(pattern)
     rows = spark.read.schema(schema).option("header", True).csv(paths)
-    return rows.withColumn("filename", F.col("_metadata.file_name")).withColumn("params", parse_params(stem(F.col("filename")), sep))
+    whole = F.regexp_replace(F.col("_metadata.file_path"), r"/part-[^/]*$", "")  # a table that Spark wrote is named by its folder
+    return rows.withColumn("filename", F.regexp_replace(whole, r"^.*/", "")).withColumn("params", parse_params(stem(F.url_decode("filename")), sep))
 
 
 def widen(df: DataFrame, keys: Sequence[str], params: str = "params") -> DataFrame:

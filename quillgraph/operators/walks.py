@@ -13,13 +13,13 @@ from ..functions import prng
 from ..plans.lineage import checkpoint
 
 
-def _starts(edges: DataFrame, walks: int) -> DataFrame:
+def _starts(edges: DataFrame, walks: int, first_round: int = 0) -> DataFrame:
     nodes = edges.select(F.col("src").alias("start")).distinct()
-    rounds = edges.sparkSession.range(walks).select(F.col("id").alias("round"))
+    rounds = edges.sparkSession.range(first_round, first_round + walks).select(F.col("id").alias("round"))
     return nodes.crossJoin(F.broadcast(rounds)).select("start", "round", F.array("start").alias("path"))  # `walks` rows are broadcast
 
 
-def uniform_walks(edges: DataFrame, length: int, walks: int = 1, seed: int = 1, backtrack: bool = True, cut_every: int = 8) -> DataFrame:
+def uniform_walks(edges: DataFrame, length: int, walks: int = 1, seed: int = 1, backtrack: bool = True, cut_every: int = 8, first_round: int = 0) -> DataFrame:
     """``start, round, path``: each step goes to neighbour number ``h mod degree`` in order of id.
 
     Without ``backtrack`` the previous node is no candidate; a walk without
@@ -27,7 +27,7 @@ def uniform_walks(edges: DataFrame, length: int, walks: int = 1, seed: int = 1,
     """
     ordered = edges.select(F.col("src").alias("cur"), "dst").distinct()
     lists = checkpoint(ordered.groupBy("cur").agg(F.array_sort(F.collect_list("dst")).alias("next")))  # the neighbours of one node
-    out = _starts(edges, walks)
+    out = _starts(edges, walks, first_round)
     for t in range(1, length):
         at = out.withColumn("cur", F.element_at("path", -1)).join(lists, "cur", "left")
         options = F.coalesce("next", F.array().cast("array<long>"))
@@ -73,6 +73,63 @@ def biased_walks(edges: DataFrame, length: int, p: float = 1.0, q: float = 1.0,
     return out
 
 
+def weighted_walks(edges: DataFrame, length: int, walks: int = 1, seed: int = 1, digits: int = 12, cut_every: int = 8) -> DataFrame:
+    """First-order walks that follow the weights by inverse CDF; a walk without candidates stops early."""
+    by = Window.partitionBy("src")
+    run = F.sum("w").over(by.orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(by)
+    last = F.row_number().over(by.orderBy("dst")) == F.count(F.lit(1)).over(by)
+    steps = edges.select(F.col("src").alias("cur"), "dst", F.when(last, 1.0).otherwise(F.round(run, digits)).alias("cdf"))
+    table = checkpoint(steps.groupBy("cur").agg(F.array_sort(F.collect_list(F.struct("cdf", "dst"))).alias("table")))  # the neighbours of one node
+    out = _starts(edges, walks)
+    for t in range(1, length):
+        at = out.withColumn("cur", F.element_at("path", -1)).join(table, "cur", "left").withColumn("_u", prng.uniform(seed, F.col("start"), F.col("round"), F.lit(t)))
+        step = F.get(F.filter("table", lambda x: x["cdf"] >= F.col("_u")), F.lit(0))["dst"]
+        picked = at.withColumn("_next", step)
+        done = F.col("_next").isNull() | (F.size("path") < t)
+        out = picked.select("start", "round", F.when(done, F.col("path")).otherwise(F.concat("path", F.array("_next"))).alias("path"))
+        if t % cut_every == 0:
+            out = checkpoint(out)
+    return out
+
+
+def simulate(edges: DataFrame, length: int = 80, walks: int = 10, p: float = 1.0, q: float = 1.0, seed: int = 1) -> DataFrame:
+    """Walks from every node ``walks`` times: biased where p or q says so, weighted where weights differ, else uniform."""
+    if p != 1.0 or q != 1.0:
+        return biased_walks(edges, length, p, q, walks, seed)
+    row = edges.agg(F.min("w").alias("least"), F.max("w").alias("most")).first()
+    same = row["least"] is None or row["least"] == row["most"]
+    return uniform_walks(edges, length, walks, seed) if same else weighted_walks(edges, length, walks, seed)
+
+
+def token_budget_walks(edges: DataFrame, length: int, walks: int, seed: int = 1) -> DataFrame:
+    """Non-backtracking walks, round after round, until they hold ``length * walks * nodes`` nodes in all.
+
+    Rounds are made ``walks`` at a time.  A round is kept if those before it
+    fall short of the budget.
+    """
+    wanted = length * walks * edges.select("src").distinct().count()
+    out, first, total = None, 0, 0
+    while total < wanted:
+        more = checkpoint(uniform_walks(edges, length, walks, seed, backtrack=False, first_round=first))
+        sizes = {r["round"]: r["n"] for r in more.groupBy("round").agg(F.sum(F.size("path")).alias("n")).collect()}  # `walks` rows
+        kept = []
+        for r in sorted(sizes):
+            if total < wanted:
+                kept.append(r)
+                total += sizes[r]
+        part = more.filter(F.col("round").isin(kept))
+        out = part if out is None else out.unionByName(part)
+        first += walks
+        if not sizes:
+            break
+    return more if out is None else out
+
+
+def epochs(edges: DataFrame, number: int, seed: int = 1) -> DataFrame:
+    """``epoch, start, position_key``: for each epoch all nodes in an order of its own, as a sort key."""
+    return _starts(edges, number).select(F.col("round").alias("epoch"), "start", prng.bits(seed, F.col("round"), F.col("start")).alias("position_key"))
+
+
 def positions(walks: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
     return walks.select(*keys, F.posexplode(path).alias("pos", "node"))
 

@@ -70,6 +70,112 @@ def planted_partition(spark: SparkSession, n: int, q: int, cin: float, cout: flo
     return without_loops(symmetrize(own.union(other).withColumn("w", F.lit(1.0)))), nodes
 
 
+def edge_counts(requests: DataFrame, seed: int, *keys: str) -> DataFrame:
+    """``requests(n, p, ...)`` with ``edges``, a binomial number: n keyed trials where p lies inside (0, 1).
+
+    p <= 0 gives 0 and p >= 1 gives n.  Beyond 10^5 trials a normal draw with
+    the same mean and variance takes their place.
+    """
+    n, p = F.col("n"), F.col("p")
+    trials = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(100_000)).cast("int")), lambda k: F.when(prng.uniform(seed, *keys, k) < p, 1).otherwise(0))
+    counted = F.aggregate(trials, F.lit(0), lambda a, x: a + x).cast("long")
+    u, v = prng.uniform(seed, *keys, F.lit("u")), prng.uniform(seed, *keys, F.lit("v"))
+    normal = F.sqrt(-2 * F.ln(1 - u)) * F.cos(2 * F.pi() * v)
+    many = F.greatest(F.lit(0), F.least(n, F.round(n * p + normal * F.sqrt(n * p * (1 - p))).cast("long")))
+    return requests.withColumn("edges", F.when((p <= 0) | (n <= 0), 0).when(p >= 1, n).when(n > 100_000, many).otherwise(counted).cast("long"))
+
+
+def two_communities(spark: SparkSession, n: int, cave: float, cdiff: float, seed: int = 1, exact: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Planted partition of two groups with cin = cdiff / 2 + cave and cout = cave - cdiff / 2, without a floor."""
+    return planted_partition(spark, n, 2, cdiff / 2 + cave, cave - cdiff / 2, seed, exact)
+
+
+def ordered_partition(spark: SparkSession, n: int, q: int, cin: float, cout: float, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Planted partition that tries every ordered pair by itself and keeps its direction (small n)."""
+    nodes = membership(spark, n, q)
+    a = nodes.select(F.col("node_id").alias("src"), F.col("membership").alias("g"))
+    b = nodes.select(F.col("node_id").alias("dst"), F.col("membership").alias("h"))
+    p = F.when(F.col("g") == F.col("h"), cin / n).otherwise(cout / n)
+    return a.join(b, F.col("src") != F.col("dst")).filter(prng.uniform(seed, "src", "dst") < p).select("src", "dst", F.lit(1.0).alias("w")), nodes
+
+
+def poisson_blocks(spark: SparkSession, sizes: list[int], rates: list[list[float]], seed: int = 1, connected: bool = True) -> tuple[DataFrame, DataFrame, int]:
+    """(edges, nodes, seed): every pair i < j has a Poisson number of edges with the rate of its blocks.
+
+    The number is found by inverse CDF (up to 8 edges).  With ``connected``
+    seeds are tried in turn until the network is one component.
+    """
+    from ..operators.graph import connected_components
+
+    ends = [sum(sizes[: k + 1]) for k in range(len(sizes))]
+    group = F.lit(len(sizes) - 1)
+    for k in range(len(sizes) - 2, -1, -1):
+        group = F.when(F.col("id") < ends[k], k).otherwise(group)
+    nodes = spark.range(ends[-1]).select(F.col("id").alias("node_id"), group.cast("long").alias("membership"))
+    a = nodes.select(F.col("node_id").alias("src"), F.col("membership").alias("g"))
+    b = nodes.select(F.col("node_id").alias("dst"), F.col("membership").alias("h"))
+    table = spark.createDataFrame([(g, h, float(r)) for g, row in enumerate(rates) for h, r in enumerate(row)], "g long, h long, rate double")
+    pairs = a.join(b, F.col("src") < F.col("dst")).join(F.broadcast(table), ["g", "h"])  # one row for each pair of blocks
+    while True:
+        u, term, total, w = prng.uniform(seed, "src", "dst"), F.exp(-F.col("rate")), F.lit(0.0), F.lit(0)
+        for k in range(8):
+            total = total + term
+            w = w + F.when(u >= total, 1).otherwise(0)
+            term = term * F.col("rate") / (k + 1)
+        half = pairs.select("src", "dst", w.cast("double").alias("w")).filter("w > 0")
+        edges = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+        if not connected:
+            return edges, nodes, seed
+        found = connected_components(edges)
+        if found.count() == ends[-1] and found.select("component").distinct().count() == 1:
+            return edges, nodes, seed
+        seed += 1
+
+
+def stub_matching(degrees: DataFrame, mu: float, q: int, seed: int = 1) -> DataFrame:
+    """Block model with prescribed degrees: ``degrees(node_id, membership, k_out, k_in)`` to ``src, dst, w``.
+
+    Every out-stub goes to its own group or, with probability ``mu``, to
+    another one, drawn by keyed numbers.  Out-stubs towards a group and its
+    in-stubs are put in keyed orders and matched by rank, so in-degrees are
+    met as far as there are out-stubs; repeated edges add up.
+    """
+    from pyspark.sql import Window
+
+    out = degrees.select("node_id", "membership", F.explode(F.expr("sequence(1, k_out)")).alias("k"))
+    away = prng.uniform(seed, F.lit("mix"), "node_id", "k") < mu
+    shift = 1 + prng.bits(seed, F.lit("to"), "node_id", "k") % max(1, q - 1)
+    out = out.withColumn("group", F.when(away, (F.col("membership") + shift) % q).otherwise(F.col("membership")))
+    into = degrees.select("node_id", F.col("membership").alias("group"), F.explode(F.expr("sequence(1, k_in)")).alias("k"))
+    rank = lambda kind: F.row_number().over(Window.partitionBy("group").orderBy(prng.bits(seed, F.lit(kind), "node_id", "k"), "node_id", "k"))
+    a = out.select(F.col("node_id").alias("src"), "group", rank("out").alias("r"))
+    b = into.select(F.col("node_id").alias("dst"), "group", rank("in").alias("r"))
+    return a.join(b, ["group", "r"]).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+
+def lfr_defaults(n: int) -> tuple[int, int]:
+    """(largest degree, largest community) where none are given."""
+    return int(math.sqrt(10 * n)), math.ceil(n / 4)
+
+
+def truth_embedding(spark: SparkSession, n: int, q: int, cin: float, cout: float) -> DataFrame:
+    """Embedding of the planted model itself, ``node_id, vec``: eigenvectors of the block probabilities less their mean.
+
+    They are lifted to the nodes, scaled to unit columns, and multiplied by the
+    root of the eigenvalue of the whole matrix.  The q x q problem is solved on
+    the driver and its rows are joined by group.
+    """
+    import numpy as np
+
+    pin, pout = cin / n, cout / n
+    s = pout * np.ones((q, q)) + (pin - pout) * np.eye(q)
+    values, vectors = np.linalg.eigh(s - s.mean())
+    size = n / q
+    rows = vectors / np.sqrt(size) * np.sqrt(np.maximum(0.0, values * size))
+    table = spark.createDataFrame([(g, rows[g].tolist()) for g in range(q)], "membership long, vec array<double>")
+    return membership(spark, n, q).join(F.broadcast(table), "membership").select("node_id", "vec")  # q rows are broadcast
+
+
 def lfr(spark: SparkSession, n: int, k: float = 10, maxk: int | None = None, minc: int = 50, maxc: int | None = None, tau: float = 2.5, tau2: float = 1.0, mu: float = 0.2, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """LFR benchmark from its published description.
 
@@ -80,7 +186,8 @@ def lfr(spark: SparkSession, n: int, k: float = 10, maxk: int | None = None, min
     """
     import numpy as np
 
-    maxk, maxc = maxk or int(math.sqrt(10 * n)), maxc or math.ceil(n / 4)
+    most = lfr_defaults(n)
+    maxk, maxc = maxk or most[0], maxc or most[1]
     rng = np.random.default_rng(seed)
     sizes: list[int] = []
     support = np.arange(minc, max(maxc, minc) + 1)

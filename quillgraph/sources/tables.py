@@ -26,6 +26,29 @@ def read_membership(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("node_id long, membership int").option("header", True).csv(path)
 
 
+def as_edges(df: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None) -> DataFrame:
+    """Any table of links as ``src long, dst long, w double``: no weight counts as 1, true as 1, repeated entries add up, zeros go."""
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    out = df.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"), w.alias("w"))
+    return out.groupBy("src", "dst").agg(F.sum("w").alias("w")).filter("w <> 0")
+
+
+def read_partitions(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """``node_id, membership`` of each variant of a partition bundle by its name."""
+    bundle = spark.read.parquet(path)
+    names = sorted(r[0] for r in bundle.select("variant").distinct().collect())  # one row for each variant
+    return {v: bundle.filter(F.col("variant") == v).drop("variant") for v in names}
+
+
+def write_edge_text(edges: DataFrame, path: str, one_based: bool = True) -> None:
+    off = 1 if one_based else 0
+    edges.select((F.col("src") + off).alias("a"), (F.col("dst") + off).alias("b")).write.mode("overwrite").option("sep", "\t").csv(path)
+
+
+def write_results(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)
+
+
 def write_edges(edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").parquet(path)
 

@@ -150,12 +150,12 @@ def n14_truth_embedding(s: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------ reshaping and windows
 
 
-@query(f"WITH {VECS} SELECT node_id, CASE WHEN vec[1] >= 0 THEN (vec[2] > 0)::BIGINT END AS p FROM vecs")
+@query(f"WITH {VECS} SELECT node_id, CASE WHEN vec[1] >= 0 THEN (vec[2] > 0)::BIGINT::DOUBLE END AS p FROM vecs")
 def p5_scatter_back(s: SparkSession, d: str) -> DataFrame:
     from .functions import vectors as V
 
     v = tables.vectors(s, d).withColumn("vec", F.transform("vec", lambda x, i: F.when((i == 0) & (x < 0), float("nan")).otherwise(x)))
-    labelled = v.filter(V.is_whole("vec")).select("node_id", (F.col("vec")[1] > 0).cast("long").alias("p"))
+    labelled = v.filter(V.is_whole("vec")).select("node_id", (F.col("vec")[1] > 0).cast("double").alias("p"))
     return graph.reexpand(v.select("node_id"), labelled)
 
 
@@ -448,3 +448,314 @@ def c5d_streamed_sums(s: SparkSession, d: str) -> DataFrame:
     started = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(merge_sums(f"{folder}/out", 64)).start()
     started.awaitTermination()
     return rounded(read_sums(s, f"{folder}/out", 64).select("g", F.posexplode("ls").alias("dim", "c")), "c")
+
+
+# ------------------------------------------------------------ models and detectors, unrolled in SQL
+
+
+def _fastrp_sql(dim: int, window: int, sparsity: int = 3, seed: int = 5) -> str:
+    h = f"({prng.bits_sql(seed, 'node_id', 'k')} % {2 * sparsity})"
+    parts = [
+        TOP,
+        "p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM top)",
+        "dg AS (SELECT dst AS node_id, sum(w) AS d FROM top GROUP BY dst)",
+        f"st AS (SELECT node_id, k, pow(d, -0.5) * CASE {h} WHEN 0 THEN sqrt({sparsity}.0) WHEN 1 THEN -sqrt({sparsity}.0) ELSE 0.0 END AS v FROM dg, (SELECT range AS k FROM range({dim})))",
+        "x0 AS (SELECT src AS node_id, k, sum(w * v) AS v FROM p JOIN st ON dst = node_id GROUP BY 1, 2)",
+        "y0 AS (SELECT * FROM x0)",
+    ]
+    for t in range(1, window + 1):
+        parts.append(f"y{t} AS (SELECT a.node_id, a.k, a.v + coalesce(b.v, 0) AS v FROM x0 a LEFT JOIN (SELECT src AS node_id, k, sum(w * v) AS v FROM p JOIN y{t - 1} ON dst = node_id GROUP BY 1, 2) b USING (node_id, k))")
+    return f"WITH {', '.join(parts)} SELECT node_id, k::INTEGER AS k, {r6(f'v / {window + 1}')} AS v FROM y{window}"
+
+
+def _fastrp(s: SparkSession, d: str):
+    from .operators.embeddings import FastRP
+
+    model = FastRP().fit(tables.trade_top(s, d))
+    model.transform(4)
+    return model
+
+
+@query(_fastrp_sql(4, 3))
+def e21_fastrp_trade(s: SparkSession, d: str) -> DataFrame:
+    return rounded(_fastrp(s, d).in_vec.select("node_id", F.posexplode("vec").alias("k", "v")), "v")
+
+
+@query(_fastrp_sql(4, 3))
+def k7_saved_model(s: SparkSession, d: str) -> DataFrame:
+    from .operators.embeddings import load, save
+
+    path, model = _folder(s), _fastrp(s, d)
+    save(model, path)
+    return rounded(load(model.edges, path).transform(4).select("node_id", F.posexplode("vec").alias("k", "v")), "v")
+
+
+def _switching_sql(edges: str, rounds: int) -> list[str]:
+    parts = [f"dg AS (SELECT src AS node_id, sum(w) AS d FROM {edges} GROUP BY src)", "mm AS (SELECT sum(d) AS m FROM dg)", "l0 AS (SELECT node_id, node_id AS g FROM dg)"]
+    for r in range(rounds):
+        gain = "k - d * (s - CASE WHEN t = g THEN d ELSE 0 END) / m"
+        parts.append(f"s{r} AS (SELECT g AS t, sum(d) AS s FROM l{r} JOIN dg USING (node_id) GROUP BY g)")
+        parts.append(f"k{r} AS (SELECT e.src AS node_id, l.g AS t, sum(w) AS k FROM {edges} e JOIN l{r} l ON e.dst = l.node_id WHERE e.src <> e.dst GROUP BY 1, 2)")
+        parts.append(f"b{r} AS (SELECT node_id, arg_max(t, (round({gain}, 9), -t)) AS new, max({gain}) AS gain FROM k{r} JOIN l{r} USING (node_id) JOIN dg USING (node_id) JOIN s{r} USING (t), mm WHERE {prng.bits_sql(r, 'node_id')} % 2 = 0 GROUP BY node_id)")
+        parts.append(f"l{r + 1} AS (SELECT node_id, CASE WHEN gain > 0 THEN new ELSE g END AS g FROM l{r} LEFT JOIN b{r} USING (node_id))")
+    return parts
+
+
+@query(f"WITH {TOP}, {', '.join(_switching_sql('top', 5))} SELECT node_id, g FROM l5")
+def g2_label_switching_trade(s: SparkSession, d: str) -> DataFrame:
+    from .operators.detectors import label_switching
+
+    return label_switching(tables.trade_top(s, d), rounds=5)
+
+
+@query(f"""WITH RECURSIVE {_SPARSE}, reach(node_id, label) AS (SELECT src, src FROM sp UNION SELECT e.dst, r.label FROM reach r JOIN sp e ON e.src = r.node_id AND r.label < e.dst), comp AS (SELECT node_id, min(label) AS c FROM reach GROUP BY node_id),
+best AS (SELECT c FROM comp GROUP BY c ORDER BY count(*) DESC, c LIMIT 1), inn AS (SELECT sp.src, sp.dst, 1.0::DOUBLE AS w FROM sp JOIN comp ON src = node_id WHERE c = (SELECT c FROM best)), {', '.join(_switching_sql('inn', 3))} SELECT comp.node_id, g::DOUBLE AS g FROM comp LEFT JOIN l3 USING (node_id)""")
+def g5_in_largest_component(s: SparkSession, d: str) -> DataFrame:
+    from .operators.detectors import in_largest_component, label_switching
+
+    found = in_largest_component(tables.trade_top(s, d).filter("(src + dst) % 3 = 0"), lambda e: label_switching(e, rounds=3))
+    return found.withColumn("g", F.col("g").cast("double"))
+
+
+def _block_model_sql(q: int, rounds: int, seed: int = 1) -> str:
+    parts = [TOP, f"l0 AS (SELECT DISTINCT src AS node_id, {prng.bits_sql(seed, 'src')} % {q} AS g FROM top)", f"gr AS (SELECT a.range AS a, b.range AS b FROM range({q}) a, range({q}) b)"]
+    for r in range(rounds):
+        parts.append(f"w{r} AS (SELECT a, b, 1e-6 + coalesce(w, 0) AS w FROM gr LEFT JOIN (SELECT x.g AS a, y.g AS b, sum(w) AS w FROM top JOIN l{r} x ON src = x.node_id JOIN l{r} y ON dst = y.node_id GROUP BY 1, 2) USING (a, b))")
+        parts.append(f"k{r} AS (SELECT a, sum(w) AS k FROM w{r} GROUP BY a)")
+        parts.append(f"v{r} AS (SELECT w{r}.a AS t, w{r}.b AS h, ln(w / (x.k * y.k)) AS v FROM w{r} JOIN k{r} x ON w{r}.a = x.a JOIN k{r} y ON w{r}.b = y.a)")
+        parts.append(f"p{r} AS (SELECT src AS node_id, g AS h, sum(w) AS k FROM top JOIN l{r} ON dst = node_id GROUP BY 1, 2)")
+        parts.append(f"b{r} AS (SELECT node_id, arg_max(t, (round(s, 9), -t)) AS new FROM (SELECT node_id, t, sum(k * v) AS s FROM p{r} JOIN v{r} USING (h) GROUP BY 1, 2) GROUP BY node_id)")
+        parts.append(f"l{r + 1} AS (SELECT node_id, CASE WHEN {prng.bits_sql(seed + r + 1, 'node_id')} % 2 = 0 THEN coalesce(new, g) ELSE g END AS g FROM l{r} LEFT JOIN b{r} USING (node_id))")
+    return f"WITH {', '.join(parts)} SELECT node_id, g AS membership FROM l{rounds}"
+
+
+@query(_block_model_sql(3, 4))
+def g3_block_model_trade(s: SparkSession, d: str) -> DataFrame:
+    from .operators.detectors import block_model
+
+    return block_model(tables.trade_top(s, d), 3, rounds=4)
+
+
+def _belief_sql(rounds: int) -> str:
+    n, pin, pout = 200, 16.0 / 200, 4.0 / 200
+    log = lambda m: f"ln({pout!r} * {n} + ({pin!r} - {pout!r}) * {n} * {m})"
+    parts = [
+        "nd AS (SELECT range AS node_id, range // 100 AS g FROM range(200))",
+        f"pe AS (SELECT a.node_id AS src, b.node_id AS dst FROM nd a JOIN nd b ON a.node_id < b.node_id WHERE {prng.uniform_sql(1, 'a.node_id', 'b.node_id')} < CASE WHEN a.g = b.g THEN 0.08 ELSE 0.02 END)",
+        "e AS (SELECT src, dst FROM pe UNION ALL SELECT dst, src FROM pe)",
+        "b0 AS (SELECT node_id, CASE g WHEN 0 THEN 0.9 ELSE 0.1 END::DOUBLE AS x, CASE g WHEN 1 THEN 0.9 ELSE 0.1 END::DOUBLE AS y FROM nd)",
+        "m0 AS (SELECT src, dst, x, y FROM e JOIN b0 ON src = node_id)",
+    ]
+    soft = lambda a, b: f"exp({a} - greatest({a}, {b})) / (exp({a} - greatest({a}, {b})) + exp({b} - greatest({a}, {b})))"
+    for k in range(1, rounds + 1):
+        parts.append(f"h{k} AS (SELECT (sum(x) + sum(y)) * {pout!r} + ({pin!r} - {pout!r}) * sum(x) AS hx, (sum(x) + sum(y)) * {pout!r} + ({pin!r} - {pout!r}) * sum(y) AS hy FROM b{k - 1})")
+        parts.append(f"i{k} AS (SELECT dst, sum({log('x')}) AS lx, sum({log('y')}) AS ly FROM m{k - 1} GROUP BY dst)")
+        parts.append(f"b{k} AS (SELECT node_id, {soft('ax', 'ay')} AS x, {soft('ay', 'ax')} AS y FROM (SELECT node_id, coalesce(lx, 0) - hx AS ax, coalesce(ly, 0) - hy AS ay FROM nd LEFT JOIN i{k} ON dst = node_id, h{k}))")
+        parts.append(f"m{k} AS (SELECT src, dst, {soft('ax', 'ay')} AS x, {soft('ay', 'ax')} AS y FROM (SELECT m.dst AS src, m.src AS dst, lx - {log('x')} - hx AS ax, ly - {log('y')} - hy AS ay FROM m{k - 1} m JOIN i{k} i ON m.dst = i.dst, h{k}))")
+    return f"WITH {', '.join(parts)} SELECT node_id, CASE WHEN x >= y THEN 0 ELSE 1 END::BIGINT AS g FROM b{rounds}"
+
+
+@query(_belief_sql(3))
+def g4_belief_propagation_rounds(s: SparkSession, d: str) -> DataFrame:
+    from .operators.detectors import belief_propagation
+
+    edges, nodes = generators.planted_partition(s, 200, 2, 16.0, 4.0, exact=True)
+    return belief_propagation(edges, nodes, 2, 16.0, 4.0, 3)
+
+
+_COSINE = "list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec)))"
+
+
+def _near_sql(k: int) -> str:
+    return f"{VECS}, nn AS (SELECT a.node_id AS src, b.node_id AS dst, round({_COSINE}, 9) AS w FROM vecs a JOIN vecs b ON a.node_id <> b.node_id QUALIFY row_number() OVER (PARTITION BY a.node_id ORDER BY w DESC, b.node_id) <= {k})"
+
+
+@query(f"""WITH RECURSIVE {_near_sql(10)}, di AS (SELECT src, dst, 1 - w AS distance FROM nn), co AS (SELECT src, max(distance) AS core FROM (SELECT * FROM di QUALIFY row_number() OVER (PARTITION BY src ORDER BY distance, dst) <= 5) GROUP BY src),
+cl AS (SELECT di.src, di.dst FROM di JOIN co a ON di.src = a.src JOIN co b ON di.dst = b.src WHERE greatest(distance, a.core, b.core) <= 0.7), both_ AS (SELECT src, dst FROM cl UNION SELECT dst, src FROM cl),
+reach(node_id, label) AS (SELECT src, src FROM both_ UNION SELECT e.dst, r.label FROM reach r JOIN both_ e ON e.src = r.node_id AND r.label < e.dst), comp AS (SELECT node_id, min(label) AS c FROM reach GROUP BY node_id)
+SELECT v.node_id, coalesce(c, -1) AS p FROM vecs v LEFT JOIN comp USING (node_id)""")
+def c4_c8_density_flat(s: SparkSession, d: str) -> DataFrame:
+    from .operators import clustering
+    from .operators.detectors import density_clusters
+
+    near = clustering.nearest(tables.vectors(s, d), 10).select("src", "dst", (1 - F.col("w")).alias("distance"))
+    return density_clusters(near, 5, 0.7)
+
+
+def _louvain_sql(rounds: int, rho: float) -> str:
+    parts = [_near_sql(5), "long AS (SELECT node_id, unnest(range(0, 64)) AS dim, unnest(vec) AS val FROM vecs)", "own AS (SELECT node_id, sum(val * val) AS zz FROM long GROUP BY node_id)", "l0 AS (SELECT node_id, node_id AS g FROM vecs)"]
+    for r in range(rounds):
+        parts.append(f"v{r} AS (SELECT g AS t, dim, sum(val) AS v FROM long JOIN l{r} USING (node_id) GROUP BY 1, 2)")
+        parts.append(f"n{r} AS (SELECT g AS t, count(*) AS n FROM l{r} GROUP BY 1)")
+        parts.append(f"mv{r} AS (SELECT node_id, g FROM l{r} WHERE {prng.bits_sql(0, 'node_id')} % 2 = {r % 2})")
+        parts.append(f"op{r} AS (SELECT node_id, g AS t FROM mv{r} UNION SELECT src, l.g FROM nn JOIN l{r} l ON dst = l.node_id JOIN mv{r} m ON src = m.node_id)")
+        parts.append(f"ga{r} AS (SELECT o.node_id, o.t, sum(val * v) AS zv FROM op{r} o JOIN long USING (node_id) JOIN v{r} v ON v.t = o.t AND v.dim = long.dim GROUP BY 1, 2)")
+        parts.append(f"b{r} AS (SELECT ga.node_id, arg_max(ga.t, (round(zv - CASE WHEN ga.t = m.g THEN zz ELSE 0 END - {rho!r} * (n - CASE WHEN ga.t = m.g THEN 1 ELSE 0 END), 9), -ga.t)) AS new FROM ga{r} ga JOIN mv{r} m USING (node_id) JOIN own USING (node_id) JOIN n{r} n ON n.t = ga.t GROUP BY 1)")
+        parts.append(f"l{r + 1} AS (SELECT node_id, coalesce(new, g) AS g FROM l{r} LEFT JOIN b{r} USING (node_id))")
+    return f"WITH {', '.join(parts)} SELECT node_id, g FROM l{rounds}"
+
+
+@query(_louvain_sql(3, 0.2))
+def c7_c7a_louvain_rounds(s: SparkSession, d: str) -> DataFrame:
+    from .operators import clustering
+
+    v = tables.vectors(s, d)
+    return clustering.louvain(v.select("node_id", "vec"), clustering.nearest(v, 5), 0.2, 64, 3)
+
+
+def _logistic_sql(steps: int) -> str:
+    parts = [_near_sql(5), "nv AS (SELECT count(*) AS n FROM vecs)", "pt AS (SELECT list_dot_product(a.vec, b.vec) AS x, 1 AS y FROM nn JOIN vecs a ON src = a.node_id JOIN vecs b ON dst = b.node_id UNION ALL SELECT list_dot_product(a.vec, b.vec), 0 FROM vecs a, range(3) j, nv JOIN vecs b ON b.node_id = (a.node_id * 7 + 3 * j.range + 1) % nv.n)".replace("FROM vecs a, range(3) j, nv JOIN vecs b ON", "FROM vecs a CROSS JOIN range(3) j CROSS JOIN nv JOIN vecs b ON")]
+    parts += ["cw AS (SELECT sum(y)::DOUBLE AS p, sum(1 - y)::DOUBLE AS n FROM pt)", "wp AS (SELECT x, y, CASE y WHEN 1 THEN (p + n) / (2 * p) ELSE (p + n) / (2 * n) END AS wt FROM pt, cw)", "c0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1)"]
+    for k in range(1, steps + 1):
+        parts.append(f"q{k} AS (SELECT x, y, wt, 1 / (1 + exp(-(b0 + b1 * x))) AS q FROM wp, c{k - 1})")
+        parts.append(f"s{k} AS (SELECT sum(wt * (y - q)) AS g0, sum(wt * (y - q) * x) AS g1, sum(wt * q * (1 - q)) AS h0, sum(wt * q * (1 - q) * x) AS h1, sum(wt * q * (1 - q) * x * x) AS h2 FROM q{k})")
+        parts.append(f"c{k} AS MATERIALIZED (SELECT b0 + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS b0, b1 + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b1 FROM c{k - 1}, s{k})")
+    return f"WITH {', '.join(parts)} SELECT round(b0, 4) + 0.0 AS intercept, round(b1, 4) + 0.0 AS slope, round(-b0 / b1, 4) + 0.0 AS rho FROM c{steps}"
+
+
+@query(_logistic_sql(6))
+def c7c_logistic_rho(s: SparkSession, d: str) -> DataFrame:
+    """Where neighbours (1) and arbitrary pairs (0) are equally likely, by their inner product."""
+    from .functions.vectors import dot
+    from .operators import clustering
+
+    v = tables.vectors(s, d)
+    n = v.count()
+    a, b = v.select(F.col("node_id").alias("src"), F.col("vec").alias("u")), v.select(F.col("node_id").alias("dst"), F.col("vec").alias("v"))
+    near = clustering.nearest(v, 5).select("src", "dst", F.lit(1).alias("y"))
+    other = v.select(F.col("node_id").alias("src"), F.explode(F.array(*(F.lit(j) for j in range(3)))).alias("j")).select("src", ((F.col("src") * 7 + 3 * F.col("j") + 1) % n).alias("dst"), F.lit(0).alias("y"))
+    points = near.unionByName(other).join(a, "src").join(b, "dst").select(dot("u", "v").alias("x"), "y")
+    return rounded(clustering.logistic_threshold(points, 6), "intercept", "slope", "rho", digits=4)
+
+
+# ------------------------------------------------------------ scores and theory tables
+
+
+def _compared_sql() -> str:
+    from .catalogue import CELLS, ESIM, NMI, _voronoi_cte
+
+    cells = CELLS[len(_voronoi_cte("cosine")) :]
+    line = lambda m: f"(WITH {_voronoi_cte(m)}{cells}{ESIM}{NMI} SELECT '{m}' AS model, {r6('nmi')} AS nmi, {r6('esim')} AS esim FROM nm, es)"
+    return " UNION ALL ".join(map(line, ("cosine", "euclidean")))
+
+
+@query(_compared_sql())
+def v12_c2c_comparison(s: SparkSession, d: str) -> DataFrame:
+    from .operators import clustering, metrics
+
+    v = tables.vectors(s, d)
+    both = [clustering.voronoi(v, "label", 64, m).select("node_id", "label", F.col("p").alias(m)) for m in ("cosine", "euclidean")]
+    return rounded(metrics.comparison(both[0].join(both[1].drop("label"), "node_id"), ["cosine", "euclidean"], "label"), "nmi", "esim")
+
+
+_AUC = "(SELECT abs(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) - 0.5) + 0.5 FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT round(vec[{k}], 9) AS score, sum((label >= 5)::BIGINT) AS pos, sum((label < 5)::BIGINT) AS neg FROM vecs GROUP BY 1)))"
+
+
+@query(f"WITH {VECS} SELECT {r6('abs(corr(vec[1], vec[2]))')} AS pearson, {r6(_AUC.format(k=1))} AS auc_x, {r6(_AUC.format(k=2))} AS auc_y FROM vecs")
+def t9_agreement(s: SparkSession, d: str) -> DataFrame:
+    from .operators import metrics
+
+    v = tables.vectors(s, d).select(F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"), (F.col("label") >= 5).cast("long").alias("same"))
+    return rounded(metrics.agreement(v), "pearson", "auc_x", "auc_y")
+
+
+@query()
+def v8_discriminant_auc(s: SparkSession, d: str) -> DataFrame:
+    from .operators.detectors import discriminant_auc
+
+    v = tables.vectors(s, d).select("vec", (F.col("label") >= 5).cast("long").alias("label"))
+    return rounded(discriminant_auc(v, 64), "auc")
+
+
+def _ensemble_sql(seeds: tuple[int, ...]) -> str:
+    one = lambda s: f"SELECT a.i AS src, b.i AS dst FROM n a JOIN n b ON a.i < b.i WHERE {prng.uniform_sql(s, 'a.i', 'b.i')} < CASE WHEN a.g = b.g THEN 0.25 ELSE 0.1 END"
+    k = len(seeds)
+    return f"WITH n AS (SELECT range AS i, range // 30 AS g FROM range(60)), p AS ({' UNION ALL '.join(map(one, seeds))}), e AS (SELECT * FROM p UNION ALL SELECT dst, src FROM p) SELECT src, dst, {r6(f'count(*) / {k}.0')} AS mean, {r6(f'count(*) / {k}.0 - (count(*) / {k}.0) * (count(*) / {k}.0)')} AS var FROM e GROUP BY 1, 2"
+
+
+@query(_ensemble_sql((1, 2, 3, 4)))
+def t6_ensemble_moments(s: SparkSession, d: str) -> DataFrame:
+    from .operators import spectral
+
+    members = [generators.planted_partition(s, 60, 2, 15.0, 6.0, seed=k, exact=True)[0] for k in (1, 2, 3, 4)]
+    return rounded(spectral.ensemble_moments(members), "mean", "var")
+
+
+_DRAW = "(SELECT node_id FROM st WHERE low < {u} AND {u} <= cdf)"
+_SAMPLED = f"""{TOP}, {VECS}, long AS (SELECT node_id, unnest(range(0, 64)) AS dim, unnest(vec) AS val FROM vecs), dn AS (SELECT dst AS node_id, sum(w) AS d FROM top GROUP BY dst), mm AS (SELECT sum(d) AS m, count(*) AS nn FROM dn),
+cd AS (SELECT node_id, CASE WHEN node_id = max(node_id) OVER () THEN 1.0 ELSE round(sum(d / m) OVER (ORDER BY node_id ROWS UNBOUNDED PRECEDING), 12) END AS cdf FROM dn, mm), st AS (SELECT node_id, cdf, coalesce(lag(cdf) OVER (ORDER BY node_id), -1) AS low FROM cd),
+ed AS (SELECT src, dst, {prng.bits_sql(51, "'batch'", 'src', 'dst')} % 4 AS batch, {prng.uniform_sql(52, 'src', 'dst')} AS ua, {prng.uniform_sql(53, 'src', 'dst')} AS ub FROM top),
+rd AS (SELECT batch, a.node_id AS a, b.node_id AS b FROM ed JOIN st a ON a.low < ua AND ua <= a.cdf JOIN st b ON b.low < ub AND ub <= b.cdf),
+bs AS (SELECT {prng.bits_sql(51, "'batch'", 'src', 'dst')} % 4 AS batch, floor({prng.uniform_sql(54, 'src', 'dst')} * 25)::BIGINT AS a, floor({prng.uniform_sql(55, 'src', 'dst')} * 25)::BIGINT AS b FROM top)"""
+
+
+def _batch_sql(vectors: str, kinds: str) -> str:
+    """``part``: batch, a, b, value of the term, coefficient of its gradient."""
+    return f"""{_SAMPLED}, {vectors}, sm AS ({kinds}), sz AS (SELECT batch, kind, count(*) AS n FROM sm GROUP BY 1, 2),
+dt AS (SELECT sm.batch, kind, sm.a, sm.b, f, pw, sum(x.val * y.val) AS s, any_value(sm.i) AS i FROM (SELECT *, row_number() OVER () AS i FROM sm) sm JOIN z x ON sm.a = x.node_id JOIN z y ON sm.b = y.node_id AND x.dim = y.dim GROUP BY sm.batch, kind, sm.a, sm.b, f, pw, sm.i),
+pt AS (SELECT batch, a, b, f / n * pow(s, pw) AS part, f * pw / n * pow(s, pw - 1) AS c FROM dt JOIN sz USING (batch, kind)), ls AS (SELECT batch, sum(part) AS loss FROM pt GROUP BY batch),
+gd AS (SELECT batch, node_id, dim, sum(v) AS g FROM (SELECT batch, a AS node_id, dim, c * val AS v FROM pt JOIN z ON b = z.node_id UNION ALL SELECT batch, b, dim, c * val FROM pt JOIN z ON a = z.node_id) GROUP BY 1, 2, 3), g2 AS (SELECT batch, sum(g * g) AS gradient2 FROM gd GROUP BY batch)"""
+
+
+_MODULARITY_KINDS = "SELECT batch, 'edge' AS kind, src AS a, dst AS b, -2 / m AS f, 1 AS pw FROM ed, mm UNION ALL SELECT batch, 'random', a, b, 2 / m, 1 FROM rd, mm UNION ALL SELECT batch, 'base', a, b, 1 / ((m / nn) * (m / nn)), 2 FROM bs, mm"
+_PLAIN_Z = "z AS (SELECT * FROM long)"
+_LAPLACIAN_KINDS = "SELECT batch, 'edge' AS kind, src AS a, dst AS b, -2.0::DOUBLE AS f, 1 AS pw FROM ed UNION ALL SELECT batch, 'random', a, b, 1.0, 2 FROM rd"
+_SCALED_Z = "z AS (SELECT long.node_id, dim, val * sqrt(m / greatest(d, 1)) AS val FROM long JOIN dn USING (node_id), mm)"
+
+
+def _modularity_batches(s: SparkSession, d: str) -> DataFrame:
+    from .operators import spectral
+
+    e, v = tables.trade_top(s, d), tables.vectors(s, d).select("node_id", "vec")
+    row = e.agg(F.sum("w").alias("m"), F.count_distinct("dst").alias("n")).first()
+    m, mean = float(row["m"]), row["m"] / row["n"]
+    return spectral.batch_losses(spectral.loss_samples(e, 4, 51, 25), v, {"edge": (-2 / m, 1), "random": (2 / m, 1), "base": (1 / mean**2, 2)}, 64)
+
+
+def _laplacian_batches(s: SparkSession, d: str) -> DataFrame:
+    from .operators import spectral
+
+    e = tables.trade_top(s, d)
+    v = spectral.degree_scaled(tables.vectors(s, d).select("node_id", "vec"), e)
+    return spectral.batch_losses(spectral.loss_samples(e, 4, 51), v, {"edge": (-2.0, 1), "random": (1.0, 2)}, 64)
+
+
+@query(f"WITH {_batch_sql(_PLAIN_Z, _MODULARITY_KINDS)} SELECT batch, {r6('loss')} AS loss, {r6('gradient2')} AS gradient2 FROM ls JOIN g2 USING (batch)")
+def t13_batch_losses(s: SparkSession, d: str) -> DataFrame:
+    return rounded(_modularity_batches(s, d), "loss", "gradient2")
+
+
+@query(f"WITH {_batch_sql(_PLAIN_Z, _MODULARITY_KINDS)} SELECT {r6('0.5 + 0.1 / 4 * avg(gradient2)')} AS q FROM g2")
+def t12_implicit_loss(s: SparkSession, d: str) -> DataFrame:
+    from .operators import spectral
+
+    return rounded(spectral.implicit_loss(0.5, _modularity_batches(s, d), 0.1), "q")
+
+
+@query(f"WITH {_batch_sql(_SCALED_Z, _LAPLACIAN_KINDS)} SELECT batch, {r6('loss')} AS loss, {r6('gradient2')} AS gradient2 FROM ls JOIN g2 USING (batch)")
+def t15_laplacian_batches(s: SparkSession, d: str) -> DataFrame:
+    return rounded(_laplacian_batches(s, d), "loss", "gradient2")
+
+
+# ------------------------------------------------------------ walk models on the tables' own graphs
+
+
+@query()
+def e1_node2vec_trade(s: SparkSession, d: str) -> DataFrame:
+    from .operators.embeddings import Node2Vec
+
+    return Node2Vec(walk_length=40, num_walks=10, window_length=5).fit(tables.trade_top(s, d)).transform(8)
+
+
+@query()
+def e2_deepwalk_cbow(s: SparkSession, d: str) -> DataFrame:
+    from .operators.embeddings import DeepWalk
+
+    return DeepWalk(walk_length=40, num_walks=10, window_length=5).fit(tables.trade_top(s, d)).transform(8)
+
+
+@query()
+def e17_word2vec_trade(s: SparkSession, d: str) -> DataFrame:
+    from .operators.embeddings import Word2VecEmbedding
+
+    return Word2VecEmbedding(walk_length=40, num_walks=10, window_length=5).fit(tables.trade_top(s, d)).transform(8)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import prng
 from ..functions.vectors import cosine, dot, euclidean, norm, vector_sum
 
 
@@ -104,7 +105,7 @@ def vector_objective(vectors: DataFrame, group: str, d: int, rho: float) -> Data
 def louvain(vectors: DataFrame, neighbours: DataFrame, rho: float, d: int, rounds: int = 6) -> DataFrame:
     """Label switching for vectors: each takes the neighbouring group with the largest <z, V> - rho N.
 
-    Odd and even hashes move in turns, which keeps two neighbours from
+    Odd and even keyed numbers move in turns, which keeps two neighbours from
     swapping labels; a group joins only if it gains.
     """
     from ..plans.lineage import checkpoint
@@ -113,7 +114,7 @@ def louvain(vectors: DataFrame, neighbours: DataFrame, rho: float, d: int, round
     for r in range(rounds):
         members = checkpoint(vectors.join(labels, "node_id"))
         groups = members.groupBy("g").agg(vector_sum("vec", d).alias("v"), F.count(F.lit(1)).alias("n"))
-        movers = members.filter(F.pmod(F.hash("node_id"), F.lit(2)) == r % 2)
+        movers = members.filter(prng.bits(0, "node_id") % 2 == r % 2)
         around = neighbours.select(F.col("src").alias("node_id"), F.col("dst")).join(labels.select(F.col("node_id").alias("dst"), F.col("g").alias("to")), "dst").select("node_id", "to")
         options = movers.select("node_id", F.col("g").alias("to")).union(around.join(movers.select("node_id"), "node_id", "left_semi")).distinct()
         own = F.when(F.col("to") == F.col("g"), 1).otherwise(0)
@@ -126,3 +127,22 @@ def louvain(vectors: DataFrame, neighbours: DataFrame, rho: float, d: int, round
 
 def unit_rows(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("vec", F.transform("vec", lambda x: x / F.greatest(norm("vec"), F.lit(1e-24))))
+
+
+def logistic_threshold(points: DataFrame, steps: int = 8) -> DataFrame:
+    """One row ``intercept, slope, rho`` of the logistic curve of ``y`` (0/1) over ``x``: rho is where the odds are even.
+
+    Both classes weigh as much as each other.  Newton steps; five sums reach
+    the driver in each.
+    """
+    counts = points.agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).first()
+    p, n = float(counts["p"] or 1), float(counts["n"] or 1)
+    weight = F.when(F.col("y") == 1, (p + n) / (2 * p)).otherwise((p + n) / (2 * n))
+    b0 = b1 = 0.0
+    for _ in range(steps):
+        q = 1 / (1 + F.exp(-(F.lit(b0) + F.lit(b1) * F.col("x"))))
+        r, h = weight * (F.col("y") - q), weight * q * (1 - q)
+        row = points.agg(F.sum(r).alias("g0"), F.sum(r * F.col("x")).alias("g1"), F.sum(h).alias("h00"), F.sum(h * F.col("x")).alias("h01"), F.sum(h * F.col("x") * F.col("x")).alias("h11")).first()
+        det = row["h00"] * row["h11"] - row["h01"] ** 2
+        b0, b1 = b0 + (row["h11"] * row["g0"] - row["h01"] * row["g1"]) / det, b1 + (row["h00"] * row["g1"] - row["h01"] * row["g0"]) / det
+    return points.sparkSession.createDataFrame([(b0, b1, -b0 / b1)], "intercept double, slope double, rho double")

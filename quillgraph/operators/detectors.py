@@ -76,8 +76,16 @@ def belief_propagation(edges: DataFrame, truth: DataFrame, q: int, cin: float, c
     return beliefs.select("node_id", best.cast("long").alias("g"))
 
 
-def linear_discriminant(vectors: DataFrame, d: int) -> DataFrame:
-    """LDA fitted and applied to ``(node_id, vec, label)``: pooled covariance by sums, a d x d solve on the driver."""
+def in_largest_component(edges: DataFrame, detector) -> DataFrame:
+    """``detector(edges)`` on the largest component alone; all other nodes keep a null group."""
+    from .graph import induced, largest_component, reexpand
+
+    inside = checkpoint(induced(edges, checkpoint(largest_component(edges))))
+    return reexpand(nodes_of(edges), detector(inside))
+
+
+def _discriminant(vectors: DataFrame, d: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """Labels, weights and biases of linear discriminants: sums by label and dimension, a d x d solve on the driver."""
     products = F.array(*(F.sum(F.col("vec")[j] * F.col("x")) for j in range(d)))
     long = vectors.select("label", "vec", F.posexplode(F.slice("vec", 1, d)).alias("i", "x"))
     rows = long.groupBy("label", "i").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), products.alias("p")).orderBy("label", "i").collect()  # d for each class
@@ -85,15 +93,31 @@ def linear_discriminant(vectors: DataFrame, d: int) -> DataFrame:
     n = np.array([c[0]["n"] for c in classes], float)
     means = np.array([[r["s"] for r in c] for c in classes]) / n[:, None]
     scatter = sum(np.array([r["p"] for r in c]) - c[0]["n"] * np.outer(m, m) for c, m in zip(classes, means, strict=True))
-    inverse = np.linalg.pinv(scatter / max(1.0, n.sum() - len(classes)))
-    weights = means @ inverse
-    bias = -0.5 * np.einsum("kd,kd->k", weights, means) + np.log(n / n.sum())
-    scores = [sum((F.col("vec")[i] * float(weights[k, i]) for i in range(d)), F.lit(float(bias[k]))) for k in range(len(classes))]
-    labels = F.array(*(F.lit(c[0]["label"]) for c in classes))
+    weights = means @ np.linalg.pinv(scatter / max(1.0, n.sum() - len(classes)))
+    return [c[0]["label"] for c in classes], weights, -0.5 * np.einsum("kd,kd->k", weights, means) + np.log(n / n.sum())
+
+
+def linear_discriminant(vectors: DataFrame, d: int) -> DataFrame:
+    """LDA fitted and applied to ``(node_id, vec, label)`` with pooled covariance: ``node_id, label, p``."""
+    known, weights, bias = _discriminant(vectors, d)
+    scores = [sum((F.col("vec")[i] * float(weights[k, i]) for i in range(d)), F.lit(float(bias[k]))) for k in range(len(known))]
+    labels = F.array(*(F.lit(v) for v in known))
     values = F.array(*scores)
     return vectors.select("node_id", "label", F.element_at(labels, F.array_position(values, F.array_max(values)).cast("int")).alias("p"))
 
 
+def discriminant_auc(vectors: DataFrame, d: int) -> DataFrame:
+    """One row ``auc`` (0.5 or more): how well the discriminant of two classes orders ``(vec, label)``."""
+    from .metrics import folded_auc
+
+    known, weights, _ = _discriminant(vectors, d)
+    if len(known) != 2:
+        raise ValueError("two classes are needed")
+    w = weights[1] - weights[0]
+    score = sum((F.col("vec")[i] * float(w[i]) for i in range(1, d)), F.col("vec")[0] * float(w[0]))
+    return folded_auc(vectors.select(F.round(score, 9).alias("score"), (F.col("label") == known[1]).cast("long").alias("same")))
+
+
 def cosine_birch(vectors: DataFrame, threshold: float = 0.5, clusters: int | None = None) -> DataFrame:
     """Cosine BIRCH: sub-clusters of mean inner product of at least ``threshold`` in each partition, merged on the driver.
 

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import prng
 from ..plans.lineage import checkpoint
-from .algebra import gram, leading_eigenpairs, multiply_block, rotate
+from .algebra import gram, leading_eigenpairs, multiply_block, orthonormal, rotate
 from .graph import nodes_of, row_probability, symmetric_normalized
-from .walks import biased_walks, context_pairs, uniform_walks
+from .walks import context_pairs, simulate, uniform_walks
 
 
 class NodeEmbedding:
@@ -150,9 +150,7 @@ class HighOrderModularity(NodeEmbedding):
 
         x = checkpoint(nodes_of(self.edges).select("node_id", F.array(*(prng.uniform(7, F.col("node_id"), F.lit(k)) - 0.5 for k in range(d))).alias("vec")))
         for _ in range(8):
-            y = checkpoint(apply(x))
-            values, vectors = np.linalg.eigh(gram(y, d))
-            x = rotate(y, vectors / np.sqrt(np.maximum(values, 1e-300)))
+            x, _ = orthonormal(checkpoint(apply(x)), d)
         s, v = np.linalg.eigh((g := gram(x, d, apply(x)))[:] / 2 + g.T / 2)
         order = np.argsort(-np.abs(s))
         self.out_vec = checkpoint(rotate(x, v[:, order]))
@@ -182,10 +180,12 @@ class DeflatedModularity(NodeEmbedding):
             return ax.select("node_id", F.array(*(F.col("vec")[i] / m - F.col("share") * F.col(f"c{i}") for i in range(k))).alias("vec"))
 
         x = checkpoint(nodes_of(edges).select("node_id", F.array(*(prng.uniform(11, F.col("node_id"), F.lit(i)) - 0.5 for i in range(k))).alias("vec")))
+        last = None
         for _ in range(self.steps):
-            y = checkpoint(apply(x))
-            values, vectors = np.linalg.eigh(gram(y, k))
-            x = rotate(y, np.where(values > values[-1] * 1e-14, 1.0, 0.0) * vectors / np.sqrt(np.maximum(values, 1e-300)))
+            x, values = orthonormal(checkpoint(apply(x)), k)
+            if last is not None and np.abs(values - last).max() <= 1e-10 * values[-1]:
+                break
+            last = values
         x = checkpoint(x)
         g = gram(x, k, apply(x))
         s, v = np.linalg.eigh((g + g.T) / 2)
@@ -199,22 +199,22 @@ class NonBacktracking(NodeEmbedding):
     """Real leading eigenvectors of the companion matrix of non-backtracking walks, lower half, column-normalised, sqrt|s|."""
 
     def update(self, dim: int) -> None:
-        from .algebra import gram
         from .graph import nonbacktracking_matrix
 
+        k = dim + 4  # room for complex pairs
         ids = self.edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
         n = int(ids) + 1
         b = checkpoint(nonbacktracking_matrix(self.edges, n))
-        x = checkpoint(nodes_of(b).select("node_id", F.array(*(prng.uniform(3, F.col("node_id"), F.lit(k)) - 0.5 for k in range(dim))).alias("vec")))
+        x = checkpoint(nodes_of(b).select("node_id", F.array(*(prng.uniform(3, F.col("node_id"), F.lit(j)) - 0.5 for j in range(k))).alias("vec")))
         for _ in range(25):  # orthogonal iteration for a matrix that isn't symmetric
-            y = checkpoint(multiply_block(b, x, dim))
-            values, vectors = np.linalg.eigh(gram(y, dim))
-            x = rotate(y, vectors / np.sqrt(np.maximum(values, 1e-300)))
-        s, v = np.linalg.eig(gram(x, dim, multiply_block(b, x, dim)))
-        order = np.argsort(-np.abs(s))
-        s = s[order]
+            x, _ = orthonormal(checkpoint(multiply_block(b, x, k)), k)
+        x = checkpoint(x)
+        s, v = np.linalg.eig(gram(x, k, multiply_block(b, x, k)))
+        real = np.abs(s.imag) <= 1e-8 * np.abs(s).max()
+        order = sorted(np.flatnonzero(real), key=lambda i: -abs(s[i]))[:dim]  # of a complex pair neither is taken
+        s = s.real[order]
         half = rotate(x, np.real(v[:, order])).filter(F.col("node_id") >= n).select((F.col("node_id") - n).alias("node_id"), "vec")
-        norms = np.sqrt(np.maximum(np.diag(gram(half, dim)), 1e-300))
+        norms = np.sqrt(np.maximum(np.diag(gram(half, len(order))), 1e-300))
         self.out_vec = checkpoint(_scaled(half, 1 / norms))
         self.in_vec = checkpoint(_scaled(self.out_vec, np.sqrt(np.abs(s))))
 
@@ -243,54 +243,114 @@ class FastRP(NodeEmbedding):
         self.out_vec = self.in_vec
 
 
-class Node2Vec(NodeEmbedding):
-    """Walks and skip-gram with hierarchical softmax (the built-in Word2Vec); presets by parameters.
-
-    ``backtrack=False`` gives the non-backtracking walks, ``window_length=1``
-    with more walks the first-order model, large ``p`` the depth-first one.
-    """
+class Word2VecEmbedding(NodeEmbedding):
+    """Walks and skip-gram with hierarchical softmax, the built-in Word2Vec; it has no second table, so out = in."""
 
-    def __init__(self, walk_length: int = 80, num_walks: int = 10, window_length: int = 10, p: float = 1.0, q: float = 1.0, backtrack: bool = True, epochs: int = 1, seed: int = 1) -> None:
+    def __init__(self, walk_length: int = 80, num_walks: int = 10, window_length: int = 10, epochs: int = 1, seed: int = 1) -> None:
         super().__init__()
-        self.walk_length, self.num_walks, self.window_length = walk_length, num_walks, window_length
-        self.p, self.q, self.backtrack, self.epochs, self.seed = p, q, backtrack, epochs, seed
-
-    def walks(self) -> DataFrame:
-        if self.p == self.q == 1.0 or not self.backtrack:
-            return uniform_walks(self.edges, self.walk_length, self.num_walks, self.seed, self.backtrack)
-        return biased_walks(self.edges, self.walk_length, self.p, self.q, self.num_walks, self.seed)
+        self.walk_length, self.num_walks, self.window_length, self.epochs, self.seed = walk_length, num_walks, window_length, epochs, seed
 
     def update(self, dim: int) -> None:
         from pyspark.ml.feature import Word2Vec
         from pyspark.ml.functions import vector_to_array
 
-        data = checkpoint(self.walks().select(F.col("path").cast("array<string>").alias("sentence")))
-        model = Word2Vec(vectorSize=dim, windowSize=self.window_length, minCount=0, maxIter=self.epochs, seed=self.seed, inputCol="sentence", outputCol="v", numPartitions=1).fit(data)
+        walks = uniform_walks(self.edges, self.walk_length, self.num_walks, self.seed)
+        data = checkpoint(walks.select(F.col("path").cast("array<string>").alias("sentence")))
+        parts = self.edges.sparkSession.sparkContext.defaultParallelism
+        model = Word2Vec(vectorSize=dim, windowSize=self.window_length, minCount=0, maxIter=self.epochs, seed=self.seed, inputCol="sentence", outputCol="v", numPartitions=parts).fit(data)
         self.in_vec = model.getVectors().select(F.col("word").cast("long").alias("node_id"), vector_to_array("vector").alias("vec"))
         self.out_vec = self.in_vec
 
 
+#: Tables of vectors with more nodes are not sent to tasks.
+MAX_TABLE_NODES = 2_000_000
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _steps(loss: str, u: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray, k: np.ndarray, base: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Gradients of one batch as (table, rows, values): centres ``a``, contexts ``b`` (a row of them, -1 for none, for ``cbow``), noise ``k``."""
+    if loss == "cbow":  # the mean of the contexts, from the first table, predicts the centre in the second
+        there = (b >= 0)[:, :, None]
+        count = np.maximum(there.sum(axis=1), 1)
+        h = (u[b] * there).sum(axis=1) / count
+        gp = _sigmoid(np.einsum("id,id->i", h, v[a])) - 1
+        gn = _sigmoid(np.einsum("id,ikd->ik", h, v[k]))
+        gh = (gp[:, None] * v[a] + np.einsum("ik,ikd->id", gn, v[k])) / count
+        return [(0, b[b >= 0], np.repeat(gh, (b >= 0).sum(axis=1), axis=0)), (1, a, gp[:, None] * h), (1, k.ravel(), (gn[:, :, None] * h[:, None, :]).reshape(-1, u.shape[1]))]
+    pos, neg = np.einsum("id,id->i", u[a], v[b]), np.einsum("id,ikd->ik", u[a], v[k])
+    if loss == "node2vec":
+        gp, gn = _sigmoid(pos) - 1, _sigmoid(neg)
+    elif loss == "modularity":  # linear in both; the squared term is that of the base pairs
+        gp, gn = -np.ones_like(pos), np.ones_like(neg)
+    else:  # laplacian: half the square of the summed noise products
+        gp, gn = -np.ones_like(pos), np.repeat(neg.sum(axis=1, keepdims=True), neg.shape[1], axis=1)
+    out = [(0, a, gp[:, None] * v[b] + np.einsum("ik,ikd->id", gn, v[k])), (1, b, gp[:, None] * u[a]), (1, k.ravel(), (gn[:, :, None] * u[a][:, None, :]).reshape(-1, u.shape[1]))]
+    if loss == "modularity":
+        c, d = base
+        g = len(u) * np.einsum("id,id->i", u[c], v[d])[:, None]
+        out += [(0, c, g * v[d]), (1, d, g * u[c])]
+    return out
+
+
 class SampledEmbedding(NodeEmbedding):
-    """Gradient training on (center, context, noise) samples: ``loss`` node2vec, modularity or laplacian.
+    """Gradient training on (center, context, noise) samples of walks.
+
+    ``loss``: ``node2vec`` (skip-gram with negative sampling), ``cbow`` (mean of
+    the contexts, negative sampling), ``modularity`` (linear terms, and half
+    the number of nodes times the mean square of uniform base pairs) or
+    ``laplacian``.  The first table gives in-vectors, the second out-vectors.
 
     Samples are dealt out by centre; each epoch every partition updates its
     own copy of the two tables, which are averaged by the number of samples.
-    The tables are sent to the tasks: for up to about a million nodes.
+    The tables are sent to the tasks, so :data:`MAX_TABLE_NODES` bounds the
+    nodes; beyond it a ValueError names the spectral models instead.
     """
 
-    def __init__(self, loss: str = "node2vec", walk_length: int = 40, num_walks: int = 5, window_length: int = 5, negative: int = 5, epochs: int = 3, rate: float = 0.05, parts: int = 8, seed: int = 1) -> None:
+    def __init__(
+        self,
+        loss: str = "node2vec",
+        walk_length: int = 40,
+        num_walks: int = 5,
+        window_length: int = 5,
+        negative: int = 5,
+        epochs: int = 3,
+        rate: float = 0.05,
+        parts: int = 8,
+        seed: int = 1,
+        p: float = 1.0,
+        q: float = 1.0,
+        backtrack: bool = True,
+    ) -> None:
         super().__init__()
-        if loss not in ("node2vec", "modularity", "laplacian"):
+        if loss not in ("node2vec", "cbow", "modularity", "laplacian"):
             raise ValueError(loss)
         self.loss, self.walk_length, self.num_walks, self.window_length = loss, walk_length, num_walks, window_length
         self.negative, self.epochs, self.rate, self.parts, self.seed = negative, epochs, rate, parts, seed
+        self.p, self.q, self.backtrack = p, q, backtrack
+
+    def walks(self) -> DataFrame:
+        if not self.backtrack:
+            return uniform_walks(self.edges, self.walk_length, self.num_walks, self.seed, backtrack=False)
+        return simulate(self.edges, self.walk_length, self.num_walks, self.p, self.q, self.seed)
+
+    def samples(self) -> DataFrame:
+        """``center, context``: one context, or for ``cbow`` all of a position as one string of ids."""
+        pairs = context_pairs(self.walks(), ["start", "round"], self.window_length)
+        if self.loss != "cbow":
+            return pairs.select("center", F.col("context").cast("string").alias("context"))
+        together = pairs.groupBy("start", "round", "pos", "center").agg(F.array_join(F.collect_list(F.col("context").cast("string")), ",").alias("context"))  # twice the window
+        return together.select("center", "context")
 
     def update(self, dim: int) -> None:
-        walks = uniform_walks(self.edges, self.walk_length, self.num_walks, self.seed)
-        samples = checkpoint(context_pairs(walks, ["start", "round"], self.window_length).repartition(self.parts, "center").select("center", "context"))
-        deg = self.edges.groupBy(F.col("dst").alias("node_id")).agg(F.sum("w").alias("d")).orderBy("node_id").toPandas()  # the model's own nodes
+        degrees = checkpoint(self.edges.groupBy(F.col("dst").alias("node_id")).agg(F.sum("w").alias("d")))
+        if (n := degrees.count()) > MAX_TABLE_NODES:
+            raise ValueError(f"{n} nodes: the tables of sampled training are sent to tasks; use a spectral model")
+        samples = checkpoint(self.samples().repartition(self.parts, "center"))
+        deg = degrees.orderBy("node_id").toPandas()  # bounded by the check above
         ids, law = deg["node_id"].to_numpy(), (deg["d"] / deg["d"].sum()).to_numpy()
-        n = len(ids)
         rng = np.random.default_rng(self.seed)
         tables = [(rng.random((n, dim)) - 0.5) / dim, (rng.random((n, dim)) - 0.5) / dim]
         loss, negative, rate, seed = self.loss, self.negative, self.rate, self.seed
@@ -299,47 +359,79 @@ class SampledEmbedding(NodeEmbedding):
             sent = self.edges.sparkSession.sparkContext.broadcast((ids, law, *tables))
 
             def train(frames: Iterator[pd.DataFrame], sent=sent, epoch=epoch) -> Iterator[pd.DataFrame]:
-                ids, law, u, v = sent.value
-                u, v, seen, total = u.copy(), v.copy(), np.zeros(len(ids)), 0
+                ids, law, *own = sent.value
+                own = [t.copy() for t in own]
+                seen, total = np.zeros(len(ids)), 0
                 cdf = np.cumsum(law)
                 for frame in frames:
                     r = np.random.default_rng([seed, epoch, len(frame), int(frame["center"].iloc[0]) if len(frame) else 0])
-                    c, o = np.searchsorted(ids, frame["center"].to_numpy()), np.searchsorted(ids, frame["context"].to_numpy())
+                    c = np.searchsorted(ids, frame["center"].to_numpy())
+                    if loss == "cbow":
+                        lists = [np.searchsorted(ids, np.array(x.split(","), dtype=np.int64)) for x in frame["context"]]
+                        o = np.full((len(c), max(map(len, lists), default=1)), -1)
+                        for i, x in enumerate(lists):
+                            o[i, : len(x)] = x
+                    else:
+                        o = np.searchsorted(ids, frame["context"].to_numpy().astype(np.int64))
                     for at in range(0, len(c), 256):
                         a, b = c[at : at + 256], o[at : at + 256]
                         k = np.minimum(np.searchsorted(cdf, r.random((len(a), negative))), len(ids) - 1)
-                        pos, neg = np.einsum("id,id->i", u[a], v[b]), np.einsum("id,ikd->ik", u[a], v[k])
-                        if loss == "node2vec":
-                            gp, gn = 1 / (1 + np.exp(-pos)) - 1, 1 / (1 + np.exp(-neg))
-                        elif loss == "modularity":
-                            gp, gn = -np.ones_like(pos), np.ones_like(neg) / negative + pos[:, None] * 0 + neg
-                        else:
-                            gp, gn = -np.ones_like(pos), neg
-                        gu = gp[:, None] * v[b] + np.einsum("ik,ikd->id", gn, v[k])
-                        np.add.at(u, a, -rate * np.clip(gu, -5, 5))
-                        np.add.at(v, b, -rate * np.clip(gp[:, None] * u[a], -5, 5))
-                        np.add.at(v, k.ravel(), -rate * np.clip((gn[:, :, None] * u[a][:, None, :]).reshape(-1, u.shape[1]), -5, 5))
+                        base = (r.integers(0, len(ids), len(a)), r.integers(0, len(ids), len(a)))
+                        for table, rows, step in _steps(loss, *own, a, b, k, base):
+                            np.add.at(own[table], rows, -rate * np.clip(step, -5, 5))
                     total += len(c)
                     np.add.at(seen, c, 1)
                 if total:
-                    yield pd.DataFrame({"i": np.arange(len(ids)), "n": seen, "t": float(total), "u": list(u), "v": list(v)})
+                    yield pd.DataFrame({"i": np.arange(len(ids)), "n": seen, "t": float(total), "u": list(own[0]), "v": list(own[1])})
 
             out = samples.mapInPandas(train, "i long, n double, t double, u array<double>, v array<double>")
             mean = lambda name, w: [(F.sum(F.col(w) * F.col(name)[j]) / F.sum(w)).alias(f"{name}{j}") for j in range(dim)]
-            rows = out.withColumn("own", F.col("n") + 1e-9).groupBy("i").agg(*mean("u", "own"), *mean("v", "t")).orderBy("i").toPandas()
+            rows = out.withColumn("own", F.col("n") + 1e-9).groupBy("i").agg(*mean("u", "own"), *mean("v", "t")).orderBy("i").toPandas()  # one row a node
             tables = [rows[[f"u{j}" for j in range(dim)]].to_numpy(), rows[[f"v{j}" for j in range(dim)]].to_numpy()]
+            sent.unpersist()
         spark = self.edges.sparkSession
         as_frame = lambda t: spark.createDataFrame(pd.DataFrame({"node_id": ids.astype("int64"), "vec": [row.tolist() for row in t]}), "node_id long, vec array<double>")
         self.in_vec, self.out_vec = as_frame(tables[0]), as_frame(tables[1])
 
 
+class Node2Vec(SampledEmbedding):
+    """Biased or non-backtracking walks and skip-gram with negative sampling."""
+
+    def __init__(self, walk_length: int = 80, num_walks: int = 10, window_length: int = 10, p: float = 1.0, q: float = 1.0, backtrack: bool = True, epochs: int = 1, seed: int = 1) -> None:
+        super().__init__("node2vec", walk_length, num_walks, window_length, epochs=epochs, seed=seed, p=p, q=q, backtrack=backtrack)
+
+
+class DeepWalk(SampledEmbedding):
+    """Uniform walks and continuous bag of words; the softmax is replaced by negative sampling."""
+
+    def __init__(self, walk_length: int = 80, num_walks: int = 30, window_length: int = 10, backtrack: bool = True, epochs: int = 1, seed: int = 1) -> None:
+        super().__init__("cbow", walk_length, num_walks, window_length, epochs=epochs, seed=seed, backtrack=backtrack)
+
+
+def save(model: NodeEmbedding, path: str) -> None:
+    """Both tables of a fitted model as Parquet with its class and dimension."""
+    for name, table in (("in", model.in_vec), ("out", model.out_vec)):
+        table.select("node_id", "vec", F.lit(type(model).__name__).alias("model"), F.lit(model.dim).alias("dim")).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(edges: DataFrame, path: str) -> NodeEmbedding:
+    """The saved tables as a model: it answers for its dimension and isn't trained again."""
+    model = NodeEmbedding()
+    model.edges = edges
+    model.in_vec, model.out_vec = (edges.sparkSession.read.parquet(f"{path}/{name}").select("node_id", "vec") for name in ("in", "out"))
+    model.dim = edges.sparkSession.read.parquet(f"{path}/in").first()["dim"]
+    return model
+
+
 #: Hyper-parameter presets by model name.
 PRESETS = {
     "node2vec": lambda: Node2Vec(num_walks=40),
-    "deepwalk": lambda: Node2Vec(num_walks=120),
+    "deepwalk": lambda: DeepWalk(num_walks=120),
+    "word2vec": lambda: Word2VecEmbedding(num_walks=40),
     "line": lambda: Node2Vec(num_walks=400, window_length=1),
     "depthfirst-node2vec": lambda: Node2Vec(num_walks=40, p=100.0),
     "non-backtracking-node2vec": lambda: Node2Vec(num_walks=40, backtrack=False),
+    "non-backtracking-deepwalk": lambda: DeepWalk(num_walks=120, backtrack=False),
     "leigenmap": LaplacianEigenMap,
     "adjspec": AdjacencySpectral,
     "modspec": ModularitySpectral,

@@ -80,6 +80,18 @@ def average_precision(pairs: DataFrame) -> DataFrame:
     return ranked.agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos").cast("double")).alias("ap"))
 
 
+def agreement(values: DataFrame) -> DataFrame:
+    """How two vectors ``x, y`` over the nodes agree: ``pearson`` in size, and the folded AUC of each for ``same``."""
+    auc = lambda c: folded_auc(values.select(F.round(c, 9).alias("score"), "same")).withColumnRenamed("auc", f"auc_{c}")
+    return values.agg(F.abs(F.corr("x", "y")).alias("pearson")).crossJoin(auc("x")).crossJoin(auc("y"))  # one row each
+
+
+def comparison(labels: DataFrame, models: list[str], truth: str) -> DataFrame:
+    """``model, nmi, esim``: a line for each predicted column."""
+    rows = score_rows(labels, models, truth)
+    return rows.groupBy(F.col("variant").alias("model")).agg(*(F.max(F.when(F.col("score_type") == k, F.col("score"))).alias(k) for k in ("nmi", "esim")))
+
+
 def score_rows(labels: DataFrame, variants: list[str], truth: str) -> DataFrame:
     """For each predicted column one row of ``nmi`` and one of ``esim``: ``variant, score_type, score``."""
     out = None

@@ -118,3 +118,64 @@ def laplacian_loss(edges: DataFrame, vectors: DataFrame, d: int) -> DataFrame:
 def interpolate(start: DataFrame, end: DataFrame, x: float) -> DataFrame:
     """start + x (end - start)."""
     return start.join(end.select("node_id", F.col("vec").alias("_to")), "node_id").select("node_id", F.zip_with("vec", "_to", lambda a, b: a + x * (b - a)).alias("vec"))
+
+
+# ------------------------------------------------------------ losses of mini-batches
+
+
+def loss_samples(edges: DataFrame, batches: int, seed: int, nodes: int | None = None) -> DataFrame:
+    """``batch, kind, a, b``: every edge (``edge``), for each a pair drawn by degree (``random``) and, with ``nodes``, a uniform one (``base``).
+
+    Batches and draws are keyed by the edge.
+    """
+    from ..functions import prng
+    from .sampling import draw, noise_distribution, whole_cdf
+
+    keyed = edges.select("src", "dst", (prng.bits(seed, F.lit("batch"), "src", "dst") % batches).alias("batch"))
+    own = keyed.select("batch", F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    cdf = whole_cdf(noise_distribution(edges))
+    drawn = draw(keyed, cdf, None, seed + 1, "src", "dst", name="a")
+    drawn = draw(drawn, cdf, None, seed + 2, "src", "dst", name="b")
+    out = own.unionByName(drawn.select("batch", F.lit("random").alias("kind"), "a", "b"))
+    if nodes:
+        pick = lambda k: F.floor(prng.uniform(seed + k, "src", "dst") * nodes).cast("long")
+        out = out.unionByName(keyed.select("batch", F.lit("base").alias("kind"), pick(3).alias("a"), pick(4).alias("b")))
+    return out
+
+
+def batch_losses(samples: DataFrame, vectors: DataFrame, factors: dict[str, tuple[float, int]], d: int, constant: float = 0.0) -> DataFrame:
+    """``batch, loss, gradient2``: the sum over kinds of factor * mean((x_a . x_b)^power), and the squared norm of its gradient."""
+    x, y = (vectors.select(F.col("node_id").alias(n), F.col("vec").alias(v)) for n, v in (("a", "u"), ("b", "v")))
+    sizes = samples.groupBy("batch", "kind").agg(F.count(F.lit(1)).alias("n"))
+    factor, power = F.lit(0.0), F.lit(1)
+    for kind, (f, p) in factors.items():
+        factor, power = F.when(F.col("kind") == kind, float(f)).otherwise(factor), F.when(F.col("kind") == kind, p).otherwise(power)
+    rows = samples.join(x, "a").join(y, "b").join(sizes, ["batch", "kind"]).withColumn("s", dot("u", "v"))
+    rows = rows.select("batch", "a", "b", "u", "v", (factor / F.col("n") * F.pow("s", power.cast("double"))).alias("part"), (factor * power / F.col("n") * F.pow("s", (power - 1).cast("double"))).alias("c"))
+    loss = rows.groupBy("batch").agg((F.sum("part") + constant).alias("loss"))
+    side = lambda node, other: rows.select("batch", F.col(node).alias("node_id"), "c", F.col(other).alias("x"))
+    step = side("a", "v").unionByName(side("b", "u")).groupBy("batch", "node_id").agg(F.array(*(F.sum(F.col("c") * F.col("x")[i]) for i in range(d))).alias("g"))
+    return loss.join(step.groupBy("batch").agg(F.sum(dot("g", "g")).alias("gradient2")), "batch")
+
+
+def implicit_loss(loss: float, batches: DataFrame, epsilon: float) -> DataFrame:
+    """One row ``q``: the loss plus epsilon / 4 times the mean squared gradient of the batches, what small steps add to it."""
+    return batches.agg((F.lit(float(loss)) + epsilon / 4 * F.avg("gradient2")).alias("q"))
+
+
+def degree_scaled(vectors: DataFrame, edges: DataFrame) -> DataFrame:
+    """Vectors times sqrt(2m / degree)."""
+    deg = edges.groupBy(F.col("src").alias("node_id")).agg(F.greatest(F.sum("w"), F.lit(1.0)).alias("d"))
+    m = edges.agg(F.sum("w").alias("m"))
+    joined = vectors.join(deg, "node_id").crossJoin(F.broadcast(m))  # one row is broadcast
+    return joined.select("node_id", F.transform("vec", lambda x: x * F.sqrt(F.col("m") / F.col("d"))).alias("vec"))
+
+
+def ensemble_moments(members: list[DataFrame]) -> DataFrame:
+    """``src, dst, mean, var`` (population) of each entry over the tables; entries that are missing in some count as 0 there."""
+    n = float(len(members))
+    whole = members[0]
+    for m in members[1:]:
+        whole = whole.unionByName(m)
+    out = whole.groupBy("src", "dst").agg((F.sum("w") / n).alias("mean"), (F.sum(F.col("w") * F.col("w")) / n).alias("square"))
+    return out.select("src", "dst", "mean", (F.col("square") - F.col("mean") * F.col("mean")).alias("var"))

@@ -396,3 +396,199 @@ def test_substring_clashing_names_and_empty_table(spark):
     out = sorted(substring.remove_repeats(docs).collect())
     assert [(x.doc_id, x._covers, x._text_hash) for x in out] == [(1, "x", 3), (2, "y", 4)] and out[0].text == text and len(out[1].text.split()) < 20
     assert substring.remove_repeats(docs.limit(0)).collect() == []
+
+
+def brute_fingerprint(text):
+    """Votes of xxhash64 over adjacent word pairs, bit by bit, in plain Python."""
+    import xxhash
+
+    def chained(parts):
+        seed = 42
+        for p in parts:
+            seed = (xxhash.xxh64_intdigest(p.encode(), seed) if isinstance(p, str) else xxhash.xxh64_intdigest(p.to_bytes(4, "little"), seed))
+        return seed
+
+    words = (text or "").split()
+    out = []
+    for k in range(4):
+        votes = np.zeros(64, dtype=int)
+        for a, b in zip(words, [*words[1:], ""], strict=False):
+            h = chained([a, b, k])
+            votes += np.array([(h >> i) & 1 for i in range(64)])
+        out.append(sum(1 << i for i in range(64) if 2 * votes[i] > len(words)))
+    return out
+
+
+def test_fingerprint_bits_against_brute_force(spark):
+    texts = [prose(i, 5 + 30 * i) for i in range(6)] + ["one", "", None, "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [getattr(r, f"f{k}") & (2**64 - 1) for k in range(4)] for r in simhash.text_fingerprints(docs).collect()}
+    assert got == {i: brute_fingerprint(t) for i, t in enumerate(texts)}
+
+
+def test_fingerprints_keep_every_row(spark):
+    rows = [(None, "null key", "x"), (1, "same words here", "x"), (1, "same words here", "y"), (1, "other words", "z"), (2, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    out = simhash.edited_fingerprints(docs).collect()
+    assert len(out) == 5 and sorted(r.n_chars for r in out) == [0, 8, 11, 15, 15]
+    one = simhash.edited_fingerprints(docs.limit(1)).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+    assert simhash.edited_fingerprints(docs.filter("false")).collect() == []
+
+
+def brute_article(page):
+    """Text of the article element's headings and paragraphs by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.inside = True
+            if tag in ("p", "h1", "article"):
+                self.blocks.append("")
+            if tag == "br":
+                self.blocks[-1] += " "
+
+        def handle_endtag(self, tag):
+            if tag == "article":
+                self.inside = False
+            if tag in ("p", "h1", "article"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    reader = Reader()
+    reader.feed(page)
+    return "\n".join(b for b in (" ".join(x.split()) for x in reader.blocks) if b)
+
+
+def _pages(limit):
+    duckdb = pytest.importorskip("duckdb")
+    return [r[0] for r in duckdb.sql(f"SELECT html FROM '/root/testdata/sf0.001/pages.parquet' LIMIT {limit}").fetchall()]
+
+
+def test_html_pages_against_brute_force():
+    tree = html_text.default_tree()
+    pages = _pages(1000)
+    assert pages and all(html_text.main_text(p, tree) == brute_article(p) for p in pages)
+
+
+def test_html_neighbours_decide_where_no_role_is_named():
+    import re
+
+    tree = html_text.default_tree()
+    whole = blind = total = 0
+    for p in _pages(200):
+        bare = re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", p).replace(' class="ad"', "")
+        found = html_text.blocks(bare)
+        x = html_text.features(found)
+        text = lambda keep: "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)  # noqa: B023, E731
+        whole += text(tree.predict(x) >= 0.5) == brute_article(p)
+        x[:, 2:6] = 0
+        blind += text(tree.predict(x) >= 0.5) == brute_article(p)
+        total += 1
+    assert whole > 0.95 * total and blind < 0.2 * total
+
+
+def test_html_broken_markup():
+    tree = html_text.default_tree()
+    text = lambda body: html_text.main_text(f"<article><p>{body}", tree)
+    assert text("Energy <math><mi>E</mi>=<mi>m</mi></math> matters") == "Energy E=m matters"
+    assert text("see <object>inside</object>") == "see inside"
+    assert text('a</p><p title="open>tail text') == "a\ntail text"
+    assert text("kept<script>var x = 1;<p>after") == "kept\nafter"
+    assert text("a < b and 3 <4") == "a < b and 3 <4"
+    assert html_text.main_text("<div class='content'><p>Yes.</p><p>" + "word " * 40 + "</p></div>", tree).startswith("Yes.\n")
+    import time
+
+    began = time.time()
+    html_text.main_text('<a "' * 30_000 + "<b <c" * 30_000 + "<script>" * 3_000, tree)
+    assert time.time() - began < 5
+
+
+def test_toxicity_odd_labels(spark):
+    docs = spark.createDataFrame([(i, prose(i, 30) + (" you vile toad" if i % 3 == 0 else ""), "x") for i in range(90)] * 2 + [(None, "vile", None), (91, None, None)], "doc_id long, text string, _text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(3, 1), (3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    out = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(out) == 182 and all((r.score >= 0.3) == (r.doc_id % 3 == 0) for r in out if r.doc_id is not None and r.doc_id < 90)
+    none = toxicity.fit(docs, labels.filter("toxic = 0"))
+    assert len({r.score for r in toxicity.score(docs, none).collect()}) == 1
+    assert toxicity.score(docs.limit(0), none).collect() == []
+
+
+def test_toxicity_matches_brute_force():
+    lexicon = toxicity.Lexicon({"vile": 2.0, "toad*": 3.0, "trash": 1.0}, exceptions=("trash can",))
+    r = random.Random(4)
+    for _ in range(200):
+        text = " ".join(r.choice(["vile", "toad", "toads", "toadstool", "trash", "trash can", "ok", "v1le", "evil", "trashcan"]) for _ in range(12))
+        folded = toxicity.fold(text)
+        want = collections.Counter()
+        words = [(m.start(), m.group()) for m in toxicity._WORD.finditer(folded)]
+        for at, w in words:
+            if w == "vile" or (w == "trash" and not (folded[at:].startswith("trash can") and (folded[at + 9 : at + 10] in ("", " ")))):
+                want[w] += 1
+            elif w.startswith("toad") and len(w) > 4:
+                want["toad*"] += 1
+        assert lexicon.hits(folded) == want
+
+
+def test_bpe_empty_table_and_long_text(spark):
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    long = prose(3, 12_000) + "\n\n  <|endoftext|> é中" + " " * 700 + prose(4, 50)
+    docs = spark.createDataFrame([(1, long), (2, long), (2, long)], "doc_id long, text string")
+    rows = bpe.encode(docs, path).collect()
+    assert len(rows) == 3 and all(list(r.ids) == enc.encode_ordinary(long) for r in rows)
+    assert bpe.decode(bpe.encode(docs.limit(0), path), path).collect() == []
+
+
+def test_pii_shorter_numbers_and_clashing_names(spark):
+    rows = [(1, "card 4111111111111111 12/27 ok", "a"), (2, "4111 1111 1111 1111 123", "b"), (3, "BE68 5390 0754 7034 OK", None), (4, None, "d"), (5, "", "e"), (5, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _found string")
+    out = {r.doc_id: r for r in pii.pseudonymise(docs, "k", count="n").collect()}
+    assert out[1].text.endswith(" 12/27 ok") and "4111111111111111" not in out[1].text and out[1]._found == "a"
+    assert out[2].text.endswith(" 123") and out[2].n == 1 and out[1].text.split()[1] == out[2].text.replace(" ", "")[:16]
+    assert out[3].text.endswith(" OK") and out[3].text.startswith("BE") and out[3].text[2:4] != "68" or out[3].n == 1
+    assert out[4].text is None and out[5].text == ""
+    assert pii.pseudonymise(docs.limit(0), "k").collect() == []
+
+
+def test_quality_accept_keeps_rows_whole(spark):
+    rows = [(i, prose(i, 120), f"h{i}", i) for i in range(12)] + [(3, prose(3, 120), "h3", 3), (None, prose(40, 120), None, None), (50, None, "x", 1), (51, "", "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text_hash string, n_words long")
+    out = quality.accept(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, docs.filter("length(text) > 0").collect()))
+    assert quality.accept(docs.limit(0)).collect() == []
+
+
+def test_pipeline_against_its_operators(spark):
+    """Every stage on odd rows; packing at the end holds what the stages before it kept."""
+    corpus = pytest.importorskip("corpus_pipeline")
+    passage = prose(77, 80)
+    rows = [(i, prose(i, 120 + i) + (". " + passage if i in (2, 9) else ""), "en", "s", 1) for i in range(12)]
+    rows += [(20, prose(3, 123), "en", "s", 1), (21, "spam " * 200, "en", "s", 1), (22, None, None, None, None), (23, "", "en", "s", 0), (5, rows[5][1], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {}
+    for name, stage in corpus.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        kept[name] = {r.doc_id: r.text for r in docs.collect()}
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert set(kept["quality_rules"]) == {*range(12), 20} and set(kept["minhash_near_dedup"]) == set(range(12))
+    assert kept["substring_dedup"] == brute_repeats(sorted(kept["minhash_near_dedup"].items()), substring.MIN_WORDS, substring.MIN_SENTENCES)
+    assert len(kept["substring_dedup"][9]) < len(kept["minhash_near_dedup"][9]) - len(passage) // 2
+    pieces = corpus.STAGES[-1][1](spark, docs, "").collect()
+    packing.check_layout([(r.sequence_id, r.offset, r.length) for r in pieces], 2048)
+    assert {r.doc_id for r in pieces} == set(range(12))
+    empty = spark.createDataFrame([], docs.schema)
+    for _, stage in corpus.STAGES:
+        empty = stage(spark, empty, "")
+    assert empty.collect() == []

@@ -33,7 +33,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before) and makes rows stable where several branches read them.
     """
     path = f"{shared_folder(df.sparkSession)}/quillgraph-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -76,13 +76,13 @@ def likeness(a: str, b: str) -> Column:
 
 
 def successors(rows: DataFrame) -> DataFrame:
-    """``rows`` (``_key, _digest, _row, _n``) with ``_next``: the successor in ascending order; the last one's is the first.
+    """``rows`` (``_key, _row, _n``) with ``_next``: the successor in ascending order; the last one's is the first.
 
     The rows are dealt out by ranges; inside a range a window finds the
     successor, and the few first rows of the ranges close the gaps.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ("_key", "_digest", "_row")
+    order = ("_key", "_row")
     dealt = materialize(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     own = dealt.withColumn("_next", F.lead("_row").over(Window.partitionBy("_range").orderBy(*order)))
     first = dealt.groupBy("_range").agg(F.min(F.struct(*order)).alias("_first"))
@@ -99,15 +99,15 @@ def edited_fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     first one following the last.  Returns ``key, n_chars, edited_sha256,
     f0.., e0.., near_edited, near_next``, one row for each row of ``docs``.
 
-    Null text counts as empty.  A null key comes first; rows with one key are
-    ordered by a digest of the text, and repeated rows follow each other.  A
+    Null text counts as empty.  A null key comes first; rows with one key
+    follow each other as they were read.  A
     single document is its own successor.  Other columns are not read.  An
     empty table gives an empty result.
     """
     body = text_or_empty(text)
     # Written once, so the numbers of the rows hold.
-    source = materialize(docs.select(F.col(key).alias("_key"), body.alias("_text"), F.unhex(F.md5(body.cast("binary"))).alias("_digest"), F.monotonically_increasing_id().alias("_row")), "texts")
-    order = materialize(successors(source.select("_key", "_digest", "_row", F.length("_text").cast("long").alias("_n"))), "successors")
+    source = materialize(docs.select(F.col(key).alias("_key"), body.alias("_text"), F.monotonically_increasing_id().alias("_row")), "texts")
+    order = materialize(successors(source.select("_key", "_row", F.length("_text").cast("long").alias("_n"))), "successors")
     needed = order.select(F.col("_row").alias("_for"), F.col("_next").alias("_row"), F.floor(F.col("_n") / 2).cast("int").alias("_need"))
     heads = source.select("_row", "_text").join(needed, "_row").select(F.col("_for").alias("_row"), F.expr("substring(_text, 1, _need)").alias("_head"))
     both = (
@@ -115,11 +115,11 @@ def edited_fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "te
         .join(heads, "_row")
         .select("_row", "_text", F.concat(F.expr("substring(_text, 1, length(_text) - length(_text) div 2)"), F.col("_head")).alias("_edited"))
         .select("_row", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("_text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("_edited").alias("t")))).alias("_x"))
-        .select("_row", F.col("_x.kind").alias("_kind"), F.col("_x.t").alias("_t"), F.when(F.col("_x.kind") == 1, F.sha2("_x.t", 256)).alias("_sha"))
+        .select("_row", F.col("_x.kind").alias("_kind"), F.col("_x.t").alias("_t"), F.when(F.col("_x.kind") == 1, F.unhex(F.sha2("_x.t", 256))).alias("_sha"))
     )
     prints = materialize(fingerprints(both, ["_row", "_kind", "_sha"], "_t"), "fingerprints")
     own = prints.filter("_kind = 0").select("_row", *(F.col(f"f{k}").alias(f"f{k}") for k in range(WORDS64)))
-    edited = prints.filter("_kind = 1").select("_row", F.col("_sha").alias("edited_sha256"), *(F.col(f"f{k}").alias(f"e{k}") for k in range(WORDS64)))
+    edited = prints.filter("_kind = 1").select("_row", F.lower(F.hex("_sha")).alias("edited_sha256"), *(F.col(f"f{k}").alias(f"e{k}") for k in range(WORDS64)))
     following = own.select(F.col("_row").alias("_next"), *(F.col(f"f{k}").alias(f"n{k}") for k in range(WORDS64)))
     return (
         order.join(own, "_row")

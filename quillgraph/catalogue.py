@@ -238,11 +238,11 @@ def a13_entropy(s: SparkSession, d: str) -> DataFrame:
     return rounded(p.agg((-F.sum(F.col("p") * F.ln("p"))).alias("entropy"), F.sum(F.col("p") * F.ln(F.col("p") / 0.2)).alias("kl")), "entropy", "kl")
 
 
-@query(f"WITH {LONG} SELECT a.dim::INTEGER AS i, b.dim::INTEGER AS j, {r6('sum(a.val * b.val)')} AS g FROM long a JOIN long b ON a.node_id = b.node_id WHERE a.dim < 8 AND b.dim < 8 GROUP BY 1, 2")
+@query(f"WITH {LONG} SELECT a.dim::INTEGER AS i, b.dim::INTEGER AS j, {r6('sum(a.val * b.val)')} AS g FROM long a JOIN long b ON a.node_id = b.node_id GROUP BY 1, 2")
 def a14_gram(s: SparkSession, d: str) -> DataFrame:
-    v = tables.vectors(s, d)
-    row = v.agg(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(F.col("vec")[i] * F.col("vec")[j]).alias("g")) for i in range(8) for j in range(8))).alias("m"))
-    return rounded(row.select(F.explode("m").alias("x")).select("x.i", "x.j", "x.g"), "g")
+    long = tables.vectors(s, d).select("vec", F.posexplode("vec").alias("i", "x"))
+    rows = long.groupBy("i").agg(F.array(*(F.sum(F.col("x") * F.col("vec")[j]) for j in range(D))).alias("row"))
+    return rounded(rows.select("i", F.posexplode("row").alias("j", "g")), "g")
 
 
 @query(f"WITH {VECS} SELECT {r6('corr(vec[1], vec[2])')} AS r FROM vecs")
@@ -432,39 +432,41 @@ def t8_a15_area(s: SparkSession, d: str) -> DataFrame:
     return rounded(spectral.trapezoid(spectral.semicircle(s, 10.0), "x", "density"), "area")
 
 
-XS = VECS + ", xs AS (SELECT node_id, vec[1] AS x0, vec[2] AS x1 FROM vecs)"
+XS = VECS + ", xs AS (SELECT node_id, vec FROM vecs)"
+XL = "xl AS (SELECT node_id, unnest(range(0, 64)) AS dim, unnest(vec) AS val FROM xs)"
+SQUARES = "(SELECT sum(pow(list_dot_product(a.vec, b.vec), 2)) FROM xs a, xs b)"  # tr((X'X)^2) = sum of squares of X X'
 
 
 def _xs(s: SparkSession, d: str) -> DataFrame:
-    return tables.vectors(s, d).select("node_id", F.slice("vec", 1, 2).alias("vec"))
+    return tables.vectors(s, d).select("node_id", "vec")
 
 
-MODULARITY = """mm AS (SELECT sum(w) AS m, sum(w * w) AS a2 FROM top), dg AS (SELECT src AS node_id, sum(w) AS d FROM top GROUP BY src),
-q AS (SELECT (SELECT sum(w * (a.x0 * b.x0 + a.x1 * b.x1)) FROM top JOIN xs a ON src = a.node_id JOIN xs b ON dst = b.node_id) AS xax,
-(SELECT pow(sum(d * x0), 2) + pow(sum(d * x1), 2) FROM dg JOIN xs USING (node_id)) AS xddx,
-(SELECT pow(sum(x0 * x0), 2) + 2 * pow(sum(x0 * x1), 2) + pow(sum(x1 * x1), 2) FROM xs) AS g,
+MODULARITY = f"""{XL}, mm AS (SELECT sum(w) AS m, sum(w * w) AS a2 FROM top), dg AS (SELECT src AS node_id, sum(w) AS d FROM top GROUP BY src),
+q AS (SELECT (SELECT sum(w * list_dot_product(a.vec, b.vec)) FROM top JOIN xs a ON src = a.node_id JOIN xs b ON dst = b.node_id) AS xax,
+(SELECT sum(s * s) FROM (SELECT sum(d * val) AS s FROM dg JOIN xl USING (node_id) GROUP BY dim)) AS xddx, {SQUARES} AS g,
 (SELECT sum(d * d) FROM dg) AS d2, (SELECT sum(w * a.d * b.d) FROM top JOIN dg a ON src = a.node_id JOIN dg b ON dst = b.node_id) AS ad)"""
 
 
 @query(f"WITH {TOP}, {XS}, {MODULARITY} SELECT {r6('(-2 * (xax - xddx / m) + g + a2 - 2 * ad / m + d2 * d2 / (m * m)) / (m * m)')} AS q FROM q, mm")
 def t11_modularity_loss(s: SparkSession, d: str) -> DataFrame:
-    return rounded(spectral.modularity_loss(tables.trade_top(s, d), _xs(s, d), 2), "q")
+    return rounded(spectral.modularity_loss(tables.trade_top(s, d), _xs(s, d), D), "q")
 
 
 @query(f"""WITH {TOP}, {XS}, dg AS (SELECT src AS node_id, sum(w) AS d FROM top GROUP BY src)
-SELECT {r6('c - 2 * x + (SELECT pow(sum(x0 * x0), 2) + 2 * pow(sum(x0 * x1), 2) + pow(sum(x1 * x1), 2) FROM xs)')} AS q FROM
-(SELECT sum(w / (da.d * db.d)) AS c, sum(w * (a.x0 * b.x0 + a.x1 * b.x1) / sqrt(da.d * db.d)) AS x FROM top JOIN xs a ON src = a.node_id JOIN xs b ON dst = b.node_id JOIN dg da ON src = da.node_id JOIN dg db ON dst = db.node_id)""")
+SELECT {r6(f'c - 2 * x + {SQUARES}')} AS q FROM
+(SELECT sum(w / (da.d * db.d)) AS c, sum(w * list_dot_product(a.vec, b.vec) / sqrt(da.d * db.d)) AS x FROM top JOIN xs a ON src = a.node_id JOIN xs b ON dst = b.node_id JOIN dg da ON src = da.node_id JOIN dg db ON dst = db.node_id)""")
 def t14_laplacian_loss(s: SparkSession, d: str) -> DataFrame:
-    return rounded(spectral.laplacian_loss(tables.trade_top(s, d), _xs(s, d), 2), "q")
+    return rounded(spectral.laplacian_loss(tables.trade_top(s, d), _xs(s, d), D), "q")
 
 
-@query(" UNION ALL ".join(f"(WITH {TOP}, {VECS}, xs AS (SELECT node_id, (1 - {x!r}) * vec[1] + {x!r} * vec[3] AS x0, (1 - {x!r}) * vec[2] + {x!r} * vec[4] AS x1 FROM vecs), {MODULARITY} SELECT {x!r}::DOUBLE AS x, {r6('(-2 * (xax - xddx / m) + g + a2 - 2 * ad / m + d2 * d2 / (m * m)) / (m * m)')} AS q FROM q, mm)" for x in (-1.0, 0.5, 2.0)))
+@query(" UNION ALL ".join(f"(WITH {TOP}, {VECS}, xs AS (SELECT node_id, list_transform(range(1, 65), lambda i: (1 - {x!r}) * vec[i] + {x!r} * vec[i % 64 + 1]) AS vec FROM vecs), {MODULARITY} SELECT {x!r}::DOUBLE AS x, {r6('(-2 * (xax - xddx / m) + g + a2 - 2 * ad / m + d2 * d2 / (m * m)) / (m * m)')} AS q FROM q, mm)" for x in (-1.0, 0.5, 2.0)))
 def t16_landscape(s: SparkSession, d: str) -> DataFrame:
-    v = tables.vectors(s, d)
-    a, b = _xs(s, d), v.select("node_id", F.slice("vec", 3, 2).alias("vec"))
+    """From the vectors to the same with their dimensions moved on by one."""
+    a = _xs(s, d)
+    b = a.select("node_id", F.concat(F.slice("vec", 2, D - 1), F.slice("vec", 1, 1)).alias("vec"))
     out = None
     for x in (-1.0, 0.5, 2.0):
-        part = spectral.modularity_loss(tables.trade_top(s, d), spectral.interpolate(a, b, x), 2).select(F.lit(x).alias("x"), "q")
+        part = spectral.modularity_loss(tables.trade_top(s, d), spectral.interpolate(a, b, x), D).select(F.lit(x).alias("x"), "q")
         out = part if out is None else out.unionByName(part)
     return rounded(out, "q")
 
@@ -836,7 +838,7 @@ def n8_cin_cout(s: SparkSession, d: str) -> DataFrame:
     return rounded(s.createDataFrame(rows, "mu double, cin double, cout double"), "cin", "cout")
 
 
-@query()
+@query("SELECT src, dst, 1.0::DOUBLE AS w FROM (SELECT a AS src, unnest(b) AS dst FROM (VALUES " + ", ".join(f"({a}, {list(b)})" for a, b in generators.KARATE.items()) + ") t(a, b)) UNION ALL SELECT dst, src, 1.0::DOUBLE FROM (SELECT a AS src, unnest(b) AS dst FROM (VALUES " + ", ".join(f"({a}, {list(b)})" for a, b in generators.KARATE.items()) + ") t(a, b))")
 def s15_karate(s: SparkSession, d: str) -> DataFrame:
     return generators.karate(s)
 

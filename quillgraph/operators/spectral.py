@@ -86,9 +86,9 @@ def _edge_dots(edges: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def _gram_square(vectors: DataFrame, d: int) -> DataFrame:
     """tr((X^T X)^2) as one row ``g``: the sum of squares of the d x d Gram sums."""
-    sums = [F.sum(F.col("vec")[i] * F.col("vec")[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)]
-    total = sum((F.col(f"g{i}_{j}") * F.col(f"g{i}_{j}") * (1.0 if i == j else 2.0) for i in range(d) for j in range(i, d)), F.lit(0.0))
-    return vectors.agg(*sums).select(total.alias("g"))
+    long = vectors.select("vec", F.posexplode("vec").alias("i", "x"))
+    rows = long.groupBy("i").agg(F.array(*(F.sum(F.col("x") * F.col("vec")[j]) for j in range(d))).alias("row"))
+    return rows.agg(F.sum(dot("row", "row")).alias("g"))
 
 
 def modularity_loss(edges: DataFrame, vectors: DataFrame, d: int) -> DataFrame:

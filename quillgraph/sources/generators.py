@@ -230,35 +230,37 @@ def lfr(spark: SparkSession, n: int, k: float = 10, maxk: int | None = None, min
     return symmetrize(match("i", ["membership"]).union(match("o", [])).withColumn("w", F.lit(1.0))), nodes.select("node_id", "membership")
 
 
+#: Neighbours with a larger id, for each node of the public club network.
+KARATE = {
+    0: [1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 17, 19, 21, 31],
+    1: [2, 3, 7, 13, 17, 19, 21, 30],
+    2: [3, 7, 8, 9, 13, 27, 28, 32],
+    3: [7, 12, 13],
+    4: [6, 10],
+    5: [6, 10, 16],
+    6: [16],
+    8: [30, 32, 33],
+    9: [33],
+    13: [33],
+    14: [32, 33],
+    15: [32, 33],
+    18: [32, 33],
+    19: [33],
+    20: [32, 33],
+    22: [32, 33],
+    23: [25, 27, 29, 32, 33],
+    24: [25, 27, 31],
+    25: [31],
+    26: [29, 33],
+    27: [33],
+    28: [31, 33],
+    29: [32, 33],
+    30: [32, 33],
+    31: [32, 33],
+    32: [33],
+}
+
+
 def karate(spark: SparkSession) -> DataFrame:
     """The public 34-node club network, both directions, weight 1."""
-    # Neighbours with a larger id, for each node.
-    higher = {
-        0: [1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 17, 19, 21, 31],
-        1: [2, 3, 7, 13, 17, 19, 21, 30],
-        2: [3, 7, 8, 9, 13, 27, 28, 32],
-        3: [7, 12, 13],
-        4: [6, 10],
-        5: [6, 10, 16],
-        6: [16],
-        8: [30, 32, 33],
-        9: [33],
-        13: [33],
-        14: [32, 33],
-        15: [32, 33],
-        18: [32, 33],
-        19: [33],
-        20: [32, 33],
-        22: [32, 33],
-        23: [25, 27, 29, 32, 33],
-        24: [25, 27, 31],
-        25: [31],
-        26: [29, 33],
-        27: [33],
-        28: [31, 33],
-        29: [32, 33],
-        30: [32, 33],
-        31: [32, 33],
-        32: [33],
-    }
-    return symmetrize(spark.createDataFrame([(a, b, 1.0) for a, bs in higher.items() for b in bs], "src long, dst long, w double"))
+    return symmetrize(spark.createDataFrame([(a, b, 1.0) for a, bs in KARATE.items() for b in bs], "src long, dst long, w double"))

@@ -639,6 +639,25 @@ def _compared_sql() -> str:
     return " UNION ALL ".join(map(line, ("cosine", "euclidean")))
 
 
+_SAMPLE = f"""{VECS}, nu AS (SELECT row_number() OVER (ORDER BY node_id) - 1 AS at, vec, label FROM vecs), nc AS (SELECT count(*) AS n FROM vecs),
+aq AS (SELECT floor({prng.uniform_sql(1, 'range')} * n)::BIGINT AS i, floor({prng.uniform_sql(2, 'range')} * n)::BIGINT AS j FROM range(20000), nc),
+gs AS (SELECT score, sum(same) AS pos, sum(1 - same) AS neg FROM (SELECT round(list_dot_product(a.vec, b.vec), 9) AS score, (a.label = b.label)::BIGINT AS same FROM aq JOIN nu a ON i = a.at JOIN nu b ON j = b.at WHERE i <> j) GROUP BY score)"""
+
+
+@query(f"WITH {_SAMPLE} SELECT {r6('sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg))')} AS auc FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM gs)")
+def v5_auc_sampled(s: SparkSession, d: str) -> DataFrame:
+    from .operators import metrics
+
+    return rounded(metrics.roc_auc(metrics.sampled_pairs(tables.vectors(s, d), 20000)), "auc")
+
+
+@query(f"WITH {_SAMPLE} SELECT {r6('sum(pos * tp / seen) / sum(pos)')} AS ap FROM (SELECT pos, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp, sum(pos + neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS seen FROM gs)")
+def v9_average_precision_sampled(s: SparkSession, d: str) -> DataFrame:
+    from .operators import metrics
+
+    return rounded(metrics.average_precision(metrics.sampled_pairs(tables.vectors(s, d), 20000)), "ap")
+
+
 @query(_compared_sql())
 def v12_c2c_comparison(s: SparkSession, d: str) -> DataFrame:
     from .operators import clustering, metrics

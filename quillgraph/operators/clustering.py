@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prng
 from ..functions.vectors import cosine, dot, euclidean, norm, vector_sum
+from ..plans.lineage import checkpoint
 
 
 def centroids(vectors: DataFrame, group: str, d: int, how: str = "sum") -> DataFrame:
@@ -15,12 +16,22 @@ def centroids(vectors: DataFrame, group: str, d: int, how: str = "sum") -> DataF
     return out.select("g", "c" if how == "sum" else F.transform("c", lambda x: x / F.col("n")).alias("c"))
 
 
+#: Centres are sent to every task only up to so many numbers in them all.
+MAX_CENTRE_NUMBERS = 50_000_000
+
+
 def assign(vectors: DataFrame, centers: DataFrame, metric: str = "cosine", digits: int = 9, keep: tuple[str, ...] = ()) -> DataFrame:
     """Best centre of each vector, the lowest label on ties.
 
     The centres (as many as groups) are sent to every task, which keeps the
-    best one in a running aggregate instead of ranking all combinations.
+    best one in a running aggregate instead of ranking all combinations.  Their
+    size is looked at first; beyond :data:`MAX_CENTRE_NUMBERS` a ValueError is
+    raised.
     """
+    centers = checkpoint(centers)
+    numbers = centers.agg(F.sum(F.size("c"))).first()[0] or 0
+    if numbers > MAX_CENTRE_NUMBERS:
+        raise ValueError(f"{numbers} numbers in the centres: too many to send to every task")
     score = {"cosine": cosine("vec", "c"), "dotsim": dot("vec", "c"), "euclidean": -euclidean("vec", "c")}[metric]
     scored = vectors.crossJoin(F.broadcast(centers)).select("node_id", *keep, "g", F.round(score, digits).alias("s"))
     best = F.max_by("g", F.struct("s", -F.col("g")))
@@ -108,8 +119,6 @@ def louvain(vectors: DataFrame, neighbours: DataFrame, rho: float, d: int, round
     Odd and even keyed numbers move in turns, which keeps two neighbours from
     swapping labels; a group joins only if it gains.
     """
-    from ..plans.lineage import checkpoint
-
     labels = vectors.select("node_id", F.col("node_id").alias("g"))
     for r in range(rounds):
         members = checkpoint(vectors.join(labels, "node_id"))

@@ -111,18 +111,25 @@ def block_matrix(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node_id, component`` (smallest node of the component).
 
-    Minimum labels of the neighbours and pointer jumping until nothing
-    changes; every round is cut from its lineage in the shared folder.
+    Each round every node follows the smallest of its neighbours and itself,
+    and only links between the nodes so chosen go on to the next round, of
+    which there are fewer and fewer.  The smallest node of a component always
+    stays.  Rounds are cut from their lineage in the shared folder.
     """
-    both = checkpoint(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    labels = checkpoint(both.groupBy(F.col("src").alias("node_id")).agg(F.least(F.min("dst"), F.col("src")).alias("component")))
+    links = checkpoint(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    labels = None
     while True:
-        near = both.join(labels.withColumnRenamed("node_id", "dst"), "dst").groupBy(F.col("src").alias("node_id")).agg(F.min("component").alias("near"))
-        step = checkpoint(labels.join(near, "node_id").select("node_id", F.col("component").alias("old"), F.least("component", "near").alias("component")))
-        jump = step.select(F.col("node_id").alias("component"), F.col("component").alias("further"))
-        new = checkpoint(step.join(jump, "component").select("node_id", "old", F.least("component", "further").alias("component")))
-        labels = new.select("node_id", "component")
-        if new.filter("old <> component").isEmpty():
+        chosen = links.groupBy(F.col("src").alias("node_id")).agg(F.least(F.min("dst"), F.col("src")).alias("component"))
+        chosen = checkpoint(chosen)
+        if labels is None:
+            labels = chosen
+        else:
+            further = chosen.select(F.col("node_id").alias("component"), F.col("component").alias("further"))
+            labels = checkpoint(labels.join(further, "component", "left").select("node_id", F.coalesce("further", "component").alias("component")))
+        end = lambda name: chosen.select(F.col("node_id").alias(name), F.col("component").alias(f"{name}_to"))  # noqa: B023, E731
+        moved = links.join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_to").alias("src"), F.col("dst_to").alias("dst"))
+        links = checkpoint(moved.filter("src <> dst").distinct())
+        if links.isEmpty():
             return labels
 
 

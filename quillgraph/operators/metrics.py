@@ -6,10 +6,12 @@ on its cells, whose number depends on the groups and not on the nodes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import prng
 from ..functions.vectors import dot
+from .graph import running_sum
 
 
 def contingency(labels: DataFrame, truth: str = "y", predicted: str = "p") -> DataFrame:
@@ -55,6 +57,21 @@ def scored_pairs(vectors: DataFrame, digits: int = 9) -> DataFrame:
     return a.join(b, F.col("i") < F.col("j")).select(F.round(dot("u", "v"), digits).alias("score"), (F.col("k") == F.col("l")).cast("long").alias("same"))
 
 
+def sampled_pairs(vectors: DataFrame, draws: int, seed: int = 1, digits: int = 9) -> DataFrame:
+    """``draws`` pairs of ``(node_id, vec, label)``, both ends uniform and different: ``score``, ``same`` 0/1.
+
+    Nodes are numbered in order of id; each end of a draw is an index keyed by
+    its number, so vectors meet their draws by equality joins.
+    """
+    numbered = running_sum(vectors.select("node_id", "vec", "label"), ["node_id"], F.lit(1), "_at").withColumn("_at", F.col("_at").cast("long") - 1)
+    n = vectors.count()
+    index = lambda k: F.floor(prng.uniform(seed + k, "id") * n).cast("long")
+    asked = vectors.sparkSession.range(draws).select("id", index(0).alias("i"), index(1).alias("j")).filter("i <> j")
+    a = numbered.select(F.col("_at").alias("i"), F.col("vec").alias("u"), F.col("label").alias("k"))
+    b = numbered.select(F.col("_at").alias("j"), F.col("vec").alias("v"), F.col("label").alias("l"))
+    return asked.join(a, "i").join(b, "j").select(F.round(dot("u", "v"), digits).alias("score"), (F.col("k") == F.col("l")).cast("long").alias("same"))
+
+
 def _by_score(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("score").agg(F.sum("same").alias("pos"), F.sum(1 - F.col("same")).alias("neg"))
 
@@ -62,8 +79,7 @@ def _by_score(pairs: DataFrame) -> DataFrame:
 def roc_auc(pairs: DataFrame) -> DataFrame:
     """Mann-Whitney AUC with ties at one half, over groups of equal scores."""
     g = _by_score(pairs)
-    below = F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = g.select("pos", "neg", F.coalesce(below, F.lit(0)).alias("below"))
+    ranked = running_sum(g, ["score"], F.col("neg"), "seen").withColumn("below", F.col("seen") - F.col("neg"))
     return ranked.agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
@@ -75,8 +91,7 @@ def folded_auc(points: DataFrame) -> DataFrame:
 def average_precision(pairs: DataFrame) -> DataFrame:
     """Sum of recall steps times precision, equal scores taken together."""
     g = _by_score(pairs)
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = g.select("pos", F.sum("pos").over(down).alias("tp"), F.sum(F.col("pos") + F.col("neg")).over(down).alias("seen"))
+    ranked = running_sum(running_sum(g.withColumn("down", -F.col("score")), ["down"], F.col("pos"), "tp"), ["down"], F.col("pos") + F.col("neg"), "seen")
     return ranked.agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos").cast("double")).alias("ap"))
 
 

@@ -628,6 +628,28 @@ def c7c_logistic_rho(s: SparkSession, d: str) -> DataFrame:
     return rounded(clustering.logistic_threshold(points, 6), "intercept", "slope", "rho", digits=4)
 
 
+def _minibatch_sql(batches: int) -> str:
+    best = lambda name, rows, c: f"{name} AS (SELECT node_id, g AS p FROM (SELECT x.node_id, c.g, round(-sqrt(sum((x.val - c.c) * (x.val - c.c))), 9) AS s FROM {rows} x JOIN {c} c USING (dim) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY s DESC, g) = 1)"
+    parts = [VECS, "ol AS (SELECT node_id, label, unnest(range(0, 64)) AS dim, unnest(vec) AS val FROM vecs)", "long AS (SELECT node_id, label, dim, val / greatest(sqrt(sum(val * val) OVER (PARTITION BY node_id)), 1e-24) AS val FROM ol)"]
+    parts.append("c0 AS (SELECT l.label AS g, dim, val AS c, 0 AS n FROM long l JOIN (SELECT label, min(node_id) AS node_id FROM vecs GROUP BY label) f USING (node_id))")
+    for b in range(batches):
+        parts.append(f"r{b} AS (SELECT * FROM long WHERE {prng.bits_sql(0, 'node_id')} % {batches} = {b})")
+        parts.append(best(f"a{b}", f"r{b}", f"c{b}"))
+        parts.append(f"s{b} AS (SELECT p AS g, dim, sum(val) AS s, count(*) AS m FROM r{b} JOIN a{b} USING (node_id) GROUP BY 1, 2)")
+        parts.append(f"c{b + 1} AS (SELECT c.g, c.dim, CASE WHEN m > 0 THEN (c * n + s) / (n + m) ELSE c END AS c, n + coalesce(m, 0) AS n FROM c{b} c LEFT JOIN s{b} s ON c.g = s.g AND c.dim = s.dim)")
+    parts.append(best("last", "long", f"c{batches}"))
+    return f"WITH {', '.join(parts)} SELECT node_id, p FROM last"
+
+
+@query(_minibatch_sql(3))
+def c3_minibatch_kmeans(s: SparkSession, d: str) -> DataFrame:
+    from .operators import clustering
+
+    v = clustering.unit_rows(tables.vectors(s, d))
+    start = v.groupBy("label").agg(F.min_by("vec", "node_id").alias("c")).select(F.col("label").alias("g"), "c")
+    return clustering.minibatch_kmeans(tables.vectors(s, d), start, 64, 3)
+
+
 # ------------------------------------------------------------ scores and theory tables
 
 

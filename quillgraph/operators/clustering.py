@@ -77,6 +77,22 @@ def lloyd(vectors: DataFrame, start: DataFrame, d: int, steps: int) -> DataFrame
     raise ValueError("steps must be at least 1")
 
 
+def minibatch_kmeans(vectors: DataFrame, start: DataFrame, d: int, batches: int, seed: int = 0) -> DataFrame:
+    """K-means that sees one keyed batch of the unit vectors after the other; each centre is the mean of all it was given.
+
+    ``start``: ``g, c``.  Returns ``node_id, p`` of the last centres.
+    """
+    rows = checkpoint(unit_rows(vectors.select("node_id", "vec")))
+    centers = start.select("g", "c", F.lit(0).cast("long").alias("n"))
+    for b in range(batches):
+        batch = rows.filter(prng.bits(seed, "node_id") % batches == b)
+        given = batch.join(assign(batch, centers.select("g", "c"), "euclidean"), "node_id").groupBy(F.col("p").alias("g")).agg(vector_sum("vec", d).alias("s"), F.count(F.lit(1)).alias("m"))
+        joined = centers.join(given, "g", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+        mean = F.zip_with("c", "s", lambda c, x: (c * F.col("n") + x) / (F.col("n") + F.col("m")))
+        centers = checkpoint(joined.select("g", F.when(F.col("m") > 0, mean).otherwise(F.col("c")).alias("c"), (F.col("n") + F.col("m")).alias("n")))
+    return assign(rows, centers.select("g", "c"), "euclidean")
+
+
 def nearest(vectors: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """Exact cosine neighbours ``src, dst, w``, ties by id.  Compares all pairs: for bounded sets; see ``ml`` for large ones."""
     a = vectors.select(F.col("node_id").alias("src"), F.col("vec").alias("u"))

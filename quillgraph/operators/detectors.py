@@ -118,56 +118,147 @@ def discriminant_auc(vectors: DataFrame, d: int) -> DataFrame:
     return folded_auc(vectors.select(F.round(score, 9).alias("score"), (F.col("label") == known[1]).cast("long").alias("same")))
 
 
-def cosine_birch(vectors: DataFrame, threshold: float = 0.5, clusters: int | None = None) -> DataFrame:
-    """Cosine BIRCH: sub-clusters of mean inner product of at least ``threshold`` in each partition, merged on the driver.
+class _CFTree:
+    """Sub-clusters (n, linear sum) of unit vectors whose mean inner product with what joins them is ``rho`` or more.
 
-    A partition keeps (n, linear sum) of its sub-clusters; those sums, not the
-    vectors, are merged by average linkage to ``clusters`` groups (or while
-    the linkage reaches the threshold).  Vectors go to the best sub-cluster.
+    A node holds at most ``branching`` entries.  An entry is found from the
+    root by the largest <ls, x> - rho n m; a full node splits on the pair that
+    is farthest apart in -ls ls' + rho n n'.
     """
+
+    def __init__(self, rho: float, branching: int, d: int) -> None:
+        self.rho, self.branching = rho, branching
+        self.root = self._node(d, leaf=True)
+
+    def _node(self, d: int, leaf: bool) -> dict:
+        return {"n": np.zeros(self.branching + 1), "ls": np.zeros((self.branching + 1, d)), "child": None if leaf else [], "size": 0}
+
+    def _add(self, node: dict, n: float, ls: np.ndarray, child: dict | None) -> None:
+        k = node["size"]
+        node["n"][k], node["ls"][k], node["size"] = n, ls, k + 1
+        if node["child"] is not None:
+            node["child"].append(child)
+
+    def insert(self, n: float, ls: np.ndarray) -> None:
+        halves = self._insert(self.root, n, ls)
+        if halves:
+            self.root = self._node(len(ls), leaf=False)
+            for h in halves:
+                self._add(self.root, h["n"][: h["size"]].sum(), h["ls"][: h["size"]].sum(axis=0), h)
+
+    def _insert(self, node: dict, n: float, ls: np.ndarray) -> tuple[dict, dict] | None:
+        k, size = -1, node["size"]
+        if size:
+            gain = node["ls"][:size] @ ls - self.rho * n * node["n"][:size]
+            k = int(gain.argmax())
+        if node["child"] is not None:
+            halves = self._insert(node["child"][k], n, ls)
+            node["n"][k] += n
+            node["ls"][k] += ls
+            if halves:
+                one, two = halves
+                node["child"][k] = one
+                node["n"][k], node["ls"][k] = one["n"][: one["size"]].sum(), one["ls"][: one["size"]].sum(axis=0)
+                self._add(node, two["n"][: two["size"]].sum(), two["ls"][: two["size"]].sum(axis=0), two)
+        elif k >= 0 and gain[k] >= 0:
+            node["n"][k] += n
+            node["ls"][k] += ls
+        else:
+            self._add(node, n, ls, None)
+        return self._split(node) if node["size"] > self.branching else None
+
+    def _split(self, node: dict) -> tuple[dict, dict]:
+        n, ls = node["n"][: node["size"]], node["ls"][: node["size"]]
+        apart = -ls @ ls.T + self.rho * np.outer(n, n)
+        np.fill_diagonal(apart, -np.inf)
+        i, j = divmod(int(apart.argmax()), len(n))
+        halves = tuple(self._node(ls.shape[1], node["child"] is None) for _ in range(2))
+        for k in range(len(n)):
+            near = 0 if k == i or (k != j and apart[k, i] <= apart[k, j]) else 1
+            self._add(halves[near], n[k], ls[k], node["child"][k] if node["child"] is not None else None)
+        return halves
+
+    def leaves(self):
+        todo = [self.root]
+        while todo:
+            node = todo.pop()
+            if node["child"] is not None:
+                todo += reversed(node["child"])
+            else:
+                yield from zip(node["n"][: node["size"]].tolist(), node["ls"][: node["size"]].tolist(), strict=True)
+
+
+#: The last merge, on the driver, has at most so many sub-clusters.
+MAX_SUBCLUSTERS = 2_000
+
+
+def subclusters(rows: DataFrame, rho: float, branching: int, parts: int) -> DataFrame:
+    """``n, ls`` of CF trees over ``(key, n, ls)``, one tree in each of ``parts`` lots; rows come in order of their key."""
     import pandas as pd
 
     def build(frames):
-        sums, counts = [], []
+        tree = None
         for frame in frames:
-            for v in frame["vec"]:
-                v = np.asarray(v, float)
-                v = v / max(np.linalg.norm(v), 1e-24)
-                if sums:
-                    fit = np.array([s @ v for s in sums]) / np.array(counts)
-                    k = int(fit.argmax())
-                    if fit[k] >= threshold:
-                        sums[k] = sums[k] + v
-                        counts[k] += 1
-                        continue
-                sums.append(v)
-                counts.append(1)
-        if sums:
-            yield pd.DataFrame({"n": counts, "ls": [s.tolist() for s in sums]})
-
-    found = vectors.select("vec").mapInPandas(build, "n long, ls array<double>").toPandas()  # sub-clusters
-    ls, n = np.array(found["ls"].tolist()), found["n"].to_numpy(float)
-    group = [[i] for i in range(len(n))]
-    total, size = list(ls), list(n)
-    while len(group) > 1 and (clusters is None or len(group) > clusters):
-        s = np.array(total) / np.array(size)[:, None]
-        link = s @ s.T
-        np.fill_diagonal(link, -np.inf)
-        i, j = sorted(divmod(int(link.argmax()), len(group)))
-        if clusters is None and link[i, j] < threshold:
-            break
-        group[i] += group.pop(j)
-        total[i] = total[i] + total.pop(j)
-        size[i] += size.pop(j)
-    label = {i: g for g, members in enumerate(group) for i in members}
-    spark = vectors.sparkSession
-    centers = spark.createDataFrame([(i, label[i], (ls[i] / n[i]).tolist()) for i in range(len(n))], "sub long, g long, c array<double>")
+            for n, ls in zip(frame["n"], frame["ls"], strict=True):
+                x = np.asarray(ls, float)
+                tree = tree or _CFTree(rho, branching, len(x))
+                tree.insert(float(n), x)
+        if tree:
+            found = list(tree.leaves())
+            yield pd.DataFrame({"n": [n for n, _ in found], "ls": [x for _, x in found]})
+
+    lots = prng.bits("lot", F.col("key")) % parts
+    dealt = rows.withColumn("_lot", lots).repartition(parts, "_lot").sortWithinPartitions("_lot", "key")
+    return dealt.select("n", "ls").mapInPandas(build, "n double, ls array<double>")
+
+
+def cosine_birch(vectors: DataFrame, threshold: float = 0.5, clusters: int | None = None, branching: int = 50, parts: int = 8) -> DataFrame:
+    """Cosine BIRCH: CF trees over lots of vectors, their sub-clusters merged by average linkage: ``node_id, p``.
+
+    As long as there are more than :data:`MAX_SUBCLUSTERS`, trees over the
+    sub-clusters are built again in half as many lots and with a lower
+    threshold.  Those sums, not the vectors, are merged on the driver to
+    ``clusters`` groups (or while the linkage reaches the threshold).  Vectors
+    go to the sub-cluster with the largest inner product.
+    """
     from ..functions.vectors import dot, unit
 
-    scored = vectors.select("node_id", unit("vec").alias("vec")).crossJoin(F.broadcast(centers)).withColumn("s", F.round(dot("vec", "c"), 9))
+    rho = threshold
+    rows = vectors.select(F.col("node_id").alias("key"), F.lit(1.0).alias("n"), unit("vec").alias("ls"))
+    while True:
+        found = checkpoint(subclusters(rows, rho, branching, parts))
+        if found.count() <= MAX_SUBCLUSTERS:
+            break
+        rows = checkpoint(found.withColumn("key", F.xxhash64("n", "ls")))
+        parts, rho = max(1, parts // 2), rho - 0.05
+    table = found.orderBy(F.desc("n"), "ls").toPandas()  # bounded above
+    ls, n = np.array(table["ls"].tolist()), table["n"].to_numpy(float)
+    label = average_linkage(ls, n, threshold, clusters)
+    centers = vectors.sparkSession.createDataFrame([(i, int(label[i]), (ls[i] / n[i]).tolist()) for i in range(len(n))], "sub long, g long, c array<double>")
+    scored = vectors.select("node_id", unit("vec").alias("vec")).crossJoin(F.broadcast(centers)).withColumn("s", F.round(dot("vec", "c"), 9))  # bounded above
     return scored.groupBy("node_id").agg(F.max_by("g", F.struct("s", -F.col("sub"))).alias("p"))
 
 
+def average_linkage(ls: np.ndarray, n: np.ndarray, threshold: float, clusters: int | None) -> np.ndarray:
+    """Group of each (n, linear sum) pair: the two with the largest mean inner product are joined, again and again."""
+    total, size, label = ls.astype(float).copy(), n.astype(float).copy(), np.arange(len(n))
+    live = np.ones(len(n), dtype=bool)
+    link = (total @ total.T) / np.outer(size, size)
+    np.fill_diagonal(link, -np.inf)
+    while live.sum() > max(1, clusters or 1):
+        i, j = sorted(divmod(int(link.argmax()), len(n)))
+        if clusters is None and link[i, j] < threshold:
+            break
+        total[i] += total[j]
+        size[i] += size[j]
+        label[label == j] = i
+        live[j] = False
+        row = np.where(live, (total @ total[i]) / (size * size[i]), -np.inf)
+        row[i] = -np.inf
+        link[i], link[:, i], link[j], link[:, j] = row, row, -np.inf, -np.inf
+    return np.unique(label, return_inverse=True)[1]
+
+
 def density_clusters(neighbours: DataFrame, min_samples: int = 5, cut: float = 0.5) -> DataFrame:
     """Density clustering on a neighbour table ``src, dst, distance``: mutual reachability, then components below ``cut``.
 

@@ -295,6 +295,15 @@ def _steps(loss: str, u: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray
     return out
 
 
+def _descend(table: np.ndarray, squares: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]], rate: float) -> None:
+    """One adaptive step: a row's gradient over the root of the mean squares it has seen, so no loss needs a rate of its own."""
+    rows, at = np.unique(np.concatenate([r for r, _ in steps]), return_inverse=True)
+    g = np.zeros((len(rows), table.shape[1]))
+    np.add.at(g, at, np.concatenate([s for _, s in steps]))
+    squares[rows] += (g * g).mean(axis=1)
+    table[rows] -= rate * g / np.sqrt(squares[rows] + 1e-12)[:, None]
+
+
 class SampledEmbedding(NodeEmbedding):
     """Gradient training on (center, context, noise) samples of walks.
 
@@ -317,7 +326,7 @@ class SampledEmbedding(NodeEmbedding):
         window_length: int = 5,
         negative: int = 5,
         epochs: int = 3,
-        rate: float = 0.05,
+        rate: float = 0.1,
         parts: int = 8,
         seed: int = 1,
         p: float = 1.0,
@@ -348,7 +357,8 @@ class SampledEmbedding(NodeEmbedding):
         degrees = checkpoint(self.edges.groupBy(F.col("dst").alias("node_id")).agg(F.sum("w").alias("d")))
         if (n := degrees.count()) > MAX_TABLE_NODES:
             raise ValueError(f"{n} nodes: the tables of sampled training are sent to tasks; use a spectral model")
-        samples = checkpoint(self.samples().repartition(self.parts, "center"))
+        # Written in a random order: the steps of a batch add up, so one walk must not fill it.
+        samples = checkpoint(self.samples().repartition(self.parts, "center").sortWithinPartitions(F.rand(self.seed)))
         deg = degrees.orderBy("node_id").toPandas()  # bounded by the check above
         ids, law = deg["node_id"].to_numpy(), (deg["d"] / deg["d"].sum()).to_numpy()
         rng = np.random.default_rng(self.seed)
@@ -361,6 +371,7 @@ class SampledEmbedding(NodeEmbedding):
             def train(frames: Iterator[pd.DataFrame], sent=sent, epoch=epoch) -> Iterator[pd.DataFrame]:
                 ids, law, *own = sent.value
                 own = [t.copy() for t in own]
+                squares = [np.zeros(len(ids)), np.zeros(len(ids))]
                 seen, total = np.zeros(len(ids)), 0
                 cdf = np.cumsum(law)
                 for frame in frames:
@@ -377,8 +388,9 @@ class SampledEmbedding(NodeEmbedding):
                         a, b = c[at : at + 256], o[at : at + 256]
                         k = np.minimum(np.searchsorted(cdf, r.random((len(a), negative))), len(ids) - 1)
                         base = (r.integers(0, len(ids), len(a)), r.integers(0, len(ids), len(a)))
-                        for table, rows, step in _steps(loss, *own, a, b, k, base):
-                            np.add.at(own[table], rows, -rate * np.clip(step, -5, 5))
+                        steps = _steps(loss, *own, a, b, k, base)
+                        for table in (0, 1):
+                            _descend(own[table], squares[table], [s[1:] for s in steps if s[0] == table], rate)
                     total += len(c)
                     np.add.at(seen, c, 1)
                 if total:

@@ -125,3 +125,98 @@ def test_discriminant_uses_whole_vectors(spark):
     scores = x @ weights.T - 0.5 * (weights * means).sum(axis=1) + np.log([(y == c).mean() for c in classes])
     want = {r["node_id"]: int(classes[k]) for r, k in zip(rows, scores.argmax(axis=1), strict=True)}
     assert x.shape[1] == 64 and {r["node_id"]: r["p"] for r in catalogue.QUERIES["c10_lda"](spark, d).collect()} == want
+
+
+def _ring_score(vectors, d):
+    v = vectors.withColumn("label", F.floor(F.col("node_id") / 10))
+    return metrics.element_similarity(metrics.contingency(clustering.voronoi(v, "label", d), "label", "p")).first()["esim"]
+
+
+@pytest.mark.parametrize("loss", ["node2vec", "cbow", "modularity", "laplacian"])
+def test_sampled_models_separate_cliques(spark, loss):
+    from quillgraph.operators.embeddings import SampledEmbedding
+
+    model = SampledEmbedding(loss, walk_length=20, num_walks=10, window_length=3, epochs=4, parts=2).fit(generators.ring_of_cliques(spark, 50, 10))
+    inside = model.transform(8)
+    outside = model.transform(8, return_out_vector=True)
+    assert inside.count() == outside.count() == 50
+    assert inside.join(outside.withColumnRenamed("vec", "other"), "node_id").filter("vec = other").count() == 0
+    assert _ring_score(inside, 8) > 0.8
+
+
+def test_nonbacktracking_columns_differ(spark):
+    import numpy as np
+
+    v = np.array([r.vec for r in PRESETS["nonbacktracking"]().fit(generators.karate(spark)).transform(4).orderBy("node_id").collect()])
+    c = np.abs(np.corrcoef(v.T))
+    np.fill_diagonal(c, 0)
+    assert v.shape[0] == 34 and c.max() < 0.999
+
+
+def test_cf_tree_keeps_sums_and_splits():
+    import numpy as np
+
+    from quillgraph.operators.detectors import _CFTree
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(400, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree = _CFTree(0.8, 5, 6)
+    for row in x:
+        tree.insert(1.0, row)
+    n, ls = zip(*tree.leaves())
+    assert sum(n) == 400 and np.allclose(np.sum(ls, axis=0), x.sum(axis=0)) and len(n) > 25
+
+
+def test_birch_finds_directions(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = [(i, (np.eye(5)[i % 5] + r.normal(scale=0.05, size=5)).tolist()) for i in range(200)]
+    from quillgraph.operators.detectors import cosine_birch
+
+    out = {x.node_id: x.p for x in cosine_birch(spark.createDataFrame(rows, "node_id long, vec array<double>"), 0.6, 5).collect()}
+    assert len({(i % 5, p) for i, p in out.items()}) == 5 == len(set(out.values()))
+
+
+def test_discriminant_auc_against_numpy(spark):
+    import numpy as np
+
+    from quillgraph.operators.detectors import discriminant_auc
+
+    r = np.random.default_rng(4)
+    y = np.arange(120) % 2
+    x = r.normal(size=(120, 3)) + y[:, None] * np.array([0.8, 0.0, -0.4])
+    m = [x[y == k].mean(axis=0) for k in (0, 1)]
+    pooled = sum((x[y == k] - m[k]).T @ (x[y == k] - m[k]) for k in (0, 1)) / 118
+    score = x @ np.linalg.solve(pooled, m[1] - m[0])
+    want = (score[y == 1][:, None] > score[y == 0][None, :]).mean()
+    frame = spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, y)], "vec array<double>, label long")
+    assert abs(discriminant_auc(frame, 3).first()["auc"] - max(want, 1 - want)) < 1e-9
+
+
+def test_draws_follow_the_distribution(spark):
+    from quillgraph.operators import sampling
+
+    law = spark.createDataFrame([(0, 0.5), (1, 0.0), (2, 0.2), (7, 0.3)], "node_id long, p double")
+    drawn = sampling.draw(spark.range(20000), sampling.whole_cdf(law), None, 9, "id").groupBy("drawn").count().collect()
+    got = {r["drawn"]: r["count"] / 20000 for r in drawn}
+    assert set(got) == {0, 2, 7} and all(abs(got[k] - p) < 0.015 for k, p in ((0, 0.5), (2, 0.2), (7, 0.3)))
+
+
+def test_running_sum_over_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"))
+    out = graph.running_sum(rows, ["k"], F.col("k"), "s").collect()
+    assert all(r.s == r.k * (r.k + 1) // 2 for r in out) and len(out) == 1000
+
+
+def test_dense_spectrum_refuses_large_graphs(spark, monkeypatch):
+    monkeypatch.setattr(algebra, "DENSE_NODES", 10)
+    with pytest.raises(ValueError):
+        algebra.dense_spectrum(generators.karate(spark))
+
+
+def test_components_of_paths(spark):
+    edges = spark.range(500).filter("id % 100 <> 99").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    out = graph.connected_components(edges).collect()
+    assert all(r.component == r.node_id // 100 * 100 for r in out) and len(out) == 500

@@ -860,7 +860,7 @@ def _model(key: str, dim: int = 4) -> Query:
     def f(s: SparkSession, d: str) -> DataFrame:
         from .operators.embeddings import PRESETS
 
-        return PRESETS[key]().fit(generators.ring_of_cliques(s, 50, 10)).transform(dim)
+        return PRESETS[key]().fit(tables.trade_top(s, d)).transform(dim)
 
     return f
 
@@ -873,19 +873,26 @@ for _name, _key in (("e6_leigenmap", "leigenmap"), ("e7_adjspec", "adjspec"), ("
 def e1_node2vec(s: SparkSession, d: str) -> DataFrame:
     from .operators.embeddings import Node2Vec
 
-    return Node2Vec(walk_length=20, num_walks=5, window_length=5).fit(generators.ring_of_cliques(s, 50, 10)).transform(8)
+    return Node2Vec(walk_length=20, num_walks=5, window_length=5).fit(tables.trade_top(s, d)).transform(8)
 
 
 def _walk_model(**options: object) -> Query:
     def f(s: SparkSession, d: str) -> DataFrame:
         from .operators.embeddings import Node2Vec
 
-        return Node2Vec(walk_length=20, **options).fit(generators.ring_of_cliques(s, 50, 10)).transform(8)
+        return Node2Vec(walk_length=20, **options).fit(tables.trade_top(s, d)).transform(8)
 
     return f
 
 
-query(None, "e2_deepwalk")(_walk_model(num_walks=15, window_length=5))
+@query()
+def e2_deepwalk(s: SparkSession, d: str) -> DataFrame:
+    from .operators.embeddings import DeepWalk
+
+    return DeepWalk(walk_length=20, num_walks=15, window_length=5).fit(tables.trade_top(s, d)).transform(8)
+
+
+
 query(None, "e3_line")(_walk_model(num_walks=30, window_length=1))
 query(None, "e4_depthfirst")(_walk_model(num_walks=5, window_length=5, p=100.0))
 query(None, "e5_nonbacktracking_walks")(_walk_model(num_walks=5, window_length=5, backtrack=False))
@@ -902,7 +909,7 @@ def _sampled(loss: str) -> Query:
     def f(s: SparkSession, d: str) -> DataFrame:
         from .operators.embeddings import SampledEmbedding
 
-        return SampledEmbedding(loss, walk_length=20, num_walks=3, window_length=3, epochs=2).fit(generators.ring_of_cliques(s, 50, 10)).transform(8)
+        return SampledEmbedding(loss, walk_length=20, num_walks=3, window_length=3, epochs=2).fit(tables.trade_top(s, d)).transform(8)
 
     return f
 
@@ -948,14 +955,14 @@ def c10_lda(s: SparkSession, d: str) -> DataFrame:
 def g2_label_switching(s: SparkSession, d: str) -> DataFrame:
     from .operators.detectors import label_switching
 
-    return label_switching(generators.ring_of_cliques(s, 50, 10))
+    return label_switching(tables.parts(s, d))
 
 
 @query()
 def g3_block_model(s: SparkSession, d: str) -> DataFrame:
     from .operators.detectors import block_model
 
-    return block_model(generators.ring_of_cliques(s, 50, 10), 5)
+    return block_model(tables.parts(s, d), 5)
 
 
 @query()

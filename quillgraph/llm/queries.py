@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, minhash, packing, pii, pu_quality, quality, simhash, substring, toxicity
+from . import bpe, html_text, merkle, minhash, packing, periodic, pii, pu_quality, quality, simhash, substring, suffix, toxicity
 from .common import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,28 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("_id").alias("doc_id"), "class_id")
+
+
+@_query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    upper, lower = (b"".join(bytes([a + i]) for i in range(26)).decode() for a in b"Aa")
+    changed = [F.translate("text", upper, lower) if c == "text" else F.col(c) for c in fields]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf_digest(*changed))
+    proofs, _ = merkle.manifest(table(spark, sf_dir, "documents"), fields=fields, carry={"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    shown = proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@_query
+def op12_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.getField("stop") - s.getField("start"))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), edit=periodic.loop_tail)
+    return periodic.digests(found)

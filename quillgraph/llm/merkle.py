@@ -260,3 +260,54 @@ def manifest(docs: DataFrame, *, fields: list[str], group: str = "source", key:
     named = [F.col(f"_{c}").alias(c) for c in ("level", "run", "nodes", "digest")]
     records = inner.runs.select(F.lit("group").alias("tree"), F.col("_group").alias("grp"), *named).unionByName(outer.runs.select(F.lit("root").alias("tree"), F.lit(None).cast("string").alias("grp"), *named))
     return out, records
+
+
+def oracle_sql(levels: int = 5, fanout: int = FANOUT) -> str:
+    """The registered query in DuckDB SQL, for at most ``fanout ** levels`` rows of a group and as many groups."""
+
+    def fields(text: str) -> str:
+        return " || ".join(f"coalesce(strlen({v}::VARCHAR)::VARCHAR || ':' || {v}::VARCHAR, '-')" for v in ("doc_id", "source", "lang", "n_chars", text))
+
+    def tree(name: str) -> str:
+        """Nodes of every level with the siblings of each; a group of one node keeps it."""
+        out = []
+        for k in range(levels):
+            out.append(
+                f"{name}r{k} AS (SELECT g, i // {fanout} AS r, list(h ORDER BY i) AS m, any_value(c) AS c FROM {name}{k} GROUP BY ALL), "
+                f"{name}{k + 1} AS (SELECT g, r AS i, CASE WHEN c > 1 THEN sha256(array_to_string(m, '')) ELSE m[1] END AS h, count(*) OVER (PARTITION BY g) AS c FROM {name}r{k}), "
+            )
+        return "".join(out)
+
+    def climb(source: str, name: str, at: str) -> str:
+        """Siblings and folded digest of each row of ``source`` (g, ``at``, s, f) through the tree."""
+        last, out = source, []
+        for k in range(levels):
+            place = f"((x.{at} // {fanout**k}) % {fanout})"
+            left, right = f"array_to_string(y.m[1:{place}], '')", f"array_to_string(y.m[{place} + 2:], '')"
+            out.append(
+                f"{source}{name}{k} AS (SELECT x.* EXCLUDE (s, f), CASE WHEN y.c > 1 THEN x.s || {left} || {right} ELSE x.s END AS s, "
+                f"CASE WHEN y.c > 1 THEN sha256({left} || x.f || {right}) ELSE x.f END AS f "
+                f"FROM {last} x JOIN {name}r{k} y ON x.{name}g IS NOT DISTINCT FROM y.g AND x.{at} // {fanout ** (k + 1)} = y.r), "
+            )
+            last = f"{source}{name}{k}"
+        return "".join(out)
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    # CRC-32 of the decimal number, bit by bit: polynomial 0xEDB88320, reflected.
+    byte = "list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda t: ascii(t)::BIGINT)), lambda c, b: {byte}), 4294967295)"
+    return (
+        f"WITH d AS (SELECT doc_id, source AS ag, sha256({fields('text')}) AS leaf, CASE WHEN {crc} % 5 = 0 THEN sha256({fields(f"translate(text, '{upper}', '{lower}')")}) END AS t FROM documents), "
+        "n AS (SELECT *, row_number() OVER (PARTITION BY ag ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d), "
+        "a0 AS (SELECT ag AS g, i, leaf AS h, count(*) OVER (PARTITION BY ag) AS c FROM n), "
+        + tree("a")
+        + f"o AS (SELECT a{levels}.g AS og, h, row_number() OVER (ORDER BY a{levels}.g NULLS FIRST) - 1 AS oi FROM a{levels}), "
+        "b0 AS (SELECT 'all' AS g, oi AS i, h, count(*) OVER () AS c FROM o), "
+        + tree("b")
+        + "leaves AS (SELECT doc_id, ag, i, leaf, '' AS s, coalesce(t, leaf) AS f FROM n), "
+        + climb("leaves", "a", "i")
+        + f"tops AS (SELECT x.*, o.oi, o.h AS subroot, 'all' AS bg FROM leavesa{levels - 1} x JOIN o ON x.ag IS NOT DISTINCT FROM o.og), "
+        + climb("tops", "b", "oi")
+        + f"root AS (SELECT h FROM b{levels}) "
+        f"SELECT doc_id, leaf, subroot, root.h AS root, sha256(s) AS proof_sha256, f AS folded_root, f = root.h AS verified FROM topsb{levels - 1}, root"
+    )

@@ -140,3 +140,7 @@ def op12_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic.periodic_runs(table(spark, sf_dir, "documents"), edit=periodic.loop_tail)
     return periodic.digests(found)
+
+
+ORACLES["op11_merkle"] = merkle.oracle_sql()
+ORACLES["op12_suffix"] = suffix.oracle_sql()

@@ -512,3 +512,22 @@ def remove_repeated_bytes(docs: DataFrame, *, text: str = "text", key: str = "do
     whole = packs.select("_pack", "_keys", "_ends", "_text").join(back, "_pack", "left")
     result = T.StructType([T.StructField("_key", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))), T.StructField("kept", T.BinaryType())])
     return whole.mapInArrow(finish, result).withColumnRenamed("_key", key)
+
+
+def oracle_sql(length: int = LENGTH) -> str:
+    """The registered query in DuckDB SQL: every string of ``length`` bytes is a row, in hexadecimal digits.
+
+    Texts are cut into pieces that overlap, as ``substr`` reads a string from its beginning.
+    """
+    return f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+c AS (SELECT doc_id, n, unnest(range(0, n, 500)) AS base, x FROM d WHERE n >= {length}),
+q AS (SELECT doc_id, n, base, substr(x, 2 * base + 1, {1000 + 2 * length}) AS y FROM c),
+p AS (SELECT doc_id, base, unnest(range(least(500, n - base - {length - 1}))) AS i, y FROM q),
+w AS (SELECT doc_id, base + i AS i, min(doc_id) OVER (PARTITION BY substr(y, 2 * i + 1, {2 * length})) AS first FROM p),
+r AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w WHERE first < doc_id),
+s AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + {length} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+g AS (SELECT doc_id, run, min(i) AS a, max(i) + {length} AS b FROM s GROUP BY ALL),
+k AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS froms, list(b ORDER BY a) AS stops FROM g GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+sha256(unhex(CASE WHEN froms IS NULL THEN x ELSE array_to_string(list_transform(range(len(froms) + 1), lambda q: substr(x, 2 * coalesce(stops[q], 0) + 1, 2 * (coalesce(froms[q + 1], d.n) - coalesce(stops[q], 0)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id"""

@@ -34,8 +34,8 @@ from .common import materialize, text_or_empty
 
 LENGTH = 50
 PACK_BYTES = 4 << 20
-#: Text whose anchors, or whose segments, one bucket takes.
-BUCKET_BYTES = 64 << 20
+#: Text whose anchors one bucket takes; a bucket of segments takes a sixteenth.
+BUCKET_BYTES = 16 << 20
 #: An anchor that more packs hold is dealt out window by window.
 MANY_PACKS = 4096
 NULL_KEY = -(1 << 63)
@@ -96,7 +96,8 @@ def two_stage(text: np.ndarray, ends: np.ndarray, *, needed: np.ndarray | None =
     if not n:
         return np.empty(0, np.int64)
     lengths = np.diff(np.concatenate([[0], ends]))
-    room = np.repeat(ends, lengths) - np.arange(n)  # bytes to the segment's end
+    room = np.repeat(ends, lengths)
+    room -= np.arange(n)  # bytes to the segment's end
     # Greater than the successor: the next different byte is smaller, or the segment ends.
     change = np.ones(n, dtype=bool)
     change[:-1] = (text[1:] != text[:-1]) | (room[:-1] == 1)
@@ -278,6 +279,12 @@ def _packs(length: int):
     return run
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time, so that one pack is open at once."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 class _Pack:
     """A pack's arrays: keys, ends, text, and of its segments first window, windows, anchor hash and owner's key."""
 
@@ -308,7 +315,7 @@ def _bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
 def _anchor_rows(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 values, _, several = _Pack(row, length).unique()
                 coded = (values << np.uint64(1)) | several.astype(np.uint64)
                 bucket = _bucket_of(values, buckets)
@@ -347,7 +354,7 @@ def _segment_rows(length: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 pack = _Pack(row, length)
                 values, back, _ = pack.unique()
                 flags = np.concatenate([_open(f["_flags"]) for f in sorted(row["_of_pack"], key=lambda f: f["_bucket"])])
@@ -401,8 +408,8 @@ def repeated_windows(bodies: list[bytes], owners: np.ndarray, length: int) -> li
     text, ends = np.frombuffer(b"".join(known), dtype=np.uint8), np.cumsum(sizes)
     begins = ends - sizes
     windows = sizes - length + 1
-    of = np.repeat(np.arange(len(known)), sizes)
-    window = np.arange(len(text)) <= (ends - length)[of]
+    of = np.repeat(np.arange(len(known), dtype=np.int32), sizes)
+    window = np.arange(len(text), dtype=np.int32) <= (ends - length).astype(np.int32)[of]
     order = two_stage(text, ends, needed=window, depth=length + 6)
     order = order[window[order]]
     alike = common_prefixes(text, order, length) >= length
@@ -497,7 +504,7 @@ def remove_repeated_bytes(docs: DataFrame, *, text: str = "text", key: str = "do
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 keys, ends, body = _open(row["_keys"], "i8"), _open(row["_ends"], "i8"), _open(row["_text"])
                 gone = _covered(row, len(body), length)
                 spans, kept = [], []

@@ -3,7 +3,7 @@
 Every byte goes that a string of ``length`` bytes covers which also starts in a
 document with a smaller key.  Strings meet exactly, by sorting suffixes:
 
-1. Texts are packed into rows of a few megabytes.  In every window of
+1. Texts are packed into rows of about a megabyte.  In every window of
    ``length`` bytes the half-length gram with the smallest hash is the anchor,
    so equal windows have equal anchors; a run of windows with one anchor is a
    segment of fewer than two lengths.
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import materialize, text_or_empty
 
 LENGTH = 50
-PACK_BYTES = 4 << 20
+PACK_BYTES = 1 << 20
 #: Text whose anchors one bucket takes; a bucket of segments takes a sixteenth.
 BUCKET_BYTES = 16 << 20
 #: An anchor that more packs hold is dealt out window by window.
@@ -249,7 +249,7 @@ def _squeeze(values: np.ndarray | bytes) -> bytes:
     import zstandard
 
     raw = values if isinstance(values, bytes) else np.ascontiguousarray(values).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def _open(blob: bytes, dtype: str = "u1") -> np.ndarray:
@@ -262,7 +262,7 @@ _PACK = "_keys binary, _ends binary, _text binary, _firsts binary, _windows bina
 
 
 def _packs(length: int):
-    """Rows of a few megabytes of text with the segments of its windows."""
+    """Rows of about a megabyte of text with the segments of its windows."""
     from .common import by_size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,9 +317,10 @@ def _anchor_rows(length: int, buckets: int):
         for batch in batches:
             for row in _each(batch):
                 values, _, several = _Pack(row, length).unique()
-                coded = (values << np.uint64(1)) | several.astype(np.uint64)
                 bucket = _bucket_of(values, buckets)
                 cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+                # The bucket has the leading bits; of the others 39, and the mark, make five bytes.
+                coded = ((values << np.uint64(1)) | several.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :5]
                 parts = [(int(bucket[a]), coded[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([row["_pack"]] * len(parts), pa.int64()), pa.array([p[1] for p in parts], pa.binary())], names=["_bucket", "_pack", "_hashes"])
 
@@ -330,8 +331,8 @@ def _shared(many: int):
     """For each anchor hash of a bucket: 0 one document's alone, 1 shared, 2 shared by many packs."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(b, dtype=np.uint64) for b in table.column("_hashes").to_pylist()]
-        coded = np.concatenate(parts)
+        parts = [np.frombuffer(b, dtype=np.uint8).reshape(-1, 5) for b in table.column("_hashes").to_pylist()]
+        coded = np.pad(np.concatenate(parts), ((0, 0), (0, 3))).view(np.uint64)[:, 0]
         _, back, count = np.unique(coded >> np.uint64(1), return_inverse=True, return_counts=True)
         several = np.bincount(back, weights=(coded & np.uint64(1)).astype(float)) > 0
         kind = ((count > 1) | several).astype(np.uint8) + (count > many)
@@ -357,7 +358,7 @@ def _segment_rows(length: int, buckets: int):
             for row in _each(batch):
                 pack = _Pack(row, length)
                 values, back, _ = pack.unique()
-                flags = np.concatenate([_open(f["_flags"]) for f in sorted(row["_of_pack"], key=lambda f: f["_bucket"])])
+                flags = np.concatenate([np.empty(0, np.uint8), *(_open(f["_flags"]) for f in sorted(row["_of_pack"] or [], key=lambda f: f["_bucket"]))])
                 kind = flags[back]
                 pick = np.flatnonzero(kind == 1)
                 first, size, owner, spread = pack.first[pick], pack.windows[pick], pack.owner[pick], pack.hashes[pick] >> np.uint64(1)
@@ -492,12 +493,14 @@ def remove_repeated_bytes(docs: DataFrame, *, text: str = "text", key: str = "do
     rows = docs.select(F.col(key).cast("long").alias("_key"), text_or_empty(text).alias("_text"))
     packs = materialize(rows.mapInArrow(_packs(length), _PACK).withColumn("_pack", F.monotonically_increasing_id()), "packs")
     total = packs.agg(F.sum("_bytes")).first()[0] or 0
+    packs = packs.drop("_bytes")
     coarse = -(-total // bucket_bytes) + 1
     fine = -(-total * 16 // bucket_bytes) + 1
-    anchors = packs.drop("_bytes").mapInArrow(_anchor_rows(length, coarse), "_bucket long, _pack long, _hashes binary")
+    anchors = packs.mapInArrow(_anchor_rows(length, coarse), "_bucket long, _pack long, _hashes binary")
     flags = anchors.groupBy("_bucket").applyInArrow(_shared(many), "_bucket long, _pack long, _flags binary")
     of_pack = flags.groupBy("_pack").agg(F.collect_list(F.struct("_bucket", "_flags")).alias("_of_pack"))  # the anchors of one pack
-    dealt = packs.drop("_bytes").join(of_pack, "_pack").mapInArrow(_segment_rows(length, fine), _DEALT)
+    # Both joins take the packs whole and keep all, so that Spark exchanges them once.
+    dealt = packs.join(of_pack, "_pack", "left").mapInArrow(_segment_rows(length, fine), _DEALT)
     repeats = dealt.groupBy("_bucket").applyInArrow(_sorted_bucket(length), "_pack long, _at binary, _masks binary, _links binary")
     back = repeats.groupBy("_pack").agg(F.collect_list(F.struct("_at", "_masks", "_links")).alias("_repeats"))  # the segments of one pack
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -516,9 +519,8 @@ def remove_repeated_bytes(docs: DataFrame, *, text: str = "text", key: str = "do
                 names = pa.array(keys.tolist(), pa.int64(), mask=keys == NULL_KEY)
                 yield pa.RecordBatch.from_arrays([names, pa.array(np.diff(ends, prepend=0)), pa.array(spans, span), pa.array(kept, pa.binary())], names=["_key", "n_bytes", "spans", "kept"])
 
-    whole = packs.select("_pack", "_keys", "_ends", "_text").join(back, "_pack", "left")
     result = T.StructType([T.StructField("_key", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))), T.StructField("kept", T.BinaryType())])
-    return whole.mapInArrow(finish, result).withColumnRenamed("_key", key)
+    return packs.join(back, "_pack", "left").mapInArrow(finish, result).withColumnRenamed("_key", key)
 
 
 def oracle_sql(length: int = LENGTH) -> str:

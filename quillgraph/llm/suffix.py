@@ -294,7 +294,9 @@ class _Pack:
         self.windows = _open(row["_windows"]).astype(np.int64)
         anchor = self.first + _open(row["_anchors"])
         padded = np.concatenate([self.text, np.zeros(8, dtype=np.uint8)])
-        self.hashes = gram_hashes(padded, anchor, length // 2) if len(anchor) else np.empty(0, np.uint64)
+        # Anchors have small hashes, as the smallest of their windows; multiplied once more they spread over all buckets.
+        hashes = gram_hashes(padded, anchor, length // 2) * np.uint64(_MIX[0]) if len(anchor) else np.empty(0, np.uint64)
+        self.hashes = hashes ^ (hashes >> np.uint64(32))
         self.of = np.searchsorted(self.ends, self.first, side="right")  # an empty text ends where it begins and owns nothing
         self.owner = self.keys[self.of] if len(anchor) else np.empty(0, np.int64)
 

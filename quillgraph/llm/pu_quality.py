@@ -11,8 +11,9 @@ it, which may not fall below zero.
 Only the labels are bounded, by :data:`MAX_TRUSTED`: term counts, the class
 prior and the risk cover every document.  The fit needs only how many documents fall into each combination of
 bins, at most ``product of the bins`` rows whatever the size of the corpus.
-The log-odds that a trusted text meets leave out what it has taught itself, so
-its feature is like that of an unlabelled text.
+In the fit, the log-odds that a trusted text meets leave out what it has taught
+itself, so its feature is like that of an unlabelled text.  Scores come from
+the plain table for every text, whatever its label.
 """
 
 from __future__ import annotations
@@ -119,50 +120,68 @@ class TermTable:
             everywhere[at], positive[at], trust[at] = share / share.sum(), trusted, often / (often + OCCURRENCES_PRIOR)
         return TermTable(everywhere, positive, trust)
 
-    def means(self, owner: np.ndarray, bucket: np.ndarray, trusted: np.ndarray) -> np.ndarray:
-        """Mean log-odds of each text's terms; 0 for a text without terms."""
+    def means(self, owner: np.ndarray, bucket: np.ndarray, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean log-odds of each text's terms, 0 for a text without terms: by the whole table, and as the fit takes it.
+
+        For the fit a trusted text's own part is left out of the table.
+        """
         n = len(trusted)
         length = np.maximum(np.bincount(owner, minlength=n), 1)
-        key, of, times = np.unique(owner * BUCKETS + bucket, return_inverse=True, return_counts=True)
+        key, times = np.unique(owner * BUCKETS + bucket, return_counts=True)
         who, what = key // BUCKETS, key % BUCKETS
-        own = np.where(trusted[who], times / length[who], 0.0)
-        everywhere = np.maximum(self.everywhere[what], 1e-12)
-        others = self.positive.sum() - trusted[who]
-        odds = np.log((np.maximum(self.positive[what] - own, 0) + DOCUMENTS_PRIOR * everywhere) / (np.maximum(others, 0) + DOCUMENTS_PRIOR) / everywhere) * self.trust[what]
-        return np.bincount(who, weights=odds * times, minlength=n) / length
+
+        def mean(at: np.ndarray, own: np.ndarray | float, others: float) -> np.ndarray:
+            everywhere = np.maximum(self.everywhere[what[at]], 1e-12)
+            odds = np.log((np.maximum(self.positive[what[at]] - own, 0) + DOCUMENTS_PRIOR * everywhere) / (max(others, 0) + DOCUMENTS_PRIOR) / everywhere)
+            return np.bincount(who[at], weights=odds * self.trust[what[at]] * times[at], minlength=n) / length
+
+        total, mine = self.positive.sum(), np.flatnonzero(trusted[who])
+        plain = mean(np.arange(len(who)), 0.0, total)
+        return plain, np.where(trusted, mean(mine, times[mine] / length[who[mine]], total - 1), plain)
 
 
 # -------------------------------------------------------------------- features
 
 
 def binned(texts: DataFrame, table: TermTable) -> DataFrame:
-    """``_key, _trusted`` and the number of its bin for each measure, of every row of ``_key, _text, _trusted``."""
+    """``_key, _trusted``, the number of its bin for each measure and ``_fit_terms``, of every row of ``_key, _text, _trusted``.
+
+    ``_fit_terms`` is the bin of the terms that the fit takes.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(table)  # 3 x BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for whole in batches:
             for batch in by_size(whole, (1,), ROWS_PER_BATCH, BYTES_PER_BATCH):
-                mean = table.means(*terms(batch.column(1)), np.asarray(batch.column(2)).astype(bool))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mean)], names=["_key", "_body", "_trusted", "_terms"])
+                means = table.means(*terms(batch.column(1)), np.asarray(batch.column(2)).astype(bool))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, means)], names=["_key", "_body", "_trusted", "_terms", "_own_terms"])
 
     kind = texts.schema["_key"].dataType.simpleString()
-    scored = texts.select("_key", "_text", "_trusted").mapInArrow(run, f"_key {kind}, _body string, _trusted boolean, _terms double")
+    scored = texts.select("_key", "_text", "_trusted").mapInArrow(run, f"_key {kind}, _body string, _trusted boolean, _terms double, _own_terms double")
     least = {"_n": "n_words", "_c": "word_chars", "_l": "n_lines"}
     counts = word_stats(scored, "_body").withColumns({k: F.greatest(F.col(c), F.lit(1).cast("long")) for k, c in least.items()})
-    bins = (sum((F.when(F.expr(sql).cast("double") >= e, 1).otherwise(0) for e in edges), F.lit(0)).cast("int").alias(name) for name, sql, edges in MEASURES)
+    fit_terms = ("_fit_terms", "_own_terms", MEASURES[0][2])
+    bins = (sum((F.when(F.expr(sql).cast("double") >= e, 1).otherwise(0) for e in edges), F.lit(0)).cast("int").alias(name) for name, sql, edges in (*MEASURES, fit_terms))
     return counts.select("_key", "_trusted", *bins)
 
 
-def one_hot(bins: np.ndarray) -> np.ndarray:
-    """Rows of bins as a constant and one indicator for each bin."""
-    out = np.zeros((len(bins), WIDTH), dtype=np.float64)
-    out[:, 0] = 1
-    at = 1
-    for k, (_, _, edges) in enumerate(MEASURES):
-        out[np.arange(len(bins)), at + bins[:, k]] = 1
-        at += len(edges) + 1
-    return out
+class Indicators:
+    """A constant and one indicator for each bin, for rows of bins: the products of that sparse matrix."""
+
+    def __init__(self, bins: np.ndarray):
+        offsets = np.cumsum([1, *(len(edges) + 1 for _, _, edges in MEASURES[:-1])])
+        self.columns = np.ascontiguousarray((bins + offsets).T)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """One number for each row."""
+        return w[0] + sum(w[c] for c in self.columns)
+
+    def summed(self, v: np.ndarray) -> np.ndarray:
+        """One number for each indicator: the sum of ``v`` over its rows."""
+        out = sum(np.bincount(c, weights=v, minlength=WIDTH) for c in self.columns)
+        out[0] = v.sum()
+        return out
 
 
 @dataclass(frozen=True)
@@ -196,7 +215,7 @@ def _adam(gradient, width: int, steps: int, rate: float) -> np.ndarray:
     return w
 
 
-def estimate_prior(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray) -> float:
+def estimate_prior(x: Indicators, positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of class 1 among the unlabelled documents.
 
     ``positive`` and ``unlabelled`` count documents of each row of ``x`` in two
@@ -209,8 +228,8 @@ def estimate_prior(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray)
     if not (p.sum() and u.sum() and positive[:, 1].sum() and unlabelled[:, 1].sum()):
         return 0.5
     p, u = 0.5 * p / p.sum(), 0.5 * u / u.sum()
-    w = _adam(lambda b: x.T @ ((p + u) * _sigmoid(x @ b) - p) + RIDGE * b, x.shape[1], STEPS // 2, RATE)
-    order = np.argsort(-(x @ w), kind="stable")
+    w = _adam(lambda b: x.summed((p + u) * _sigmoid(x.times(b)) - p) + RIDGE * b, WIDTH, STEPS // 2, RATE)
+    order = np.argsort(-x.times(w), kind="stable")
     p, u = (np.cumsum(c[order, 1]) / c[:, 1].sum() for c in (positive, unlabelled))
     slack = sum(np.sqrt(np.log(20) / (2 * c[:, 1].sum())) for c in (positive, unlabelled))
     far = p >= 0.2
@@ -227,15 +246,15 @@ def fit_counts(bins: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, p
     p, u = positive.sum(axis=1), unlabelled.sum(axis=1)
     if not p.sum() or not u.sum():
         return Model((0.0,) * WIDTH, 0.5)
-    x = one_hot(bins)
+    x = Indicators(bins)
     prior = estimate_prior(x, positive, unlabelled) if prior is None else prior
     p, u = p / p.sum(), u / u.sum()
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        z = x @ w
+        z = x.times(w)
         s, loss = _sigmoid(z), np.logaddexp(0, z)
-        as_positive = x.T @ (p * (s - 1)) * prior
-        as_negative = x.T @ ((u - prior * p) * s)
+        as_positive = x.summed(p * (s - 1)) * prior
+        as_negative = x.summed((u - prior * p) * s)
         if (u - prior * p) @ loss < 0:  # the correction: step back from over-fitted negatives
             return -as_negative + RIDGE * w
         return as_positive + as_negative + RIDGE * w
@@ -248,8 +267,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
 
     Learns from the texts of rows with label 1 and from all documents whatever
     their label; other labels are not used.  Null or empty text is scored by
-    its measures (all 0), equal texts and repeated rows alike; a null key has
-    no label; of repeated labels of a key one suffices; other columns are not
+    its measures (all 0), equal texts and repeated rows alike whether labelled
+    or not; a null key has no label; of repeated labels of a key one suffices; other columns are not
     read; an empty table gives an empty result.
     """
     trusted = materialize(labels.filter((F.col(label) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("_labelled")).distinct(), "trusted")
@@ -260,7 +279,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
     measured = materialize(binned(source, table), "bins")
     half = (F.xxhash64("_key") % 2 == 0).cast("int")
     counts = (F.sum(((half == k) & what).cast("long")).alias(f"_{n}{k}") for n, what in (("p", F.col("_trusted")), ("u", F.lit(True))) for k in (0, 1))
-    patterns = measured.groupBy(*NAMES).agg(*counts).collect()  # bounded by the bins
+    patterns = measured.groupBy("_fit_terms", *NAMES[1:]).agg(*counts).collect()  # bounded by the bins
     found = np.array([tuple(r) for r in patterns], dtype=np.int64).reshape(-1, len(NAMES) + 4)
     found = found[np.lexsort(found[:, : len(NAMES)].T)]
     model = fit_counts(found[:, : len(NAMES)], found[:, -4:-2].astype(float), found[:, -2:].astype(float))

@@ -59,9 +59,8 @@ RULES: tuple[Rule, ...] = (
 )
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 ROUNDS = 12
-#: Where expectation-maximisation starts, with how many imagined documents or votes that opinion holds; for the
-#: accuracies there are :data:`OPINION` further ones for each vote that was cast.
-START_ACCURACY, ACCURACY_VOTES, OPINION = 0.85, 20.0, 0.5
+#: Where expectation-maximisation starts, and how many imagined documents or votes that opinion counts as.
+START_ACCURACY, ACCURACY_VOTES = 0.85, 20.0
 START_SHARE, SHARE_VOTES = 0.7, 20.0
 
 
@@ -161,7 +160,7 @@ def fit_label_model(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: in
                     right[j] += n * (p if v > 0 else 1 - p)
                     cast[j] += n
         share = (good + START_SHARE * SHARE_VOTES) / (total + SHARE_VOTES)
-        accuracy = [(r + START_ACCURACY * (ACCURACY_VOTES + OPINION * c)) / (c + ACCURACY_VOTES + OPINION * c) for r, c in zip(right, cast, strict=True)]
+        accuracy = [(r + START_ACCURACY * ACCURACY_VOTES) / (c + ACCURACY_VOTES) for r, c in zip(right, cast, strict=True)]
     return LabelModel(share, tuple(accuracy))
 
 
@@ -224,7 +223,7 @@ def oracle_sql(rules: Sequence[Rule] = RULES, rounds: int = ROUNDS) -> str:
         share = f"(coalesce(sum(n * p), 0) + {START_SHARE * SHARE_VOTES!r}) / (coalesce(sum(n), 0) + {SHARE_VOTES!r})"
         right = [f"coalesce(sum(CASE v{j} WHEN 1 THEN n * p WHEN -1 THEN n * (1 - p) ELSE 0 END), 0)" for j in range(n)]
         cast = [f"coalesce(sum(CASE WHEN v{j} <> 0 THEN n ELSE 0 END), 0)" for j in range(n)]
-        accuracy = ", ".join(f"({r} + {START_ACCURACY!r} * ({ACCURACY_VOTES!r} + {OPINION!r} * {c})) / ({c} + {ACCURACY_VOTES!r} + {OPINION!r} * {c}) AS a{j}" for j, (r, c) in enumerate(zip(right, cast, strict=True)))
+        accuracy = ", ".join(f"({r} + {START_ACCURACY * ACCURACY_VOTES!r}) / ({c} + {ACCURACY_VOTES!r}) AS a{j}" for j, (r, c) in enumerate(zip(right, cast, strict=True)))
         parts.append(f"e{k + 1} AS MATERIALIZED (SELECT p.*, {posterior} AS p FROM p, m{k})")
         parts.append(f"m{k + 1} AS MATERIALIZED (SELECT {share} AS share, {accuracy} FROM e{k + 1})")
     return (

@@ -206,7 +206,14 @@ def test_pu_prior_and_own_contribution():
     positive[400:], unlabelled[:400] = 0, 0
     model = pu_quality.fit_counts(bins, positive, unlabelled)
     assert abs(model.prior - 0.75) < 0.08
-    score = pu_quality.one_hot(bins) @ np.array(model.weights)
+    dense = np.zeros((len(bins), pu_quality.WIDTH))
+    dense[:, 0], at = 1, 1
+    for k, (_, _, edges) in enumerate(pu_quality.MEASURES):
+        dense[np.arange(len(bins)), at + bins[:, k]] = 1
+        at += len(edges) + 1
+    score = dense @ np.array(model.weights)
+    sparse = pu_quality.Indicators(bins)
+    assert np.allclose(sparse.times(np.array(model.weights)), score) and np.allclose(sparse.summed(score), dense.T @ score)
     assert (score[:1300] > 0).mean() > 0.97 and (score[1300:] < 0).mean() > 0.95
     # A trusted text meets the log-odds that the other trusted texts alone would give.
     texts = pa.array([prose(i, 50) for i in range(12)])
@@ -220,7 +227,21 @@ def test_pu_prior_and_own_contribution():
     alone = np.zeros(one.sum(), dtype=int)
     a = pu_quality.TermTable.of(count(trusted)).means(alone, bucket[one], np.array([True]))
     b = pu_quality.TermTable.of(count(without)).means(alone, bucket[one], np.array([False]))
-    assert abs(a[0] - b[0]) < 1e-9
+    assert abs(a[1][0] - b[0][0]) < 1e-9 and b[0][0] == b[1][0]
+    # The plain mean does not know whether the text itself is trusted.
+    c = pu_quality.TermTable.of(count(trusted)).means(alone, bucket[one], np.array([False]))
+    assert a[0][0] == c[0][0] == c[1][0] != a[1][0]
+
+
+def test_pu_score_ignores_a_documents_own_label(spark):
+    """Equal texts, one of them labelled, score alike, and so do all others of that text."""
+    texts = [(i, prose(i % 40, 60) if i % 4 else junk(i % 40, 60)) for i in range(240)]
+    labels = [(i, int(i % 4 > 0)) for i in range(80)]
+    rows = pu_quality.classify(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    by_text = collections.defaultdict(set)
+    for r in rows:
+        by_text[dict(texts)[r.doc_id]].add(r.score)
+    assert len(rows) == 240 and all(len(s) == 1 for s in by_text.values())
 
 
 def brute_classes(texts):

@@ -362,7 +362,9 @@ def _raw_power_sql(steps: int) -> str:
     parts = [TOP, "dg AS (SELECT src AS node_id, sum(w) AS d FROM top GROUP BY src)", "mm AS (SELECT sum(w) AS m FROM top)", f"x0 AS (SELECT node_id, {start} AS val FROM dg)", "c0 AS (SELECT false AS done)"]
     for k in range(1, steps + 1):
         parts.append(f"y{k} AS (SELECT node_id, ax - d * (SELECT sum(d * val) FROM dg JOIN x{k - 1} USING (node_id)) / m AS y FROM dg JOIN (SELECT src AS node_id, sum(w * val) AS ax FROM top JOIN x{k - 1} ON dst = node_id GROUP BY src) USING (node_id), mm)")
-        parts.append(f"x{k} AS (SELECT node_id, CASE WHEN first_value(y) OVER (ORDER BY node_id) < 0 THEN -1 ELSE 1 END * y / sqrt(sum(y * y) OVER ()) AS val FROM y{k})")
+        parts.append(f"n{k} AS (SELECT node_id, CASE WHEN first_value(y) OVER (ORDER BY node_id) < 0 THEN -1 ELSE 1 END * y / sqrt(sum(y * y) OVER ()) AS new FROM y{k})")
+        parts.append(f"x{k} AS (SELECT node_id, CASE WHEN done THEN val ELSE new END AS val FROM n{k} JOIN x{k - 1} USING (node_id), c{k - 1})")
+        parts.append(f"c{k} AS (SELECT done OR (SELECT max(abs(new - val)) FROM n{k} JOIN x{k - 1} USING (node_id)) < 1 / m AS done FROM c{k - 1}, mm)")
     return f"WITH {', '.join(parts)} SELECT node_id, {r6('val')} AS val FROM x{steps}"
 
 

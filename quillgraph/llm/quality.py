@@ -60,7 +60,7 @@ RULES: tuple[Rule, ...] = (
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 ROUNDS = 12
 #: Where expectation-maximisation starts, and how many imagined documents or votes that opinion counts as.
-START_ACCURACY, ACCURACY_VOTES = 0.85, 20.0
+START_ACCURACY, ACCURACY_VOTES = 0.85, 200.0
 START_SHARE, SHARE_VOTES = 0.7, 20.0
 
 

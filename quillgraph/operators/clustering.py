@@ -171,3 +171,70 @@ def logistic_threshold(points: DataFrame, steps: int = 8) -> DataFrame:
         det = row["h00"] * row["h11"] - row["h01"] ** 2
         b0, b1 = b0 + (row["h11"] * row["g0"] - row["h01"] * row["g1"]) / det, b1 + (row["h00"] * row["g1"] - row["h01"] * row["g0"]) / det
     return points.sparkSession.createDataFrame([(b0, b1, -b0 / b1)], "intercept double, slope double, rho double")
+
+
+def neighbour_threshold(vectors: DataFrame, neighbours: DataFrame, *, others: int = 3, steps: int = 6, digits: int = 4) -> float:
+    """Inner product at which neighbours and arbitrary pairs are equally likely, rounded.
+
+    Every vector is paired with ``others`` vectors by a rule on its id; ids run
+    from 0 to the number of vectors less 1.
+    """
+    n = vectors.count()
+    a, b = vectors.select(F.col("node_id").alias("src"), F.col("vec").alias("u")), vectors.select(F.col("node_id").alias("dst"), F.col("vec").alias("v"))
+    near = neighbours.select("src", "dst", F.lit(1).alias("y"))
+    other = vectors.select(F.col("node_id").alias("src"), F.explode(F.array(*(F.lit(j) for j in range(others)))).alias("j")).select("src", ((F.col("src") * 7 + 3 * F.col("j") + 1) % n).alias("dst"), F.lit(0).alias("y"))
+    points = checkpoint(near.unionByName(other).join(a, "src").join(b, "dst").select(dot("u", "v").alias("x"), "y"))
+    return round(float(logistic_threshold(points, steps).first()["rho"]), digits)
+
+
+def _group_sums(nodes: DataFrame, labels: DataFrame, d: int) -> DataFrame:
+    return checkpoint(nodes.join(labels, "node_id").groupBy("g").agg(vector_sum("vec", d).alias("v"), F.sum("size").alias("n")))
+
+
+def louvain_levels(vectors: DataFrame, neighbours: DataFrame, rho: float | None, d: int, *, levels: int = 10, rounds: int = 10, least_moved: float = 0.001) -> tuple[DataFrame, list[float]]:
+    """Communities of vectors: ``node_id, g``, and the sum over groups of |V|^2 - rho N^2 after every round.
+
+    A node moves to the group of a neighbour with the largest gain <z, V> - rho
+    n N (z its vector, n its size; V, N without itself).  Keyed halves take
+    turns; a round that would lower the sum is left out.  A level ends when
+    fewer than ``least_moved`` of its nodes move in two turns; groups then
+    become nodes with summed vectors and sizes, until a level moves nothing.
+    ``rho``: :func:`neighbour_threshold` by default.
+    """
+    rho = neighbour_threshold(vectors, neighbours) if rho is None else rho
+    nodes = checkpoint(vectors.select("node_id", "vec", F.lit(1).cast("long").alias("size")))
+    links = checkpoint(neighbours.select("src", "dst").distinct())
+    whole, trace = None, []
+    for _ in range(levels):
+        labels = nodes.select("node_id", F.col("node_id").alias("g"))
+        groups = _group_sums(nodes, labels, d)
+        total = lambda g: float(g.agg(F.sum(dot("v", "v") - rho * F.col("n") * F.col("n"))).first()[0] or 0.0)
+        best_sum, n, idle, any_moved = total(groups), nodes.count(), 0, False
+        for r in range(rounds):
+            if idle < 2:
+                members = nodes.join(labels, "node_id")
+                movers = checkpoint(members.filter(prng.bits(0, "node_id") % 2 == r % 2))
+                around = links.withColumnRenamed("src", "node_id").join(labels.select(F.col("node_id").alias("dst"), F.col("g").alias("to")), "dst").select("node_id", "to").join(movers.select("node_id"), "node_id", "left_semi")
+                options = movers.select("node_id", F.col("g").alias("to")).union(around).distinct()
+                own = F.when(F.col("to") == F.col("g"), 1).otherwise(0)
+                gains = options.join(movers, "node_id").join(groups.select(F.col("g").alias("to"), "v", "n"), "to")
+                gains = gains.select("node_id", "g", "to", F.round(dot("vec", "v") - own * dot("vec", "vec") - rho * F.col("size") * (F.col("n") - own * F.col("size")), 9).alias("gain"))
+                best = gains.groupBy("node_id", "g").agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("to"))
+                moved = checkpoint(best.filter("to <> g").select("node_id", "to"))
+                then = checkpoint(labels.join(moved, "node_id", "left").select("node_id", F.coalesce("to", "g").alias("g")))
+                sums = _group_sums(nodes, then, d)
+                now, count = total(sums), moved.count()
+                if now > best_sum + 1e-9:
+                    labels, groups, best_sum, any_moved = then, sums, now, True
+                    idle = 0 if count >= least_moved * n else idle + 1
+                else:
+                    idle += 1
+            trace.append(best_sum)
+        whole = labels if whole is None else checkpoint(whole.withColumnRenamed("g", "inner").join(labels.withColumnRenamed("node_id", "inner"), "inner").select("node_id", "g"))
+        if not any_moved:
+            break
+        ends = (labels.select(F.col("node_id").alias(c), F.col("g").alias(f"g{c}")) for c in ("src", "dst"))
+        a, b = ends
+        links = checkpoint(links.join(a, "src").join(b, "dst").filter("gsrc <> gdst").select(F.col("gsrc").alias("src"), F.col("gdst").alias("dst")).distinct())
+        nodes = groups.select(F.col("g").alias("node_id"), F.col("v").alias("vec"), F.col("n").alias("size"))
+    return whole, trace

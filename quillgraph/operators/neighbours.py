@@ -12,6 +12,7 @@ one cell into lots, so every comparison is a tile of bounded size; tiles keep
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ def _pick_pivots(vectors: DataFrame, seed: int) -> np.ndarray:
 
 
 def unit_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """``node_id, vec`` (length 1; a zero vector stays), ``cell`` and the distances ``apart`` to all pivots' nearest, ``far``."""
+    """``node_id, vec`` (length 1; a zero vector stays), ``cell`` of the nearest pivot and the distance ``far`` to it."""
     sent = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,19 +86,68 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
 
 
-def _search(asked: DataFrame, rows: DataFrame, k: int, digits: int, block: int, lot: int) -> DataFrame:
-    """Top k of each query in the cells it asks for: ``asked`` (node_id, vec, cell) against ``rows``, tile by tile."""
+def tiles(asked: DataFrame, rows: DataFrame, extra: list[str], compare, block: int, lot: int) -> DataFrame:
+    """``compare`` (tables of queries and of rows to ``src, dst, w``) of the queries and rows of each cell, tile by tile.
+
+    Both have ``node_id, vec, cell`` and the columns ``extra``; those of the
+    rows are renamed to ``_id``, ``_vec`` and an underscore before the others.
+    """
     # New column names, as the queries may be the rows themselves.
-    rows = rows.select(F.col("node_id").alias("_id"), F.col("vec").alias("_vec"), F.col("cell").alias("_cell"))
+    rows = rows.select(F.col("node_id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in ("vec", "cell", *extra)))
     # Counted, not collected: how many lots of queries and blocks of rows a cell has.
     size = rows.groupBy(F.col("_cell").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
     lots = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / lot).cast("int").alias("_lots"))
-    tiles = checkpoint(size.join(lots, "cell"))
+    counts = checkpoint(size.join(lots, "cell"))
     pick = lambda key, n: F.abs(F.xxhash64(key) % F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(tiles, "cell").select("node_id", "vec", "cell", pick("node_id", "_lots").alias("_lot"), spread("_blocks").alias("_block"))
-    right = rows.join(tiles.withColumnRenamed("cell", "_cell"), "_cell").select("_id", "_vec", "_cell", pick("_id", "_blocks").alias("_own_block"), spread("_lots").alias("_of_lot"))
-    return left.groupBy("cell", "_lot", "_block").cogroup(right.groupBy("_cell", "_of_lot", "_own_block")).applyInArrow(_tile(k, digits), "src long, dst long, w double")
+    left = asked.join(counts, "cell").select("node_id", "vec", "cell", *extra, pick("node_id", "_lots").alias("_lot"), spread("_blocks").alias("_block"))
+    right = rows.join(counts.withColumnRenamed("cell", "_cell"), "_cell").select(*rows.columns, pick("_id", "_blocks").alias("_own_block"), spread("_lots").alias("_of_lot"))
+    return left.groupBy("cell", "_lot", "_block").cogroup(right.groupBy("_cell", "_of_lot", "_own_block")).applyInArrow(compare, "src long, dst long, w double")
+
+
+@dataclass
+class Cells:
+    """Unit vectors in the cells of their pivots: ``rows`` (node_id, vec, cell), pivots and the radius of each cell."""
+
+    rows: DataFrame
+    pivots: np.ndarray
+    radii: np.ndarray
+
+    @staticmethod
+    def of(vectors: DataFrame, seed: int = 1) -> Cells:
+        """Rows without a vector are left out; a zero vector stays as it is."""
+        whole = vectors.filter(F.col("vec").isNotNull()).select(F.col("node_id").cast("long").alias("node_id"), F.col("vec").cast("array<double>").alias("vec"))
+        norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+        unit = checkpoint(whole.withColumn("_n", norm).select("node_id", F.when(F.col("_n") > 0, F.transform("vec", lambda x: x / F.col("_n"))).otherwise(F.col("vec")).alias("vec")))
+        pivots = _pick_pivots(unit, seed)
+        radii = np.full(len(pivots), -np.inf)
+        if not len(pivots):
+            return Cells(unit.withColumn("cell", F.lit(0)), pivots, radii)
+        rows = checkpoint(unit_cells(unit, pivots))
+        for r in rows.groupBy("cell").agg(F.max("far").alias("far")).collect():  # one row for each pivot
+            radii[r["cell"]] = r["far"]
+        return Cells(rows.select("node_id", "vec", "cell"), pivots, radii)
+
+    def within(self, asked: DataFrame, bound: str, extra: list[str]) -> DataFrame:
+        """Each query once for every other cell that can hold a vector nearer than ``bound`` (null: any cell)."""
+        sent = self.rows.sparkSession.sparkContext.broadcast((self.pivots, self.radii))  # at most MAX_PIVOTS rows
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p, radius = sent.value
+            for batch in batches:
+                v = _matrix(batch.column(1))
+                if not len(v) or not len(p):
+                    continue
+                apart = np.sqrt(np.maximum((v * v).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * v @ p.T, 0))
+                limit = np.asarray(batch.column(3).fill_null(np.inf), dtype=np.float64)
+                open_ = apart - radius[None, :] <= limit[:, None] + SLACK
+                open_[np.arange(len(v)), np.asarray(batch.column(2))] = False  # the own cell is done
+                at, cell = np.nonzero(open_)
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cell, pa.int32()), *(batch.column(4 + i).take(at) for i in range(len(extra)))], names=["node_id", "vec", "cell", *extra])
+
+        kinds = "".join(f", {c} {asked.schema[c].dataType.simpleString()}" for c in extra)
+        return checkpoint(asked.select("node_id", "vec", "cell", F.col(bound), *extra).mapInArrow(run, f"node_id long, vec array<double>, cell int{kinds}"))
 
 
 def nearest_blocked(vectors: DataFrame, k: int, queries: DataFrame | None = None, *, digits: int = 9, seed: int = 1, block: int = BLOCK, lot: int = LOT) -> DataFrame:
@@ -106,36 +156,10 @@ def nearest_blocked(vectors: DataFrame, k: int, queries: DataFrame | None = None
     A zero vector has the product 0 with all others.  Ids are unique; rows
     without a vector are left out.
     """
-    spark = vectors.sparkSession
-    whole = vectors.filter(F.col("vec").isNotNull()).select(F.col("node_id").cast("long").alias("node_id"), F.col("vec").cast("array<double>").alias("vec"))
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    unit = checkpoint(whole.withColumn("_n", norm).select("node_id", F.when(F.col("_n") > 0, F.transform("vec", lambda x: x / F.col("_n"))).otherwise(F.col("vec")).alias("vec")))
-    pivots = _pick_pivots(unit, seed)
-    if not len(pivots):
-        return spark.createDataFrame([], "src long, dst long, w double")
-    rows = checkpoint(unit_cells(unit, pivots))
-    asked = rows if queries is None else checkpoint(rows.join(queries.select(F.col("node_id").cast("long").alias("node_id")).distinct(), "node_id", "left_semi"))
-    own = checkpoint(_top(_search(asked.select("node_id", "vec", "cell"), rows, k, digits, block, lot), k))
+    cells = Cells.of(vectors, seed)
+    asked = cells.rows if queries is None else checkpoint(cells.rows.join(queries.select(F.col("node_id").cast("long").alias("node_id")).distinct(), "node_id", "left_semi"))
+    own = checkpoint(_top(tiles(asked, cells.rows, [], _tile(k, digits), block, lot), k))
     # Unit vectors: squared distance 2 - 2 w.  Without k neighbours in the own cell there is no bound.
     bound = own.groupBy(F.col("src").alias("node_id")).agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.greatest(2 - 2 * F.min("w"), F.lit(0.0)))).alias("_bound"))
-    radii = np.full(len(pivots), -np.inf)
-    for r in rows.groupBy("cell").agg(F.max("far").alias("far")).collect():  # one row for each pivot
-        radii[r["cell"]] = r["far"]
-    sent = spark.sparkContext.broadcast((pivots, radii))
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, radius = sent.value
-        for batch in batches:
-            v = _matrix(batch.column(1))
-            if not len(v):
-                continue
-            apart = np.sqrt(np.maximum((v * v).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * v @ p.T, 0))
-            limit = np.asarray(batch.column(3).fill_null(np.inf), dtype=np.float64)
-            open_ = apart - radius[None, :] <= limit[:, None] + SLACK
-            open_[np.arange(len(v)), np.asarray(batch.column(2))] = False  # the own cell is done
-            at, cell = np.nonzero(open_)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(cell, pa.int32())], names=["node_id", "vec", "cell"])
-
-    wide = asked.select("node_id", "vec", "cell").join(bound, "node_id", "left").select("node_id", "vec", "cell", "_bound").mapInArrow(cells, "node_id long, vec array<double>, cell int")
-    others = _search(checkpoint(wide), rows, k, digits, block, lot)
-    return _top(own.unionByName(others), k)
+    wide = cells.within(asked.join(bound, "node_id", "left"), "_bound", [])
+    return _top(own.unionByName(tiles(wide, cells.rows, [], _tile(k, digits), block, lot)), k)

@@ -44,10 +44,12 @@ _NAMES = {
     "in_navigation": re.compile(r"(^|[\s_-])(nav|navbar|navigation|menu|breadcrumbs?|toc|pagination|pager|tabs)([\s_-]|$)", re.I),
     "in_margin": re.compile(r"(^|[\s_-])(footer|header|masthead|sidebar|side|aside|cookies?|consent|notice|banner|copyright|legal|related|social|share|newsletter|widget|popup|modal)([\s_-]|$)", re.I),
     "in_advert": re.compile(r"(^|[\s_-])(ads?|advert|advertisement|advertising|sponsor|sponsored|promo|promotion|adsense)([\s_-]|$)", re.I),
-    "in_comments": re.compile(r"(^|[\s_-])(comments?|replies|reply|discussion|disqus|respond|guestbook|reviews?)([\s_-]|$)", re.I),
+    "in_comments": re.compile(r"(^|[\s_-])(comments?|replies|reply|discussion|disqus|respond|guestbook|reviews)([\s_-]|$)", re.I),
     "in_form": re.compile(r"(^|[\s_-])(form|login|signup|subscribe|search|searchbox)([\s_-]|$)", re.I),
     "in_article": re.compile(r"(^|[\s_-])(article|articlebody|post-?body|entry-?content|post-?content|main-?content|content|story)([\s_-]|$)", re.I),
 }
+#: A name with one of these parts tells what an element has or lacks, such as ``with-sidebar``, not what it is.
+_MODIFIERS = frozenset("with without has no non none not hide hidden show".split())
 _TAG_HINT = {"article": "in_article", "main": "in_article", "nav": "in_navigation", "menu": "in_navigation", "header": "in_margin", "footer": "in_margin", "aside": "in_margin", "form": "in_form", "button": "in_form", "select": "in_form", "fieldset": "in_form", "dialog": "in_margin", "head": "in_head"}
 _NAME_TAGS = frozenset("div section article aside ul ol table p span header footer nav main form dl".split())
 
@@ -213,7 +215,8 @@ def _hints(name: str, attributes: str, outer: tuple[int, ...]) -> tuple[int, ...
     if name in _TAG_HINT and not (name == "header" and inside_article):  # the head of an article holds its title
         own.add(_TAG_HINT[name])
     if attributes and name in _NAME_TAGS:
-        said = " ".join(a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(attributes))
+        names = " ".join(a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(attributes)).split()
+        said = " ".join(n for n in names if _MODIFIERS.isdisjoint(re.split("[-_]", n.lower())))
         if said:
             own.update(h for h, pattern in _NAMES.items() if pattern.search(said))
     if not own:

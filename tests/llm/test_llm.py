@@ -86,6 +86,19 @@ def test_html_blocks():
     assert html_text.main_text("", html_text.default_tree()) == ""
 
 
+@pytest.mark.parametrize("start", ['<div id="content" class="with-sidebar">', '<article class="review">', '<main class="no-header">', '<article class="post related-none">'])
+def test_html_names_of_what_an_element_has_or_lacks(start):
+    end = "</" + start[1:].split()[0] + ">"
+    page = f'<nav><a href=x>Home</a></nav>{start}<h1>Title</h1><p>{"word " * 30}</p><div class="comments"><p>me too</p></div>{end}<div class="sidebar"><p>{"other " * 20}</p></div>'
+    assert html_text.main_text(page, html_text.default_tree()) == "Title\n" + ("word " * 30).strip()
+
+
+def test_html_clashing_names_and_empty_table(spark):
+    pages = spark.createDataFrame([(1, "u", "<article><p>Some words.</p></article>", "x", "y")], "page_id long, url string, html string, text string, n_chars string")
+    assert [tuple(r) for r in html_text.extract(pages).collect()] == [(1, "u", "Some words.", 11)]
+    assert html_text.extract(pages.limit(0)).collect() == []
+
+
 def test_html_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<p>" + "word " * 5000)], "page_id long, url string, html string")
     out = html_text.extract(pages).collect()

@@ -26,6 +26,13 @@ def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, name, SF) == ""
 
 
+@pytest.mark.parametrize("name", ["l7_modularity_power", "l8_raw_modularity_power"])
+def test_steps_until_a_limit_equal_sql_on_more_rows(spark, name):
+    """The number of steps depends on the table."""
+    larger = "/root/testdata/sf0.01"
+    assert compare(spark, connect(larger), name, larger) == ""
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 2
 

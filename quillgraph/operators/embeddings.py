@@ -196,27 +196,50 @@ class DeflatedModularity(NodeEmbedding):
 
 
 class NonBacktracking(NodeEmbedding):
-    """Real leading eigenvectors of the companion matrix of non-backtracking walks, lower half, column-normalised, sqrt|s|."""
+    """Eigenvectors of the companion matrix of non-backtracking walks, lower half, columns of length 1.
+
+    The ``dim`` eigenvalues s largest in magnitude, by falling |Re s|, columns
+    times sqrt|Re s|.  A complex pair gives the real and the imaginary part of
+    its first vector, so the columns span what the pair spans.  With
+    ``auto_dim`` the dimension asked for is left aside: of the first
+    min(10 sqrt(n), n - 1) + 1 eigenvalues those above the whole part of the
+    mean degree in magnitude stay, ascending, without the first and without
+    the factor; pairs are computed until one falls below, never all of them.
+    """
+
+    def __init__(self, auto_dim: bool = False, tolerance: float = 1e-4) -> None:
+        super().__init__()
+        self.auto_dim, self.tolerance = auto_dim, tolerance
 
     def update(self, dim: int) -> None:
         from .graph import nonbacktracking_matrix
+        from .krylov import nonsymmetric_eigenpairs
 
-        k = dim + 4  # room for complex pairs
-        ids = self.edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
-        n = int(ids) + 1
+        n = int(self.edges.agg(F.max(F.greatest("src", "dst"))).first()[0]) + 1
         b = checkpoint(nonbacktracking_matrix(self.edges, n))
-        x = checkpoint(nodes_of(b).select("node_id", F.array(*(prng.uniform(3, F.col("node_id"), F.lit(j)) - 0.5 for j in range(k))).alias("vec")))
-        for _ in range(25):  # orthogonal iteration for a matrix that isn't symmetric
-            x, _ = orthonormal(checkpoint(multiply_block(b, x, k)), k)
-        x = checkpoint(x)
-        s, v = np.linalg.eig(gram(x, k, multiply_block(b, x, k)))
-        real = np.abs(s.imag) <= 1e-8 * np.abs(s).max()
-        order = sorted(np.flatnonzero(real), key=lambda i: -abs(s[i]))[:dim]  # of a complex pair neither is taken
-        s = s.real[order]
-        half = rotate(x, np.real(v[:, order])).filter(F.col("node_id") >= n).select((F.col("node_id") - n).alias("node_id"), "vec")
-        norms = np.sqrt(np.maximum(np.diag(gram(half, len(order))), 1e-300))
-        self.out_vec = checkpoint(_scaled(half, 1 / norms))
-        self.in_vec = checkpoint(_scaled(self.out_vec, np.sqrt(np.abs(s))))
+        half = self.edges.sparkSession.range(n).select(F.col("id").alias("node_id"))
+        nodes = half.unionByName(half.select((F.col("node_id") + n).alias("node_id")))
+        if not self.auto_dim:
+            s, v, _ = nonsymmetric_eigenpairs(b, nodes, dim, tolerance=self.tolerance)
+            order = sorted(range(len(s)), key=lambda i: -round(abs(s[i].real), 10))
+        else:
+            mean = int(float(self.edges.agg(F.sum("w")).first()[0]) / n)
+            most = min(int(10 * np.sqrt(n)), n - 1) + 1
+            ask = min(8, most)
+            s, v, _ = nonsymmetric_eigenpairs(b, nodes, ask, tolerance=self.tolerance)
+            while len(s) == ask < most and abs(s[-1]) > mean:
+                ask = min(2 * ask, most)
+                s, v, _ = nonsymmetric_eigenpairs(b, nodes, ask, tolerance=self.tolerance)
+            order = sorted(np.flatnonzero(np.abs(s) > mean), key=lambda i: (s[i].real, s[i].imag))[1:]
+        part = [F.col("im" if s[i].imag < 0 else "re")[int(i)] for i in order]
+        low = v.filter(F.col("node_id") >= n).select((F.col("node_id") - n).alias("node_id"), F.array(*part).cast("array<double>").alias("vec"))
+        if not order:
+            self.in_vec = self.out_vec = low
+            return
+        norms = np.sqrt(np.maximum(np.diag(gram(low, len(order))), 1e-300))
+        self.values = s[order]
+        self.out_vec = checkpoint(_scaled(low, 1 / norms))
+        self.in_vec = self.out_vec if self.auto_dim else checkpoint(_scaled(self.out_vec, np.sqrt(np.abs(self.values.real))))
 
 
 class FastRP(NodeEmbedding):

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogue import PARTS, query
+from .operators.embeddings import SampledEmbedding
 from .operators.huffman import huffman_codes
+from .operators.sampling import uniform_distribution
 from .sources import tables
 
 
@@ -33,3 +35,15 @@ def e2_huffman_codes(s: SparkSession, d: str) -> DataFrame:
     degrees = tables.parts(s, d).groupBy(F.col("src").alias("node_id")).agg(F.sum("w").alias("weight"))
     codes = huffman_codes(degrees)
     return codes.select("node_id", *(F.concat_ws(sep, F.col(c).cast("array<string>")).alias(c) for c, sep in (("code", ""), ("points", " "))))
+
+
+@query()
+def e14_sampled_parts(s: SparkSession, d: str) -> DataFrame:
+    """Skip-gram on the graph of parts, both tables in four blocks that meet in turns; cliques and gradients are tested, no SQL."""
+    return SampledEmbedding(walk_length=20, num_walks=3, window_length=3, epochs=1, parts=4).fit(tables.parts(s, d)).transform(8)
+
+
+@query()
+def e14_uniform_noise_parts(s: SparkSession, d: str) -> DataFrame:
+    """The same with noise nodes alike by a sampler of the caller's."""
+    return SampledEmbedding(walk_length=20, num_walks=3, window_length=3, epochs=1, parts=2, noise_sampler=uniform_distribution).fit(tables.parts(s, d)).transform(8)

@@ -7,7 +7,8 @@ the driver.  Learned models train on walks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions import prng
 from ..plans.lineage import checkpoint
+from . import strata
 from .algebra import gram, leading_eigenpairs, multiply_block, orthonormal, rotate
 from .graph import nodes_of, row_probability, symmetric_normalized
+from .huffman import huffman_codes
+from .sampling import noise_distribution
 from .walks import context_pairs, simulate, uniform_walks
 
 
@@ -285,7 +289,7 @@ class Word2VecEmbedding(NodeEmbedding):
         self.out_vec = self.in_vec
 
 
-#: Tables of vectors with more nodes are not sent to tasks.
+#: Tables of a bag of words with more nodes are not sent to tasks.
 MAX_TABLE_NODES = 2_000_000
 
 
@@ -293,16 +297,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _steps(loss: str, u: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray, k: np.ndarray, base: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Gradients of one batch as (table, rows, values): centres ``a``, contexts ``b`` (a row of them, -1 for none, for ``cbow``), noise ``k``."""
-    if loss == "cbow":  # the mean of the contexts, from the first table, predicts the centre in the second
-        there = (b >= 0)[:, :, None]
-        count = np.maximum(there.sum(axis=1), 1)
-        h = (u[b] * there).sum(axis=1) / count
-        gp = _sigmoid(np.einsum("id,id->i", h, v[a])) - 1
-        gn = _sigmoid(np.einsum("id,ikd->ik", h, v[k]))
-        gh = (gp[:, None] * v[a] + np.einsum("ik,ikd->id", gn, v[k])) / count
-        return [(0, b[b >= 0], np.repeat(gh, (b >= 0).sum(axis=1), axis=0)), (1, a, gp[:, None] * h), (1, k.ravel(), (gn[:, :, None] * h[:, None, :]).reshape(-1, u.shape[1]))]
+def _pair_steps(loss: str, u: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray, k: np.ndarray, base: tuple[np.ndarray, np.ndarray], nodes: int, weight: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Gradients of one batch as (table, rows, values): centres ``a``, contexts ``b``, noise ``k``, each pair counted ``weight`` times."""
     pos, neg = np.einsum("id,id->i", u[a], v[b]), np.einsum("id,ikd->ik", u[a], v[k])
     if loss == "node2vec":
         gp, gn = _sigmoid(pos) - 1, _sigmoid(neg)
@@ -310,35 +306,50 @@ def _steps(loss: str, u: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray
         gp, gn = -np.ones_like(pos), np.ones_like(neg)
     else:  # laplacian: half the square of the summed noise products
         gp, gn = -np.ones_like(pos), np.repeat(neg.sum(axis=1, keepdims=True), neg.shape[1], axis=1)
+    gp, gn = gp * weight, gn * weight[:, None]
     out = [(0, a, gp[:, None] * v[b] + np.einsum("ik,ikd->id", gn, v[k])), (1, b, gp[:, None] * u[a]), (1, k.ravel(), (gn[:, :, None] * u[a][:, None, :]).reshape(-1, u.shape[1]))]
     if loss == "modularity":
         c, d = base
-        g = len(u) * np.einsum("id,id->i", u[c], v[d])[:, None]
+        g = nodes * (weight * np.einsum("id,id->i", u[c], v[d]))[:, None]
         out += [(0, c, g * v[d]), (1, d, g * u[c])]
     return out
 
 
-def _descend(table: np.ndarray, squares: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]], rate: float) -> None:
-    """One adaptive step: a row's gradient over the root of the mean squares it has seen, so no loss needs a rate of its own."""
-    rows, at = np.unique(np.concatenate([r for r, _ in steps]), return_inverse=True)
-    g = np.zeros((len(rows), table.shape[1]))
-    np.add.at(g, at, np.concatenate([s for _, s in steps]))
-    squares[rows] += (g * g).mean(axis=1)
-    table[rows] -= rate * g / np.sqrt(squares[rows] + 1e-12)[:, None]
+def _bag_steps(u: np.ndarray, v: np.ndarray, inner: np.ndarray, a: np.ndarray, b: np.ndarray, k: np.ndarray, points: np.ndarray, code: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The mean of the contexts ``b`` (-1: none), from the first table, against the centre ``a`` and noise ``k`` in the second and,
+    in the third, against the inner nodes ``points[a]`` (-1: none) with the sides ``code[a]``."""
+    dim = u.shape[1]
+    there = (b >= 0)[:, :, None]
+    count = np.maximum(there.sum(axis=1), 1)
+    h = (u[b] * there).sum(axis=1) / count
+    gp = _sigmoid(np.einsum("id,id->i", h, v[a])) - 1
+    gn = _sigmoid(np.einsum("id,ikd->ik", h, v[k]))
+    gh = gp[:, None] * v[a] + np.einsum("ik,ikd->id", gn, v[k])
+    out = [(1, a, gp[:, None] * h), (1, k.ravel(), (gn[:, :, None] * h[:, None, :]).reshape(-1, dim))]
+    way = points[a]
+    on = way >= 0
+    if on.any():
+        gi = (_sigmoid(np.einsum("id,ild->il", h, inner[way])) - (1 - code[a])) * on
+        gh = gh + np.einsum("il,ild->id", gi, inner[way])
+        out.append((2, way[on], (gi[:, :, None] * h[:, None, :])[on]))
+    return [(0, b[b >= 0], np.repeat(gh / count, (b >= 0).sum(axis=1), axis=0)), *out]
 
 
 class SampledEmbedding(NodeEmbedding):
     """Gradient training on (center, context, noise) samples of walks.
 
     ``loss``: ``node2vec`` (skip-gram with negative sampling), ``cbow`` (mean of
-    the contexts, negative sampling), ``modularity`` (linear terms, and half
-    the number of nodes times the mean square of uniform base pairs) or
+    the contexts, negative sampling and, with ``hierarchical``, a softmax over
+    the Huffman tree of the visits as well), ``modularity`` (linear terms, and
+    half the number of nodes times the mean square of uniform base pairs) or
     ``laplacian``.  The first table gives in-vectors, the second out-vectors.
 
-    Samples are dealt out by centre; each epoch every partition updates its
-    own copy of the two tables, which are averaged by the number of samples.
-    The tables are sent to the tasks, so :data:`MAX_TABLE_NODES` bounds the
-    nodes; beyond it a ValueError names the spectral models instead.
+    Losses of pairs train on tables kept in ``parts`` blocks (:mod:`strata`),
+    whatever the number of nodes.  A bag of words needs all its contexts at
+    once: there every partition updates its own copy of the tables, which are
+    averaged by the number of samples, and beyond :data:`MAX_TABLE_NODES` nodes
+    a ValueError names the other models.  ``noise_sampler`` gives
+    ``node_id, p`` from the edges, by default the in-degrees.
     """
 
     def __init__(
@@ -350,18 +361,22 @@ class SampledEmbedding(NodeEmbedding):
         negative: int = 5,
         epochs: int = 3,
         rate: float = 0.1,
-        parts: int = 8,
+        parts: int | None = None,
         seed: int = 1,
         p: float = 1.0,
         q: float = 1.0,
         backtrack: bool = True,
+        hierarchical: bool = False,
+        noise_sampler: Callable[[DataFrame], DataFrame] = noise_distribution,
     ) -> None:
         super().__init__()
         if loss not in ("node2vec", "cbow", "modularity", "laplacian"):
             raise ValueError(loss)
+        if hierarchical and loss != "cbow":
+            raise ValueError("a hierarchical softmax goes with the bag of words")
         self.loss, self.walk_length, self.num_walks, self.window_length = loss, walk_length, num_walks, window_length
         self.negative, self.epochs, self.rate, self.parts, self.seed = negative, epochs, rate, parts, seed
-        self.p, self.q, self.backtrack = p, q, backtrack
+        self.p, self.q, self.backtrack, self.hierarchical, self.noise_sampler = p, q, backtrack, hierarchical, noise_sampler
 
     def walks(self) -> DataFrame:
         if not self.backtrack:
@@ -372,62 +387,89 @@ class SampledEmbedding(NodeEmbedding):
         """``center, context``: one context, or for ``cbow`` all of a position as one string of ids."""
         pairs = context_pairs(self.walks(), ["start", "round"], self.window_length)
         if self.loss != "cbow":
-            return pairs.select("center", F.col("context").cast("string").alias("context"))
-        together = pairs.groupBy("start", "round", "pos", "center").agg(F.array_join(F.collect_list(F.col("context").cast("string")), ",").alias("context"))  # twice the window
-        return together.select("center", "context")
+            return pairs.select("center", "context")
+        together = pairs.groupBy("start", "round", "pos", "center").agg(F.array_join(F.array_sort(F.collect_list(F.col("context").cast("string"))), ",").alias("context"))  # twice the window
+        return together.select("start", "round", "pos", "center", "context")
+
+    def noise(self) -> DataFrame:
+        """``node_id, p`` of all nodes."""
+        law = self.noise_sampler(self.edges).select("node_id", "p")
+        return nodes_of(self.edges).join(law, "node_id", "left").select("node_id", F.coalesce("p", F.lit(0.0)).alias("p"))
 
     def update(self, dim: int) -> None:
-        degrees = checkpoint(self.edges.groupBy(F.col("dst").alias("node_id")).agg(F.sum("w").alias("d")))
-        if (n := degrees.count()) > MAX_TABLE_NODES:
-            raise ValueError(f"{n} nodes: the tables of sampled training are sent to tasks; use a spectral model")
+        if self.loss == "cbow":
+            self._update_bags(dim)
+        else:
+            step = partial(_pair_steps, self.loss)
+            self.in_vec, self.out_vec = strata.train(self.samples(), self.noise(), dim, step, self.epochs, self.negative, self.rate, self.parts, seed=self.seed)
+
+    def _update_bags(self, dim: int) -> None:
+        law = checkpoint(self.noise())
+        if (n := law.count()) > MAX_TABLE_NODES:
+            raise ValueError(f"{n} nodes: the tables of a bag of words are sent to tasks; use a loss of pairs or a spectral model")
+        parts = self.parts or 8
         # Written in a random order: the steps of a batch add up, so one walk must not fill it.
-        samples = checkpoint(self.samples().repartition(self.parts, "center").sortWithinPartitions(F.rand(self.seed)))
-        deg = degrees.orderBy("node_id").toPandas()  # bounded by the check above
-        ids, law = deg["node_id"].to_numpy(), (deg["d"] / deg["d"].sum()).to_numpy()
+        mixed = F.xxhash64(F.lit(self.seed), "start", "round", "pos")
+        samples = checkpoint(self.samples().withColumn("key", mixed).repartition(parts, "center").sortWithinPartitions("key", "start", "round", "pos").select("key", "center", "context"))
+        rows = law.orderBy("node_id").toPandas()  # bounded by the check above
+        ids, share = rows["node_id"].to_numpy(), rows["p"].to_numpy()
+        points, code = self._tree(samples, ids)
         rng = np.random.default_rng(self.seed)
-        tables = [(rng.random((n, dim)) - 0.5) / dim, (rng.random((n, dim)) - 0.5) / dim]
-        loss, negative, rate, seed = self.loss, self.negative, self.rate, self.seed
+        tables = [(rng.random((n, dim)) - 0.5) / dim, (rng.random((n, dim)) - 0.5) / dim, np.zeros((n, dim))]
+        negative, rate, seed = self.negative, self.rate, self.seed
 
         for epoch in range(self.epochs):
-            sent = self.edges.sparkSession.sparkContext.broadcast((ids, law, *tables))
+            sent = self.edges.sparkSession.sparkContext.broadcast((ids, share, points, code, *tables))
 
             def train(frames: Iterator[pd.DataFrame], sent=sent, epoch=epoch) -> Iterator[pd.DataFrame]:
-                ids, law, *own = sent.value
+                ids, share, points, code, *own = sent.value
                 own = [t.copy() for t in own]
-                squares = [np.zeros(len(ids)), np.zeros(len(ids))]
+                squares = [np.zeros(len(ids)) for _ in own]
                 seen, total = np.zeros(len(ids)), 0
-                cdf = np.cumsum(law)
+                cdf = np.cumsum(share)
                 for frame in frames:
-                    r = np.random.default_rng([seed, epoch, len(frame), int(frame["center"].iloc[0]) if len(frame) else 0])
+                    if not len(frame):
+                        continue
+                    r = np.random.default_rng([seed, epoch, int(frame["key"].iloc[0]) & 0x7FFFFFFFFFFFFFFF])
                     c = np.searchsorted(ids, frame["center"].to_numpy())
-                    if loss == "cbow":
-                        lists = [np.searchsorted(ids, np.array(x.split(","), dtype=np.int64)) for x in frame["context"]]
-                        o = np.full((len(c), max(map(len, lists), default=1)), -1)
-                        for i, x in enumerate(lists):
-                            o[i, : len(x)] = x
-                    else:
-                        o = np.searchsorted(ids, frame["context"].to_numpy().astype(np.int64))
+                    lists = [np.searchsorted(ids, np.array(x.split(","), dtype=np.int64)) for x in frame["context"]]
+                    o = np.full((len(c), max(map(len, lists), default=1)), -1)
+                    for i, x in enumerate(lists):
+                        o[i, : len(x)] = x
                     for at in range(0, len(c), 256):
                         a, b = c[at : at + 256], o[at : at + 256]
-                        k = np.minimum(np.searchsorted(cdf, r.random((len(a), negative))), len(ids) - 1)
-                        base = (r.integers(0, len(ids), len(a)), r.integers(0, len(ids), len(a)))
-                        steps = _steps(loss, *own, a, b, k, base)
-                        for table in (0, 1):
-                            _descend(own[table], squares[table], [s[1:] for s in steps if s[0] == table], rate)
+                        k = np.minimum(np.searchsorted(cdf, r.random((len(a), negative)) * cdf[-1], side="right"), len(ids) - 1)
+                        steps = _bag_steps(*own, a, b, k, points, code)
+                        for table in range(3):
+                            if mine := [s[1:] for s in steps if s[0] == table]:
+                                strata._descend(own[table], squares[table], mine, rate)
                     total += len(c)
                     np.add.at(seen, c, 1)
                 if total:
-                    yield pd.DataFrame({"i": np.arange(len(ids)), "n": seen, "t": float(total), "u": list(own[0]), "v": list(own[1])})
+                    yield pd.DataFrame({"i": np.arange(len(ids)), "n": seen, "t": float(total), "u": list(own[0]), "v": list(own[1]), "s": list(own[2])})
 
-            out = samples.mapInPandas(train, "i long, n double, t double, u array<double>, v array<double>")
+            out = samples.mapInPandas(train, "i long, n double, t double, u array<double>, v array<double>, s array<double>")
             mean = lambda name, w: [(F.sum(F.col(w) * F.col(name)[j]) / F.sum(w)).alias(f"{name}{j}") for j in range(dim)]
-            rows = out.withColumn("own", F.col("n") + 1e-9).groupBy("i").agg(*mean("u", "own"), *mean("v", "t")).orderBy("i").toPandas()  # one row a node
-            tables = [rows[[f"u{j}" for j in range(dim)]].to_numpy(), rows[[f"v{j}" for j in range(dim)]].to_numpy()]
+            rows = out.withColumn("own", F.col("n") + 1e-9).groupBy("i").agg(*mean("u", "own"), *mean("v", "t"), *mean("s", "t")).orderBy("i").toPandas()  # one row a node
+            if len(rows):
+                tables = [rows[[f"{name}{j}" for j in range(dim)]].to_numpy() for name in "uvs"]
             sent.unpersist()
         spark = self.edges.sparkSession
         as_frame = lambda t: spark.createDataFrame(pd.DataFrame({"node_id": ids.astype("int64"), "vec": [row.tolist() for row in t]}), "node_id long, vec array<double>")
         self.in_vec, self.out_vec = as_frame(tables[0]), as_frame(tables[1])
 
+    def _tree(self, samples: DataFrame, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inner nodes and sides of every node, -1 and 0 beyond its depth; without a tree nothing but -1."""
+        if not self.hierarchical:
+            return np.full((len(ids), 1), -1), np.zeros((len(ids), 1))
+        visits = samples.groupBy(F.col("center").alias("node_id")).agg(F.count(F.lit(1)).alias("weight"))
+        rows = huffman_codes(visits).toPandas()  # one row a node, bounded by the check above
+        deepest = max((len(x) for x in rows["code"]), default=0) or 1
+        points, code = np.full((len(ids), deepest), -1), np.zeros((len(ids), deepest))
+        for i, way, bits in zip(np.searchsorted(ids, rows["node_id"].to_numpy()), rows["points"], rows["code"], strict=True):
+            points[i, : len(way)], code[i, : len(bits)] = way, bits
+        return points, code
+
 
 class Node2Vec(SampledEmbedding):
     """Biased or non-backtracking walks and skip-gram with negative sampling."""
@@ -437,10 +479,10 @@ class Node2Vec(SampledEmbedding):
 
 
 class DeepWalk(SampledEmbedding):
-    """Uniform walks and continuous bag of words; the softmax is replaced by negative sampling."""
+    """Uniform walks and continuous bag of words with the softmax over the Huffman tree of the visits, and noise for the second table."""
 
     def __init__(self, walk_length: int = 80, num_walks: int = 30, window_length: int = 10, backtrack: bool = True, epochs: int = 1, seed: int = 1) -> None:
-        super().__init__("cbow", walk_length, num_walks, window_length, epochs=epochs, seed=seed, backtrack=backtrack)
+        super().__init__("cbow", walk_length, num_walks, window_length, epochs=epochs, seed=seed, backtrack=backtrack, hierarchical=True)
 
 
 def save(model: NodeEmbedding, path: str) -> None:

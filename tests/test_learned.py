@@ -3,10 +3,17 @@
 import heapq
 import os
 import random
+from functools import partial
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from quillgraph.operators import clustering, metrics, strata
+from quillgraph.operators.embeddings import SampledEmbedding, _bag_steps, _pair_steps
 from quillgraph.operators.huffman import huffman_codes
+from quillgraph.operators.sampling import noise_distribution, uniform_distribution
+from quillgraph.sources import generators
 from tests.verify_oracles import compare, connect
 
 
@@ -55,3 +62,125 @@ def test_codes_of_odd_tables(spark):
 def test_codes_equal_sql_on_more_rows(spark):
     larger = "/root/testdata/sf0.01"
     assert compare(spark, connect(larger), "e2_huffman_codes", larger) == ""
+
+
+# ------------------------------------------------------------ gradients
+
+
+def slopes(tables, loss, eps=1e-6):
+    out = []
+    for t in tables:
+        g = np.zeros_like(t)
+        for i in np.ndindex(*t.shape):
+            kept = t[i]
+            t[i] = kept + eps
+            high = loss()
+            t[i] = kept - eps
+            g[i] = (high - loss()) / (2 * eps)
+            t[i] = kept
+        out.append(g)
+    return out
+
+
+def added(tables, steps):
+    out = [np.zeros_like(t) for t in tables]
+    for t, rows, values in steps:
+        np.add.at(out[t], rows, values)
+    return out
+
+
+def softplus(z):
+    return np.log1p(np.exp(z))
+
+
+@pytest.mark.parametrize("name", ["node2vec", "modularity", "laplacian"])
+def test_gradients_of_pairs_are_slopes(name):
+    r = np.random.default_rng(3)
+    tables = [r.normal(size=(6, 3)), r.normal(size=(6, 3))]
+    u, v = tables
+    a, b, k, c, d = r.integers(0, 6, 5), r.integers(0, 6, 5), r.integers(0, 6, (5, 2)), r.integers(0, 6, 5), r.integers(0, 6, 5)
+    w = np.array([1.0, 2.0, 3.0, 1.0, 5.0])
+
+    def loss():
+        pos, neg = (u[a] * v[b]).sum(1), np.einsum("id,ikd->ik", u[a], v[k])
+        if name == "node2vec":
+            return (w * (softplus(-pos) + softplus(neg).sum(1))).sum()
+        if name == "modularity":
+            return (w * (-pos + neg.sum(1) + 6 / 2 * (u[c] * v[d]).sum(1) ** 2)).sum()
+        return (w * (-pos + neg.sum(1) ** 2 / 2)).sum()
+
+    got = added(tables, _pair_steps(name, u, v, a, b, k, (c, d), 6, w))
+    assert all(np.allclose(x, y, atol=1e-5) for x, y in zip(got, slopes(tables, loss), strict=True))
+
+
+def test_gradients_of_the_tree_are_slopes():
+    r = np.random.default_rng(4)
+    tables = [r.normal(size=(5, 3)) for _ in range(3)]
+    u, v, s = tables
+    codes = by_heap({0: 1.0, 1: 1.0, 2: 2.0, 3: 7.0, 4: 8.0})
+    deepest = max(len(c) for c, _ in codes.values())
+    points, code = np.full((5, deepest), -1), np.zeros((5, deepest))
+    for i, (c, p) in codes.items():
+        points[i, : len(p)], code[i, : len(c)] = p, c
+    a, b, k = np.array([0, 3, 1]), np.array([[1, 2, -1], [4, 4, 0], [2, -1, -1]]), r.integers(0, 5, (3, 2))
+
+    def loss():
+        total = 0.0
+        for i in range(3):
+            h = u[b[i][b[i] >= 0]].mean(0)
+            total += softplus(-h @ v[a[i]]) + softplus(v[k[i]] @ h).sum()
+            total += sum(softplus((2 * c - 1) * (s[p] @ h)) for c, p in zip(*codes[a[i]], strict=True))
+        return total
+
+    got = added(tables, _bag_steps(u, v, s, a, b, k, points, code))
+    assert all(np.allclose(x, y, atol=1e-5) for x, y in zip(got, slopes(tables, loss), strict=True))
+
+
+def test_the_tree_sums_to_one():
+    r = np.random.default_rng(5)
+    codes, inner, h = by_heap({i: float(i % 4 + 1) for i in range(9)}), r.normal(size=(8, 3)), r.normal(size=3)
+    share = sum(np.prod([1 / (1 + np.exp((2 * c - 1) * (inner[p] @ h))) for c, p in zip(*x, strict=True)]) for x in codes.values())
+    assert abs(share - 1) < 1e-12
+
+
+# ------------------------------------------------------------ tables in blocks
+
+
+def ring_score(vectors, d):
+    v = vectors.withColumn("label", F.floor(F.col("node_id") / 10))
+    return metrics.element_similarity(metrics.contingency(clustering.voronoi(v, "label", d), "label", "p")).first()["esim"]
+
+
+@pytest.mark.parametrize("options", [{"parts": 3}, {"parts": 2, "noise_sampler": uniform_distribution}, {"loss": "cbow", "hierarchical": True, "parts": 2}])
+def test_cliques_separate(spark, options):
+    ring = generators.ring_of_cliques(spark, 50, 10)
+    model = SampledEmbedding(walk_length=20, num_walks=10, window_length=3, epochs=4, **options).fit(ring)
+    assert ring_score(model.transform(8), 8) > 0.8
+    assert model.transform(8, return_out_vector=True).count() == 50
+
+
+def read(frame):
+    return {x.node_id: tuple(x.vec) for x in frame.collect()}
+
+
+def test_blocks_do_not_depend_on_partitions(spark):
+    ring = generators.ring_of_cliques(spark, 30, 10).select("src", "dst", "w")
+    pairs = ring.select(F.col("src").alias("center"), F.col("dst").alias("context"))
+    step = partial(_pair_steps, "node2vec")
+    fit = lambda p: [read(t) for t in strata.train(p, noise_distribution(ring), 4, step, epochs=2, blocks=3, repeats=2)]
+    first = fit(pairs.union(pairs).union(pairs))
+    assert first == fit(pairs.union(pairs).union(pairs).repartition(7, "context"))
+    assert len(first[0]) == len(first[1]) == 30 and first[0] != first[1]
+
+
+def test_blocks_of_odd_tables(spark):
+    noise = spark.createDataFrame([(1, 0.5), (2, None), (2, 0.5), (3, 0.0), (None, 1.0)], "node_id long, p double")
+    rows = [(1, 2), (1, 2), (2, 1), (None, 1), (1, None), (9, 1), (1, 9)]
+    step = partial(_pair_steps, "node2vec")
+    some = lambda r: spark.createDataFrame(r, "center long, context long").withColumn("n", F.lit("x"))
+    start = [read(t) for t in strata.train(some([]), noise, 2, step, blocks=2)]
+    for blocks in (1, 4):
+        got = [read(t) for t in strata.train(some(rows), noise, 2, step, epochs=3, blocks=blocks)]
+        assert got[0].keys() == got[1].keys() == {1, 2, 3}
+        assert got[0][3] == start[0][3] and got[0][1] != start[0][1]  # a node without pairs stays
+    assert [read(t) for t in strata.train(some([]), noise.limit(0), 2, step)] == [{}, {}]

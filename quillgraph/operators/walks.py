@@ -93,9 +93,11 @@ def weighted_walks(edges: DataFrame, length: int, walks: int = 1, seed: int = 1,
 
 
 def simulate(edges: DataFrame, length: int = 80, walks: int = 10, p: float = 1.0, q: float = 1.0, seed: int = 1) -> DataFrame:
-    """Walks from every node ``walks`` times: biased where p or q says so, weighted where weights differ, else uniform."""
+    """Walks from every node ``walks`` times: biased where p or q says so (by rejection), weighted where weights differ, else uniform."""
     if p != 1.0 or q != 1.0:
-        return biased_walks(edges, length, p, q, walks, seed)
+        from .rejection import rejection_walks
+
+        return rejection_walks(edges, length, p, q, walks, seed)
     row = edges.agg(F.min("w").alias("least"), F.max("w").alias("most")).first()
     same = row["least"] is None or row["least"] == row["most"]
     return uniform_walks(edges, length, walks, seed) if same else weighted_walks(edges, length, walks, seed)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import clustering, metrics, strata
 from quillgraph.operators.embeddings import SampledEmbedding, _bag_steps, _pair_steps
+from quillgraph.operators.graph import line_graph
 from quillgraph.operators.huffman import huffman_codes
+from quillgraph.operators.rejection import rejection_walks, walk_steps
 from quillgraph.operators.sampling import noise_distribution, uniform_distribution
 from quillgraph.sources import generators
 from tests.verify_oracles import compare, connect
@@ -59,9 +61,10 @@ def test_codes_of_odd_tables(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
-def test_codes_equal_sql_on_more_rows(spark):
+@pytest.mark.parametrize("name", ["e2_huffman_codes", "r1_rejection_parts", "r2_rejection_weighted"])
+def test_equal_sql_on_more_rows(spark, name):
     larger = "/root/testdata/sf0.01"
-    assert compare(spark, connect(larger), "e2_huffman_codes", larger) == ""
+    assert compare(spark, connect(larger), name, larger) == ""
 
 
 # ------------------------------------------------------------ gradients
@@ -184,3 +187,56 @@ def test_blocks_of_odd_tables(spark):
         assert got[0].keys() == got[1].keys() == {1, 2, 3}
         assert got[0][3] == start[0][3] and got[0][1] != start[0][1]  # a node without pairs stays
     assert [read(t) for t in strata.train(some([]), noise.limit(0), 2, step)] == [{}, {}]
+
+
+# ------------------------------------------------------------ walks by rejection
+
+EDGES = "src long, dst long, w double"
+SMALL = [(0, 1, 1.0), (1, 0, 1.0), (1, 2, 3.0), (2, 1, 1.0), (0, 2, 2.0), (2, 0, 1.0), (2, 3, 1.0), (3, 2, 2.0), (1, 3, 0.5), (3, 1, 1.0), (1, 4, 2.0), (4, 1, 1.0)]
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_rejection_follows_the_law(spark, weighted):
+    rows = SMALL if weighted else [(a, b, 1.0) for a, b, _ in SMALL]
+    e = spark.createDataFrame(rows, EDGES)
+    p, q = 0.4, 3.0
+    walks = rejection_walks(e, 3, p, q, walks=4000, seed=3)
+    triples = [tuple(x.path) for x in walks.select("path").collect()]
+    assert len(triples) == 20000 and all(len(x) == 3 for x in triples)
+    out = {a: sum(w for s, _, w in rows if s == a) for a, _, _ in rows}
+    for a, b, w in rows:  # the first step follows the weights
+        n = sum(x[0] == a for x in triples)
+        assert abs(sum(x[:2] == (a, b) for x in triples) / n - w / out[a]) < 4 * 0.5 / n**0.5
+    law = {}
+    for x in line_graph(e, p, q).collect():
+        law.setdefault((x.prev, x.cur), {})[x.nxt] = x.w
+    for (a, b), after in law.items():
+        n = sum(x[:2] == (a, b) for x in triples)
+        for c, w in after.items():
+            assert abs(sum(x == (a, b, c) for x in triples) / n - w / sum(after.values())) < 4 * 0.5 / n**0.5
+
+
+def test_rejection_does_not_depend_on_tries_or_partitions(spark):
+    e = spark.createDataFrame(SMALL, EDGES)
+    fit = lambda frame, tries: sorted(map(tuple, walk_steps(frame, 5, 0.1, 8.0, walks=3, tries=tries).collect()))
+    assert fit(e, 1) == fit(e.repartition(5), 7)
+
+
+def test_rejection_at_a_hub(spark):
+    leaves = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
+    star = leaves.unionByName(leaves.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    steps = walk_steps(star, 4, 100.0, 1.0)
+    assert steps.count() == 4 * 100_001
+    assert steps.groupBy("start", "round").agg(F.count(F.lit(1)).alias("n")).filter("n <> 4").count() == 0
+    second = steps.filter("pos = 2 AND start <> 0")
+    assert second.filter("node = start").count() < 10  # a return has a hundredth of the odds of one of 100 000
+    assert second.select("node").distinct().count() > 60_000
+
+
+def test_rejection_of_odd_tables(spark):
+    rows = [(0, 1, 1.0), (0, 1, 2.0), (1, 2, 1.0), (3, 3, 1.0), (4, 0, 0.0), (4, 0, -1.0), (5, None, 1.0), (None, 5, 1.0), (6, 0, None)]
+    e = spark.createDataFrame(rows, EDGES).withColumn("node", F.lit("x"))
+    got = {x.start: x.path for x in rejection_walks(e, 4, 0.5, 2.0).collect()}
+    assert got == {0: [0, 1, 2], 1: [1, 2], 3: [3, 3, 3, 3]}
+    assert {x.start: x.path for x in rejection_walks(e, 1).collect()} == {0: [0], 1: [1], 3: [3]}
+    assert rejection_walks(e.filter("w > 9"), 4).collect() == []

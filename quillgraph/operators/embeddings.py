@@ -349,7 +349,8 @@ class SampledEmbedding(NodeEmbedding):
     once: there every partition updates its own copy of the tables, which are
     averaged by the number of samples, and beyond :data:`MAX_TABLE_NODES` nodes
     a ValueError names the other models.  ``noise_sampler`` gives
-    ``node_id, p`` from the edges, by default the in-degrees.
+    ``node_id, p`` from the edges, by default the in-degrees.  With a
+    ``folder``, training of pairs resumes there (:func:`strata.train`).
     """
 
     def __init__(
@@ -368,6 +369,7 @@ class SampledEmbedding(NodeEmbedding):
         backtrack: bool = True,
         hierarchical: bool = False,
         noise_sampler: Callable[[DataFrame], DataFrame] = noise_distribution,
+        folder: str | None = None,
     ) -> None:
         super().__init__()
         if loss not in ("node2vec", "cbow", "modularity", "laplacian"):
@@ -376,7 +378,7 @@ class SampledEmbedding(NodeEmbedding):
             raise ValueError("a hierarchical softmax goes with the bag of words")
         self.loss, self.walk_length, self.num_walks, self.window_length = loss, walk_length, num_walks, window_length
         self.negative, self.epochs, self.rate, self.parts, self.seed = negative, epochs, rate, parts, seed
-        self.p, self.q, self.backtrack, self.hierarchical, self.noise_sampler = p, q, backtrack, hierarchical, noise_sampler
+        self.p, self.q, self.backtrack, self.hierarchical, self.noise_sampler, self.folder = p, q, backtrack, hierarchical, noise_sampler, folder
 
     def walks(self) -> DataFrame:
         if not self.backtrack:
@@ -401,7 +403,7 @@ class SampledEmbedding(NodeEmbedding):
             self._update_bags(dim)
         else:
             step = partial(_pair_steps, self.loss)
-            self.in_vec, self.out_vec = strata.train(self.samples(), self.noise(), dim, step, self.epochs, self.negative, self.rate, self.parts, seed=self.seed)
+            self.in_vec, self.out_vec = strata.train(self.samples(), self.noise(), dim, step, self.epochs, self.negative, self.rate, self.parts, seed=self.seed, folder=self.folder and f"{self.folder}/{dim}")
 
     def _update_bags(self, dim: int) -> None:
         law = checkpoint(self.noise())

@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prng
@@ -70,6 +70,22 @@ def _cell(rows: pd.DataFrame, pairs: pd.DataFrame, step: Step, nodes: int, negat
     return rows
 
 
+def _kept(df: DataFrame, folder: str | None, name: str, *by: str) -> DataFrame:
+    """A checkpoint, or the table ``name`` of ``folder``, written unless an earlier run has finished it."""
+    if folder is None:
+        return checkpoint(df, *by)
+    spark, path = df.sparkSession, f"{folder.rstrip('/')}/{name}"
+    if not finished(spark, path):
+        df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a written table was committed."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def train(
     pairs: DataFrame,
     noise: DataFrame,
@@ -82,6 +98,7 @@ def train(
     repeats: int = 64,
     batch: int = 256,
     seed: int = 1,
+    folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``node_id, vec`` of the first and the second table after training on ``pairs(center, context)``.
 
@@ -91,9 +108,13 @@ def train(
     a gradient that counts for all n, so a hub costs no more than its different
     partners.  ``blocks``: by default as many as keep :data:`BLOCK_ROWS` and
     :data:`CELL_PAIRS`.  Pairs with a null or an unknown node are left out.
+
+    With a ``folder`` in shared storage the pairs and the tables after each turn
+    stay there, and a later call with the same options goes on behind the last
+    turn that was finished, to the same result; more ``epochs`` train on.
     """
-    known = checkpoint(noise.filter("node_id IS NOT NULL").groupBy(F.col("node_id").cast("long").alias("node_id")).agg(F.coalesce(F.sum("p"), F.lit(0.0)).cast("double").alias("p")))
-    counted = checkpoint(pairs.groupBy(F.col("center").cast("long").alias("center"), F.col("context").cast("long").alias("context")).agg(F.count(F.lit(1)).alias("n")))
+    known = _kept(noise.filter("node_id IS NOT NULL").groupBy(F.col("node_id").cast("long").alias("node_id")).agg(F.coalesce(F.sum("p"), F.lit(0.0)).cast("double").alias("p")), folder, "nodes")
+    counted = _kept(pairs.groupBy(F.col("center").cast("long").alias("center"), F.col("context").cast("long").alias("context")).agg(F.count(F.lit(1)).alias("n")), folder, "counts")
     nodes = known.count()
     p = blocks or max(1, math.ceil(nodes / BLOCK_ROWS), math.ceil(math.sqrt(counted.count() / CELL_PAIRS)))
     block = lambda c, side: F.pmod(F.xxhash64(F.lit(side), c), F.lit(p)).cast("int")
@@ -101,10 +122,10 @@ def train(
         counted = counted.join(known.select(F.col("node_id").alias(column)), column, "left_semi")
     lane = block(F.col("center"), 0)
     cells = counted.select("center", "context", "n", lane.alias("lane"), F.pmod(block(F.col("context"), 1) - lane, F.lit(p)).alias("turn"))
-    cells = checkpoint(cells.repartition(max(p, 1), "turn", "lane"), "turn")
+    cells = _kept(cells.repartition(max(p, 1), "turn", "lane"), folder, f"cells-{p}", "turn")
     start = lambda side: F.array(*((prng.uniform(seed, F.lit(side), F.col("node_id"), F.lit(j)) - 0.5) / dim for j in range(dim)))
     sides = [known.select(F.lit(s).alias("side"), block(F.col("node_id"), s).alias("block"), "node_id", "p", F.lit(0.0).alias("sq"), start(s).alias("vec")) for s in (0, 1)]
-    state = checkpoint(sides[0].unionByName(sides[1]))
+    state = _kept(sides[0].unionByName(sides[1]), folder, f"state-{p}-0")
 
     def at_turn(epoch: int, turn: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
         def run(key: tuple, rows: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
@@ -113,11 +134,12 @@ def train(
 
         return run
 
-    order = np.random.default_rng(seed)
+    order, done = np.random.default_rng(seed), 0
     for epoch in range(epochs):
         for turn in map(int, order.permutation(p)):
+            done += 1
             meet = F.when(F.col("side") == 0, F.col("block")).otherwise(F.pmod(F.col("block") - turn, F.lit(p))).alias("lane")
             here = cells.filter(F.col("turn") == turn).select("lane", "center", "context", "n")
-            state = checkpoint(state.select("*", meet).groupBy("lane").cogroup(here.groupBy("lane")).applyInPandas(at_turn(epoch, turn), _STATE))
+            state = _kept(state.select("*", meet).groupBy("lane").cogroup(here.groupBy("lane")).applyInPandas(at_turn(epoch, turn), _STATE), folder, f"state-{p}-{done}")
     first, second = (state.filter(F.col("side") == s).select("node_id", "vec") for s in (0, 1))
     return first, second

@@ -176,6 +176,25 @@ def test_blocks_do_not_depend_on_partitions(spark):
     assert len(first[0]) == len(first[1]) == 30 and first[0] != first[1]
 
 
+def test_training_resumes(spark, tmp_path):
+    ring = generators.ring_of_cliques(spark, 30, 10).select("src", "dst", "w")
+    pairs, noise = ring.select(F.col("src").alias("center"), F.col("dst").alias("context")), noise_distribution(ring)
+    step = partial(_pair_steps, "node2vec")
+
+    def broken(*_):
+        raise RuntimeError("not to be called")
+
+    fit = lambda s, epochs, folder: [read(t) for t in strata.train(pairs, noise, 4, s, epochs=epochs, blocks=2, folder=folder)]
+    folder = f"file://{tmp_path}/run"
+    whole, half = fit(step, 2, None), fit(step, 1, folder)
+    assert half != whole
+    with pytest.raises(Exception, match="not to be called"):
+        fit(broken, 2, folder)  # stops in the third turn
+    assert fit(broken, 1, folder) == half
+    assert fit(step, 2, folder) == whole
+    assert fit(broken, 2, folder) == whole
+
+
 def test_blocks_of_odd_tables(spark):
     noise = spark.createDataFrame([(1, 0.5), (2, None), (2, 0.5), (3, 0.0), (None, 1.0)], "node_id long, p double")
     rows = [(1, 2), (1, 2), (2, 1), (None, 1), (1, None), (9, 1), (1, 9)]

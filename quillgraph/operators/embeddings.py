@@ -444,7 +444,7 @@ class SampledEmbedding(NodeEmbedding):
                         steps = _bag_steps(*own, a, b, k, points, code)
                         for table in range(3):
                             if mine := [s[1:] for s in steps if s[0] == table]:
-                                strata._descend(own[table], squares[table], mine, rate)
+                                strata.descend(own[table], squares[table], mine, rate)
                     total += len(c)
                     np.add.at(seen, c, 1)
                 if total:

@@ -29,7 +29,7 @@ _STATE = "side int, block int, node_id long, p double, sq double, vec array<doub
 Step = Callable[..., list[tuple[int, np.ndarray, np.ndarray]]]
 
 
-def _descend(table: np.ndarray, squares: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]], rate: float) -> None:
+def descend(table: np.ndarray, squares: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]], rate: float) -> None:
     """One adaptive step: a row's gradient over the root of the mean squares it has seen, so no loss needs a rate of its own."""
     rows, at = np.unique(np.concatenate([r for r, _ in steps]), return_inverse=True)
     g = np.zeros((len(rows), table.shape[1]))
@@ -63,7 +63,7 @@ def _cell(rows: pd.DataFrame, pairs: pd.DataFrame, step: Step, nodes: int, negat
         base = (r.integers(0, len(ids[0]), size), r.integers(0, len(ids[1]), size))
         steps = step(*tables, a[at], b[at], k, base, nodes, weight[at])
         for t in (0, 1):
-            _descend(tables[t], squares[t], [s[1:] for s in steps if s[0] == t], rate)
+            descend(tables[t], squares[t], [s[1:] for s in steps if s[0] == t], rate)
         todo -= size
     rows["sq"] = np.concatenate(squares)
     rows["vec"] = [*tables[0], *tables[1]]

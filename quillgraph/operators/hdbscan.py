@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpoint
 from .graph import connected_components
-from .neighbours import BLOCK, LOT, SLACK, Cells, nearest_blocked, tiles
+from .neighbours import BLOCK, LOT, STRIPE, Cells, _matrix, nearest_blocked, tiles
 
 #: Distances below count as this in densities.
 CLOSEST = 1e-9
@@ -40,24 +40,35 @@ def core_distances(vectors: DataFrame, samples: int, digits: int = 9) -> DataFra
 
 
 def _nearest_outside(digits: int):
-    """Of every query the row of another component with the least mutual reachability, the smallest id on ties."""
+    """Of every query the row of another component with the least mutual reachability, the smallest id on ties; more than its ``bound`` doesn't count."""
+    margin = 4 * 10.0**-digits
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        empty = pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})
-        if not queries.num_rows or not rows.num_rows:
-            return empty
-        matrix = lambda t, c: np.asarray(t.column(c).combine_chunks().flatten(), dtype=np.float64).reshape(t.num_rows, -1)
-        column = lambda t, c: np.asarray(t.column(c))
-        order = np.argsort(column(rows, "_id"), kind="stable")
-        dst = column(rows, "_id")[order]
-        w = np.round(matrix(queries, "vec") @ matrix(rows, "_vec")[order].T, digits)
-        apart = np.round(np.sqrt(np.maximum(2 - 2 * w, 0)), digits)
-        apart = np.maximum(np.maximum(apart, column(queries, "core")[:, None]), column(rows, "_core")[order][None, :])
-        apart[column(queries, "comp")[:, None] == column(rows, "_comp")[order][None, :]] = np.inf
-        best = apart.argmin(axis=1)
-        value = apart[np.arange(len(best)), best]
-        real = np.isfinite(value)
-        return pa.table({"src": column(queries, "node_id")[real], "dst": dst[best][real], "w": value[real]})
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if queries.num_rows and rows.num_rows:
+            column = lambda t, c: np.asarray(t.column(c))
+            src, core, comp = (column(queries, c) for c in ("node_id", "core", "comp"))
+            bound = np.asarray(queries.column("bound").fill_null(np.inf), dtype=np.float64)
+            least = np.where(bound < 2, 1 - bound * bound / 2 - margin, -np.inf)
+            order = np.argsort(column(rows, "_id"), kind="stable")
+            dst, cores, comps = (column(rows, c)[order] for c in ("_id", "_core", "_comp"))
+            left, right = _matrix(queries.column("vec")), _matrix(rows.column("_vec"))[order].T
+            step = max(1, STRIPE // len(dst))
+            for at in range(0, len(src), step):
+                part = slice(at, at + step)
+                w = left[part] @ right
+                i, j = np.nonzero((w >= least[part, None]) & (comp[part, None] != comps[None, :]))
+                apart = np.round(np.sqrt(np.maximum(2 - 2 * np.round(w[i, j], digits), 0)), digits)
+                apart = np.maximum(np.maximum(apart, core[part][i]), cores[j])
+                kept = apart <= bound[part][i]
+                i, j, apart = i[kept], j[kept], apart[kept]
+                if len(i):
+                    starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                    # The first of equal ones has the smallest id.
+                    first = np.flatnonzero(apart == np.repeat(np.minimum.reduceat(apart, starts), np.diff(np.r_[starts, len(i)])))
+                    first = first[np.r_[True, i[first][1:] != i[first][:-1]]]
+                    found.append((src[part][i[first]], dst[j[first]], apart[first]))
+        return pa.table(dict(zip(("src", "dst", "w"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return run
 
@@ -71,19 +82,23 @@ def spanning_tree(vectors: DataFrame, samples: int, *, digits: int = 9, block: i
     """
     cells = Cells.of(vectors)
     core = checkpoint(core_distances(vectors, samples, digits))
-    rows = cells.rows.join(core, "node_id", "left").withColumn("core", F.coalesce("core", F.lit(0.0)))
+    lots, blocks = cells.deal(lot), cells.deal(block)
+    done = cells.own(lots, blocks)
+    rows = blocks.number(lots.number(cells.rows, "lot"), "block").join(core, "node_id", "left").withColumn("core", F.coalesce("core", F.lit(0.0)))
     labels = rows.select("node_id", F.col("node_id").alias("comp"))
     tree = None
+    compared = lambda asked, now, pairs: tiles(asked, now, pairs, ["core", "comp", "bound"], ["core", "comp"], _nearest_outside(digits))
     while True:
         now = checkpoint(rows.join(labels, "node_id"))
-        inside = tiles(now, now, ["core", "comp"], _nearest_outside(digits), block, lot)
+        inside = compared(now.withColumn("bound", F.lit(None).cast("double")), now, done)
         own = checkpoint(inside.groupBy("src").agg(F.min(F.struct("w", "dst")).alias("best")).select("src", "best.dst", "best.w"))
-        # Mutual reachability is no less than the distance, so what the own cell gave bounds the search.
-        bound = own.select(F.col("src").alias("node_id"), F.col("w").alias("_bound"))
-        # A component needs its lightest edge alone: its best so far bounds all its vectors.
-        of_comp = now.select("node_id", "comp").join(bound, "node_id").groupBy("comp").agg(F.min("_bound").alias("_bound"))
-        wide = cells.within(now.join(of_comp, "comp", "left"), "_bound", ["core", "comp"])
-        found = own.unionByName(tiles(wide, now, ["core", "comp"], _nearest_outside(digits), block, lot))
+        # Mutual reachability is no less than the distance, so what the own cells gave bounds the search.
+        bound = own.select(F.col("src").alias("node_id"), F.col("w").alias("bound"))
+        # A component needs its lightest edge alone: its best so far bounds all its vectors, and ends the search of those with a larger core.
+        of_comp = now.select("node_id", "comp").join(bound, "node_id").groupBy("comp").agg(F.min("bound").alias("bound"))
+        asked = checkpoint(now.join(of_comp, "comp", "left").filter("bound IS NULL OR core <= bound"))
+        wide = cells.open(asked, "bound", blocks, done)
+        found = own.unionByName(compared(asked, now, wide))
         a, b = F.least("src", "dst"), F.greatest("src", "dst")
         best = found.join(now.select(F.col("node_id").alias("src"), F.col("comp")), "src").groupBy("comp").agg(F.min(F.struct(F.col("w"), a.alias("a"), b.alias("b"))).alias("e"))
         added = checkpoint(best.select("e.a", "e.b", "e.w").distinct())

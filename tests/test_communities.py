@@ -86,6 +86,20 @@ def test_neighbours_of_few_and_none(spark):
     assert neighbours.nearest_blocked(v.limit(0), 5).collect() == []
 
 
+def test_weak_bounds_copy_a_vector_few_times(spark):
+    """Vectors without structure: all cells stay open, and small tiles grow with the table."""
+    v = vectors(spark, np.random.default_rng(1).normal(size=(2000, 32)))
+    cells = neighbours.Cells.of(v)
+    lots, blocks = cells.deal(4), cells.deal(8)
+    asked = lots.number(cells.rows, "lot").withColumn("bound", F.lit(None).cast("double"))
+    done = cells.own(lots, blocks)
+    wide = cells.open(asked, "bound", blocks, done)
+    pairs = {(r.lot, r.block) for r in done.union(wide).collect()}
+    most = 2 * neighbours.COPIES
+    assert pairs == {(i, j) for i in {i for i, _ in pairs} for j in {j for _, j in pairs}}
+    assert done.count() + wide.count() == len(pairs) and max(i for i, _ in pairs) < most and max(j for _, j in pairs) < most
+
+
 # --- density clusters -----------------------------------------------------------------------------------------------
 
 

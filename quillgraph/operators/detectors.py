@@ -269,6 +269,7 @@ def density_clusters(neighbours: DataFrame, min_samples: int = 5, cut: float = 0
 
     from .graph import connected_components
 
+    neighbours = checkpoint(neighbours)  # read for the cores, the links and the nodes
     rank = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
     core = neighbours.withColumn("r", rank).groupBy("src").agg(F.max(F.when(F.col("r") <= min_samples, F.col("distance"))).alias("core"))
     e = neighbours.join(core, "src").join(core.select(F.col("src").alias("dst"), F.col("core").alias("core2")), "dst")

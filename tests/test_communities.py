@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import clustering, hdbscan, mapequation, neighbours
+from quillgraph.operators import clustering, detectors, hdbscan, mapequation, neighbours
 from quillgraph.sources import generators
 
 
@@ -230,3 +230,20 @@ def test_vector_communities_gain_level_by_level(spark):
     assert abs(trace[-1] - sum(float(s @ s) - rho * n * n for s, n in sums.values())) < 1e-6
     assert all(b >= a for a, b in zip(trace, trace[1:], strict=False))
     assert 0 < rho < 1 and len(sums) == 3 and all(len({labels[i] for i in range(k, k + 15)}) == 1 for k in (0, 15, 30))
+
+
+def test_neighbours_of_communities_are_searched_once(spark):
+    """Every reader of a neighbour table reads it from the shared folder: its rows are made in one place alone."""
+    v = vectors(spark, blobs(5, [8, 8], spread=0.1, noise=0))
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    near = neighbours.nearest_blocked(v, 2).select("src", "dst", (1 - F.col("w")).alias("distance")).mapInArrow(count, "src long, dst long, distance double")
+    for use in (lambda: clustering.louvain(v, near, 0.2, 6, 2), lambda: clustering.louvain_levels(v, near, None, 6, levels=1, rounds=2)[0], lambda: detectors.density_clusters(near, 2, 0.7)):
+        made.value = 0
+        use().collect()
+        assert made.value == 32

@@ -17,6 +17,7 @@ def label_switching(edges: DataFrame, start: DataFrame | None = None, rounds: in
     A node takes the neighbouring group with the largest weight to it less the
     expected weight; one join with the labels, one grouped sum a round.
     """
+    edges = checkpoint(edges.select("src", "dst", "w"))  # read in every round
     deg = checkpoint(edges.groupBy(F.col("src").alias("node_id")).agg(F.sum("w").alias("d")))
     total = float(deg.agg(F.sum("d")).first()[0] or 1.0)
     labels = start or deg.select("node_id", F.col("node_id").alias("g"))
@@ -33,6 +34,7 @@ def label_switching(edges: DataFrame, start: DataFrame | None = None, rounds: in
 
 def block_model(edges: DataFrame, q: int, rounds: int = 10, seed: int = 1) -> DataFrame:
     """Degree-corrected block model with q groups by label sweeps on the q x q weight table."""
+    edges = checkpoint(edges.select("src", "dst", "w"))  # read in every round
     labels = checkpoint(nodes_of(edges).select("node_id", (prng.bits(seed, "node_id") % q).alias("membership")))
     for r in range(rounds):
         rows = block_matrix(edges, labels).collect()  # at most q^2 rows

@@ -30,6 +30,7 @@ def plogp(x: Column) -> Column:
 
 def flows(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes ``node_id, p, o`` (flow through it, flow along links to others) and links ``src, dst, f`` between different nodes."""
+    edges = checkpoint(edges.select("src", "dst", "w"))  # read three times
     total = float(edges.agg(F.sum("w")).first()[0] or 1.0)
     other = F.when(F.col("src") != F.col("dst"), F.col("w")).otherwise(0.0)
     nodes = edges.groupBy(F.col("src").alias("node_id")).agg((F.sum("w") / total).alias("p"), (F.sum(other) / total).alias("o"))

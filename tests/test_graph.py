@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillgraph import catalogue
-from quillgraph.operators import algebra, clustering, graph, metrics, walks
+from quillgraph.operators import algebra, clustering, detectors, graph, mapequation, metrics, walks
 from quillgraph.operators.embeddings import PRESETS
-from quillgraph.sources import generators
+from quillgraph.sources import generators, tables
 from tests.verify_oracles import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -227,3 +227,37 @@ def test_components_of_paths(spark):
     edges = spark.range(500).filter("id % 100 <> 99").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     out = graph.connected_components(edges).collect()
     assert all(r.component == r.node_id // 100 * 100 for r in out) and len(out) == 500
+
+
+def test_graph_of_parts_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """More line items make more tasks, each pair counted once however the rows are dealt."""
+    lines = [(o, (o * k) % 11) for o in range(60) for k in (1, 2, 3)] + [(0, 5), (1, 5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    counts = {}
+    for o in range(60):
+        mine = [p for x, p in lines if x == o]
+        for a in mine:
+            for b in mine:
+                if a < b:
+                    counts[a, b] = counts.get((a, b), 0) + 1
+    want = {e for (a, b), n in counts.items() if n >= 2 for e in ((a, b), (b, a))}
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 10)
+    found = tables.parts(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 19 and sorted((r.src, r.dst) for r in found.collect()) == sorted(want)
+
+
+def test_detectors_make_their_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    pairs = [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3), (2, 3)]
+    edges = spark.createDataFrame([(a, b, 1.0) for x, y in pairs for a, b in ((x, y), (y, x))], "src long, dst long, w double").mapInArrow(count, "src long, dst long, w double")
+    start = spark.range(6).select(F.col("id").alias("node_id"), (1.0 + F.col("id")).alias("val"))
+    for use in (lambda: detectors.label_switching(edges, rounds=2), lambda: detectors.block_model(edges, 2, 2), lambda: algebra.raw_modularity_power(edges, start, 2), lambda: mapequation.flows(edges)[0]):
+        made.value = 0
+        use().collect()
+        assert made.value == 14

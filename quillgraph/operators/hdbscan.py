@@ -4,13 +4,14 @@ The tree of mutual reachability comes from Boruvka rounds: every component
 looks for its nearest vector outside, cell by cell.  Of the tree's hierarchy
 only components of ``least`` or more points count.  It is built from below:
 
-* Small components point along their lightest edge.  Two that point at each
-  other unite, and are born as a cluster when they reach ``least``; a chain of
-  pointers that ends in a cluster falls into it, each component at the weight
-  of its own edge.  After at most ``least`` rounds only clusters are left.
-* Clusters that are each other's nearest unite in rounds, and their stability
-  (excess of mass) is settled: of a cluster and those within it the more
-  stable choice is kept.
+* Edges go by ranges of their order.  One task unites the components at the
+  ends of a range's edges; the points that fall into a cluster and the
+  clusters that end are written, and the edges still to come are renamed.  There are at most ``RANGES`` ranges, whatever the height of the
+  hierarchy, and a component is one row: its points until it is a cluster of
+  ``least`` points, its sums from then on.
+* Two clusters that unite end, and their stability (excess of mass) is
+  settled: of a cluster and those within it the more stable choice is kept.
+  The highest choice above each cluster is found by doubled reach.
 
 Edges are in the strict order (weight, smaller id, larger id), so the tree and
 the hierarchy are unique.  Nothing but counts reaches the driver.
@@ -18,19 +19,20 @@ the hierarchy are unique.  Nothing but counts reaches the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpoint
-from .graph import connected_components
+from .graph import connected_components, running_sum
 from .neighbours import BLOCK, LOT, STRIPE, Cells, _matrix, nearest_blocked, tiles
 
 #: Distances below count as this in densities.
 CLOSEST = 1e-9
+#: Edges of the tree go by so many ranges at most, of so many edges at least.
+RANGES, SMALLEST = 32, 4096
 
 
 def core_distances(vectors: DataFrame, samples: int, digits: int = 9) -> DataFrame:
@@ -112,130 +114,126 @@ def spanning_tree(vectors: DataFrame, samples: int, *, digits: int = 9, block: i
         labels = checkpoint(labels.join(joined, "comp", "left").select("node_id", F.coalesce("_new", "comp").alias("comp")))
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("c", "d", "o").union(edges.select(F.col("d").alias("c"), F.col("c").alias("d"), "o"))
-
-
-def _lightest(edges: DataFrame) -> DataFrame:
-    """``c, d, o``: of every component the lightest edge and the component at its other end."""
-    return _both(edges).groupBy("c").agg(F.min(F.struct("o", "d")).alias("_e")).select("c", F.col("_e.d").alias("d"), F.col("_e.o").alias("o"))
-
-
-def _mutual(best: DataFrame) -> DataFrame:
-    """Pairs ``c < d`` whose lightest edge is the same."""
-    back = best.select(F.col("c").alias("d"), F.col("d").alias("c"), F.col("o").alias("_o"))
-    return best.join(back, ["c", "d"]).filter("c < d").select("c", "d", "o")
+def _density(distance: float) -> float:
+    return 1 / max(distance, CLOSEST)
+
+
+_STATE = "comp long, n long, members array<long>, c string, mass double, fell long, below long, since double, within double"
+#: ``kind`` move: ``comp`` is part of ``into`` now (the state of ``into`` stands in its own row); point: ``comp`` falls into ``c``; cluster: ``c`` ends in ``parent``.
+_FOUND = f"kind string, into long, parent string, stability double, {_STATE}"
+
+
+def _judged(state: dict, end: float) -> tuple[float, float]:
+    """Stability of a cluster that ends at the density ``end``, and the best within it."""
+    stable = state["mass"] - state["fell"] * end
+    if state["below"]:
+        stable += state["below"] * (_density(state["since"]) - end)
+    stable = round(stable, 9)
+    return stable, stable if state["within"] is None else max(stable, state["within"])
+
+
+def _unite(least: int):
+    """The edges of one range in order, between components with known states."""
+
+    def run(edges: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        names, fields = [f.split()[0] for f in _FOUND.split(", ")], [f.split()[0] for f in _STATE.split(", ")]
+        known = {r["comp"]: r | {f: None for f in ("c", "since", "within") if pd.isna(r[f])} | {"members": [] if r["members"] is None else [int(i) for i in r["members"]]} for r in states[fields].to_dict("records")}
+        point = lambda i: {"comp": i, "n": 1, "members": [i], "c": None, "mass": 0.0, "fell": 0, "below": 0, "since": None, "within": None}
+        up: dict[int, int] = {}
+        out: list[dict] = []
+
+        def find(i: int) -> int:
+            up.setdefault(i, i)
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        def fall(into: dict, members: list[int], w: float) -> None:
+            out.extend({"kind": "point", "comp": i, "c": into["c"]} for i in members)
+            into["mass"] += len(members) * _density(w)
+            into["fell"] += len(members)
+
+        edges = edges.sort_values(["w", "a", "b"])
+        for c, d, w, a, b in zip(*(edges[k].tolist() for k in ("c", "d", "w", "a", "b")), strict=True):
+            left, right = find(c), find(d)
+            one, other = (known.pop(i, None) or point(i) for i in (left, right))
+            if one["n"] < other["n"]:
+                one, other = other, one
+            new = one | {"n": one["n"] + other["n"]}
+            if other["c"] is not None:  # two clusters
+                name, end = f"{a}-{b}", _density(w)
+                best = 0.0
+                for x in (one, other):
+                    stable, most = _judged(x, end)
+                    best += most
+                    out.append({"kind": "cluster", "c": x["c"], "parent": name, "stability": stable, "within": x["within"]})
+                new |= {"c": name, "mass": 0.0, "fell": 0, "below": new["n"], "since": w, "within": best}
+            elif one["c"] is not None:
+                fall(new, other["members"], w)
+            else:
+                new["members"] = one["members"] + other["members"]
+                if new["n"] >= least:
+                    new["c"] = f"{a}-{b}"
+                    fall(new, new["members"], w)
+                    new["members"] = []
+            up[other["comp"]] = one["comp"]
+            known[one["comp"]] = new
+        out.extend({"kind": "move", "into": find(i)} | (known[i] if up[i] == i else {"comp": i}) for i in up)
+        return pd.DataFrame([[r.get(k) for k in names] for r in out], columns=names, dtype=object)
 
+    return run
 
-def _relabel(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """Edges between the new components ``c, new``; those within one go."""
-    new = edges
-    for end in ("c", "d"):
-        new = new.join(names.toDF(end, f"_{end}"), end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
-    return new.filter("c <> d").select("c", "d", "o")
 
-
-def _roots(pointers: DataFrame) -> DataFrame:
-    """``c, root`` of the chains ``c, d``; a root is no ``c``.  Each round doubles the reach."""
-    now = checkpoint(pointers.select("c", F.col("d").alias("root")))
-    while True:
-        step = now.join(now.toDF("root", "_next"), "root", "left")
-        if step.filter("_next is not null").isEmpty():
-            return now
-        now = checkpoint(step.select("c", F.coalesce("_next", "root").alias("root")))
-
-
-def _seeds(nodes: DataFrame, tree: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Smallest clusters: points ``node_id, c, h`` (edge at which they fell in; null without a cluster), clusters ``c``, edges."""
-    name = lambda e: F.concat_ws("-", e.getField("a"), e.getField("b"))
-    points = checkpoint(nodes.select("node_id", F.col("node_id").cast("string").alias("c"), F.lit(None).cast("struct<w:double,a:bigint,b:bigint>").alias("h")))
-    edges = checkpoint(tree.select(F.col("a").cast("string").alias("c"), F.col("b").cast("string").alias("d"), F.struct("w", "a", "b").alias("o")))
-    comps = checkpoint(points.select("c", F.lit(1).cast("long").alias("n")))
-    while True:
-        small = comps.filter(F.col("n") < least)
-        best = checkpoint(_lightest(edges).join(small.select("c"), "c", "left_semi"))
-        if best.isEmpty():
-            return points, comps.filter(F.col("n") >= least).select("c"), edges
-        pairs = checkpoint(_mutual(best))
-        paired = pairs.select("c").union(pairs.select("d"))
-        # Components that unite: the new one is named after its edge; points fall in when it is large enough.
-        united = pairs.select(F.explode(F.array("c", "d")).alias("c"), name(F.col("o")).alias("new"), F.col("o").alias("at"))
-        # Chains that end in a cluster fall into it; those that end in a small pair wait.
-        ends = _roots(best.join(paired.toDF("c"), "c", "left_anti").select("c", "d"))
-        large = comps.filter(F.col("n") >= least).select(F.col("c").alias("root"))
-        fallen = ends.join(large, "root", "left_semi").join(best.select("c", "o"), "c").select("c", F.col("root").alias("new"), F.col("o").alias("at"))
-        moves = checkpoint(united.unionByName(fallen))
-        sizes = checkpoint(comps.join(moves.select("c", "new"), "c", "left").groupBy(F.coalesce("new", "c").alias("c")).agg(F.sum("n").alias("n")))
-        settled = moves.join(sizes.toDF("new", "_n"), "new")
-        moved = points.join(settled, "c", "left")
-        h = F.when(F.col("h").isNull() & (F.col("_n") >= least), F.col("at")).otherwise(F.col("h"))
-        points = checkpoint(moved.select("node_id", F.coalesce("new", "c").alias("c"), h.alias("h")))
-        edges, comps = checkpoint(_relabel(edges, moves.select("c", "new"))), sizes
-
-
-def _density(distance: Column) -> Column:
-    return 1 / F.greatest(distance, F.lit(CLOSEST))
-
-
-def condensed_tree(nodes: DataFrame, tree: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Clusters ``c, parent, stability, chosen, round`` (parent null for a root) and where each point fell: ``node_id, c``.
+def condensed_tree(nodes: DataFrame, tree: DataFrame, least: int, ranges: int = RANGES, smallest: int = SMALLEST) -> tuple[DataFrame, DataFrame]:
+    """Clusters ``c, parent, stability, chosen`` (parent null for a root) and where each point fell: ``node_id, c``.
 
     ``chosen``: at least as stable as the best choice within it.  A point that
-    never belongs to a cluster has none.
+    never belongs to a cluster has none.  Edges are taken in ``ranges`` ranges
+    of their order, or fewer of ``smallest`` edges.
     """
-    points, clusters, edges = _seeds(nodes, tree, least)
-    placed = points.filter("h is null").select("node_id", F.lit(None).cast("string").alias("c"))
-    points = checkpoint(points.filter("h is not null"))
-    # What is known of a cluster: points and weight when it came from two others, and their best stability.
-    clusters = clusters.select("c", F.lit(0).cast("long").alias("below"), F.lit(None).cast("double").alias("since"), F.lit(None).cast("double").alias("within"))
-    done, turn = None, 0
-    while True:
-        pairs = checkpoint(_mutual(_lightest(edges)))
-        last = pairs.isEmpty()
-        turn += 1
-        if last:  # roots: nothing ends them
-            ending = clusters.select("*", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("struct<w:double,a:bigint,b:bigint>").alias("at"))
-        else:
-            names = pairs.select(F.explode(F.array("c", "d")).alias("c"), F.concat_ws("-", F.col("o").getField("a"), F.col("o").getField("b")).alias("parent"), F.col("o").alias("at"))
-            ending = clusters.join(names, "c")
-        ending = checkpoint(ending)
-        here = points.join(ending.select("c", "parent", "at"), "c", "left")
-        falls = F.col("at").isNull() | (F.col("h") < F.col("at")) if last else F.col("at").isNotNull() & (F.col("h") < F.col("at"))
-        here = checkpoint(here.withColumn("_falls", falls))
-        mass = here.filter("_falls").groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.sum(_density(F.col("h").getField("w"))).alias("d"))
-        end = F.coalesce(_density(F.col("at").getField("w")), F.lit(0.0))
-        m, d = F.coalesce("m", F.lit(0)), F.coalesce("d", F.lit(0.0))
-        stable = d - m * end + F.when(F.col("below") > 0, F.col("below") * (_density(F.col("since")) - end)).otherwise(0.0)
-        judged = ending.join(mass, "c", "left").select("c", "parent", "at", F.round(stable, 9).alias("stability"), (F.col("below") + m).alias("size"), "within")
-        chosen = F.col("within").isNull() | (F.col("stability") >= F.col("within"))
-        judged = checkpoint(judged.select("c", "parent", "at", "stability", "size", chosen.alias("chosen"), F.greatest("stability", "within").alias("best"), F.lit(turn).alias("round")))
-        done = judged.drop("at", "size", "best") if done is None else checkpoint(done.unionByName(judged.drop("at", "size", "best")))
-        placed = placed.unionByName(here.filter("_falls").select("node_id", "c"))
-        if last:
-            return done, placed
-        grown = judged.groupBy(F.col("parent").alias("c")).agg(F.sum("size").alias("below"), F.first(F.col("at").getField("w")).alias("since"), F.sum("best").alias("within"))
-        clusters = checkpoint(clusters.join(judged.select("c"), "c", "left_anti").unionByName(grown))
-        points = checkpoint(here.filter("not _falls").select("node_id", F.coalesce("parent", "c").alias("c"), "h"))
-        edges = checkpoint(_relabel(edges, judged.select("c", F.col("parent").alias("new"))))
-
-
-def density_labels(nodes: DataFrame, tree: DataFrame, least: int) -> DataFrame:
+    spark = nodes.sparkSession
+    numbered = checkpoint(running_sum(tree.select("a", "b", "w"), ["w", "a", "b"], F.lit(1), "_number"))
+    count = numbered.count()
+    size = max(smallest, -(-count // ranges))
+    edges = numbered.select(F.col("a").alias("c"), F.col("b").alias("d"), "w", "a", "b", F.floor((F.col("_number") - 1) / size).alias("turn"))
+    states = spark.createDataFrame([], _STATE)
+    found = []
+    for turn in range(-(-count // size)):
+        here = edges.filter(F.col("turn") == turn)
+        ends = here.select(F.col("c").alias("comp")).union(here.select("d"))
+        touched = states.join(ends, "comp", "left_semi")
+        out = checkpoint(here.withColumn("_k", F.lit(0)).groupBy("_k").cogroup(touched.withColumn("_k", F.lit(0)).groupBy("_k")).applyInPandas(_unite(least), _FOUND), "kind")  # `size` edges
+        found.append(out)
+        moves = out.filter("kind = 'move'")
+        states = checkpoint(states.join(moves.select("comp"), "comp", "left_anti").unionByName(moves.filter("comp = into").select(*states.columns)))
+        edges = edges.filter(F.col("turn") > turn)
+        for end in ("c", "d"):
+            edges = edges.join(moves.filter("comp <> into").select(F.col("comp").alias(end), "into"), end, "left").withColumn(end, F.coalesce("into", end)).drop("into")
+        edges = checkpoint(edges.select("c", "d", "w", "a", "b", "turn"))
+    # Nothing ends the roots.
+    since = 1 / F.greatest("since", F.lit(CLOSEST))
+    stable = F.col("mass") + F.when(F.col("below") > 0, F.col("below") * since).otherwise(0.0)
+    done = states.filter("c IS NOT NULL").select("c", F.lit(None).cast("string").alias("parent"), F.round(stable, 9).alias("stability"), "within")
+    placed = spark.createDataFrame([], "node_id long, c string")
+    for out in found:
+        done = done.unionByName(out.filter("kind = 'cluster'").select("c", "parent", "stability", "within"))
+        placed = placed.unionByName(out.filter("kind = 'point'").select(F.col("comp").alias("node_id"), "c"))
+    chosen = F.col("within").isNull() | (F.col("stability") >= F.col("within"))
+    return done.select("c", "parent", "stability", chosen.alias("chosen")), nodes.select("node_id").join(placed, "node_id", "left")
+
+
+def density_labels(nodes: DataFrame, tree: DataFrame, least: int, ranges: int = RANGES, smallest: int = SMALLEST) -> DataFrame:
     """``node_id, p``: the smallest id in the point's cluster, -1 for noise.  A root is never a cluster."""
-    found, placed = condensed_tree(nodes, tree, least)
-    found = checkpoint(found)
-    turns = found.agg(F.max("round")).first()[0] or 0
-    given = None
-    for turn in range(turns, 0, -1):
-        level = found.filter(F.col("round") == turn)
-        if given is None:  # the roots
-            named = level.select("c", F.lit(None).cast("string").alias("cluster"))
-        else:
-            above = given.select(F.col("c").alias("parent"), F.col("cluster").alias("_up"))
-            named = level.join(above, "parent", "left").select("c", F.coalesce("_up", F.when(F.col("chosen") & F.col("parent").isNotNull(), F.col("c"))).alias("cluster"))
-        given = checkpoint(named if given is None else given.unionByName(named))
-    marked = placed.select("node_id", "c").join(given, "c", "left") if given is not None else placed.withColumn("cluster", F.lit(None).cast("string"))
-    smallest = marked.filter("cluster is not null").groupBy("cluster").agg(F.min("node_id").alias("_p"))
-    return marked.join(smallest, "cluster", "left").select("node_id", F.coalesce("_p", F.lit(-1)).cast("long").alias("p"))
+    found, placed = condensed_tree(nodes, tree, least, ranges, smallest)
+    # ``cluster``: the highest choice from ``c`` to below ``up``; each round doubles the reach.
+    given = checkpoint(found.select("c", F.col("parent").alias("up"), F.when(F.col("chosen") & F.col("parent").isNotNull(), F.col("c")).alias("cluster")))
+    while not given.filter("up IS NOT NULL").isEmpty():
+        above = given.select(F.col("c").alias("up"), F.col("up").alias("_up"), F.col("cluster").alias("_cluster"))
+        given = checkpoint(given.join(above, "up", "left").select("c", F.col("_up").alias("up"), F.coalesce("_cluster", "cluster").alias("cluster")))
+    marked = checkpoint(placed.join(given.select("c", "cluster"), "c", "left"))
+    smallest_id = marked.filter("cluster is not null").groupBy("cluster").agg(F.min("node_id").alias("_p"))
+    return marked.join(smallest_id, "cluster", "left").select("node_id", F.coalesce("_p", F.lit(-1)).cast("long").alias("p"))
 
 
 def hdbscan(vectors: DataFrame, *, least: int = 5, samples: int | None = None) -> DataFrame:

@@ -205,6 +205,23 @@ def test_condensed_tree_of_paths_and_stars(spark, least):
         assert [got[i] for i in range(n)] == brute_labels(n, tree, least)
 
 
+def test_high_hierarchies_take_few_jobs(spark):
+    """Sixty clusters fall into a chain one by one; ranges of seven edges give the same as one range."""
+    r, tree = random.Random(8), []
+    for k in range(60):
+        tree += [(3 * k + i, 3 * k + i + 1, round(0.01 + 0.01 * r.random(), 6)) for i in (0, 1)]
+        tree += [(3 * k - 1, 3 * k, 1.0 + k)] if k else []
+    nodes, edges = spark.range(180).withColumnRenamed("id", "node_id"), spark.createDataFrame(tree, "a long, b long, w double")
+    want = brute_labels(180, tree, 3)
+    for options in ({}, {"smallest": 7}):
+        spark.sparkContext.setJobGroup(group := f"hierarchy{len(options)}", "")
+        got = {x.node_id: x.p for x in hdbscan.density_labels(nodes, edges, 3, **options).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert [got[i] for i in range(180)] == want and len(set(want)) > 2
+        assert options or jobs < 150
+
+
 def test_density_clusters_without_clusters(spark):
     few = vectors(spark, np.eye(3))
     assert {r.p for r in hdbscan.hdbscan(few, least=5).collect()} == {-1}

@@ -4,13 +4,17 @@ import heapq
 import os
 import random
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from quillgraph.catalogue import ORACLES
 from quillgraph.operators.embeddings import NonBacktracking
 from quillgraph.operators.graph import nonbacktracking_matrix
-from quillgraph.operators.krylov import nonsymmetric_eigenpairs
+from quillgraph.operators.krylov import nonsymmetric_eigenpairs, power_steps
 from quillgraph.operators.paths import shortest_paths, trace_paths
+from quillgraph.reach import l2_nonbacktracking_eigs
 from quillgraph.sources import generators
 from tests.verify_oracles import compare, connect
 
@@ -122,6 +126,35 @@ def test_nonbacktracking_fills_all_columns(spark):
     assert read(auto.transform(1), "vec", n).shape == (n, max(kept - 1, 0))
 
 
+def test_power_steps_are_counted(spark):
+    """Equal components, trees and a path: nothing converges, the vector after so many steps is still the same everywhere."""
+    rows = [(b + i, b + (i + 1) % 4, 1.0) for b in (0, 4) for i in range(4)] + [(8, 9, 1.0), (9, 10, 1.0), (0, 2, 1.0)]
+    rows += [(t, s, w) for s, t, w in rows]
+    b = nonbacktracking_matrix(spark.createDataFrame(rows, SCHEMA), 11)
+    start = spark.range(22).select(F.col("id").alias("node_id"), F.when(F.col("id") >= 11, 1.0).otherwise(0.0).alias("x"))
+    a = dense(rows, 11)
+    whole = np.block([[np.zeros((11, 11)), np.diag(a.sum(1) - 1)], [-np.eye(11), a]])
+    for steps in (1, 2, 7, 9):
+        value, v = power_steps(b, start, steps, F.col("node_id") >= 11)
+        x = [np.linalg.matrix_power(whole, k) @ np.r_[np.zeros(11), np.ones(11)] for k in (steps - 1, steps)]
+        top = [np.abs(y[11:]).max() for y in x]
+        assert abs(value - top[1] / top[0]) < 1e-12
+        got = {r.node_id: r.x for r in v.collect()}
+        assert np.allclose([got[i] for i in range(22)], x[1] / top[1])
+
+
+def test_nonbacktracking_query_equals_sql_without_convergence(spark, tmp_path):
+    """Two copies of a ring with a chord and a tree: the leading value is double, its vector not unique."""
+    links = [(0, 1), (1, 2), (2, 3), (3, 0), (0, 2), (4, 5), (5, 6)]
+    items = [(100 * k + 10 * i + j, 10 * k + x) for k in (0, 1) for i, ab in enumerate(links) for j in (0, 1) for x in ab]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.node_id: (r.value, r.entry) for r in l2_nonbacktracking_eigs(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = {n: (v, e) for n, v, e in con.execute(f"SELECT node_id, value, entry FROM ({ORACLES['l2_nonbacktracking_eigs']})").fetchall()}
+    assert got == want and len(got) == 14
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
 @pytest.mark.parametrize("name", ["x6_shortest_path_tree", "x6_shortest_paths", "l2_nonbacktracking_eigs"])
 def test_equal_sql_on_more_rows(spark, name):

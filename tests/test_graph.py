@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillgraph import catalogue
-from quillgraph.operators import algebra, clustering, detectors, graph, mapequation, metrics, walks
+from quillgraph.operators import algebra, clustering, detectors, graph, mapequation, metrics, spectral, walks
 from quillgraph.operators.embeddings import PRESETS
 from quillgraph.sources import generators, tables
 from tests.verify_oracles import compare, connect
@@ -279,3 +279,35 @@ def test_scores_of_all_pairs_over_several_blocks(spark, monkeypatch):
     found = metrics.scored_pairs(v, 6).groupBy("score").agg(F.sum("pos"), F.sum("neg")).collect()
     assert {x[0]: [x[1], x[2]] for x in found} == want
     assert sum(x.n for x in metrics.log_distances(v).collect()) == 60 * 59 // 2
+
+
+def test_trade_is_made_once(spark, tmp_path):
+    """What is made of the trade network reads its few rows, not the line items again; keys that meet nothing are left out."""
+    tables_of = {
+        "lineitem": ("l_orderkey long, l_suppkey long", [(1, 1), (1, 1), (1, 2), (2, 1), (3, 9), (8, 1), (4, 2), (None, 1)]),
+        "orders": ("o_orderkey long, o_custkey long", [(1, 5), (2, 6), (3, 5), (4, 7)]),
+        "customer": ("c_custkey long, c_nationkey int", [(5, 0), (6, 1)]),
+        "supplier": ("s_suppkey long, s_nationkey int", [(1, 0), (2, 3)]),
+    }
+    for name, (schema, rows) in tables_of.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    trade = tables.trade(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in trade.collect()) == [(0, 0, 2.0), (0, 3, 1.0), (1, 0, 1.0)]
+    assert not [f for f in trade.inputFiles() if "lineitem" in f]
+
+
+def test_edges_are_made_once(spark):
+    """Walks by budget and samples of losses read the edges that they are given once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    ring = spark.createDataFrame([(i, (i + s) % 6, 1.0) for i in range(6) for s in (1, 5)], "src long, dst long, w double").mapInArrow(count, "src long, dst long, w double")
+    assert walks.token_budget_walks(ring, 4, 2).count() == 12 and made.value == 12
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)], "node_id long, vec array<double>")
+    made.value = 0
+    samples = spectral.loss_samples(ring, 2, 7, 6)
+    assert spectral.batch_losses(samples, vectors, {"edge": (-1.0, 1), "random": (1.0, 1), "base": (1.0, 2)}, 2).count() == 2 and made.value == 12

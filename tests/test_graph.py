@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillgraph import catalogue
-from quillgraph.operators import algebra, clustering, detectors, graph, mapequation, metrics, spectral, walks
+from quillgraph.operators import algebra, clustering, detectors, graph, mapequation, metrics, sampling, spectral, walks
 from quillgraph.operators.embeddings import PRESETS
 from quillgraph.sources import generators, tables
 from tests.verify_oracles import compare, connect
@@ -311,3 +311,14 @@ def test_edges_are_made_once(spark):
     made.value = 0
     samples = spectral.loss_samples(ring, 2, 7, 6)
     assert spectral.batch_losses(samples, vectors, {"edge": (-1.0, 1), "random": (1.0, 1), "base": (1.0, 2)}, 2).count() == 2 and made.value == 12
+
+
+def test_positive_pairs_of_one_large_label_over_tiles(spark):
+    """Lots of seven, labels of different sizes and a null label: every pair once, and one label is the work of several tasks."""
+    rows = [(i, 0 if i < 40 else None if i < 43 else 1 + i % 2) for i in range(60)]
+    items = spark.createDataFrame(rows, "node_id long, label long")
+    got = sampling.positive_pairs(items, lot=7)
+    want = sorted((a, b) for a, x in rows for b, y in rows if a < b and x is not None and x == y)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert got.filter("a < 40").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert sampling.positive_pairs(items.limit(0)).collect() == []

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.catalogue import ORACLES
+from quillgraph.operators import paths
 from quillgraph.operators.embeddings import NonBacktracking
 from quillgraph.operators.graph import nonbacktracking_matrix
 from quillgraph.operators.krylov import nonsymmetric_eigenpairs, power_steps
@@ -64,6 +65,31 @@ def test_long_and_missing_paths(spark):
     assert shortest_paths(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "node_id long")).collect() == []
 
 
+def test_pairs_without_a_path_pass_by_once(spark, monkeypatch):
+    """Many pairs, few of them linked: rows of the rest are in no written table, whether tables are sent or kept by key."""
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(5)], SCHEMA)
+    nodes = spark.range(300).select(F.col("id").alias("node_id"))
+    tree = shortest_paths(chain, nodes)
+    pairs = nodes.select(F.col("node_id").alias("source")).crossJoin(nodes.select(F.col("node_id").alias("target")))
+    pairs = pairs.unionByName(pairs.filter("source = 1 AND target IN (3, 9)"))  # repeated ones stay
+    want = {(s, t): list(range(s, t + 1)) if s < t <= 5 else [t] for s in range(300) for t in range(300)}
+    write, sizes = paths.checkpoint, []
+
+    def kept(df, *by):
+        out = write(df, *by)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(paths, "checkpoint", kept)
+    for sent in (1_000_000, 0):
+        monkeypatch.setattr(paths, "SENT", sent)
+        got = trace_paths(tree, pairs, most=10, cut_every=2)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().toString()
+        rows = got.collect()
+        assert len(rows) == 90002 and {(r.source, r.target): r.path for r in rows} == want
+    assert max(sizes) == 15
+
+
 def dense(rows, n):
     a = np.zeros((n, n))
     for s, t, w in rows:

@@ -259,3 +259,17 @@ def test_rejection_of_odd_tables(spark):
     assert got == {0: [0, 1, 2], 1: [1, 2], 3: [3, 3, 3, 3]}
     assert {x.start: x.path for x in rejection_walks(e, 1).collect()} == {0: [0], 1: [1], 3: [3]}
     assert rejection_walks(e.filter("w > 9"), 4).collect() == []
+
+
+def test_models_of_walks_make_their_edges_once(spark):
+    """Walks, their weights and the noise read the written edges."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    ring = spark.createDataFrame([(i, (i + s) % 6, 1.0) for i in range(6) for s in (1, 5)], "src long, dst long, w double").mapInArrow(count, "src long, dst long, w double")
+    vectors = SampledEmbedding(walk_length=4, num_walks=1, window_length=1, epochs=1, parts=1).fit(ring).transform(2)
+    assert vectors.count() == 6 and made.value == 12

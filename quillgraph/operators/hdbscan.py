@@ -1,7 +1,8 @@
 """Density clusters by the hierarchy of a minimum spanning tree.
 
-The tree of mutual reachability comes from Boruvka rounds: every component
-looks for its nearest vector outside, cell by cell.  Of the tree's hierarchy
+The tree of mutual reachability comes from Boruvka rounds over lists of
+neighbours, which are searched once; where they don't settle what is nearest
+outside a component, it is looked for among all vectors.  Of the tree's hierarchy
 only components of ``least`` or more points count.  It is built from below:
 
 * Edges go by ranges of their order.  One task unites the components at the
@@ -27,20 +28,16 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpoint
 from .graph import connected_components, running_sum
-from .neighbours import BLOCK, LOT, STRIPE, Cells, _matrix, nearest_blocked, tiles
+from .neighbours import BLOCK, LOT, QUERIES, ROWS, WIDE_COPIES, WIDEST, Cells, _matrix, close_pairs, nearest_lists, products, tiles
 
 #: Distances below count as this in densities.
 CLOSEST = 1e-9
+#: Neighbours of a vector that are kept for all rounds.
+LISTED = 16
 #: Edges of the tree go by so many ranges at most, of so many edges at least.
 RANGES, SMALLEST = 32, 4096
 
 
-def core_distances(vectors: DataFrame, samples: int, digits: int = 9) -> DataFrame:
-    """``node_id, core``: distance of unit vectors to the ``samples``-th neighbour (the farthest one where there are fewer)."""
-    near = nearest_blocked(vectors, samples, digits=digits)
-    return near.groupBy(F.col("src").alias("node_id")).agg(F.round(F.sqrt(F.greatest(2 - 2 * F.min("w"), F.lit(0.0))), digits).alias("core"))
-
-
 def _nearest_outside(digits: int):
     """Of every query the row of another component with the least mutual reachability, the smallest id on ties; more than its ``bound`` doesn't count."""
     margin = 4 * 10.0**-digits
@@ -50,68 +47,112 @@ def _nearest_outside(digits: int):
         if queries.num_rows and rows.num_rows:
             column = lambda t, c: np.asarray(t.column(c))
             src, core, comp = (column(queries, c) for c in ("node_id", "core", "comp"))
-            bound = np.asarray(queries.column("bound").fill_null(np.inf), dtype=np.float64)
-            least = np.where(bound < 2, 1 - bound * bound / 2 - margin, -np.inf)
+            bound = np.asarray(queries.column("bound").fill_null(np.inf), dtype=np.float64).copy()
             order = np.argsort(column(rows, "_id"), kind="stable")
             dst, cores, comps = (column(rows, c)[order] for c in ("_id", "_core", "_comp"))
-            left, right = _matrix(queries.column("vec")), _matrix(rows.column("_vec"))[order].T
-            step = max(1, STRIPE // len(dst))
-            for at in range(0, len(src), step):
-                part = slice(at, at + step)
-                w = left[part] @ right
-                i, j = np.nonzero((w >= least[part, None]) & (comp[part, None] != comps[None, :]))
-                apart = np.round(np.sqrt(np.maximum(2 - 2 * np.round(w[i, j], digits), 0)), digits)
-                apart = np.maximum(np.maximum(apart, core[part][i]), cores[j])
-                kept = apart <= bound[part][i]
-                i, j, apart = i[kept], j[kept], apart[kept]
-                if len(i):
-                    starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-                    # The first of equal ones has the smallest id.
-                    first = np.flatnonzero(apart == np.repeat(np.minimum.reduceat(apart, starts), np.diff(np.r_[starts, len(i)])))
-                    first = first[np.r_[True, i[first][1:] != i[first][:-1]]]
-                    found.append((src[part][i[first]], dst[j[first]], apart[first]))
+            left, right = _matrix(queries.column("vec")), _matrix(rows.column("_vec"))[order]
+            reach = lambda i, j: np.maximum(np.maximum(np.round(np.sqrt(np.maximum(2 - 2 * np.round(products(left, right, i, j), digits), 0)), digits), core[i]), cores[j])
+            free = np.flatnonzero(np.isinf(bound))
+            for at in range(0, len(free), QUERIES):  # any one outside bounds the search
+                part = free[at : at + QUERIES]
+                most, who = np.full(len(part), -np.inf), np.zeros(len(part), np.int64)
+                for start in range(0, len(dst), 8 * ROWS):
+                    w = np.where(comp[part, None] != comps[None, start : start + 8 * ROWS], left[part] @ right[start : start + 8 * ROWS].T, -np.inf)
+                    best = w.argmax(axis=1)
+                    better = w[np.arange(len(part)), best] > most
+                    most[better], who[better] = w[np.arange(len(part)), best][better], best[better] + start
+                some = np.isfinite(most)
+                bound[part] = -1.0
+                bound[part[some]] = reach(part[some], who[some])
+            asked = np.flatnonzero(bound >= core)  # in the order of their components, as rows of the same one are left out
+            asked = asked[np.argsort(comp[asked], kind="stable")]
+            least = np.where(bound < 2, 1 - bound * bound / 2 - margin, -np.inf)
+            sorted_rows = np.argsort(comps, kind="stable")
+            names, first, count = np.unique(comp[asked], return_index=True, return_counts=True)
+            alone = count >= QUERIES
+            groups = [(asked[f : f + n], c) for c, f, n in zip(names[alone], first[alone], count[alone], strict=True)]
+            groups.append((asked[np.repeat(~alone, count)], None))
+            for part, c in groups:
+                start, end = (0, 0) if c is None else np.searchsorted(comps[sorted_rows], [c, c + 1])
+                others = np.arange(len(dst)) if start == end else np.sort(np.r_[sorted_rows[:start], sorted_rows[end:]])
+                for i, j in close_pairs(left[part], right[others], least[part]) if len(part) and len(others) else ():
+                    i, j = part[i], others[j]
+                    kept = (comp[i] != comps[j]) & (np.maximum(core[i], cores[j]) <= bound[i])
+                    i, j = i[kept], j[kept]
+                    apart = reach(i, j)
+                    kept = apart <= bound[i]
+                    i, j, apart = i[kept], j[kept], apart[kept]
+                    by = np.lexsort((j, apart, i))  # the first of equal ones has the smallest id
+                    i, j, apart = i[by], j[by], apart[by]
+                    top = np.r_[True, i[1:] != i[:-1]][: len(i)]
+                    found.append((src[i[top]], dst[j[top]], apart[top]))
         return pa.table(dict(zip(("src", "dst", "w"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return run
 
 
-def spanning_tree(vectors: DataFrame, samples: int, *, digits: int = 9, block: int = BLOCK, lot: int = LOT) -> DataFrame:
+def spanning_tree(vectors: DataFrame, samples: int, *, digits: int = 9, block: int = BLOCK, lot: int = LOT, listed: int = LISTED) -> DataFrame:
     """Exact minimum spanning tree of mutual reachability: ``a, b, w`` with ``a < b``.
 
     Mutual reachability is the distance of two unit vectors, or the core
-    distance of either where that is more.  In every round each component adds
-    its lightest edge outwards; there are at most log2(n) rounds.
+    distance (to the ``samples``-th neighbour) of either where that is more.
+    ``listed`` neighbours of every vector are found once.  A component whose
+    lightest link in these lists is lighter than all lists' ends has found its
+    lightest edge outwards.  Where too few have, the others but the largest
+    look for it among all vectors: only those with a list that ends before.
+    A round joins an eighth of the components, so there are few.
     """
+    k = max(samples, listed)
     cells = Cells.of(vectors)
-    core = checkpoint(core_distances(vectors, samples, digits))
-    lots, blocks = cells.deal(lot), cells.deal(block)
-    done = cells.own(lots, blocks)
-    rows = blocks.number(lots.number(cells.rows, "lot"), "block").join(core, "node_id", "left").withColumn("core", F.coalesce("core", F.lit(0.0)))
-    labels = rows.select("node_id", F.col("node_id").alias("comp"))
+    blocks = cells.deal(block, copies=WIDE_COPIES, largest=WIDEST)
+    near = checkpoint(nearest_lists(cells, blocks, k, digits))
+    apart = lambda w: F.round(F.sqrt(F.greatest(2 - 2 * w, F.lit(0.0))), digits)
+    lists = near.groupBy(F.col("src").alias("node_id")).agg(F.sort_array(F.collect_list("w"), asc=False).alias("_w"))  # k numbers
+    points = lists.select("node_id", apart(F.element_at("_w", F.least(F.size("_w"), F.lit(samples)))).alias("core"), F.when(F.size("_w") >= k, apart(F.element_at("_w", -1))).alias("radius"))
+    points = checkpoint(cells.rows.select("node_id").join(points, "node_id", "left").withColumn("core", F.coalesce("core", F.lit(0.0))))
+    rows = None
+    labels = points.select("node_id", F.col("node_id").alias("comp"), "radius")
+    core = lambda end: points.select(F.col("node_id").alias(end), F.col("core").alias(f"_{end}"))
+    a, b = F.least("src", "dst"), F.greatest("src", "dst")
+    links = near.select(a.alias("a"), b.alias("b"), apart(F.col("w")).alias("w")).distinct().join(core("a"), "a").join(core("b"), "b")
+    links = checkpoint(links.select("a", "b", F.greatest("w", "_a", "_b").alias("w"), F.col("a").alias("ca"), F.col("b").alias("cb")))
+    edge = lambda comp, other: [F.col(comp).alias("comp"), F.struct("w", "a", "b", F.col(other).alias("other")).alias("e")]
+    lightest = lambda found: found.select(*edge("ca", "cb")).union(found.select(*edge("cb", "ca"))).groupBy("comp").agg(F.min("e").alias("e"))
     tree = None
-    compared = lambda asked, now, pairs: tiles(asked, now, pairs, ["core", "comp", "bound"], ["core", "comp"], _nearest_outside(digits))
     while True:
-        now = checkpoint(rows.join(labels, "node_id"))
-        inside = compared(now.withColumn("bound", F.lit(None).cast("double")), now, done)
-        own = checkpoint(inside.groupBy("src").agg(F.min(F.struct("w", "dst")).alias("best")).select("src", "best.dst", "best.w"))
-        # Mutual reachability is no less than the distance, so what the own cells gave bounds the search.
-        bound = own.select(F.col("src").alias("node_id"), F.col("w").alias("bound"))
-        # A component needs its lightest edge alone: its best so far bounds all its vectors, and ends the search of those with a larger core.
-        of_comp = now.select("node_id", "comp").join(bound, "node_id").groupBy("comp").agg(F.min("bound").alias("bound"))
-        asked = checkpoint(now.join(of_comp, "comp", "left").filter("bound IS NULL OR core <= bound"))
-        wide = cells.open(asked, "bound", blocks, done)
-        found = own.unionByName(compared(asked, now, wide))
-        a, b = F.least("src", "dst"), F.greatest("src", "dst")
-        best = found.join(now.select(F.col("node_id").alias("src"), F.col("comp")), "src").groupBy("comp").agg(F.min(F.struct(F.col("w"), a.alias("a"), b.alias("b"))).alias("e"))
-        added = checkpoint(best.select("e.a", "e.b", "e.w").distinct())
-        if added.isEmpty():
-            return tree if tree is not None else added
-        tree = added if tree is None else checkpoint(tree.unionByName(added))
-        ends = labels.select(F.col("node_id").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("node_id").alias("b"), F.col("comp").alias("cb"))
-        links = added.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
-        joined = connected_components(links.union(links.select("dst", "src")).withColumn("w", F.lit(1.0)))
-        joined = joined.toDF("comp", "_new")
-        labels = checkpoint(labels.join(joined, "comp", "left").select("node_id", F.coalesce("_new", "comp").alias("comp")))
+        held = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("radius"))
+        state = checkpoint(held.join(lightest(links), "comp", "left").withColumn("sure", F.col("e").isNotNull() & (F.col("radius").isNull() | (F.col("e.w") < F.col("radius")))))
+        total, sure, largest = state.agg(F.count(F.lit(1)), F.count(F.when(F.col("sure"), 1)), F.max(F.struct("n", "comp"))["comp"]).first()
+        if total < 2:
+            return tree if tree is not None else links.select("a", "b", "w").limit(0)
+        best = state.filter("sure").select("comp", "e")
+        if sure * 4 < total - 1:
+            if rows is None:
+                rows = checkpoint(blocks.number(cells.rows, "block").join(points, "node_id"))
+            now = checkpoint(rows.drop("radius").join(labels, "node_id"))
+            unsure = state.filter(~F.col("sure") & (F.col("comp") != largest)).select("comp", "e")
+            asked = checkpoint(now.join(unsure.select("comp", F.col("e.w").alias("bound")), "comp").filter("bound IS NULL OR radius IS NULL OR radius <= bound").drop("block"))
+            lots = cells.deal(lot, asked, copies=WIDE_COPIES, largest=WIDEST)
+            asked = checkpoint(lots.number(asked, "lot"))
+            done = cells.own(lots, blocks)
+            compared = lambda asked, pairs: tiles(asked, now, pairs, ["core", "comp", "bound"], ["core", "comp"], _nearest_outside(digits))  # noqa: B023, E731
+            inside = checkpoint(compared(asked, done))
+            # A component needs its lightest edge alone: its best so far bounds all its vectors.
+            bound = inside.withColumnRenamed("src", "node_id").join(asked.select("node_id", "comp"), "node_id").groupBy("comp").agg(F.min("w").alias("_bound"))
+            asked = checkpoint(asked.join(bound, "comp", "left").withColumn("bound", F.least("bound", "_bound")).drop("_bound").filter("bound IS NULL OR radius IS NULL OR radius <= bound"))
+            found = inside.unionByName(compared(asked, cells.open(asked, "bound", blocks, done)))
+            of = lambda end, name: labels.select(F.col("node_id").alias(end), F.col("comp").alias(name))  # noqa: B023, E731
+            found = found.join(of("src", "ca"), "src").join(of("dst", "cb"), "dst").select("ca", "cb", "w", a.alias("a"), b.alias("b"))
+            found = found.select(*edge("ca", "cb")).unionByName(unsure.filter("e IS NOT NULL")).groupBy("comp").agg(F.min("e").alias("e"))
+            best = best.unionByName(found)
+        best = checkpoint(best)
+        added = best.select("e.a", "e.b", "e.w").distinct()
+        tree = checkpoint(added if tree is None else tree.unionByName(added))
+        joined = connected_components(best.select(F.col("comp").alias("src"), F.col("e.other").alias("dst"))).toDF("comp", "_new")
+        labels = checkpoint(labels.join(joined, "comp", "left").select("node_id", F.coalesce("_new", "comp").alias("comp"), "radius"))
+        for end in ("ca", "cb"):
+            links = links.join(joined.withColumnRenamed("comp", end), end, "left").withColumn(end, F.coalesce("_new", end)).drop("_new")
+        links = checkpoint(links.filter("ca <> cb").select("a", "b", "w", "ca", "cb"))
 
 
 def _density(distance: float) -> float:

@@ -192,6 +192,20 @@ def test_density_clusters_equal_brute_force(spark, seed, sizes, least):
     assert [got[i] for i in range(len(rows))] == want and len(set(want)) > 2
 
 
+def test_tree_searches_all_vectors_where_lists_end(spark, monkeypatch):
+    """Vectors without structure need their lists alone, after one search; clusters and copies beyond their lists are looked for further."""
+    asked = []
+    monkeypatch.setattr(hdbscan, "tiles", lambda *a: asked.append(a) or neighbours.tiles(*a))
+    rows = np.random.default_rng(5).normal(size=(150, 24))
+    found = hdbscan.spanning_tree(vectors(spark, rows), 4, block=40, lot=30)
+    assert sorted((r.a, r.b, r.w) for r in found.collect()) == sorted(brute_tree(rows, 4)) and not asked
+    monkeypatch.setattr(hdbscan, "QUERIES", 8)
+    rows = blobs(6, [30, 30, 20])
+    rows = np.vstack([rows, rows[:12], np.repeat(rows[40:41], 15, axis=0)])
+    found = hdbscan.spanning_tree(vectors(spark, rows), 2, block=40, lot=30, listed=2)
+    assert sorted((r.a, r.b, r.w) for r in found.collect()) == sorted(brute_tree(rows, 2)) and asked
+
+
 @pytest.mark.parametrize("least", [3])
 def test_condensed_tree_of_paths_and_stars(spark, least):
     """Chains of rising and falling weights, equal weights and a star."""

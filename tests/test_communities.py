@@ -206,6 +206,24 @@ def test_tree_searches_all_vectors_where_lists_end(spark, monkeypatch):
     assert sorted((r.a, r.b, r.w) for r in found.collect()) == sorted(brute_tree(rows, 2)) and asked
 
 
+def test_density_clusters_search_once(spark, monkeypatch):
+    """Neighbours are searched once, and nothing else compares vectors; the clusters equal brute force."""
+    tasks = []
+
+    def lists(cells, blocks, k, digits):
+        tasks.append(int((blocks.first + blocks.pieces).max()))
+        return neighbours.nearest_lists(cells, blocks, k, digits)
+
+    monkeypatch.setattr(hdbscan, "nearest_lists", lists)
+    monkeypatch.setattr(hdbscan, "tiles", None)  # not asked
+    rows = np.random.default_rng(9).normal(size=(120, 16))
+    v = vectors(spark, rows)
+    found = hdbscan.spanning_tree(v, 3, block=30, lot=10)
+    got = {r.node_id: r.p for r in hdbscan.density_labels(v, found, 3).collect()}
+    assert [got[i] for i in range(len(rows))] == brute_labels(len(rows), brute_tree(rows, 3), 3)
+    assert len(tasks) == 1 and 4 <= tasks[0] <= 8
+
+
 @pytest.mark.parametrize("least", [3])
 def test_condensed_tree_of_paths_and_stars(spark, least):
     """Chains of rising and falling weights, equal weights and a star."""
